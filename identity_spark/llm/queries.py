@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sharding, topk
+from . import secrets, sharding, token_files, topk
 from .common import table
 
 
@@ -18,6 +18,28 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 24)
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer's file; the folder isn't part of this repository."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of the documents, written as Parquet and read back."""
+    read = token_files.token_table(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    return token_files.with_checksums(read.withColumnRenamed("doc_id", "key")).withColumnRenamed("key", "doc_id")
+
+
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in the documents: the three kinds of the contract, and those of further rules."""
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    kinds = [r.kind for r in secrets.BASE_RULES]
+    count = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
+    base = F.filter("spans", lambda x: x["order"] < len(kinds))
+    return found.select("doc_id", *map(count, kinds), F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
+
+
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 best rows for every hundredth vector."""
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
@@ -27,6 +49,8 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op5_token_files": op5_token_files,
+    "op9_secret_scans": op9_secret_scans,
     "op10_exact_top_k": op10_exact_top_k,
 }
 
