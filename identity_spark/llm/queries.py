@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import secrets, sharding, token_files, topk
+from . import jaccard, secrets, sharding, token_files, topk
 from .common import table
 
 
@@ -31,6 +31,11 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.with_checksums(read.withColumnRenamed("doc_id", "key")).withColumnRenamed("key", "doc_id")
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents by 4-word shingles at a similarity of 0.85."""
+    return jaccard.similar_sets(table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets in the documents: the three kinds of the contract, and those of further rules."""
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
@@ -50,6 +55,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op5_token_files": op5_token_files,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_secret_scans": op9_secret_scans,
     "op10_exact_top_k": op10_exact_top_k,
 }
