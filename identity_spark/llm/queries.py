@@ -9,7 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, secrets, sharding, token_files, topk
+from . import decontamination, jaccard, secrets, sharding, token_files, topk
+from . import toxicity as tox
 from .common import table
 
 
@@ -18,6 +19,20 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 24)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of the documents, learnt from the labels that aren't held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = tox.trained(docs, table(spark, sf_dir, "labels"))
+    scored = tox.toxicity(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", tox.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps of the documents with benchmark items, by spaced seeds."""
+    found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", (F.col("n_items") > 0).alias("contaminated"), "n_items", "first_item", "shared_words")
+
+
 def vocabulary(name: str) -> str:
     """Path of a public tokenizer's file; the folder isn't part of this repository."""
     import public_tokenizers
@@ -54,6 +69,8 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op3_toxicity": op3_toxicity,
+    "op4_decontamination": op4_decontamination,
     "op5_token_files": op5_token_files,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_secret_scans": op9_secret_scans,

@@ -21,6 +21,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[32, *range(9, 14)]] = True
+#: For words of letters and digits only: every other ASCII byte ends a word.
+PUNCTUATED = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -54,11 +56,13 @@ def pieces(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
         row = end
 
 
-def hashed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the rows, and for each row the number of words before it (one more for the end)."""
+def hashed_words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the rows, and for each row the number of words before it (one more for the end).
+
+    between: for each byte value, whether it stands between words."""
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    inside = ~_IS_SPACE[data]
+    inside = ~between[data]
     edge = np.ones(len(data), bool)
     edge[1:] = ~inside[:-1]
     rows = offsets[:-1][offsets[:-1] < len(data)]
