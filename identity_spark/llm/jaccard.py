@@ -5,7 +5,8 @@
    rare shingles come first, by a fixed-size count sketch of the whole corpus, which only bears on speed. A tile is the
    sets of one band of sizes that share a prefix shingle; a set whose partners can be larger than its band is a guest
    in the next band.
-3. In each tile the first set is held against every other one. Bit counts bound the overlap from above, and what may
+3. In each tile the set that stands in most tiles, often the least edited of a group of near copies, is held against
+   every other one. Bit counts bound the overlap from above, and what may
    reach the threshold is verified by an exact intersection of sorted arrays. Links merge sets into groups.
 4. What is left are tiles of three sets or more from at least two groups. All pairs across groups are held against
    each other there, by bitmaps and then exactly. Large tiles are cut into pairs of blocks, so no task holds one whole.
@@ -32,15 +33,16 @@ from .common import written
 from .components import components
 from .words import mix, pieces, shingle_sets
 
-#: A band holds sizes from 4**k to 4**(k + 1) - 1, and its bitmaps have four bits for each of the largest size.
+#: A band holds sizes from 4**k to 4**(k + 1) - 1, and its bitmaps have two bits for each of the largest size.
 BAND = 4
 #: Counters of the sketch, and how many of them travel in one row.
-SKETCH = 1 << 20
-SKETCH_CHUNK = 1 << 14
+SKETCH = 1 << 22
+SKETCH_CHUNK = 1 << 15
+_SHIFT = np.uint64(64 - 22)
 #: A tile of more sets is cut into blocks of half as many.
 TILE = 1024
 #: Partners by which a set of a larger tile is tried in step 3; step 4 sees to the rest.
-FIRST_TRIES = 2
+FIRST_TRIES = 3
 #: Beyond this many keys (16 bytes each) a list of texts to fetch is joined by a shuffle and not broadcast.
 BROADCAST_ROWS = 500_000
 _PAIRS = 1 << 15
@@ -53,7 +55,7 @@ def band_of(n: np.ndarray) -> np.ndarray:
 
 def width_of(band: int) -> int:
     """Bytes of a bitmap."""
-    return max(32, BAND ** (int(band) + 2) // 8)
+    return max(32, BAND ** (int(band) + 1) // 4)
 
 
 def needed(n: np.ndarray, percent: int) -> np.ndarray:
@@ -98,16 +100,19 @@ def signatures(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
     """Rows of two kinds. Of a text: key, n, set, check and bits. Of a task's part of the sketch: n = -1 - chunk, bits = counts."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SKETCH, np.int32)
+        counts = np.zeros(SKETCH, np.uint8)  # full at 255 in a task, which is far above the usual
         names = ["key", "n", "set", "check", "bits"]
         for batch in batches:
+            places: list[np.ndarray] = []
             for row, end, data, offsets in pieces(batch.column("text")):
                 sets = list(shingle_sets(data, offsets, size))
+                places += [(s >> _SHIFT).astype(np.int32) for s in sets]
                 n = np.array([len(s) for s in sets], np.int64)
-                counts += np.bincount((np.concatenate(sets) >> np.uint64(44)).astype(np.int64), minlength=SKETCH).astype(np.int32)
                 digests = np.array([_digests(s) for s in sets], np.int64).reshape(-1, 2)
                 bits = [bitmap(s, width_of(b)) if len(s) else b"" for s, b in zip(sets, band_of(n), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("key").slice(row, end - row), pa.array(n), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(bits, pa.binary())], names)
+            if places:
+                counts = np.minimum(counts + np.bincount(np.concatenate(places), minlength=SKETCH), 255).astype(np.uint8)
         chunks = [c for c in range(0, SKETCH, SKETCH_CHUNK) if counts[c : c + SKETCH_CHUNK].any()]
         if chunks:
             none = pa.nulls(len(chunks), pa.int64())
@@ -123,13 +128,13 @@ def sketch_levels(signed: DataFrame) -> np.ndarray:
     def add(keys: tuple, table: pa.Table) -> pa.Table:
         total = np.zeros(SKETCH_CHUNK, np.int64)
         for x in table.column("bits"):
-            total += np.frombuffer(x.as_buffer(), np.int32)
-        return pa.table({"chunk": [keys[0].as_py()], "counts": [total.tobytes()]}, pa.schema([("chunk", pa.int64()), ("counts", pa.binary())]))
+            total += np.frombuffer(x.as_buffer(), np.uint8)
+        return pa.table({"chunk": [keys[0].as_py()], "counts": [np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()]}, pa.schema([("chunk", pa.int64()), ("counts", pa.binary())]))
 
     parts = signed.filter("n < 0").select((-1 - F.col("n")).alias("chunk"), "bits").groupBy("chunk").applyInArrow(add, "chunk long, counts binary")
     total = np.zeros(SKETCH, np.int64)
     for chunk, counts in parts.collect():  # SKETCH // SKETCH_CHUNK rows at most
-        total[chunk * SKETCH_CHUNK : (chunk + 1) * SKETCH_CHUNK] = np.frombuffer(counts, np.int64)
+        total[chunk * SKETCH_CHUNK : (chunk + 1) * SKETCH_CHUNK] = np.frombuffer(counts, np.int32)
     usual = 2 * max(1.0, float(total.mean()))
     return np.ceil(np.log2(np.maximum(total, usual) / usual)).astype(np.uint8)
 
@@ -148,7 +153,7 @@ def postings(docs: DataFrame, text: str, size: int, percent: int, levels: np.nda
                     if not n:
                         continue
                     prefix = n - int(needed(np.int64(n), percent)) + 1
-                    order = np.argsort(level[(s >> np.uint64(44)).astype(np.int64)], kind="stable")  # s is sorted: ties by hash
+                    order = np.argsort(level[(s >> _SHIFT).astype(np.int64)], kind="stable")  # s is sorted: ties by hash
                     found, band = s[order[:prefix]], int(band_of(np.int64(n)))
                     bands = [band] if n * 100 // percent < BAND ** (band + 1) else [band, band + 1]
                     one = _digests(s)[0]
@@ -276,8 +281,11 @@ def similar_sets(docs: DataFrame, *, size: int, percent: int, key: str = "doc_id
 
     posted = postings(docs, text, size, percent, sketch_levels(signed))
     tile = Window.partitionBy("tile")
-    shared = posted.withColumns({"hub": F.min("set").over(tile), "_most": F.max("set").over(tile)}).filter("hub < _most").drop("_most").distinct()
-    shared = written(shared.withColumn("sets", F.count(F.lit(1)).over(tile)), "tiles")
+    shared = posted.withColumns({"_least": F.min("set").over(tile), "_most": F.max("set").over(tile)}).filter("_least < _most").drop("_least", "_most").distinct()
+    shared = written(shared, "shared")
+    known = shared.groupBy("set").agg(F.count(F.lit(1)).alias("known"))
+    shared = shared.join(known, "set").withColumns({"hub": F.max(F.struct("known", "set")).over(tile)["set"], "sets": F.count(F.lit(1)).over(tile)})
+    shared = written(shared.drop("known"), "tiles")
 
     part = nodes.select("set", "n", "bits")
     stars = shared.filter(F.col("hub") != F.col("set")).groupBy(F.col("hub").alias("a"), F.col("set").alias("b")).agg(F.min("sets").alias("sets"), F.count(F.lit(1)).alias("tiles"))
