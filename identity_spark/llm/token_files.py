@@ -16,10 +16,12 @@ an empty table gives files without rows; further columns are ignored.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +33,14 @@ from .common import new_path, partitions
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 128 << 10
 PAGE_ROWS = 2_000
-#: Texts between single blanks are encoded once while they are remembered; this many at most in each worker.
-REMEMBERED = 400_000
+#: Pieces between blanks are encoded once while they are remembered; twice this many at most in each worker.
+REMEMBERED = 450_000
+#: Texts that are encoded together.
+ROWS_AT_ONCE = 1024
+#: Pieces that are joined to be encoded.
+JOINED = 128
+_SIGNS = ".,!?;:"
+_BLANKS = frozenset("\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B))))
 #: White space as the tokenizer's pattern takes it; a blank before a word belongs to the word. Pieces of this pattern
 #: begin and end where the tokenizer's own pieces do, so their ids can be joined.
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -40,31 +48,68 @@ _PIECES = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 
 
 class Encoder:
-    """Ids of texts by a byte-level BPE tokenizer file; ids of pieces that come again are remembered."""
+    """Ids of texts by a byte-level BPE tokenizer file.
 
-    def __init__(self, path: str):
-        import os
+    Ids of pieces that come again are remembered, in a young and an old half: when the young half is full it becomes
+    the old one, and what is met there again moves back. A letter before a last sign of punctuation ends a token, so
+    that sign is looked up by itself."""
 
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-
-    def __call__(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        if any(x in text for x in self.special):  # these are found before any other piece
-            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        pieces = _PIECES.findall(text)
-        known = self.known
-        new = [x for x in set(pieces) if x not in known]
-        if len(known) + len(new) > REMEMBERED:
-            known = self.known = {}
-            new = list(set(pieces))
-        for x, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            known[x] = np.asarray(e.ids, "<u4").tobytes()
-        return b"".join([known[x] for x in pieces])
+        #: whether a token begins with a blank, as the vocabulary writes it
+        self.first = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.first[[i for x, i in self.tokenizer.get_vocab().items() if x[0] == "\u0120"]] = True
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.signs = dict(zip(_SIGNS, self._encode(list(_SIGNS)), strict=True))
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        ids = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        flat, at, out = np.fromiter(chain.from_iterable(ids), "<u4").tobytes(), 0, []
+        for x in ids:
+            out.append(flat[at : at + 4 * len(x)])
+            at += 4 * len(x)
+        return out
+
+    def _encode_pieces(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Pieces that begin with a blank are encoded joined: no token but a piece's first one has a blank in it."""
+        blank = [x for x in pieces if x[0] == " " and len(x) > 1 and x[1] not in _BLANKS]
+        rest = [x for x in pieces if not (x[0] == " " and len(x) > 1 and x[1] not in _BLANKS)]
+        yield from zip(rest, self._encode(rest), strict=True)
+        joined = ["".join(blank[i : i + JOINED]) for i in range(0, len(blank), JOINED)]
+        flat = np.frombuffer(b"".join(self._encode(joined)), "<u4")
+        cuts = [*(4 * np.flatnonzero(self.first[flat])).tolist(), 4 * len(flat)]
+        whole = flat.tobytes()
+        yield from ((x, whole[a:b]) for x, a, b in zip(blank, cuts[:-1], cuts[1:], strict=True))
+
+    def _learn(self, pieces: set[str]) -> None:
+        if len(self.young) > REMEMBERED:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        signed, bare = [], []
+        for x in pieces.difference(young):
+            if (known := old.get(x)) is not None:
+                young[x] = known
+            elif len(x) > 1 and x[-1] in self.signs and x[-2].isascii() and x[-2].isalpha():
+                signed.append(x)
+                bare.append(x[:-1])
+            else:
+                bare.append(x)
+        new = list(set(bare).difference(young))
+        young.update(self._encode_pieces(new))
+        young.update([(x, young[x[:-1]] + self.signs[x[-1]]) for x in signed])
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        pieces = [None if any(s in x for s in self.special) else _PIECES.findall(x) for x in texts]
+        self._learn(set(chain.from_iterable(x for x in pieces if x)))
+        ids = self.young.__getitem__
+        # a special token's string is found before any other piece, so such a text is encoded as it is
+        return [self._encode([t])[0] if x is None else b"".join(map(ids, x)) for t, x in zip(texts, pieces, strict=True)]
 
 
 @cache
@@ -80,12 +125,12 @@ def encoded(docs: DataFrame, tokenizer: str, *, key: str, text: str, end_id: int
     rows = rows.repartitionByRange(partitions(docs), "key", F.crc32(F.col("text").cast("binary"))).sortWithinPartitions("key", F.crc32(F.col("text").cast("binary")))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_one, end = encoder(tokenizer), np.asarray([end_id], "<u4").tobytes()
+        encode_all, end = encoder(tokenizer), np.asarray([end_id], "<u4").tobytes()
         place = 0
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                some = batch.slice(start, 256)
-                ids = [encode_one(x.as_py()) + end for x in some.column("text")]
+            for start in range(0, batch.num_rows, ROWS_AT_ONCE):
+                some = batch.slice(start, ROWS_AT_ONCE)
+                ids = [x + end for x in encode_all(some.column("text").to_pylist())]
                 n = np.array([len(x) // 4 for x in ids], np.int64)
                 ends = np.cumsum(n)
                 values = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
