@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard, secrets, sharding, token_files, topk
+from . import decontamination, jaccard, labelled_pages, licences, main_text, pieces, secrets, sharding, token_files, topk
 from . import toxicity as tox
 from .common import table
 
@@ -19,6 +19,15 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 24)
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of the documents, and whether decoding them gives the text back."""
+    path = vocabulary("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    both = pieces.decode(pieces.encode(docs, path), path)
+    same = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), pieces.BLANK, " ")
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"), same.alias("round_trip"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of the documents, learnt from the labels that aren't held out."""
     docs = table(spark, sf_dir, "documents")
@@ -46,14 +55,27 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.with_checksums(read.withColumnRenamed("doc_id", "key")).withColumnRenamed("key", "doc_id")
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of the pages, by a model fitted on the labelled pages of this folder."""
+    found = main_text.extract(table(spark, sf_dir, "pages"), main_text.fit(labelled_pages.pages()))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def op7_licence_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences whose text or notice a document, a paragraph or a line is."""
+    found = licences.scan(table(spark, sf_dir, "documents"), licences.known(spark))
+    return found.select("doc_id", "whole_licence", F.array_join("licences", ",").alias("licences"), "n_places")
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents by 4-word shingles at a similarity of 0.85."""
-    return jaccard.similar_sets(table(spark, sf_dir, "documents"), size=4, percent=85)
+    found = jaccard.similar_sets(table(spark, sf_dir, "documents"), size=4, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets in the documents: the three kinds of the contract, and those of further rules."""
-    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     kinds = [r.kind for r in secrets.BASE_RULES]
     count = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
     base = F.filter("spans", lambda x: x["order"] < len(kinds))
@@ -69,9 +91,12 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_toxicity": op3_toxicity,
     "op4_decontamination": op4_decontamination,
     "op5_token_files": op5_token_files,
+    "op6_main_text": op6_main_text,
+    "op7_licence_scans": op7_licence_scans,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_secret_scans": op9_secret_scans,
     "op10_exact_top_k": op10_exact_top_k,
