@@ -97,11 +97,11 @@ def _digests(s: np.ndarray) -> tuple[int, int]:
 
 
 def signatures(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """Rows of two kinds. Of a text: key, n, set, check and bits. Of a task's part of the sketch: n = -1 - chunk, bits = counts."""
+    """Rows of two kinds. Of a text: key, print, n, set, check and bits. Of a task's part of the sketch: n = -1 - chunk, bits = counts."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SKETCH, np.uint8)  # full at 255 in a task, which is far above the usual
-        names = ["key", "n", "set", "check", "bits"]
+        names = ["key", "print", "n", "set", "check", "bits"]
         for batch in batches:
             places: list[np.ndarray] = []
             for row, end, data, offsets in pieces(batch.column("text")):
@@ -110,16 +110,16 @@ def signatures(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
                 n = np.array([len(s) for s in sets], np.int64)
                 digests = np.array([_digests(s) for s in sets], np.int64).reshape(-1, 2)
                 bits = [bitmap(s, width_of(b)) if len(s) else b"" for s, b in zip(sets, band_of(n), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("key").slice(row, end - row), pa.array(n), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(bits, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([batch.column("key").slice(row, end - row), batch.column("print").slice(row, end - row), pa.array(n), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(bits, pa.binary())], names)
             if places:
                 counts = np.minimum(counts + np.bincount(np.concatenate(places), minlength=SKETCH), 255).astype(np.uint8)
         chunks = [c for c in range(0, SKETCH, SKETCH_CHUNK) if counts[c : c + SKETCH_CHUNK].any()]
         if chunks:
             none = pa.nulls(len(chunks), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, pa.array([-1 - c // SKETCH_CHUNK for c in chunks], pa.int64()), none, none, pa.array([counts[c : c + SKETCH_CHUNK].tobytes() for c in chunks], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([none, none, pa.array([-1 - c // SKETCH_CHUNK for c in chunks], pa.int64()), none, none, pa.array([counts[c : c + SKETCH_CHUNK].tobytes() for c in chunks], pa.binary())], names)
 
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    return rows.mapInArrow(sign, "key long, n long, set long, check long, bits binary")
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(text).alias("print"), F.col(text).alias("text"))
+    return rows.mapInArrow(sign, "key long, print long, n long, set long, check long, bits binary")
 
 
 def sketch_levels(signed: DataFrame) -> np.ndarray:
@@ -311,7 +311,25 @@ def similar_sets(docs: DataFrame, *, size: int, percent: int, key: str = "doc_id
 
     links = first.unionByName(second)
     roots = components(links, "a", "b")
-    labelled = rows.select("key", "n", "set").join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+    labelled = rows.select("key", "print", "n", "set").join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     least = labelled.filter("n > 0").groupBy("root").agg(F.min("key").alias("component_id"))
     out = labelled.join(least, "root", "left")
-    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key")).alias("component_id"))
+    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key")).alias("component_id")
+    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component, F.when(F.col("n") > 0, F.col("root")).alias("group"), F.col("print"))
+
+
+def without_near_copies(docs: DataFrame, *, size: int, percent: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each component of :func:`similar_sets`, that of the least key, and all rows without words."""
+    found = written(similar_sets(docs, size=size, percent=percent, key=key, text=text), "groups").filter("group IS NOT NULL").withColumnRenamed(key, "key")
+    row = F.struct(F.col("key").isNull().alias("none"), "key", "print")
+    stays = found.groupBy("group").agg(F.min(row).alias("stays"))
+    goes = written(found.join(stays, "group").filter(~(row == F.col("stays"))).select(F.col("key").alias("_key"), F.col("print").alias("_print")).distinct(), "copies")
+    twice = found.groupBy(F.col("key").alias("_key"), F.col("print").alias("_print")).count().filter("count > 1").select("_key", "_print")
+    twice = written(twice, "repeated")
+    same = F.col(key).eqNullSafe(F.col("_key")) & F.xxhash64(text).eqNullSafe(F.col("_print"))
+    small = lambda t: F.broadcast(t) if t.count() <= BROADCAST_ROWS else t
+    out = docs.join(small(goes), same, "left_anti")
+    if twice.limit(1).count():  # rows that are the same in key and text are told apart by nothing: one of them stays
+        one = out.join(small(twice), same, "left_semi").dropDuplicates([key, text])
+        out = out.join(small(twice), same, "left_anti").unionByName(one)
+    return out

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Candidates beyond this many rows (some 40 bytes each) are joined by a shuffle and not broadcast.
+#: Candidates or verified rows (some 40 bytes, and 40 for a span) beyond this many are joined by a shuffle, not broadcast.
 BROADCAST_ROWS = 100_000
 #: Most literal strings that are followed side by side while a query is derived.
 MOST_LITERALS = 64
@@ -181,23 +181,40 @@ def joined(spans: Column) -> Column:
 
 
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, text length and ``spans`` (sorted array of start, order, kind, end) of every row of ``docs``, in no order."""
+    """All columns of ``docs`` and ``spans`` (sorted array of start, order, kind, end) of every row, in no order."""
     words = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(key).alias("_key"), words.alias("_text"), F.xxhash64(words).alias("_print"))
+    rows = docs.withColumns({"_key": F.col(key), "_text": words, "_print": F.xxhash64(words)})
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     asked = {k: q for k, q in queries.items() if q}
     scanned = [(i, r) for i, r in enumerate(rules) if r.kind not in asked]
     none = F.array().cast("array<struct<start:long,order:int,kind:string,end:long>>")
     keys = ["_key", "_print"]
-    out = rows.select(*keys, F.char_length("_text").cast("long").alias("n_chars"), F.concat(none, *[spans_of(F.col("_text"), r, i) for i, r in scanned]).alias("_scanned"))
+    out = rows.select(*docs.columns, *keys, F.concat(none, *[spans_of(F.col("_text"), r, i) for i, r in scanned]).alias("_scanned"))
     if asked:
         trigrams = sorted({t for q in asked.values() for c in q for s in c for t in s})
         found = written(candidates(postings(rows, keys, "_text", trigrams), keys, trigrams, asked), "candidates")
         found = found.withColumnsRenamed({"_key": "_found_key", "_print": "_found_print"})
-        few = found.count() <= BROADCAST_ROWS
         same = F.col("_key").eqNullSafe(F.col("_found_key")) & (F.col("_print") == F.col("_found_print"))
         spans = F.concat(none, *[F.when(F.col(r.kind), spans_of(F.col("_text"), r, i)).otherwise(none) for i, r in enumerate(rules) if r.kind in asked])
-        verified = rows.join(F.broadcast(found) if few else found, same).select("_found_key", "_found_print", spans.alias("_verified"))
-        verified = verified.dropDuplicates(["_found_key", "_found_print"]).filter(F.size("_verified") > 0)
-        out = out.join(verified, same, "left").select("_key", "n_chars", F.concat("_scanned", F.coalesce("_verified", none)).alias("_scanned"))
-    return out.select(F.col("_key").alias(key), "n_chars", F.array_sort("_scanned").alias("spans"))
+        verified = rows.select(*keys, "_text").join(_small(found), same).select("_found_key", "_found_print", spans.alias("_verified"))
+        verified = written(verified.filter(F.size("_verified") > 0).dropDuplicates(["_found_key", "_found_print"]), "verified")
+        out = out.join(_small(verified), same, "left").withColumn("_scanned", F.concat("_scanned", F.coalesce("_verified", none)))
+    return out.select(*docs.columns, F.array_sort("_scanned").alias("spans"))
+
+
+def _small(table: DataFrame) -> DataFrame:
+    """With a hint to broadcast it where its rows, which are counted, allow that."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
+def redacted(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with each stretch of overlapping spans replaced by the kind of its first one, in brackets; null stays null."""
+    found = find_secrets(docs, rules, key=key, text=text)
+
+    def step(done: Column, x: Column) -> Column:
+        new = F.concat(done["out"], F.substring(F.col(text), done["at"] + 1, x["start"] - done["at"]), F.lit("["), x["kind"], F.lit("]"))
+        return F.struct(F.greatest(done["at"], x["end"]).alias("at"), F.when(x["start"] >= done["at"], new).otherwise(done["out"]).alias("out"))
+
+    kept = F.aggregate("spans", F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), step)
+    clean = F.concat(kept["out"], F.substring(F.col(text), kept["at"] + 1, F.char_length(text)))
+    return found.withColumn(text, F.when(F.size("spans") > 0, clean).otherwise(F.col(text))).select(*docs.columns)
