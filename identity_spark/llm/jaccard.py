@@ -33,7 +33,7 @@ from .common import written
 from .components import components
 from .words import mix, pieces, shingle_sets
 
-#: A band holds sizes from 4**k to 4**(k + 1) - 1, and its bitmaps have two bits for each of the largest size.
+#: A band holds sizes from 4**k to 4**(k + 1) - 1, and its bitmaps have a bit for each of the largest size, in low bands two.
 BAND = 4
 #: Counters of the sketch, and how many of them travel in one row.
 SKETCH = 1 << 22
@@ -55,7 +55,7 @@ def band_of(n: np.ndarray) -> np.ndarray:
 
 def width_of(band: int) -> int:
     """Bytes of a bitmap."""
-    return max(32, BAND ** (int(band) + 1) // 4)
+    return max(32, BAND ** (int(band) + 1) // (4 if band < 4 else 8))
 
 
 def needed(n: np.ndarray, percent: int) -> np.ndarray:
@@ -282,6 +282,10 @@ def similar_sets(docs: DataFrame, *, size: int, percent: int, key: str = "doc_id
     posted = postings(docs, text, size, percent, sketch_levels(signed))
     tile = Window.partitionBy("tile")
     shared = posted.withColumns({"_least": F.min("set").over(tile), "_most": F.max("set").over(tile)}).filter("_least < _most").drop("_least", "_most").distinct()
+    # in the order of sizes, a set without a neighbour of fitting size has no partner in its tile
+    by_size = tile.orderBy("n", "set")
+    fits = (F.lag("n").over(by_size) * 100 >= F.col("n") * percent) | (F.col("n") * 100 >= F.lead("n").over(by_size) * percent)
+    shared = shared.withColumn("_fits", fits).filter("_fits").drop("_fits")
     shared = written(shared, "shared")
     known = shared.groupBy("set").agg(F.count(F.lit(1)).alias("known"))
     shared = shared.join(known, "set").withColumns({"hub": F.max(F.struct("known", "set")).over(tile)["set"], "sets": F.count(F.lit(1)).over(tile)})
