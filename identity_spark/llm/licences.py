@@ -26,8 +26,8 @@ BROADCAST_ROWS = 200_000
 SPELLINGS = {
     "licence": "license", "licences": "licenses", "licenced": "licensed", "sub-license": "sublicense", "sub license": "sublicense", "non-commercial": "noncommercial",
     "non-infringement": "noninfringement", "copyright owner": "copyright holder", "copyright owners": "copyright holders", "favour": "favor", "fulfil": "fulfill",
-    "acknowledgement": "acknowledgment", "judgement": "judgment", "whilst": "while", "wilful": "willful", "organisation": "organization", "merchantability": "merchantability",
-    "per cent": "percent", "version": "v", "ver": "v", "https": "http", "&": "and",
+    "acknowledgement": "acknowledgment", "judgement": "judgment", "whilst": "while", "wilful": "willful", "organisation": "organization", 
+    "per cent": "percent", "version": "v", "ver": "v", "https": "http",
 }
 
 #: Licence texts without their copyright lines.
@@ -77,16 +77,30 @@ NAMES = {
 OPENINGS = ["", "Licensed under", "Released under", "Distributed under", "Available under", "This work is licensed under", "This software is licensed under", "This project is licensed under", "This file is licensed under"]
 
 
-def canonical(text: Column) -> Column:
-    """Canonical form of a text."""
-    out = F.regexp_replace(text, r"(?im)^[^\p{L}\p{N}\n]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$", " ")
-    out = F.lower(out)
+def prepared(text: Column) -> Column:
+    """Canonical words of each line, the lines still apart: " words of a line \\n words of the next "."""
+    line = r"(?im)^[^\p{L}\p{N}\n]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
+    low = F.lower(text)
+    marked = low.contains("copyright") | low.contains("(c)") | low.contains("©") | low.contains("all rights reserved")
+    out = F.when(marked, F.regexp_replace(low, line, " ")).otherwise(low)
+    # two blanks between words, so that each word has both of its own
+    out = F.regexp_replace(F.replace(out, F.lit("&"), F.lit(" and ")), r"[^\p{L}\p{N}\n]+", "  ")
+    out = F.concat(F.lit("  "), F.replace(out, F.lit("\n"), F.lit("  \n  ")), F.lit("  "))
     for a, b in sorted(SPELLINGS.items(), key=lambda x: -len(x[0])):
-        edge = r"\b" if a.isascii() and a[0].isalpha() else ""
-        out = F.regexp_replace(out, f"{edge}{a}{edge}", b)
-    out = F.regexp_replace(out, r"\bv(\d)", "v $1")
-    out = F.regexp_replace(out, r"[^\p{L}\p{N}]+", " ")
-    return F.trim(F.regexp_replace(out, r"(\d) 0(?= |$)", "$1"))  # 2.0 is 2
+        wide = lambda x: " " + "  ".join(x.replace("-", " ").split()) + " "
+        out = F.replace(out, F.lit(wide(a)), F.lit(wide(b)))
+    out = F.regexp_replace(out, r" v(\d)", " v  $1")
+    out = F.regexp_replace(out, r"(\d) +0 ", "$1 ")  # 2.0 is 2
+    return F.regexp_replace(out, " +", " ")
+
+
+def joined_lines(lines: Column) -> Column:
+    return F.trim(F.replace(lines, F.lit(" \n"), F.lit("")))
+
+
+def canonical(text: Column) -> Column:
+    """Canonical form of a whole text: its words, one blank apart."""
+    return joined_lines(prepared(text))
 
 
 def known(spark: SparkSession) -> DataFrame:
@@ -101,16 +115,17 @@ def scan(docs: DataFrame, licences: DataFrame, *, key: str = "doc_id", text: str
     """key, whole_licence (of the document as a whole), licences (sorted) and n_places of every row of ``docs``.
 
     licences: (licence, text) of known texts; where two have one canonical form the first name wins."""
-    digest = lambda c: F.sha2(canonical(c), 256)
-    digests = licences.filter(F.length(canonical(F.col("text"))) > 0).groupBy(digest(F.col("text")).alias("digest")).agg(F.min("licence").alias("licence"))
+    digests = licences.select("licence", canonical(F.col("text")).alias("_c")).filter(F.length("_c") > 0).groupBy(F.sha2("_c", 256).alias("digest")).agg(F.min("licence").alias("licence"))
     digests = written(digests, "digests")
     side = F.broadcast(digests) if digests.count() <= BROADCAST_ROWS else digests
     words = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key).alias("_key"), F.xxhash64(words).alias("_print"), words.alias("_text"))
-    lines = F.transform(F.split("_text", "\n"), lambda x: F.struct(F.lit("line").alias("kind"), x.alias("text")))
-    parts = F.transform(F.split("_text", r"\n[\s]*\n"), lambda x: F.struct(F.lit("paragraph").alias("kind"), x.alias("text")))
-    units = F.concat(F.array(F.struct(F.lit("whole").alias("kind"), F.col("_text").alias("text"))), F.when(F.size(parts) > 1, parts).otherwise(F.array()), F.when(F.size(lines) > 1, lines).otherwise(F.array()))
-    cut = rows.select("_key", "_print", F.posexplode(units).alias("at", "unit")).select("_key", "_print", "at", "unit.kind", digest(F.col("unit.text")).alias("digest"))
+    ready = rows.select("_key", "_print", prepared(F.col("_text")).alias("_lines"))
+    unit = lambda kind, x: F.struct(F.lit(kind).alias("kind"), joined_lines(x).alias("text"))
+    lines, parts = F.split("_lines", "\n"), F.split("_lines", r" \n(?: \n)+")
+    none = F.array().cast("array<struct<kind:string,text:string>>")
+    units = F.concat(F.array(unit("whole", F.col("_lines"))), F.when(F.size(parts) > 1, F.transform(parts, lambda x: unit("paragraph", x))).otherwise(none), F.when(F.size(lines) > 1, F.transform(lines, lambda x: unit("line", x))).otherwise(none))
+    cut = ready.select("_key", "_print", F.posexplode(units).alias("at", "unit")).select("_key", "_print", "at", "unit.kind", F.sha2("unit.text", 256).alias("digest"))
     hits = cut.join(side, "digest").groupBy("_key", "_print").agg(
         F.max(F.when(F.col("kind") == "whole", F.col("licence"))).alias("whole_licence"), F.collect_set("licence").alias("_licences"), F.size(F.collect_set("at")).cast("long").alias("_n")
     )

@@ -37,9 +37,9 @@ BLANK = "▁"
 UNKNOWN = 10_000_000
 #: Stretches of more characters are encoded by themselves, shorter ones side by side.
 SHORT = 48
-#: Stretches that each half of a worker's memory holds at most.
-REMEMBERED = 400_000
-ROWS_AT_ONCE = 1024
+#: Stretches that each half of a task's memory holds at most.
+REMEMBERED = 200_000
+ROWS_AT_ONCE = 512
 _NONE = -(1 << 60)
 
 
@@ -253,36 +253,38 @@ def decoded(v: Vocabulary, ids: list[int]) -> str:
 
 
 @cache
-def encoder(path: str, scores: str) -> Encoder:
-    """One for each worker process and file."""
-    return Encoder(Vocabulary(path, scores))
+def vocabulary(path: str, scores: str) -> Vocabulary:
+    """One for each worker process and file; what an encoder remembers goes with its task."""
+    return Vocabulary(path, scores)
 
 
 def _with(df: DataFrame, field: str) -> str:
     return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + [field])
 
 
-def encode(docs: DataFrame, path: str, *, scores: str = "zipf", text: str = "text", out: str = "ids") -> DataFrame:
-    """All columns of ``docs`` and the ids of each whole text."""
+def encode(docs: DataFrame, path: str, *, scores: str = "zipf", text: str = "text", out: str = "ids", back: str | None = None) -> DataFrame:
+    """All columns of ``docs`` and the ids of each whole text; ``back`` names a column for what these ids decode to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_all = encoder(path, scores)
+        v = vocabulary(path, scores)
+        encode_all = Encoder(v)
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS_AT_ONCE):
                 some = batch.slice(start, ROWS_AT_ONCE)
                 ids = encode_all(some.column(text).fill_null("").to_pylist())
                 ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))
-                yield pa.RecordBatch.from_arrays([*some.columns, lists], [*batch.schema.names, out])
+                more = [] if back is None else [pa.array([decoded(v, np.frombuffer(x, "<u4").tolist()) for x in ids], pa.string())]
+                yield pa.RecordBatch.from_arrays([*some.columns, lists, *more], [*batch.schema.names, out, *([] if back is None else [back])])
 
-    return docs.mapInArrow(run, _with(docs, f"`{out}` array<int>"))
+    return docs.mapInArrow(run, _with(docs, f"`{out}` array<int>" + ("" if back is None else f", `{back}` string")))
 
 
 def decode(rows: DataFrame, path: str, *, scores: str = "zipf", ids: str = "ids", out: str = "decoded") -> DataFrame:
     """All columns of ``rows`` and the text of each list of ids; null for null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = encoder(path, scores).v
+        v = vocabulary(path, scores)
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS_AT_ONCE):
                 some = batch.slice(start, ROWS_AT_ONCE)

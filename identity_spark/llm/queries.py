@@ -23,7 +23,7 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of the documents, and whether decoding them gives the text back."""
     path = vocabulary("piece_bpe_32k.model")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = pieces.decode(pieces.encode(docs, path), path)
+    both = pieces.encode(docs, path, back="decoded")
     same = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), pieces.BLANK, " ")
     return both.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"), same.alias("round_trip"))
 

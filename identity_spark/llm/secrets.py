@@ -118,7 +118,8 @@ def trigram_query(pattern: str) -> list[Clause]:
 
 def postings(rows: DataFrame, keys: list[str], text: str, trigrams: list[str]) -> DataFrame:
     """The inverted index: (trigram number, keys), for each of ``trigrams`` that the lower-case text contains."""
-    low = F.lower(text)
+    # a column of its own, or it would be made anew for each trigram
+    rows, low = rows.select(*keys, F.lower(text).alias("_low")), F.col("_low")
     there = F.array_compact(F.array(*[F.when(low.contains(t), F.lit(i)) for i, t in enumerate(trigrams)]))
     return rows.select(*keys, F.explode(there).alias("trigram"))
 

@@ -1,0 +1,6 @@
+"""Tests here import one another by name."""
+
+import sys
+from pathlib import Path
+
+sys.path.insert(0, str(Path(__file__).resolve().parent))

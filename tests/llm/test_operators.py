@@ -1,0 +1,318 @@
+"""Operators of the training-data pipeline, each against a brute-force version and its edge cases."""
+
+from __future__ import annotations
+
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from identity_spark.llm import decontamination, jaccard, labelled_pages, licences, main_text, pieces, queries, secrets, sharding, token_files, topk, toxicity
+from identity_spark.llm.components import components
+from identity_spark.llm.words import hashed_words
+
+EDGE = [(1, None), (2, ""), (3, "   \n\t "), (4, "one"), (5, "One  two"), (None, "null key"), (6, "a b c d e f g h"), (6, "a b c d e f g h"), (7, "x " * 30_000), (8, "Ünï codé — ▁ 漢字 🎉")]
+
+
+def docs(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), "key": F.lit("clash"), "print": F.lit(0), "part": F.lit(1)})
+
+
+def empty(spark):
+    return docs(spark, [])
+
+
+def test_sharding_matches_its_driver_side(spark):
+    rows = docs(spark, EDGE + [(i, f"t{i}") for i in range(100, 333)])
+    out = sorted(sharding.shard_documents(rows, 24).collect(), key=lambda r: r["row_number"])
+    assert [r["row_number"] for r in out] == list(range(len(out)))
+    assert all((r["shard"], r["slot"]) == sharding.place(i, len(out), 24, 20_240_601) for i, r in enumerate(out))
+    counts = np.bincount([r["shard"] for r in out], minlength=24)
+    assert counts.max() - counts.min() <= 1
+    null = next(r for r in out if r["doc_id"] == 1)
+    assert (null["size"], null["text_crc32"]) == (8, 0)
+    eight = next(r for r in out if r["doc_id"] == 8)
+    assert (eight["size"], eight["text_crc32"]) == (len(EDGE[-1][1].encode()) + 8, zlib.crc32(EDGE[-1][1].encode()))
+    assert sharding.shard_documents(empty(spark), 24).count() == 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 7, 24, 25, 101, 997])
+def test_permutation_is_one(n):
+    assert len({sharding.place(i, n, 5, 3) for i in range(n)}) == n
+
+
+def brute_viterbi(v, text):
+    s = pieces.BLANK + text.replace(" ", pieces.BLANK) if text else ""
+    best, back = [0] + [None] * len(s), [None] * (len(s) + 1)
+    for end in range(1, len(s) + 1):
+        for start in range(max(0, end - v.longest), end):
+            i = v.id.get(s[start:end])
+            if i is not None and (best[end] is None or best[start] + v.score[i] > best[end]):
+                best[end], back[end] = best[start] + v.score[i], (start, [i])
+        if best[end] is None:
+            best[end], back[end] = best[end - 1] + v.unknown, (end - 1, v.spelled(s[end - 1]))
+    out, at = [], len(s)
+    while at:
+        at, ids = back[at]
+        out.append(ids)
+    return [i for x in reversed(out) for i in x]
+
+
+def test_streaming_viterbi(spark):
+    path = queries.vocabulary("piece_bpe_32k.model")
+    v = pieces.Vocabulary(path)
+    texts = [t or "" for _, t in EDGE if t is None or len(t) < 1000] + ["thethe" * 40, "  two  blanks ", "\n\n\ta"]
+    for text, ids in zip(texts, pieces.Encoder(v)(texts), strict=True):
+        whole = pieces.BLANK + text.replace(" ", pieces.BLANK) if text else ""
+        stream = pieces.StreamingViterbi(v)
+        streamed = [i for k in range(0, len(whole), 5) for i in stream.push(whole[k : k + 5])] + stream.finish()
+        assert np.frombuffer(ids, "<u4").tolist() == streamed == brute_viterbi(v, text)
+        assert pieces.decoded(v, streamed) == text.replace(pieces.BLANK, " ")
+    rows = pieces.decode(pieces.encode(docs(spark, EDGE), path), path).collect()
+    assert all(r["decoded"] == (r["text"] or "").replace(pieces.BLANK, " ") for r in rows)
+    assert pieces.encode(empty(spark), path).count() == 0
+    assert pieces.decoded(v, [-1, 10**9, 0, 1]) == ""
+
+
+def test_streaming_viterbi_forgets_what_is_settled():
+    v = pieces.Vocabulary(queries.vocabulary("piece_bpe_32k.model"))
+    stream = pieces.StreamingViterbi(v)
+    for _ in range(300):
+        stream.push("some words and some more")
+    assert len(stream.text) < 6 * v.longest
+
+
+def test_toxicity_learns_and_is_whole(spark):
+    rng = np.random.default_rng(1)
+    fill = ["".join(rng.choice(list("abcdefghiklmnoprstu"), 6)) for _ in range(400)]
+    rows, labels = [], []
+    for i in range(600):
+        words = list(rng.choice(fill, 80))
+        if i % 3 == 0:
+            words[int(rng.integers(80))] = ["blorgface", "blorgfaced", "zquark", "zquarky"][i // 3 % 4]
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i % 3 == 0)))
+    table = docs(spark, rows + EDGE[:5] + [(9000, " ".join(fill) + " zquarks " + " ".join(fill))])
+    model = toxicity.trained(table, spark.createDataFrame(labels + [(1, None), (99_999, 1)], "doc_id long, toxic int"))
+    out = {r["doc_id"]: r["score"] for r in toxicity.toxicity(table.filter("doc_id >= 10"), model).collect()}
+    held = [i for i in range(10, 600) if zlib.crc32(str(i).encode()) % 5 == 0]
+    right = sum((out[i] >= 0.5) == (i % 3 == 0) for i in held)
+    assert right >= 0.9 * len(held)
+    assert out[9000] >= 0.5  # a word that isn't in the sample, in a long text
+    edge = toxicity.toxicity(docs(spark, EDGE), model).collect()
+    assert len(edge) == len(EDGE) and all(0 <= r["score"] <= 1 for r in edge)
+    assert toxicity.toxicity(empty(spark), model).count() == 0
+    assert toxicity.fit(["a"], [1], (0, 1)).score([""])[0] == pytest.approx(1.0)
+
+
+def test_decontamination_tolerates_two_substitutions(spark):
+    item = [f"w{i}" for i in range(30)]
+    rng = np.random.default_rng(2)
+    rows = [(0, "clean words only " * 20), (1, " ".join(item)), (2, "x y z " + " ".join(item[5:18]) + " tail"), (3, " ".join(item[:12]))]
+    for k in range(60):
+        window = item[9:22]
+        for p in rng.choice(13, 2, replace=False):
+            window[p] = "sub"
+        rows.append((100 + k, "some text before. " + ", ".join(window).upper() + "! And after"))
+    rows.append((200, " ".join(w if i % 4 else "sub" for i, w in enumerate(item))))  # three or more of any 13
+    bench = spark.createDataFrame([(7, " ".join(item)), (8, "too short"), (9, None), (10, " ".join(f"q{i}" for i in range(9)))], "item_id long, text string")
+    out = {r["doc_id"]: r["n_items"] for r in decontamination.contamination(docs(spark, rows), bench).collect()}
+    assert all(n == 1 for i, n in out.items() if i in (1, 2) or 100 <= i < 160)
+    assert out[0] == out[3] == out[200] == 0
+    edge = decontamination.contamination(docs(spark, EDGE + [(77, " ".join(f"q{i}" for i in range(9)))] * 2), bench).collect()
+    assert sorted(r["n_items"] for r in edge) == [0] * (2 * len(EDGE)) + [1, 1]
+    assert decontamination.decontaminated(docs(spark, rows), bench.limit(0)).count() == len(rows)
+    assert decontamination.contamination(empty(spark), bench).count() == 0
+
+
+def test_token_files(spark):
+    from tokenizers import Tokenizer
+
+    path = queries.vocabulary("byte_bpe_50k.json")
+    rows = [(i or 0, t) for i, t in EDGE] + [(50, "a<|endoftext|>b"), (51, "two  blanks \n and\n\n lines. wide\xa0hard"), (52, " lead, trail "), (53, "it's they'll 'quoted'")]
+    out = sorted(token_files.with_checksums(token_files.token_table(docs(spark, rows), path).withColumnRenamed("doc_id", "key")).collect(), key=lambda r: r["start"])
+    encode = Tokenizer.from_file(path).encode
+    at = 0
+    for (_, text), r in zip(sorted(rows, key=lambda x: (x[0], zlib.crc32((x[1] or "").encode()))), out, strict=True):
+        ids = np.array([*encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+    assert token_files.token_table(empty(spark), path).count() == 0
+
+
+def test_token_files_layout(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    path = f"file://{tmp_path}/tokens"
+    token_files.token_table(docs(spark, [(i, f"text {i}") for i in range(50)]), queries.vocabulary("byte_bpe_50k.json"), path=path)
+    file = max(tmp_path.glob("tokens/*.parquet"), key=lambda p: pq.read_metadata(p).num_rows)
+    column = {pq.read_metadata(file).row_group(0).column(i).path_in_schema: pq.read_metadata(file).row_group(0).column(i) for i in range(5)}
+    assert "DELTA_BINARY_PACKED" in column["key"].encodings
+    assert all(c.has_column_index and c.has_offset_index for c in column.values())
+
+
+def test_main_text_model():
+    model = main_text.fit(labelled_pages.pages(160))
+    tests = labelled_pages.pages(60, seed=99)
+    right = total = 0
+    for page in tests:
+        tree = main_text.read(page)
+        label = []
+        for name, parent in zip(tree.attributes, tree.parent, strict=True):
+            label.append(1 if "data-main=1" in name else 0 if "data-main=0" in name or parent < 0 else label[parent])
+        p, _ = main_text.marginals(main_text.forest([tree]), model)
+        right += int(((p >= 0.5) == np.array(label)).sum())
+        total += len(label)
+    assert right >= 0.97 * total
+    page = '<html><head><title>T</title><script>var a="<p>no</p>";</script></head><body><nav><a href="/">Home</a></nav><div class="ad">Buy now.</div><article><h1>A &amp; B</h1><p>First\n  part.<br>Next <b>bold</b>word &#233;.<p>Open</article><footer>&copy; x</footer>'
+    assert main_text.main_texts([page, "", "<<<>", "plain"], model)[:2] == ["A & B First part. Next boldword é. Open", ""]
+
+
+def test_main_text_messages_are_exact():
+    rng = np.random.default_rng(0)
+    f = main_text.forest([main_text.read("<div><p>a</p><ul><li>b<a href=x>c</a></li></ul></div>")])
+    m = main_text.Model(rng.normal(size=main_text.N_FEATURES), rng.normal(size=(3, 2, 2)))
+    n = len(f.parent)
+    weight = np.zeros((2,) * n)
+    for states in np.ndindex(*weight.shape):
+        weight[states] = np.exp(sum(s * float(x @ m.weight) for s, x in zip(states, f.features, strict=True)) + sum(m.pair[f.kind[i], states[f.parent[i]], states[i]] for i in range(n) if f.parent[i] >= 0))
+    brute = [weight[(slice(None),) * i + (1,)].sum() / weight.sum() for i in range(n)]
+    np.testing.assert_allclose(main_text.marginals(f, m)[0], brute, rtol=1e-9)
+
+
+def test_main_text_rows(spark):
+    model = main_text.fit(labelled_pages.pages(40))
+    pages = spark.createDataFrame([(1, "u", None), (2, None, ""), (3, "v", "<p>x"), (3, "v", "<p>x")], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
+    out = main_text.extract(pages, model)
+    assert out.count() == 4 and out.columns == ["page_id", "url", "text"]
+    assert main_text.extract(pages.limit(0), model).count() == 0
+
+
+def test_licences(spark):
+    mit = licences.TEXTS["MIT"]
+    texts = [mit, "Copyright (c) 2020 Someone\n\n" + mit.upper().replace('"', "“"), "intro\n\n" + mit.replace("\n\n", " ") + "\n\nmore", "x\nReleased under the MIT Licence\ny", "mit license is mentioned here", "Licensed under CC BY-NC 4.0."]
+    out = {r["doc_id"]: r for r in licences.scan(docs(spark, EDGE + [(100 + i, t) for i, t in enumerate(texts)] + [(103, texts[3])]), licences.known(spark)).collect()}
+    assert out[100]["whole_licence"] == out[101]["whole_licence"] == "MIT"
+    assert [out[102]["whole_licence"], out[102]["licences"]] == [None, ["MIT"]]
+    assert (out[103]["licences"], out[103]["n_places"]) == (["MIT"], 1)
+    assert out[104]["licences"] == [] and out[105]["licences"] == ["CC-BY-NC-4.0"]
+    assert all(out[i]["licences"] == [] for i in range(1, 9))
+    assert licences.scan(empty(spark), licences.known(spark)).count() == 0
+
+
+def shingle_set(text, size):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
+
+
+def brute_components(rows, size, percent):
+    sets, root = [shingle_set(t, size) for _, t in rows], list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                root[find(i)] = find(j)
+    groups = {}
+    for i in range(len(rows)):
+        groups.setdefault(find(i), []).append(rows[i][0])
+    return {rows[i][0]: (len(sets[i]), min(groups[find(i)]) if sets[i] else rows[i][0]) for i in range(len(rows))}
+
+
+@pytest.mark.parametrize(("size", "percent", "seed"), [(4, 85, 1), (5, 80, 2), (2, 50, 3)])
+def test_jaccard_join_is_exact(spark, monkeypatch, size, percent, seed):
+    monkeypatch.setattr(jaccard, "TILE", 8)  # so that tiles are cut into blocks
+    rng = np.random.default_rng(seed)
+    vocabulary = [f"w{i}" for i in range(500)]
+    passage = list(rng.choice(vocabulary, 40))
+    rows = [(i, t) for i, t in EDGE if i in (1, 2, 3, 4, 5, 8)] + [(9, "one"), (10, "ONE"), (11, "a b c d e f g h"), (12, "a b c d e f g h")]
+    for g in range(12):
+        base = list(rng.choice(vocabulary, int(rng.integers(5, 120)))) + (passage if g % 2 else [])
+        for k in range(int(rng.integers(1, 14))):
+            words = list(base)
+            for _ in range(int(rng.integers(0, 6))):
+                words[int(rng.integers(len(words)))] = str(rng.choice(vocabulary))
+            rows.append((1000 + 100 * g + k, " ".join(words)))
+    out = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.similar_sets(docs(spark, rows), size=size, percent=percent).collect()}
+    assert out == brute_components(rows, size, percent)
+
+
+def test_near_copies_leave_one(spark):
+    rows = EDGE + [(20, "p q r s t u v w x y z"), (21, "p q r s t u v w x y z"), (22, "lone text of some words here")]
+    out = jaccard.without_near_copies(docs(spark, rows), size=5, percent=80)
+    kept = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in out.collect())
+    assert [i for none, i in kept if not none] == [1, 2, 3, 4, 5, 6, 7, 8, 20, 22] and kept[-1][0]
+    assert out.columns == docs(spark, []).columns
+    assert jaccard.without_near_copies(empty(spark), size=5, percent=80).count() == 0
+
+
+def test_components(spark):
+    links = [(1, 2), (2, 3), (10, 11), (5, 5), (7, 3)] + [(100 + i, 101 + i) for i in range(30)]
+    out = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}
+    assert out == {1: 1, 2: 1, 3: 1, 7: 1, 10: 10, 11: 10} | {i: 100 for i in range(100, 131)}
+
+
+SECRETS = ["", "password=abc secret: tokenx_12345", 'api_key = "ABCdef123" API-KEY=1234567', "secret=token:abcdefgh", "AKIA" + "A" * 16 + " xAKIAAKIA" + "B" * 20, "f" * 24 + "g" + "0" * 23, "ſecret=abcdefgh", "é" * 5 + "PassWD:'hunter22' " + "deadbeef" * 4, "ghp_" + "a1" * 18, "-----BEGIN RSA PRIVATE KEY-----", "🎉 token==abc=def/ghi"]
+
+
+def brute_spans(text):
+    spans = [(m.start(), 0, "assign", m.end()) for m in re.finditer(r"""((?:(?i:password|passwd|token|api_?key)|(?ai:secret)))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) >= 6]
+    spans += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    return sorted(spans + [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24])
+
+
+def test_secrets(spark):
+    rows = EDGE + [(100 + i, t) for i, t in enumerate(SECRETS)] + [(101, SECRETS[1])]
+    out = secrets.find_secrets(docs(spark, rows)).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        assert [tuple(x) for x in r["spans"] if x["order"] < 3] == brute_spans(r["text"] or "")
+    kinds = {r["doc_id"]: {x["kind"] for x in r["spans"]} for r in out}
+    assert "github" in kinds[108] and kinds[109] == {"pem"}
+    clean = {r["doc_id"]: r["text"] for r in secrets.redacted(docs(spark, rows)).collect()}
+    assert clean[107] == "é" * 5 + "[assign]' [hex]" and clean[1] is None and clean[4] == "one"
+    assert secrets.find_secrets(empty(spark)).count() == 0
+
+
+def test_trigram_queries():
+    assert secrets.trigram_query("[0-9a-f]+") == []
+    assert secrets.trigram_query("ab") == []
+    assert secrets.trigram_query("abcd?e") == [frozenset({frozenset({"abc", "bcd", "cde"}), frozenset({"abc", "bce"})})]
+    assert len(secrets.trigram_query("abc.*(?:xyz|uvw)")) == 2
+
+
+def test_secret_digest(spark):
+    spans = secrets.find_secrets(docs(spark, [(1, SECRETS[1])])).select(F.sha2(secrets.joined(F.col("spans")), 256).alias("d")).first()["d"]
+    assert spans == hashlib.sha256(b"assign:13:33").hexdigest()
+
+
+@pytest.mark.parametrize("k", [1, 3, 10])
+def test_top_k(spark, monkeypatch, k):
+    monkeypatch.setattr(topk, "BINS", 4)
+    monkeypatch.setattr(topk, "ROW_BLOCK", 16)
+    rng = np.random.default_rng(k)
+    vectors = [(i, rng.normal(size=6).tolist()) for i in range(150)] + [(i, [0.5] * 6) for i in range(150, 190)] + [(200, None), (300, [float("nan")] * 6), (301, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (400, [1.0, 2.0]), (500, []), (501, [float("inf")] * 6)]
+    rows = spark.createDataFrame(vectors, "id long, v array<float>")
+    out = {(r["query_id"], r["rank"]): (r["id"], r["score"]) for r in topk.top_k(rows.filter("id % 10 = 0"), rows, k).collect()}
+    whole = {i: np.floor(1024 * np.array(v, np.float32).astype(float)).astype(int) for i, v in vectors if v is not None and all(x is not None and np.isfinite(x) for x in v)}
+    want = {}
+    for q in [i for i in whole if i % 10 == 0]:
+        near = sorted((-int(whole[q] @ x), i) for i, x in whole.items() if i != q and len(x) == len(whole[q]))
+        want |= {(q, n + 1): (i, -s) for n, (s, i) in enumerate(near[:k])}
+    assert out == want
+    assert topk.top_k(rows.limit(0), rows.limit(0), k).count() == 0
+
+
+def test_words_end_where_rows_end():
+    data = "ab cdEF  g".encode()
+    hashes, before = hashed_words(np.frombuffer(data, np.uint8), np.array([0, 4, 4, 10]))
+    assert before.tolist() == [0, 2, 2, 5] and len(set(hashes.tolist())) == 5
+    assert hashed_words(np.frombuffer(b"EF ef", np.uint8), np.array([0, 5]))[0].tolist() == [hashed_words(np.frombuffer(b"ef", np.uint8), np.array([0, 2]))[0][0]] * 2
