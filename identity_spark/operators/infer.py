@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 Model = Callable[[list], list]
 
@@ -20,6 +22,7 @@ def run_model(rows: DataFrame, factories: dict[str, Callable[[], Model]], strate
     if strategy not in factories:
         raise ValueError(f"unknown strategy {strategy!r}; known ones are {', '.join(sorted(factories))}")
     make = factories[strategy]
+    arrow = to_arrow_type(DataType.fromDDL(kind))
     fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + [f"`{out}` {kind}"])
 
     def unit(v: list | None) -> list | None:
@@ -41,7 +44,7 @@ def run_model(rows: DataFrame, factories: dict[str, Callable[[], Model]], strate
                         made[i] = unit(x) if unit_length else x
                 except Exception:  # noqa: BLE001  a model's failure costs its batch and not the run
                     made = [None] * len(given)
-                yield pa.RecordBatch.from_pydict({**{n: some.column(n) for n in some.schema.names}, out: pa.array(made)} if any(x is not None for x in made) else {**{n: some.column(n) for n in some.schema.names}, out: pa.nulls(len(made))})
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(made, arrow)], [*some.schema.names, out])
 
     return rows.mapInArrow(run, fields)
 
