@@ -69,7 +69,7 @@ def test_late_and_repeated_rows(spark, tmp_path):
     t = Views(spark, SF).tracks.withColumns({"global_id": F.col("tracker_id"), "ts": F.col("ts").cast("timestamp")})
     t.unionByName(t).coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(t.schema).parquet(str(tmp_path / "in"))
-    for name, out, mode in (("once", dedupe_late(stream), "append"), ("windows", metrics_stream(dedupe_late(stream), "1 day"), "append")):
+    for name, out, mode in (("once", dedupe_late(stream), "append"), ("windows", metrics_stream(dedupe_late(stream), "1 day", None), "append")):
         q = out.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
         q.awaitTermination()
     assert spark.table("once").count() == t.count()
