@@ -4,7 +4,7 @@ A word is a run of letters and digits, in lower case as far as ASCII goes. Masks
 of a text; a hash takes the words under a mask's ones and ignores the others, so a substituted word in a gap doesn't
 break the seed. Seeds of benchmark items and of documents are joined by hash, and around each hit the aligned words
 are compared: a document is contaminated if 13 successive words of an item stand in it with two substitutions at most
-(an item of 8 to 12 words: the item, with one). The three masks find every such window, wherever its substitutions are.
+(an item of 8 to 12 words: the item, with one; a word beyond the document's end counts as substituted). The three masks find every such window, wherever its substitutions are.
 
 A document emits a seed only where a bitmap of fixed size, filled with the benchmark's seeds, allows it; a wrong
 yes costs a row of the join and nothing else. The words around a seed travel with it, so no text is shuffled.
