@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import tidy, written
 from .words import BASE, PUNCTUATED, hashed_words, mix, pieces
 
 #: Together they hit each window of 13 words with any two of them substituted.
@@ -92,7 +92,7 @@ def seeds(rows: DataFrame, keys: list[str], missing: int, allowed: np.ndarray |
                         own = [batch.column(k).take(pa.array(first + row[some])) for k in keys]
                         yield pa.RecordBatch.from_arrays([pa.array(hashes[some].view(np.int64)), *own, pa.array(n[some]), _around(words, before, row[some], places[some], missing)], ["hash", *keys, "n_words", "around"])
 
-    return rows.select(*keys, "text").mapInArrow(find, "hash long, " + "".join(f"{k} {types[k]}, " for k in keys) + "n_words long, around binary")
+    return rows.select(*keys, "text").mapInArrow(tidy(find), "hash long, " + "".join(f"{k} {types[k]}, " for k in keys) + "n_words long, around binary")
 
 
 def bitmap(found: DataFrame) -> np.ndarray:
@@ -126,7 +126,7 @@ def _verified(hits: DataFrame, keys: list[str]) -> DataFrame:
             keep = pa.array(best > 0)
             yield pa.RecordBatch.from_arrays([*(batch.column(c).filter(keep) for c in [*keys, "item"]), pa.array(best[best > 0])], [*keys, "item", "shared"])
 
-    return hits.mapInArrow(compare, "".join(f"{k} {types[k]}, " for k in [*keys, "item"]) + "shared long")
+    return hits.mapInArrow(tidy(compare), "".join(f"{k} {types[k]}, " for k in [*keys, "item"]) + "shared long")
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import tidy, written
 from .components import components
 from .words import mix, pieces, shingle_sets
 
@@ -119,7 +119,7 @@ def signatures(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([none, none, pa.array([-1 - c // SKETCH_CHUNK for c in chunks], pa.int64()), none, none, pa.array([counts[c : c + SKETCH_CHUNK].tobytes() for c in chunks], pa.binary())], names)
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(text).alias("print"), F.col(text).alias("text"))
-    return rows.mapInArrow(sign, "key long, print long, n long, set long, check long, bits binary")
+    return rows.mapInArrow(tidy(sign), "key long, print long, n long, set long, check long, bits binary")
 
 
 def sketch_levels(signed: DataFrame) -> np.ndarray:
@@ -163,7 +163,7 @@ def postings(docs: DataFrame, text: str, size: int, percent: int, levels: np.nda
                     tile, of, n, guest = (np.concatenate(x) for x in zip(*out, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(tile.view(np.int64)), pa.array(of), pa.array(n), pa.array(guest)], ["tile", "set", "n", "guest"])
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(post, "tile long, set long, n long, guest boolean")
+    return docs.select(F.col(text).alias("text")).mapInArrow(tidy(post), "tile long, set long, n long, guest boolean")
 
 
 def _by_bits(pairs: DataFrame, percent: int) -> DataFrame:
@@ -182,7 +182,7 @@ def _by_bits(pairs: DataFrame, percent: int) -> DataFrame:
                     keep[some] = may_link(_stacked(x.take(pa.array(some)).to_pylist()), _stacked(y.take(pa.array(some)).to_pylist()), n[some], m[some], percent)
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in rest], rest)
 
-    return pairs.mapInArrow(look, ", ".join(f"{c} {t}" for c, t in pairs.dtypes if c in rest))
+    return pairs.mapInArrow(tidy(look), ", ".join(f"{c} {t}" for c, t in pairs.dtypes if c in rest))
 
 
 def _exactly(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
@@ -199,7 +199,7 @@ def _exactly(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, key: str, text
                 sets = list(shingle_sets(data, offsets, size))
                 yield pa.RecordBatch.from_arrays([pa.array([_digests(s)[0] for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["set", "hashes"])
 
-    fetched = some.select(F.col(text).alias("text")).mapInArrow(arrays, "set long, hashes binary").join(places.select("set").distinct(), "set", "left_semi")
+    fetched = some.select(F.col(text).alias("text")).mapInArrow(tidy(arrays), "set long, hashes binary").join(places.select("set").distinct(), "set", "left_semi")
     held = written(fetched.groupBy("set").agg(F.first("hashes").alias("hashes")), "arrays")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +212,7 @@ def _exactly(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, key: str, text
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], ["a", "b"])
 
     paired = pairs.select("a", "b").join(held.select(F.col("set").alias("a"), F.col("hashes").alias("x")), "a").join(held.select(F.col("set").alias("b"), F.col("hashes").alias("y")), "b")
-    return paired.mapInArrow(meet, "a long, b long")
+    return paired.mapInArrow(tidy(meet), "a long, b long")
 
 
 def _whole_tiles(batches: Iterator[pa.RecordBatch], tile: list[str]) -> Iterator[pa.Table]:
@@ -266,7 +266,7 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
             if keep.any():
                 yield pa.RecordBatch.from_arrays([pa.array(col["set"][i[keep]]), pa.array(col["set"][j[keep]])], ["a", "b"])
 
-    return rows.mapInArrow(look, "a long, b long")
+    return rows.mapInArrow(tidy(look), "a long, b long")
 
 
 def similar_sets(docs: DataFrame, *, size: int, percent: int, key: str = "doc_id", text: str = "text") -> DataFrame:

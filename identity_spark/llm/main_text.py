@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import tidy
 from .dom import INLINE, Page, read
 
 PAGES_AT_ONCE = 256
@@ -193,4 +194,4 @@ def extract(pages: DataFrame, m: Model, *, html: str = "html", out: str = "text"
                 texts = main_texts(some.column(html).fill_null("").to_pylist(), shared.value)
                 yield pa.RecordBatch.from_arrays([*(some.column(f.name) for f in keep), pa.array(texts, pa.string())], [*(f.name for f in keep), out])
 
-    return pages.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keep] + [f"`{out}` string"]))
+    return pages.mapInArrow(tidy(run), ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keep] + [f"`{out}` string"]))

@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import tidy
 from .words import BASE, INVERSE, mix
 
 BLANK = "▁"
@@ -277,7 +278,7 @@ def encode(docs: DataFrame, path: str, *, scores: str = "zipf", text: str = "tex
                 more = [] if back is None else [pa.array([decoded(v, np.frombuffer(x, "<u4").tolist()) for x in ids], pa.string())]
                 yield pa.RecordBatch.from_arrays([*some.columns, lists, *more], [*batch.schema.names, out, *([] if back is None else [back])])
 
-    return docs.mapInArrow(run, _with(docs, f"`{out}` array<int>" + ("" if back is None else f", `{back}` string")))
+    return docs.mapInArrow(tidy(run), _with(docs, f"`{out}` array<int>" + ("" if back is None else f", `{back}` string")))
 
 
 def decode(rows: DataFrame, path: str, *, scores: str = "zipf", ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -291,4 +292,4 @@ def decode(rows: DataFrame, path: str, *, scores: str = "zipf", ids: str = "ids"
                 texts = [None if x is None else decoded(v, x) for x in some.column(ids).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*some.columns, pa.array(texts, pa.string())], [*batch.schema.names, out])
 
-    return rows.mapInArrow(run, _with(rows, f"`{out}` string"))
+    return rows.mapInArrow(tidy(run), _with(rows, f"`{out}` string"))

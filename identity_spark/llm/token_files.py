@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, partitions
+from .common import new_path, partitions, tidy
 
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 128 << 10
@@ -153,7 +153,7 @@ def encoded(docs: DataFrame, tokenizer: str, *, key: str, text: str, end_id: int
                 )
                 place += int(ends[-1])
 
-    return rows.withColumn("part", F.spark_partition_id()).mapInArrow(encode, "key long, part int, place long, n_tokens long, ids array<int>")
+    return rows.withColumn("part", F.spark_partition_id()).mapInArrow(tidy(encode), "key long, part int, place long, n_tokens long, ids array<int>")
 
 
 def write_tokens(rows: DataFrame, path: str) -> None:
@@ -187,7 +187,7 @@ def with_checksums(tokens: DataFrame) -> DataFrame:
             crc = [zlib.crc32(values[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "start", "n_tokens")), pa.array(crc, pa.int64())], ["key", "start", "n_tokens", "ids_crc32"])
 
-    return tokens.mapInArrow(sums, "key long, start long, n_tokens long, ids_crc32 long")
+    return tokens.mapInArrow(tidy(sums), "key long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_table(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str = "text", end_id: int = 0, path: str | None = None) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, written
+from .common import partitions, tidy, written
 
 SCALE = 1024
 QUERY_BLOCK = 1024
@@ -92,7 +92,7 @@ def _ranges(tiles: DataFrame) -> DataFrame:
             keep = n > 0
             yield pa.RecordBatch.from_arrays([pa.array(q_ids[keep]), pa.array(low[keep]), pa.array(s.max(axis=1, initial=LEAST)[keep]), pa.array(n[keep].astype(np.int64))], ["query_id", "low", "high", "n"])
 
-    found = tiles.mapInArrow(least_highest, "query_id long, low long, high long, n long")
+    found = tiles.mapInArrow(tidy(least_highest), "query_id long, low long, high long, n long")
     return found.groupBy("query_id").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
 
 
@@ -117,7 +117,7 @@ def _bounded(tiles: DataFrame, ranges: DataFrame, k: int) -> DataFrame:
                 out += zip([q] * len(bins), bins.tolist(), counts.tolist(), strict=True)
             yield pa.RecordBatch.from_pylist([{"query_id": q, "bin": b, "n": c} for q, b, c in out], pa.schema([("query_id", pa.int64()), ("bin", pa.int64()), ("n", pa.int64())]))
 
-    counted = tiles.mapInArrow(histograms, "query_id long, bin long, n long").groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
+    counted = tiles.mapInArrow(tidy(histograms), "query_id long, bin long, n long").groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
     down = Window.partitionBy("query_id").orderBy(F.desc("bin"))
     reached = counted.join(ranges, "query_id").withColumn("sum", F.col("above") + F.sum("n").over(down)).filter(F.col("sum") >= F.least(F.lit(k), F.col("total")))
     first = reached.groupBy("query_id").agg(F.max_by(F.struct("bin", "n", "sum", "low", "high", "total"), "bin").alias("x")).select("query_id", "x.*")
@@ -159,6 +159,6 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
                 j = j[np.lexsort((x_ids[j], -s[i, j]))[:k]]  # of many ties, a tile gives those that can win
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), query)), pa.array(x_ids[j]), pa.array(s[i, j])], ["query_id", "id", "score"])
 
-    found = tiled(x, q, ranges).mapInArrow(at_least, "query_id long, id long, score long")
+    found = tiled(x, q, ranges).mapInArrow(tidy(at_least), "query_id long, id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")

@@ -27,6 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
 from .words import BASE, INVERSE, mix
 
 #: Most labelled rows of each class that a model is fitted on: those of the least hashed keys.
@@ -294,4 +295,4 @@ def toxicity(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
                     yield pa.RecordBatch.from_arrays([*some.columns, pa.array(scores)], [*batch.schema.names, "score"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(score, f"{fields}, score double")
+    return docs.mapInArrow(tidy(score), f"{fields}, score double")
