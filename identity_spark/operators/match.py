@@ -118,22 +118,32 @@ def match(queries: DataFrame, gallery: DataFrame, params: Params = DEFAULTS, *,
     return top1_per_group(scores.filter(F.col("score") >= params.sim_threshold), ["camera_id", query], "score", "first_seq").select("camera_id", query, "global_id", "score")
 
 
-def fused_scores(queries: DataFrame, gallery: DataFrame, faces: DataFrame, strategy: str, *, query: str = "query_id", body: str = "body", face: str = "face") -> DataFrame:
-    """camera_id, query, global_id, face_score, body_score and score of all candidates of queries with a face.
+def fused_scores(queries: DataFrame, gallery: DataFrame, faces: DataFrame, strategy: str, least: float, *, query: str = "query_id", body: str = "body", face: str = "face") -> DataFrame:
+    """camera_id, query, global_id, face_score, body_score and score of the candidates whose score may reach ``least``.
 
-    Candidates are the identities of either gallery; a full outer join of both sides' scores."""
+    Candidates are the identities of either gallery. No cosine is above 1, so a mean of two reaches ``least`` only if
+    both parts reach 2 * least - 1: lower ones are left out before the shuffle. Which parts an identity has, and so
+    whether one was left out, is told by the galleries."""
     asked = queries.filter(F.col(face).isNotNull())
-    f = all_top1_sims(asked, faces, query=query, vector=face).select("camera_id", query, "global_id", F.col("score").alias("face_score"))
-    part = gallery.filter("has_face") if strategy == "face_body_face_gallery" else gallery
-    b = all_top1_sims(asked, part, query=query, vector=body).select("camera_id", query, "global_id", F.col("score").alias("body_score"))
-    both = f.join(b, ["camera_id", query, "global_id"], "full_outer")
     if strategy == "face_only_top1":
-        every = asked.select("camera_id", query).join(gallery.select("camera_id", "global_id").distinct(), "camera_id")
-        both = both.join(every, ["camera_id", query, "global_id"], "full_outer")  # an identity without faces scores 0
-        return both.withColumn("score", F.coalesce("face_score", F.lit(0.0)))
-    parts = F.coalesce("face_score", F.lit(0.0)) + F.coalesce("body_score", F.lit(0.0))
-    n = F.col("face_score").isNotNull().cast("int") + F.col("body_score").isNotNull().cast("int")
-    return both.withColumn("score", parts / n)
+        # an identity without faces scores 0
+        every = None if least > 0 else asked.select("camera_id", query).join(candidate_gids(gallery, faces), "camera_id")
+        f = all_top1_sims(asked, faces, query=query, vector=face, least=least).select("camera_id", query, "global_id", F.col("score").alias("face_score"))
+        both = f if every is None else f.join(every, ["camera_id", query, "global_id"], "full_outer")
+        return both.select("*", F.lit(None).cast("double").alias("body_score"), F.coalesce("face_score", F.lit(0.0)).alias("score"))
+    part = gallery.filter("has_face") if strategy == "face_body_face_gallery" else gallery
+    bound = min(least, 2 * least - 1)
+    key = ["camera_id", query, "global_id"]
+    f = all_top1_sims(asked, faces, query=query, vector=face, least=bound).select(*key, F.col("score").alias("face_score"))
+    b = all_top1_sims(asked, part, query=query, vector=body, least=bound).select(*key, F.col("score").alias("body_score"))
+    parts = faces.select("camera_id", "global_id").distinct().withColumn("_f", F.lit(True)).join(part.select("camera_id", "global_id").distinct().withColumn("_b", F.lit(True)), ["camera_id", "global_id"], "full_outer")
+    has_body = asked.select("camera_id", query, F.col(body).isNotNull().alias("_body"))
+    both = f.join(b, key, "full_outer").join(parts, ["camera_id", "global_id"]).join(has_body, ["camera_id", query])
+    has_faces, has_bodies = F.coalesce("_f", F.lit(False)), F.coalesce("_b", F.lit(False)) & F.col("_body")
+    whole = (~has_faces | F.col("face_score").isNotNull()) & (~has_bodies | F.col("body_score").isNotNull())
+    n = has_faces.cast("int") + has_bodies.cast("int")
+    score = (F.coalesce("face_score", F.lit(0.0)) + F.coalesce("body_score", F.lit(0.0))) / n
+    return both.filter(whole).select(*key, "face_score", "body_score", score.alias("score"))
 
 
 def match_with_face(queries: DataFrame, gallery: DataFrame, faces: DataFrame, params: Params = DEFAULTS, *, query: str = "query_id", body: str = "body", face: str = "face") -> DataFrame:
@@ -141,7 +151,7 @@ def match_with_face(queries: DataFrame, gallery: DataFrame, faces: DataFrame, pa
 
     Queries without a face go by the body alone; those without either have no row."""
     least = params.face_sim_threshold if params.face_match_strategy == "face_only_top1" else params.sim_threshold
-    fused = fused_scores(queries, gallery, faces, params.face_match_strategy, query=query, body=body, face=face).filter(F.col("score") >= least)
+    fused = fused_scores(queries, gallery, faces, params.face_match_strategy, least, query=query, body=body, face=face).filter(F.col("score") >= least)
     best = top1_per_group(fused, ["camera_id", query], "score", "global_id").select("camera_id", query, "global_id", "score")
     alone = match(queries.filter(F.col(face).isNull() & F.col(body).isNotNull()), gallery, params, query=query, vector=body)
     return best.unionByName(alone)
