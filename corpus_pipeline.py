@@ -16,7 +16,7 @@ from identity_spark.llm.common import table, written
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose whole text scores below one half; the model is fitted on the labels of the folder."""
     model = tox.trained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return tox.toxicity(docs, model).filter("score < 0.5").drop("score")
+    return tox.toxicity(docs, model, out="__toxicity").filter("__toxicity < 0.5").drop("__toxicity")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

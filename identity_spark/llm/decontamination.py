@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import tidy, written
@@ -140,17 +140,26 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text
     return found
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
-    """All columns of ``docs`` and n_items, first_item (the least id) and shared_words; these are 0, null and 0 for clean ones."""
+def _contaminated(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str) -> tuple[DataFrame, Column]:
+    """(keys and prints of contaminated texts with their figures, condition that a row of ``docs`` is one of them)."""
     found = overlaps(docs, benchmark, key=key, text=text, item=item)
-    of_doc = found.groupBy("key", "print").agg(F.count(F.lit(1)).alias("n_items"), F.min("item").alias("first_item"), F.max("shared").alias("shared_words"))
-    of_doc = written(of_doc.withColumnsRenamed({"key": "_key", "print": "_print"}), "contaminated")
-    few = of_doc.count() <= BROADCAST_KEYS
-    same = F.col(key).eqNullSafe(F.col("_key")) & (F.xxhash64(text) == F.col("_print"))
-    out = docs.join(F.broadcast(of_doc) if few else of_doc, same, "left").drop("_key", "_print")
-    return out.withColumns({"n_items": F.coalesce("n_items", F.lit(0).cast("long")), "shared_words": F.coalesce("shared_words", F.lit(0).cast("long"))})
+    of_doc = found.groupBy("key", "print").agg(F.count(F.lit(1)).alias("__n"), F.min("item").alias("__item"), F.max("shared").alias("__shared"))
+    of_doc = written(of_doc.withColumnsRenamed({"key": "__key", "print": "__print"}), "contaminated")
+    same = F.col(key).eqNullSafe(F.col("__key")) & (F.xxhash64(text) == F.col("__print"))
+    return F.broadcast(of_doc) if of_doc.count() <= BROADCAST_KEYS else of_doc, same
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
+    """All columns of ``docs`` and n_items, first_item (the least id) and shared_words; these are 0, null and 0 for clean ones.
+
+    Columns of ``docs`` with these names are replaced."""
+    of_doc, same = _contaminated(docs, benchmark, key, text, item)
+    zero = F.lit(0).cast("long")
+    out = docs.join(of_doc, same, "left").withColumns({"n_items": F.coalesce("__n", zero), "first_item": F.col("__item"), "shared_words": F.coalesce("__shared", zero)})
+    return out.drop("__key", "__print", "__n", "__item", "__shared")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
     """The rows of ``docs`` that overlap with no item, with their own columns."""
-    return contamination(docs, benchmark, key=key, text=text, item=item).filter("n_items = 0").select(*docs.columns)
+    of_doc, same = _contaminated(docs, benchmark, key, text, item)
+    return docs.join(of_doc, same, "left_anti")

@@ -327,10 +327,10 @@ def without_near_copies(docs: DataFrame, *, size: int, percent: int, key: str =
     found = written(similar_sets(docs, size=size, percent=percent, key=key, text=text), "groups").filter("group IS NOT NULL").withColumnRenamed(key, "key")
     row = F.struct(F.col("key").isNull().alias("none"), "key", "print")
     stays = found.groupBy("group").agg(F.min(row).alias("stays"))
-    goes = written(found.join(stays, "group").filter(~(row == F.col("stays"))).select(F.col("key").alias("_key"), F.col("print").alias("_print")).distinct(), "copies")
-    twice = found.groupBy(F.col("key").alias("_key"), F.col("print").alias("_print")).count().filter("count > 1").select("_key", "_print")
+    goes = written(found.join(stays, "group").filter(~(row == F.col("stays"))).select(F.col("key").alias("__key"), F.col("print").alias("__print")).distinct(), "copies")
+    twice = found.groupBy(F.col("key").alias("__key"), F.col("print").alias("__print")).count().filter("count > 1").select("__key", "__print")
     twice = written(twice, "repeated")
-    same = F.col(key).eqNullSafe(F.col("_key")) & F.xxhash64(text).eqNullSafe(F.col("_print"))
+    same = F.col(key).eqNullSafe(F.col("__key")) & F.xxhash64(text).eqNullSafe(F.col("__print"))
     small = lambda t: F.broadcast(t) if t.count() <= BROADCAST_ROWS else t
     out = docs.join(small(goes), same, "left_anti")
     if twice.limit(1).count():  # rows that are the same in key and text are told apart by nothing: one of them stays

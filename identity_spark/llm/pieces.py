@@ -264,7 +264,10 @@ def _with(df: DataFrame, field: str) -> str:
 
 
 def encode(docs: DataFrame, path: str, *, scores: str = "zipf", text: str = "text", out: str = "ids", back: str | None = None) -> DataFrame:
-    """All columns of ``docs`` and the ids of each whole text; ``back`` names a column for what these ids decode to."""
+    """All columns of ``docs`` and the ids of each whole text; ``back`` names a column for what these ids decode to.
+
+    Columns of ``docs`` with these names are replaced."""
+    docs = docs.drop(out, *([] if back is None else [back]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path, scores)
@@ -282,7 +285,8 @@ def encode(docs: DataFrame, path: str, *, scores: str = "zipf", text: str = "tex
 
 
 def decode(rows: DataFrame, path: str, *, scores: str = "zipf", ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """All columns of ``rows`` and the text of each list of ids; null for null."""
+    """All columns of ``rows`` and the text of each list of ids, in place of a column of that name; null for null."""
+    rows = rows.drop(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path, scores)

@@ -181,26 +181,29 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns of ``docs`` and ``spans`` (sorted array of start, order, kind, end) of every row, in no order."""
+def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, *, key: str = "doc_id", text: str = "text", out: str = "spans") -> DataFrame:
+    """All columns of ``docs`` and ``out`` (sorted array of start, order, kind, end) of every row, in no order.
+
+    A column of that name is replaced."""
+    docs = docs.drop(out)
     words = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.withColumns({"_key": F.col(key), "_text": words, "_print": F.xxhash64(words)})
+    rows = docs.withColumns({"__key": F.col(key), "__text": words, "__print": F.xxhash64(words)})
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     asked = {k: q for k, q in queries.items() if q}
     scanned = [(i, r) for i, r in enumerate(rules) if r.kind not in asked]
     none = F.array().cast("array<struct<start:long,order:int,kind:string,end:long>>")
-    keys = ["_key", "_print"]
-    out = rows.select(*docs.columns, *keys, F.concat(none, *[spans_of(F.col("_text"), r, i) for i, r in scanned]).alias("_scanned"))
+    keys = ["__key", "__print"]
+    found_in = rows.select(*docs.columns, *keys, F.concat(none, *[spans_of(F.col("__text"), r, i) for i, r in scanned]).alias("__scanned"))
     if asked:
         trigrams = sorted({t for q in asked.values() for c in q for s in c for t in s})
-        found = written(candidates(postings(rows, keys, "_text", trigrams), keys, trigrams, asked), "candidates")
-        found = found.withColumnsRenamed({"_key": "_found_key", "_print": "_found_print"})
-        same = F.col("_key").eqNullSafe(F.col("_found_key")) & (F.col("_print") == F.col("_found_print"))
-        spans = F.concat(none, *[F.when(F.col(r.kind), spans_of(F.col("_text"), r, i)).otherwise(none) for i, r in enumerate(rules) if r.kind in asked])
-        verified = rows.select(*keys, "_text").join(_small(found), same).select("_found_key", "_found_print", spans.alias("_verified"))
-        verified = written(verified.filter(F.size("_verified") > 0).dropDuplicates(["_found_key", "_found_print"]), "verified")
-        out = out.join(_small(verified), same, "left").withColumn("_scanned", F.concat("_scanned", F.coalesce("_verified", none)))
-    return out.select(*docs.columns, F.array_sort("_scanned").alias("spans"))
+        found = written(candidates(postings(rows, keys, "__text", trigrams), keys, trigrams, asked), "candidates")
+        found = found.withColumnsRenamed({"__key": "__found_key", "__print": "__found_print"})
+        same = F.col("__key").eqNullSafe(F.col("__found_key")) & (F.col("__print") == F.col("__found_print"))
+        spans = F.concat(none, *[F.when(F.col(r.kind), spans_of(F.col("__text"), r, i)).otherwise(none) for i, r in enumerate(rules) if r.kind in asked])
+        verified = rows.select(*keys, "__text").join(_small(found), same).select("__found_key", "__found_print", spans.alias("__verified"))
+        verified = written(verified.filter(F.size("__verified") > 0).dropDuplicates(["__found_key", "__found_print"]), "verified")
+        found_in = found_in.join(_small(verified), same, "left").withColumn("__scanned", F.concat("__scanned", F.coalesce("__verified", none)))
+    return found_in.select(*docs.columns, F.array_sort("__scanned").alias(out))
 
 
 def _small(table: DataFrame) -> DataFrame:
@@ -210,12 +213,12 @@ def _small(table: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with each stretch of overlapping spans replaced by the kind of its first one, in brackets; null stays null."""
-    found = find_secrets(docs, rules, key=key, text=text)
+    found = find_secrets(docs, rules, key=key, text=text, out="__spans")
 
     def step(done: Column, x: Column) -> Column:
         new = F.concat(done["out"], F.substring(F.col(text), done["at"] + 1, x["start"] - done["at"]), F.lit("["), x["kind"], F.lit("]"))
         return F.struct(F.greatest(done["at"], x["end"]).alias("at"), F.when(x["start"] >= done["at"], new).otherwise(done["out"]).alias("out"))
 
-    kept = F.aggregate("spans", F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), step)
+    kept = F.aggregate("__spans", F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), step)
     clean = F.concat(kept["out"], F.substring(F.col(text), kept["at"] + 1, F.char_length(text)))
-    return found.withColumn(text, F.when(F.size("spans") > 0, clean).otherwise(F.col(text))).select(*docs.columns)
+    return found.withColumn(text, F.when(F.size("__spans") > 0, clean).otherwise(F.col(text))).select(*docs.columns)

@@ -280,8 +280,9 @@ def trained(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: st
     return fit([r["_text"] for r in sample], [r["_label"] for r in sample], (counts.get(0, 0), counts.get(1, 0)))
 
 
-def toxicity(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` and the score of each whole text."""
+def toxicity(docs: DataFrame, model: Model, *, text: str = "text", out: str = "score") -> DataFrame:
+    """All columns of ``docs`` and the score of each whole text as ``out``, in place of a column of that name."""
+    docs = docs.drop(out)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,7 +293,7 @@ def toxicity(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
                 if len(rows):
                     some = batch.slice(int(rows[0]), len(rows))
                     scores = shared.value.score(some.column(text).fill_null("").to_pylist())
-                    yield pa.RecordBatch.from_arrays([*some.columns, pa.array(scores)], [*batch.schema.names, "score"])
+                    yield pa.RecordBatch.from_arrays([*some.columns, pa.array(scores)], [*batch.schema.names, out])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(tidy(score), f"{fields}, score double")
+    return docs.mapInArrow(tidy(score), f"{fields}, `{out}` double")

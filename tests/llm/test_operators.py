@@ -16,9 +16,11 @@ from identity_spark.llm.words import hashed_words
 
 EDGE = [(1, None), (2, ""), (3, "   \n\t "), (4, "one"), (5, "One  two"), (None, "null key"), (6, "a b c d e f g h"), (6, "a b c d e f g h"), (7, "x " * 30_000), (8, "Ünï codé — ▁ 漢字 🎉")]
 
+CLASHING = ["score", "ids", "decoded", "spans", "n_items", "set", "hash", "n", "tile", "unit", "text_crc32", "shard", "_key", "_print", "_text", "component_id", "group", "at"]
+
 
 def docs(spark, rows):
-    return spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), "key": F.lit("clash"), "print": F.lit(0), "part": F.lit(1)})
+    return spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), "key": F.lit("clash"), "print": F.lit(0), "part": F.lit(1), **{c: F.lit("clash") for c in CLASHING}})
 
 
 def empty(spark):
