@@ -74,3 +74,18 @@ def test_late_and_repeated_rows(spark, tmp_path):
         q.awaitTermination()
     assert spark.table("once").count() == t.count()
     assert spark.table("windows").agg(F.sum("n_detections")).first()[0] <= t.count()
+
+
+def test_lookup_stream(spark, tmp_path):
+    from identity_spark.streaming.lookup import lookup_stream
+
+    v = Views(spark, SF)
+    asked = v.requests.join(v.queries.select("query_id", "body", "face"), "query_id").select(F.lit(0).cast("long").alias("camera_id"), F.concat_ws("@", "request_id", "camera_id").alias("request_id"), "body", "face")
+    asked.coalesce(1).write.parquet(str(tmp_path / "in"))
+    none = asked.select("camera_id", "request_id").limit(0)
+    active = none.withColumns({"tracker_id": F.lit(0).cast("long"), "global_id": F.lit(0).cast("long"), "det_seq": F.lit(0).cast("long")})
+    tables = lambda: {"gallery": v.gallery, "faces": v.face_gallery, "active": active, "confirmed": active, "pending": active.withColumn("embedding", F.array(F.lit(0.0)))}
+    stream = spark.readStream.schema(asked.schema).parquet(str(tmp_path / "in"))
+    lookup_stream(stream, tables, str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    out = {r["request_id"]: r["method"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert len(out) == asked.count() and set(out.values()) <= {"gid_only", "none"} and "gid_only" in out.values()
