@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..params import DEFAULTS, Params
+from ..shared import checkpointed
 from .match import all_top1_sims, centroids, top1_per_group
 
 GID = ["camera_id", "global_id"]
@@ -23,10 +24,11 @@ def roots(edges: DataFrame) -> DataFrame:
     """camera_id, source, target with every target a root: pointers jump until none moves. edges: a target a source, older than it.
 
     A chain of n links takes log2(n) rounds; each round is an equi join, written so that its lineage ends."""
-    now = edges.select("camera_id", "source", "target").checkpoint()
+    now = checkpointed(edges.select("camera_id", "source", "target"))
     while True:
         up = now.select("camera_id", F.col("source").alias("target"), F.col("target").alias("_up"))
-        now = now.join(up, ["camera_id", "target"], "left").select("camera_id", "source", F.coalesce("_up", "target").alias("target"), F.col("_up").isNotNull().alias("_moved")).checkpoint()
+        jumped = now.join(up, ["camera_id", "target"], "left").select("camera_id", "source", F.coalesce("_up", "target").alias("target"), F.col("_up").isNotNull().alias("_moved"))
+        now = checkpointed(jumped)
         if not now.filter("_moved").limit(1).count():
             return now.drop("_moved")
         now = now.drop("_moved")
