@@ -37,7 +37,9 @@ def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids and their number for all rows."""
-    encoded = pieces.encode(docs.select("doc_id", "text"), queries.vocabulary("piece_bpe_32k.model"))
+    # what the workers of earlier stages hold counts too, so this one remembers less than by itself
+    path = queries.vocabulary("piece_bpe_32k.model")
+    encoded = pieces.encode(docs.select("doc_id", "text"), path, keep_text=False, remembered=60_000, rows_at_once=128)
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids")
 
 

@@ -209,8 +209,8 @@ def side_by_side(v: Vocabulary, stretches: list[str]) -> list[bytes]:
 class Encoder:
     """Ids of whole texts."""
 
-    def __init__(self, vocabulary: Vocabulary):
-        self.v = vocabulary
+    def __init__(self, vocabulary: Vocabulary, remembered: int = REMEMBERED):
+        self.v, self.remembered = vocabulary, remembered
         several = {c for x in vocabulary.id if len(x) > 1 for c in x}
         inner = any(BLANK in x.lstrip(BLANK) for x in vocabulary.id)
         lone = "".join(re.escape(c) for c in "\n\t\r" if c not in several)
@@ -224,7 +224,7 @@ class Encoder:
         return np.array(one.push(text) + one.finish(), "<u4").tobytes()
 
     def _learn(self, stretches: set[str]) -> None:
-        if len(self.young) > REMEMBERED:
+        if len(self.young) > self.remembered:
             self.old, self.young = self.young, {}
         new = []
         for x in stretches.difference(self.young):
@@ -263,25 +263,27 @@ def _with(df: DataFrame, field: str) -> str:
     return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + [field])
 
 
-def encode(docs: DataFrame, path: str, *, scores: str = "zipf", text: str = "text", out: str = "ids", back: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, path: str, *, scores: str = "zipf", text: str = "text", out: str = "ids", back: str | None = None, keep_text: bool = True, remembered: int = REMEMBERED, rows_at_once: int = ROWS_AT_ONCE) -> DataFrame:
     """All columns of ``docs`` and the ids of each whole text; ``back`` names a column for what these ids decode to.
 
-    Columns of ``docs`` with these names are replaced."""
+    Columns of ``docs`` with these names are replaced; without keep_text the text stays behind. remembered and
+    rows_at_once trade memory of a task for time."""
     docs = docs.drop(out, *([] if back is None else [back]))
+    kept = [c for c in docs.columns if keep_text or c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path, scores)
-        encode_all = Encoder(v)
+        encode_all = Encoder(v, remembered)
         for batch in batches:
-            for start in range(0, batch.num_rows, ROWS_AT_ONCE):
-                some = batch.slice(start, ROWS_AT_ONCE)
+            for start in range(0, batch.num_rows, rows_at_once):
+                some = batch.slice(start, rows_at_once)
                 ids = encode_all(some.column(text).fill_null("").to_pylist())
                 ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))
                 more = [] if back is None else [pa.array([decoded(v, np.frombuffer(x, "<u4").tolist()) for x in ids], pa.string())]
-                yield pa.RecordBatch.from_arrays([*some.columns, lists, *more], [*batch.schema.names, out, *([] if back is None else [back])])
+                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in kept), lists, *more], [*kept, out, *([] if back is None else [back])])
 
-    return docs.mapInArrow(tidy(run), _with(docs, f"`{out}` array<int>" + ("" if back is None else f", `{back}` string")))
+    return docs.mapInArrow(tidy(run), _with(docs.select(*kept), f"`{out}` array<int>" + ("" if back is None else f", `{back}` string")))
 
 
 def decode(rows: DataFrame, path: str, *, scores: str = "zipf", ids: str = "ids", out: str = "decoded") -> DataFrame:
