@@ -33,7 +33,7 @@ from .common import tidy, written
 from .components import components
 from .words import mix, pieces, shingle_sets
 
-#: A band holds sizes from 4**k to 4**(k + 1) - 1, and its bitmaps have a bit for each of the largest size, in low bands two.
+#: A band holds sizes from 4**k to 4**(k + 1) - 1, and its bitmaps have a bit for each of the largest size, in low bands four.
 BAND = 4
 #: Counters of the sketch, and how many of them travel in one row.
 SKETCH = 1 << 22
@@ -55,7 +55,7 @@ def band_of(n: np.ndarray) -> np.ndarray:
 
 def width_of(band: int) -> int:
     """Bytes of a bitmap."""
-    return max(32, BAND ** (int(band) + 1) // (4 if band < 4 else 8))
+    return max(32, BAND ** (int(band) + 1) // (2 if band < 4 else 8))
 
 
 def needed(n: np.ndarray, percent: int) -> np.ndarray:
