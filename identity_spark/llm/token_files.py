@@ -34,11 +34,9 @@ ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 128 << 10
 PAGE_ROWS = 2_000
 #: Pieces between blanks are encoded once while they are remembered; twice this many at most in each worker.
-REMEMBERED = 300_000
-#: Places of the map that tells whether a piece was met before; a wrong yes remembers a piece too early.
-MET = 1 << 22
+REMEMBERED = 350_000
 #: Texts that are encoded together.
-ROWS_AT_ONCE = 512
+ROWS_AT_ONCE = 1024
 #: Pieces that are joined to be encoded.
 JOINED = 128
 _SIGNS = ".,!?;:"
@@ -52,8 +50,8 @@ _PIECES = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 class Encoder:
     """Ids of texts by a byte-level BPE tokenizer file.
 
-    Ids of pieces that come again are remembered, from the second time on, in a young and an old half: when the young
-    half is full it becomes the old one, and what is met there again moves back. A letter before a last sign of punctuation ends a token, so
+    Ids of pieces that come again are remembered, in a young and an old half: when the young half is full it becomes
+    the old one, and what is met there again moves back. A letter before a last sign of punctuation ends a token, so
     that sign is looked up by itself."""
 
     def __init__(self, path: str):
@@ -67,7 +65,6 @@ class Encoder:
         self.first[[i for x, i in self.tokenizer.get_vocab().items() if x[0] == "\u0120"]] = True
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.met = bytearray(MET)
         self.signs = dict(zip(_SIGNS, self._encode(list(_SIGNS)), strict=True))
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -89,8 +86,7 @@ class Encoder:
         whole = flat.tobytes()
         yield from ((x, whole[a:b]) for x, a, b in zip(blank, cuts[:-1], cuts[1:], strict=True))
 
-    def _learn(self, pieces: set[str]) -> list[str]:
-        """Puts all pieces into the young half; gives those to be taken out after use, as they are new."""
+    def _learn(self, pieces: set[str]) -> None:
         if len(self.young) > REMEMBERED:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
@@ -106,23 +102,14 @@ class Encoder:
         new = list(set(bare).difference(young))
         young.update(self._encode_pieces(new))
         young.update([(x, young[x[:-1]] + self.signs[x[-1]]) for x in signed])
-        once, met = [], self.met
-        for x in chain(new, signed):
-            if not met[at := hash(x) % MET]:
-                met[at] = 1
-                once.append(x)
-        return once
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         pieces = [None if any(s in x for s in self.special) else _PIECES.findall(x) for x in texts]
-        once = self._learn(set(chain.from_iterable(x for x in pieces if x)))
+        self._learn(set(chain.from_iterable(x for x in pieces if x)))
         ids = self.young.__getitem__
         # a special token's string is found before any other piece, so such a text is encoded as it is
-        out = [self._encode([t])[0] if x is None else b"".join(map(ids, x)) for t, x in zip(texts, pieces, strict=True)]
-        for x in once:
-            del self.young[x]
-        return out
+        return [self._encode([t])[0] if x is None else b"".join(map(ids, x)) for t, x in zip(texts, pieces, strict=True)]
 
 
 @cache
@@ -161,7 +148,7 @@ def write_tokens(rows: DataFrame, path: str) -> None:
     narrow = {f"parquet.enable.dictionary#{c}": "false" for c in ("key", "part", "place", "n_tokens")}
     rows.write.options(**narrow).options(**{
         "parquet.writer.version": "PARQUET_2_0", "parquet.block.size": str(ROW_GROUP_BYTES), "parquet.page.size": str(PAGE_BYTES),
-        "parquet.page.row.count.limit": str(PAGE_ROWS), "parquet.enable.dictionary": "true", "compression": "zstd",
+        "parquet.page.row.count.limit": str(PAGE_ROWS), "parquet.enable.dictionary": "true", "compression": "lz4_raw",
     }).parquet(path)
 
 
