@@ -4,12 +4,15 @@ A word is a run of letters and digits, in lower case as far as ASCII goes. Masks
 of a text; a hash takes the words under a mask's ones and ignores the others, so a substituted word in a gap doesn't
 break the seed. Seeds of benchmark items and of documents are joined by hash, and around each hit the aligned words
 are compared: a document is contaminated if 13 successive words of an item stand in it with two substitutions at most
-(an item of 8 to 12 words: the item, with one; a word beyond the document's end counts as substituted). The three masks find every such window, wherever its substitutions are.
+(an item of 8 to 12 words: the item, with one; of 1 to 7 words: the item as it is; a word beyond the document's end
+counts as substituted). Three masks find every such window of 11 to 13 words, wherever its substitutions are. Shorter
+items have masks of their own, one for each place of a substitution; documents are gone over with the masks of those
+sizes only that the benchmark has.
 
 A document emits a seed only where a bitmap of fixed size, filled with the benchmark's seeds, allows it; a wrong
 yes costs a row of the join and nothing else. The words around a seed travel with it, so no text is shuffled.
 
-Defined results: a null text has no words; items of fewer than 8 words take no part; repeated items count once each;
+Defined results: a null text has no words; items without words take no part; repeated items count once each;
 rows with equal or null keys are judged each by its own text; further columns are ignored; an empty benchmark leaves
 all documents clean, and an empty table gives no rows.
 """
@@ -26,39 +29,65 @@ from pyspark.sql import functions as F
 from .common import tidy, written
 from .words import BASE, PUNCTUATED, hashed_words, mix, pieces
 
-#: Together they hit each window of 13 words with any two of them substituted.
-MASKS = ("11110111", "111101011", "11001001111")
 WINDOW = 13
 SUBSTITUTIONS = 2
-#: Items of fewer words take no part.
+#: Items of fewer words match without a substitution.
 LEAST_WORDS = 8
+#: Together the spaced ones hit each window of 13 words with any two of them substituted, and of 11 or 12 with any one.
+SPACED = ("11110111", "111101011", "11001001111")
+LEAST_SPACED = 11
+#: (mask, least and most words of the items that it is for). An item with its first or last word substituted is a run of the others.
+MASKS = (
+    *((mask, LEAST_SPACED, None) for mask in SPACED),
+    *(("1" * n, n, n) for n in range(1, LEAST_WORDS)),
+    *(("1" * k + "0" * (0 < k) + "1" * (n - 1 - k), n, n) for n in range(LEAST_WORDS, LEAST_SPACED) for k in range(n - 1)),
+)
 #: Bits of the benchmark's bitmap.
 BITMAP = 1 << 23
 #: Beyond this many benchmark seeds (some 350 bytes each) or contaminated keys, joins are shuffles and not broadcasts.
 BROADCAST_SEEDS = 50_000
 BROADCAST_KEYS = 500_000
-SPAN = max(map(len, MASKS))
+SPAN = max(len(mask) for mask, _, _ in MASKS)
 #: Words before a seed that travel with it; after its start there are SPAN more than before.
 AROUND = WINDOW - 1
 WIDE = 2 * AROUND + SPAN
 
 
-def _seeds(words: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places, hashes) of all seeds that lie inside one row."""
-    places, hashes = [], []
-    row = np.repeat(np.arange(len(before) - 1), np.diff(before))
-    for k, mask in enumerate(MASKS):
+def _for_size(n: np.ndarray | int, least: int, most: int | None) -> np.ndarray | bool:
+    return (n >= least) & (most is None or n <= most)
+
+
+def masks_for(sizes: list[int]) -> list[int]:
+    """Numbers of the masks that items of these sizes need."""
+    return [k for k, (_, least, most) in enumerate(MASKS) if any(_for_size(n, least, most) for n in sizes)]
+
+
+def _seeds(words: np.ndarray, before: np.ndarray, masks: list[int] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, hashes, whether a seed is a whole item) of all seeds that lie inside one row.
+
+    masks: numbers of those to take; None: those for the row's own size."""
+    places, hashes, whole = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
+    sizes = np.diff(before)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    for k in range(len(MASKS)) if masks is None else masks:
+        mask, least, most = MASKS[k]
         n = len(words) - len(mask) + 1
         if n <= 0:
             continue
+        inside = row[:n] == row[len(mask) - 1 :]
+        if masks is None:
+            inside &= _for_size(sizes[row[:n]], least, most)
+            if not inside.any():
+                continue
         h = np.full(n, k + 1, np.uint64)
         for i, c in enumerate(mask):
             if c == "1":
                 h = h * BASE + words[i : i + n]
-        inside = np.flatnonzero(row[:n] == row[len(mask) - 1 :])
-        places.append(inside)
-        hashes.append(mix(h[inside]))
-    return (np.concatenate(places), np.concatenate(hashes)) if places else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        at = np.flatnonzero(inside)
+        places.append(at)
+        hashes.append(mix(h[at]))
+        whole.append(np.full(len(at), most is not None and most < LEAST_WORDS))
+    return np.concatenate(places), np.concatenate(hashes), np.concatenate(whole)
 
 
 def _around(words: np.ndarray, before: np.ndarray, row: np.ndarray, places: np.ndarray, missing: int) -> pa.Array:
@@ -69,8 +98,10 @@ def _around(words: np.ndarray, before: np.ndarray, row: np.ndarray, places: np.n
     return pa.array([x.tobytes() for x in out], pa.binary())
 
 
-def seeds(rows: DataFrame, keys: list[str], missing: int, allowed: np.ndarray | None = None, least: int = 0) -> DataFrame:
-    """hash, keys, n_words and around of the seeds of (keys, text); allowed: bitmap that a hash's top bits must be in."""
+def seeds(rows: DataFrame, keys: list[str], missing: int, allowed: np.ndarray | None = None, masks: list[int] | None = None) -> DataFrame:
+    """hash, keys, n_words and around of the seeds of (keys, text); allowed: bitmap that a hash's top bits must be in.
+
+    A seed that is a whole item comes once a text."""
     shared = None if allowed is None else rows.sparkSession.sparkContext.broadcast(allowed)
     types = dict(rows.dtypes)
 
@@ -78,15 +109,18 @@ def seeds(rows: DataFrame, keys: list[str], missing: int, allowed: np.ndarray |
         for batch in batches:
             for first, end, data, offsets in pieces(batch.column("text")):
                 words, before = hashed_words(data, offsets, PUNCTUATED)
-                places, hashes = _seeds(words, before)
+                places, hashes, whole = _seeds(words, before, masks)
                 if shared is not None:
                     top = hashes >> np.uint64(64 - BITMAP.bit_length() + 1)
                     keep = (shared.value[(top >> np.uint64(6)).astype(np.int64)] >> (top & np.uint64(63))) & np.uint64(1) == 1
-                    places, hashes = places[keep], hashes[keep]
+                    places, hashes, whole = places[keep], hashes[keep], whole[keep]
                 row = np.searchsorted(before, places, "right") - 1
+                if whole.any():
+                    at = np.flatnonzero(whole)
+                    first_of = np.unique(np.stack([row[at].astype(np.uint64), hashes[at]], axis=1), axis=0, return_index=True)[1]
+                    keep = np.concatenate([np.flatnonzero(~whole), at[first_of]])
+                    places, hashes, row = places[keep], hashes[keep], row[keep]
                 n = np.diff(before)[row]
-                keep = n >= least
-                places, hashes, row, n = places[keep], hashes[keep], row[keep], n[keep]
                 for some in np.array_split(np.arange(len(places)), len(places) // 20_000 + 1):
                     if len(some):
                         own = [batch.column(k).take(pa.array(first + row[some])) for k in keys]
@@ -122,7 +156,7 @@ def _verified(hits: DataFrame, keys: list[str]) -> DataFrame:
                 sums = [np.pad(np.cumsum(m[rows], axis=1), ((0, 0), (1, 0))) for m in (same, inside)]
                 shared, whole = (s[:, size:] - s[:, :-size] for s in sums)
                 shared = np.where(whole == size, shared, 0).max(axis=1)
-                best[rows] = np.where(shared >= size - size * SUBSTITUTIONS // WINDOW, shared, 0)
+                best[rows] = np.where(shared >= size - (size * SUBSTITUTIONS // WINDOW if size >= LEAST_WORDS else 0), shared, 0)
             keep = pa.array(best > 0)
             yield pa.RecordBatch.from_arrays([*(batch.column(c).filter(keep) for c in [*keys, "item"]), pa.array(best[best > 0])], [*keys, "item", "shared"])
 
@@ -131,11 +165,12 @@ def _verified(hits: DataFrame, keys: list[str]) -> DataFrame:
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """key, print (of the text), item and shared (words of the best window) of each document and item that overlap."""
-    known = seeds(benchmark.select(F.col(item).alias("item"), F.col(item_text).alias("text")), ["item"], 1, least=LEAST_WORDS)
+    known = seeds(benchmark.select(F.col(item).alias("item"), F.col(item_text).alias("text")), ["item"], 1)
     known = written(known.withColumnsRenamed({"n_words": "item_words", "around": "item_around"}), "seeds")
     few = known.count() <= BROADCAST_SEEDS
+    masks = masks_for([r["n"] for r in known.select(F.least("item_words", F.lit(WINDOW)).alias("n")).distinct().collect()])
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("print"), F.col(text).alias("text"))
-    hits = seeds(rows, ["key", "print"], 0, bitmap(known)).drop("n_words").join(F.broadcast(known) if few else known, "hash")
+    hits = seeds(rows, ["key", "print"], 0, bitmap(known), masks).drop("n_words").join(F.broadcast(known) if few else known, "hash")
     found = _verified(hits, ["key", "print"]).groupBy("key", "print", "item").agg(F.max("shared").alias("shared"))
     return found
 

@@ -130,6 +130,30 @@ def test_decontamination_tolerates_two_substitutions(spark):
     assert decontamination.contamination(empty(spark), bench).count() == 0
 
 
+def test_decontamination_finds_every_substitution_of_short_items(spark):
+    bench, rows, want = [], [], {}
+    for n in range(1, 14):
+        item = [f"s{n}x{i}" for i in range(n)]
+        bench.append((n, " ".join(item)))
+        copies = [(item, True)] + [(item[:i] + ["sub"] + item[i + 1 :], n >= 8) for i in range(n)]
+        copies += [(item[:i] + ["sub"] + item[i + 1 : j] + ["sub"] + item[j + 1 :], n >= 13) for i in range(n) for j in range(i + 1, n)]
+        for words, found in copies:
+            for text in ("before it " + " ".join(words) + " and after", " ".join(words)):
+                want[len(rows)] = (int(found), n if found else None, sum(a == b for a, b in zip(words, item, strict=True)) if found else 0)
+                rows.append((len(rows), text))
+        for words in (item[1:], item[:-1]):
+            found = n >= 8
+            want[len(rows)] = (int(found), n if found else None, n - 1 if found else 0)
+            rows.append((len(rows), " ".join(words)))
+    want[len(rows)] = (1, 1, 1)
+    rows.append((len(rows), "s1x0 " * 500))
+    table = spark.createDataFrame(bench, "item_id long, text string")
+    out = {r["doc_id"]: (r["n_items"], r["first_item"], r["shared_words"]) for r in decontamination.contamination(docs(spark, rows), table).collect()}
+    assert out == want
+    hits = decontamination.seeds(docs(spark, rows[-1:]), ["doc_id"], 0, masks=decontamination.masks_for([1]))
+    assert hits.count() == 1  # an item of a common word meets a text once
+
+
 def test_token_files(spark):
     from tokenizers import Tokenizer
 
