@@ -14,6 +14,8 @@ text; further columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +32,7 @@ SPELLINGS = {
     "per cent": "percent", "version": "v", "ver": "v", "https": "http",
 }
 
-#: Licence texts without their copyright lines.
+#: Short licence texts and notices without their copyright lines; longer ones are in licence_texts.
 TEXTS = {
     "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
@@ -55,8 +57,48 @@ Unless required by applicable law or agreed to in writing, software distributed
     "Unlicense": """This is free and unencumbered software released into the public domain.
 
 Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
 }
 
+#: Titles that stand above a text, besides the names below.
+TITLES = {
+    "MIT": ["The MIT License", "The MIT License (MIT)", "MIT License (MIT)"],
+    "ISC": ["The ISC License", "ISC License (ISC)"],
+    "BSD-2-Clause": ["The BSD 2-Clause License", "The 2-Clause BSD License", "BSD 2-Clause \"Simplified\" License", "Simplified BSD License", "The BSD License", "BSD License"],
+    "BSD-3-Clause": ["The BSD 3-Clause License", "The 3-Clause BSD License", "BSD 3-Clause \"New\" or \"Revised\" License", "New BSD License", "The BSD License", "BSD License"],
+    "Unlicense": ["Unlicense", "The Unlicense"],
+    "CC-BY-SA-4.0": ["Creative Commons Attribution-ShareAlike 4.0 International", "Attribution-ShareAlike 4.0 International"],
+}
+
+#: Fixed values, for the published texts in the folder licence_texts (the file's name begins with the licence's): where a
+#: text may begin besides its title, and where it may end before what stands after the terms.
+STARTS = {
+    "Apache-2.0": ["TERMS AND CONDITIONS FOR USE", "1. Definitions."],
+    "GPL-2.0": ["Copyright (C) 1989", "Preamble"],
+    "GPL-3.0": ["Copyright (C) 2007", "Copyright © 2007", "Preamble"],
+    "LGPL-3.0": ["Copyright (C) 2007", "This version of the GNU Lesser"],
+    "MPL-2.0": ["1. Definitions"],
+    "CC0-1.0": ["CC0 1.0 Universal", "CREATIVE COMMONS CORPORATION IS NOT", "Statement of Purpose"],
+    "CC-BY-SA-4.0": ["Creative Commons Corporation (", "Creative Commons Attribution-ShareAlike 4.0 International Public", "By exercising the Licensed Rights"],
+    "Unlicense": [],
+}
+ENDS = {
+    "Apache-2.0": ["END OF TERMS AND CONDITIONS", "APPENDIX: How to apply"],
+    "GPL-2.0": ["END OF TERMS AND CONDITIONS", "How to Apply These Terms"],
+    "GPL-3.0": ["END OF TERMS AND CONDITIONS", "How to Apply These Terms"],
+    "MPL-2.0": ["Exhibit A - Source Code"],
+    "CC-BY-SA-4.0": ["Creative Commons is not a party to its public"],
+    "Unlicense": ["For more information, please refer to"],
+}
+
 #: Names by which notices call a licence, and how notices begin.
 NAMES = {
     "MIT": ["MIT License"],
@@ -103,9 +145,26 @@ def canonical(text: Column) -> Column:
     return joined_lines(prepared(text))
 
 
+def published() -> list[tuple[str, str]]:
+    """(licence, text) of the files in licence_texts, as published."""
+    files = sorted((resources.files(__package__) / "licence_texts").iterdir(), key=lambda f: f.name)
+    return [(next(x for x in STARTS if f.name.startswith(f"{x}.")), f.read_text("utf-8")) for f in files if f.name.endswith(".txt")]
+
+
+def full_texts() -> list[tuple[str, str]]:
+    """(licence, text) of the texts above and the published ones, with and without title and what follows the terms."""
+    bodies = list(TEXTS.items())
+    for licence, text in published():
+        starts = [0, *(text.index(x) for x in STARTS[licence] if x in text)]
+        ends = [len(text), *(text.index(x) for x in ENDS.get(licence, []) if x in text)]
+        bodies += [(licence, text[a:b]) for a in starts for b in ends]
+    titled = [(licence, f"{title}\n\n{text}") for licence, text in bodies for title in NAMES.get(licence, []) + TITLES.get(licence, [])]
+    return bodies + titled
+
+
 def known(spark: SparkSession) -> DataFrame:
-    """(licence, text): the texts above, their paragraphs' first ones left out, and notices from names and openings."""
-    rows = list(TEXTS.items())
+    """(licence, text): the full texts, and notices from names and openings."""
+    rows = full_texts()
     for licence, names in NAMES.items():
         rows += [(licence, f"{o} {the}{n}") for o in OPENINGS for n in names for the in (("the ", "") if o else ("",))]
     return spark.createDataFrame(rows, "licence string, text string")

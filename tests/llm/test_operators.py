@@ -229,6 +229,18 @@ def test_licences(spark):
     assert licences.scan(empty(spark), licences.known(spark)).count() == 0
 
 
+def test_licences_in_full(spark):
+    texts = licences.published()
+    assert {x for x, _ in texts} == {"Apache-2.0", "CC-BY-SA-4.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "MPL-2.0", "Unlicense"}
+    line = "Copyright (c) 2020 Someone\n\n"
+    texts += [(x, f"{title}\n\n{line}{licences.TEXTS[x]}") for x, title in [("MIT", "MIT License"), ("MIT", "The MIT License (MIT)"), ("ISC", "ISC License"), ("BSD-2-Clause", "BSD 2-Clause License"), ("BSD-3-Clause", "BSD 3-Clause License")]]
+    for licence, text in licences.published():
+        end = {"Apache-2.0": "APPENDIX: How to", "GPL-2.0": "How to Apply", "GPL-3.0": "How to Apply"}.get(licence)
+        texts += [(licence, text.strip().split("\n", 1)[1])] if licence in ("MPL-2.0", "CC-BY-SA-4.0") else [(licence, text[: text.index(end)])] if end else []
+    out = {r["doc_id"]: r["whole_licence"] for r in licences.scan(docs(spark, [(i, t) for i, (_, t) in enumerate(texts)]), licences.known(spark)).collect()}
+    assert out == {i: x for i, (x, _) in enumerate(texts)}
+
+
 def shingle_set(text, size):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
