@@ -1,6 +1,6 @@
 """Licence scans by canonical digests.
 
-A text is put into canonical form: lower case, without copyright lines, comment marks and punctuation, with one
+A text is put into canonical form: lower case, without copyright lines (lines of a notice, not a text's own lines that begin with the word), comment marks and punctuation, with one
 spelling of equivalent words and single blanks. The digests of whole canonical texts are joined to those of known
 licence texts and notices. A document's texts are the document, its paragraphs and its lines, each as a whole.
 
@@ -119,18 +119,35 @@ NAMES = {
 OPENINGS = ["", "Licensed under", "Released under", "Distributed under", "Available under", "This work is licensed under", "This software is licensed under", "This project is licensed under", "This file is licensed under"]
 
 
+#: A copyright line: the word or sign with what only a notice has after it. "Copyright" before a name is told from a
+#: licence's own words by the capital and by WORDS_OF_TEXTS; "(c)" also numbers clauses.
+WORDS_OF_TEXTS = "notices?|holders?|owners?|owned|ownership|laws?|licen[cs]es?|interests?|rights?|protection|protected|permissions?|statements?|disclaimers?|works?|treaty|treaties|and|or|in|on|to|of|for|is|as|are|that|which|with|from|under|shall|may|will|be|has|have"
+NOTICE = (
+    r"(?m)^[^\p{L}\p{N}\n]*(?:"
+    r"(?i:copyrights?)[^\p{L}\p{N}\n]*(?:\((?i:c)\)|[©<{\[]|\p{N}|(?i:by)\b)[^\n]*"
+    rf"|(?i:copyright)\b:?[ \t]+(?!(?i:{WORDS_OF_TEXTS})\b)\p{{Lu}}[^\n]*"
+    r"|©[^\n]*"
+    r"|\((?i:c)\)[ \t]*(?:(?i:copyright|by)\b|(?:19|20)\p{N}\p{N}\b)[^\n]*"
+    r"|\((?i:c)\)(?:[ \t]+\p{Lu}[\p{L}\p{N}.,&'-]*){1,4}[ \t\r]*"
+    r"|(?i:all rights reserved)[^\p{L}\p{N}\n]*"
+    r")$"
+)
+
+
 def prepared(text: Column) -> Column:
     """Canonical words of each line, the lines still apart: " words of a line \\n words of the next "."""
-    line = r"(?im)^[^\p{L}\p{N}\n]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
     low = F.lower(text)
     marked = low.contains("copyright") | low.contains("(c)") | low.contains("©") | low.contains("all rights reserved")
-    out = F.when(marked, F.regexp_replace(low, line, " ")).otherwise(low)
+    out = F.when(marked, F.lower(F.regexp_replace(text, NOTICE, " "))).otherwise(low)
     # two blanks between words, so that each word has both of its own
     out = F.regexp_replace(F.replace(out, F.lit("&"), F.lit(" and ")), r"[^\p{L}\p{N}\n]+", "  ")
     out = F.concat(F.lit("  "), F.replace(out, F.lit("\n"), F.lit("  \n  ")), F.lit("  "))
     for a, b in sorted(SPELLINGS.items(), key=lambda x: -len(x[0])):
         wide = lambda x: " " + "  ".join(x.replace("-", " ").split()) + " "
         out = F.replace(out, F.lit(wide(a)), F.lit(wide(b)))
+        if "  " in wide(a):  # the words may be on two lines; the line's end comes after the first word then
+            first, *rest = wide(b).split("  ", 1)
+            out = F.replace(out, F.lit(wide(a).replace("  ", "  \n  ", 1)), F.lit(f"{first.rstrip()}  \n {''.join(' ' + x for x in rest)}"))
     out = F.regexp_replace(out, r" v(\d)", " v  $1")
     out = F.regexp_replace(out, r"(\d) +0 ", "$1 ")  # 2.0 is 2
     return F.regexp_replace(out, " +", " ")
