@@ -1,7 +1,7 @@
 """Licence scans by canonical digests.
 
-A text is put into canonical form: lower case, without copyright lines (lines of a notice, not a text's own lines that begin with the word), comment marks and punctuation, with one
-spelling of equivalent words and single blanks. The digests of whole canonical texts are joined to those of known
+A text is put into canonical form: lower case, without copyright lines (those of a notice, not a text's own lines that
+begin with the word), comment marks and punctuation, with one spelling of equivalent words and single blanks. The digests of whole canonical texts are joined to those of known
 licence texts and notices. A document's texts are the document, its paragraphs and its lines, each as a whole.
 
 The known digests are a small table with a row for each known text, whose size doesn't depend on the documents; it is
@@ -126,6 +126,7 @@ NOTICE = (
     r"(?m)^[^\p{L}\p{N}\n]*(?:"
     r"(?i:copyrights?)[^\p{L}\p{N}\n]*(?:\((?i:c)\)|[©<{\[]|\p{N}|(?i:by)\b)[^\n]*"
     rf"|(?i:copyright)\b:?[ \t]+(?!(?i:{WORDS_OF_TEXTS})\b)\p{{Lu}}[^\n]*"
+    r"|[Cc]opyright[ \t]+the[ \t]+\p{Lu}[^\n]*"
     r"|©[^\n]*"
     r"|\((?i:c)\)[ \t]*(?:(?i:copyright|by)\b|(?:19|20)\p{N}\p{N}\b)[^\n]*"
     r"|\((?i:c)\)(?:[ \t]+\p{Lu}[\p{L}\p{N}.,&'-]*){1,4}[ \t\r]*"

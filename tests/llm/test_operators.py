@@ -248,7 +248,7 @@ def test_licences_in_any_wrapping(spark):
     texts = [(x, "\n\n".join(textwrap.fill(part, width, break_long_words=False, break_on_hyphens=False) for part in t.split("\n\n"))) for x in ("ISC", "MIT", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "Unlicense") for width in range(20, 90) for t in [licences.TEXTS[x]]]
     texts += [(x, "\n\n".join(textwrap.fill(part, width, break_long_words=False, break_on_hyphens=False) for part in t.split("\n\n"))) for x, t in terms for width in (60, 66, 72)]
     assert any("\ncopyright notice" in t for _, t in texts) and any("\nCOPYRIGHT HOLDERS" in t for _, t in texts) and any("\nCOPYRIGHT OWNER" in t or "copyright\nowner" in t for _, t in texts)
-    notices = ["Copyright (c) 2020 Someone", "# (C) 2019-2020 Some One", "© Some One", "Copyright 2020 Some One. All rights reserved.", "COPYRIGHT BY SOME ONE", "Copyright Some One, Inc. and other contributors", "Copyright [yyyy] [name of copyright owner]", "(c) Some One", "All rights reserved."]
+    notices = ["Copyright (c) 2020 Someone", "# (C) 2019-2020 Some One", "© Some One", "Copyright 2020 Some One. All rights reserved.", "COPYRIGHT BY SOME ONE", "Copyright Some One, Inc. and other contributors", "Copyright the Some One Authors", "Copyright [yyyy] [name of copyright owner]", "(c) Some One", "All rights reserved."]
     texts += [("ISC", f"{n}\n\n{licences.TEXTS['ISC']}") for n in notices]
     out = {r["doc_id"]: r["whole_licence"] for r in licences.scan(docs(spark, [(i, t) for i, (_, t) in enumerate(texts)]), licences.known(spark)).collect()}
     assert [(x, t) for i, (x, t) in enumerate(texts) if out[i] != x] == []
