@@ -32,8 +32,6 @@ from .words import BASE, INVERSE, mix
 
 #: Most labelled rows of each class that a model is fitted on: those of the least hashed keys.
 SAMPLE = {0: 3000, 1: 2000}
-#: Longest part of a sampled text that training looks at, in windows; scoring always takes whole texts.
-SAMPLE_WINDOWS = 100
 BUCKETS = 1 << 18
 DIM = 8
 GRAMS = (3, 4, 5)
@@ -197,15 +195,11 @@ def fit(texts: list[str], labels: list[int], prior: tuple[int, int]) -> Model:
 def _jointly(w: Words, y: np.ndarray, used_texts: np.ndarray) -> Model:
     """Vectors and softmax, trained together on windows of some of the texts."""
     rng = np.random.default_rng(SEED)
-    # windows of each text, evenly chosen where there are more than SAMPLE_WINDOWS
-    start, end, doc = [], [], []
-    for i, (a, b) in enumerate(zip(w.before[:-1].tolist(), w.before[1:].tolist(), strict=True)):
-        at = np.arange(a, b, WINDOW) if used_texts[i] else np.zeros(0, np.int64)
-        at = at[np.unique(np.linspace(0, len(at) - 1, min(len(at), SAMPLE_WINDOWS)).astype(int))] if len(at) else at
-        start += at.tolist()
-        end += np.minimum(at + WINDOW, b).tolist()
-        doc += [i] * len(at)
-    start, end, doc = np.array(start, np.int64), np.array(end, np.int64), np.array(doc, np.int64)
+    # all windows of each text
+    count = np.where(used_texts, -(-np.diff(w.before) // WINDOW), 0).astype(np.int64)
+    doc = np.repeat(np.arange(len(count)), count)
+    start = w.before[doc] + WINDOW * (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count))
+    end = np.minimum(start + WINDOW, w.before[doc + 1])
     n_grams = np.diff(w.starts)
     vectors = rng.normal(0, 0.3, (BUCKETS, DIM)).astype(np.float32)
     out = np.zeros((DIM, 2), np.float32)
@@ -271,12 +265,14 @@ def held_out(key: str) -> Column:
 def trained(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """A model from the labels of rows that aren't held out; the sample's bound is SAMPLE, whatever the table's size."""
     usable = labels.filter(F.col(label).isin(0, 1) & ~held_out(key)).select(F.col(key).alias("_key"), F.col(label).alias("_label"))
+    different = usable.distinct()
     counts = {r["_label"]: r["n"] for r in usable.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    chosen = [usable.filter(F.col("_label") == c).orderBy(F.xxhash64("_key"), "_key").limit(n) for c, n in SAMPLE.items()]
+    chosen = [different.filter(F.col("_label") == c).orderBy(F.xxhash64("_key"), "_key").limit(n) for c, n in SAMPLE.items()]
     # the broadcast side has as many rows as SAMPLE allows at most
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(chosen[0].unionByName(chosen[1])), "_key")
-    # windows beyond SAMPLE_WINDOWS aren't looked at, but which ones are depends on the length: whole texts come
-    sample = sorted(rows.select("_key", F.coalesce("_text", F.lit("")).alias("_text"), "_label").limit(2 * sum(SAMPLE.values())).collect(), key=lambda r: (r["_key"], r["_text"], r["_label"]))
+    # where a key repeats, the text of the least hash stands for it
+    least = F.min(F.struct(F.xxhash64("_text").alias("hash"), F.coalesce("_text", F.lit("")).alias("text")))["text"]
+    sample = sorted(rows.groupBy("_key", "_label").agg(least.alias("_text")).collect(), key=lambda r: (r["_key"], r["_text"], r["_label"]))
     return fit([r["_text"] for r in sample], [r["_label"] for r in sample], (counts.get(0, 0), counts.get(1, 0)))
 
 

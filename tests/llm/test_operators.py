@@ -111,6 +111,34 @@ def test_toxicity_learns_and_is_whole(spark):
     assert toxicity.fit(["a"], [1], (0, 1)).score([""])[0] == pytest.approx(1.0)
 
 
+def test_toxicity_trains_on_whole_texts(spark):
+    # one toxic word in a text of 150 windows, in windows that 100 evenly chosen ones leave out
+    rng = np.random.default_rng(2)
+    fill = ["".join(rng.choice(list("abcdefghiklmnoprstu"), 6)) for _ in range(300)]
+    left_out = sorted(set(range(150)) - set(np.linspace(0, 149, 100).astype(int).tolist()))
+    texts = []
+    for i in range(500):
+        words = list(rng.choice(fill, 900))
+        if i % 2:
+            words[6 * left_out[i % len(left_out)] + 2] = ["blorgface", "zquarky"][i // 2 % 2]
+        texts.append(" ".join(words))
+    scores = toxicity.fit(texts[:400], [i % 2 for i in range(400)], (200, 200)).score(texts[400:])
+    assert sum((x >= 0.5) == i % 2 for i, x in enumerate(scores)) >= 90
+
+
+def test_toxicity_sample_has_a_row_for_each_label(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE", {0: 20, 1: 20})
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels, prior: (texts, labels, prior))
+    labels = [(i, i % 2) for i in range(30) if zlib.crc32(str(i).encode()) % 5]
+    hot = labels[0][0]
+    rows = [(i, f"text {i}") for i in range(30)] + [(hot, f"again {k}") for k in range(500)]
+    given = spark.createDataFrame(labels + [labels[0]] * 100, "doc_id long, toxic int")
+    texts, classes, prior = toxicity.trained(docs(spark, rows), given)
+    assert sorted(classes) == sorted(c for _, c in labels)  # no row crowds out another one's label
+    assert sum(prior) == len(labels) + 100
+    assert toxicity.trained(docs(spark, rows[::-1]), given) == (texts, classes, prior)
+
+
 def test_decontamination_tolerates_two_substitutions(spark):
     item = [f"w{i}" for i in range(30)]
     rng = np.random.default_rng(2)
