@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import re
 
-import corpus_pipeline
 import numpy as np
-from test_operators import brute_components, brute_spans, brute_viterbi
+from brute import brute_components, brute_spans, brute_viterbi
 
+import corpus_pipeline
 from identity_spark.llm import pieces, queries
 from identity_spark.llm.common import written
 
