@@ -9,14 +9,21 @@
    every other one. Bit counts bound the overlap from above, and what may
    reach the threshold is verified by an exact intersection of sorted arrays. Links merge sets into groups.
 4. What is left are tiles of three sets or more from at least two groups. All pairs across groups are held against
-   each other there, by bitmaps and then exactly. Large tiles are cut into pairs of blocks, so no task holds one whole.
+   each other there, by bitmaps and then exactly. Large tiles are cut into pairs of blocks, so no task holds one whole,
+   and the tile's largest group meets the other ones only. A pair that shares many tiles is told by the tiles that
+   each of its sets was in before: it comes from the first of them, not from each.
 
 A pair of sets inside one group needs no look, as its link changes nothing; every other linked pair is looked at in
 step 3 or 4. So the components are exact, and the work of a group of near copies grows with its size.
 
+A set is named by a 128-bit digest. Shingles are 64-bit hashes (see :mod:`words`), so the sets are exact but for two
+different shingles of one hash.
+
 Defined results: a null text has no words; texts without words have no shingles and no links; a text with fewer words
 than a shingle is one shingle; equal texts and equal sets are linked; rows with equal or null keys are rows of their
-own, the component's name is its least key that isn't null; further columns are ignored; an empty table gives no rows.
+own, the component's name is its least key that isn't null; a text of any length is taken whole, with memory for some
+40 bytes for each of its own; which of two equal rows is which doesn't matter; further columns are ignored; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import tidy, written
+from .common import partitions, tidy, written
 from .components import components
 from .words import mix, pieces, shingle_sets
 
@@ -43,8 +50,12 @@ _SHIFT = np.uint64(64 - 22)
 TILE = 1024
 #: Partners by which a set of a larger tile is tried in step 3; step 4 sees to the rest.
 FIRST_TRIES = 3
-#: Beyond this many keys (16 bytes each) a list of texts to fetch is joined by a shuffle and not broadcast.
-BROADCAST_ROWS = 500_000
+#: Beyond this many rows (40 bytes each) a list of keys or sets is joined by a shuffle and not broadcast.
+BROADCAST_ROWS = 200_000
+#: Sets that a task remembers to have posted; an exact copy of one isn't posted again.
+POSTED = 100_000
+#: Tiles before a row's own by which a pair that came before is known.
+BEFORE = 8
 _PAIRS = 1 << 15
 
 
@@ -88,38 +99,50 @@ def _stacked(column: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint8).reshape(len(column), -1)
 
 
-def _digests(s: np.ndarray) -> tuple[int, int]:
-    """Two independent 64-bit digests of a set."""
+def digest(s: np.ndarray) -> bytes:
+    """A set's name: two independent 64-bit digests."""
     with np.errstate(over="ignore"):
         one = mix(mix(s).sum(keepdims=True) + np.uint64(len(s)))
         two = mix((mix(s ^ np.uint64(0x5DEECE66D5DEECE6)) * np.uint64(0xD6E8FEB86659FD93)).sum(keepdims=True))
-    return int(one.view(np.int64)[0]), int(two.view(np.int64)[0])
+    return one.tobytes() + two.tobytes()
+
+
+def _names(digests: list[bytes], times: np.ndarray | None = None) -> pa.Array:
+    """Digests as a column, each so many times."""
+    both = np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2)
+    both = both if times is None else np.repeat(both, times, axis=0)
+    ends = np.arange(0, 16 * len(both) + 1, 16, dtype=np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(both), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(both))])
+
+
+def _numbers(names: pa.ChunkedArray) -> np.ndarray:
+    """Digests of a column as rows of two numbers."""
+    return np.frombuffer(b"".join(names.to_pylist()), np.uint64).reshape(-1, 2)
 
 
 def signatures(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """Rows of two kinds. Of a text: key, print, n, set, check and bits. Of a task's part of the sketch: n = -1 - chunk, bits = counts."""
+    """Rows of two kinds. Of a text: key, print, n, set and bits. Of a task's part of the sketch: n = -1 - chunk, bits = counts."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SKETCH, np.uint8)  # full at 255 in a task, which is far above the usual
-        names = ["key", "print", "n", "set", "check", "bits"]
+        names = ["key", "print", "n", "set", "bits"]
         for batch in batches:
             places: list[np.ndarray] = []
             for row, end, data, offsets in pieces(batch.column("text")):
                 sets = list(shingle_sets(data, offsets, size))
                 places += [(s >> _SHIFT).astype(np.int32) for s in sets]
                 n = np.array([len(s) for s in sets], np.int64)
-                digests = np.array([_digests(s) for s in sets], np.int64).reshape(-1, 2)
                 bits = [bitmap(s, width_of(b)) if len(s) else b"" for s, b in zip(sets, band_of(n), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("key").slice(row, end - row), batch.column("print").slice(row, end - row), pa.array(n), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(bits, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([batch.column("key").slice(row, end - row), batch.column("print").slice(row, end - row), pa.array(n), _names([digest(s) for s in sets]), pa.array(bits, pa.binary())], names)
             if places:
                 counts = np.minimum(counts + np.bincount(np.concatenate(places), minlength=SKETCH), 255).astype(np.uint8)
         chunks = [c for c in range(0, SKETCH, SKETCH_CHUNK) if counts[c : c + SKETCH_CHUNK].any()]
         if chunks:
             none = pa.nulls(len(chunks), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, pa.array([-1 - c // SKETCH_CHUNK for c in chunks], pa.int64()), none, none, pa.array([counts[c : c + SKETCH_CHUNK].tobytes() for c in chunks], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([none, none, pa.array([-1 - c // SKETCH_CHUNK for c in chunks], pa.int64()), pa.nulls(len(chunks), pa.binary()), pa.array([counts[c : c + SKETCH_CHUNK].tobytes() for c in chunks], pa.binary())], names)
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(text).alias("print"), F.col(text).alias("text"))
-    return rows.mapInArrow(tidy(sign), "key long, print long, n long, set long, check long, bits binary")
+    return rows.mapInArrow(tidy(sign), "key long, print long, n long, set binary, bits binary")
 
 
 def sketch_levels(signed: DataFrame) -> np.ndarray:
@@ -140,30 +163,65 @@ def sketch_levels(signed: DataFrame) -> np.ndarray:
 
 
 def postings(docs: DataFrame, text: str, size: int, percent: int, levels: np.ndarray) -> DataFrame:
-    """(tile, set, n, guest): a row for each prefix shingle of each text and band; the tile mixes shingle and band."""
+    """(tile, set, n, guest): a row for each prefix shingle of each set and band; the tile mixes shingle and band."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = shared.value
+        done: set[bytes] = set()
         for batch in batches:
             for _, _, data, offsets in pieces(batch.column("text")):
-                out: list[tuple[np.ndarray, ...]] = []
+                tiles: list[np.ndarray] = []
+                names: list[bytes] = []
+                of: list[tuple[int, int, bool]] = []
                 for s in shingle_sets(data, offsets, size):
                     n = len(s)
-                    if not n:
+                    if not n or (name := digest(s)) in done:
                         continue
+                    if len(done) >= POSTED:
+                        done.clear()
+                    done.add(name)
                     prefix = n - int(needed(np.int64(n), percent)) + 1
                     order = np.argsort(level[(s >> _SHIFT).astype(np.int64)], kind="stable")  # s is sorted: ties by hash
                     found, band = s[order[:prefix]], int(band_of(np.int64(n)))
                     bands = [band] if n * 100 // percent < BAND ** (band + 1) else [band, band + 1]
-                    one = _digests(s)[0]
                     for b in bands:
-                        out.append((mix(found + np.uint64(b * 0x632BE5AB & 0xFFFFFFFF)), np.full(prefix, one), np.full(prefix, n), np.full(prefix, b != band)))
-                if out:
-                    tile, of, n, guest = (np.concatenate(x) for x in zip(*out, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(tile.view(np.int64)), pa.array(of), pa.array(n), pa.array(guest)], ["tile", "set", "n", "guest"])
+                        tiles.append(mix(found + np.uint64(b * 0x632BE5AB & 0xFFFFFFFF)))
+                        names.append(name)
+                        of.append((prefix, n, b != band))
+                if tiles:
+                    times, n, guest = (np.array(x) for x in zip(*of, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tiles).view(np.int64)), _names(names, times), pa.array(np.repeat(n, times)), pa.array(np.repeat(guest, times))], ["tile", "set", "n", "guest"])
+
+    return docs.select(F.col(text).alias("text")).mapInArrow(tidy(post), "tile long, set binary, n long, guest boolean")
+
+
+def shared_tiles(posted: DataFrame, percent: int) -> DataFrame:
+    """Postings whose tile has another set of fitting size, each once.
+
+    In the order of sizes, a set without a neighbour of fitting size has no partner in its tile. Sorted rows stream
+    through, with a look at those beside each; no tile is held."""
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(tidy(post), "tile long, set long, n long, guest boolean")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: pa.RecordBatch | None = None  # the one row that isn't decided yet
+        last_fits = False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = batch if last is None else pa.concat_batches([last, batch])
+            tile, n, names = rows.column("tile").to_numpy(), rows.column("n").to_numpy(), _numbers(rows.column("set"))
+            same = np.concatenate([[False], (tile[1:] == tile[:-1]) & (names[1:] == names[:-1]).all(axis=1)])
+            at = np.flatnonzero(~same)
+            fits = np.concatenate([[last_fits], (tile[at[1:]] == tile[at[:-1]]) & (100 * n[at[:-1]] >= percent * n[at[1:]])])
+            keep = at[:-1][fits[:-1] | fits[1:]]
+            last, last_fits = rows.slice(int(at[-1]), 1), bool(fits[-1])
+            if len(keep):
+                yield rows.take(pa.array(keep))
+        if last is not None and last_fits:
+            yield last
+
+    dealt = posted.repartition(partitions(posted), "tile").sortWithinPartitions("tile", "n", "set")
+    return dealt.mapInArrow(tidy(run), "tile long, set binary, n long, guest boolean")
 
 
 def _by_bits(pairs: DataFrame, percent: int) -> DataFrame:
@@ -197,9 +255,9 @@ def _exactly(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, key: str, text
         for batch in batches:
             for _, _, data, offsets in pieces(batch.column("text")):
                 sets = list(shingle_sets(data, offsets, size))
-                yield pa.RecordBatch.from_arrays([pa.array([_digests(s)[0] for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["set", "hashes"])
+                yield pa.RecordBatch.from_arrays([_names([digest(s) for s in sets]), pa.array([s.tobytes() for s in sets], pa.binary())], ["set", "hashes"])
 
-    fetched = some.select(F.col(text).alias("text")).mapInArrow(tidy(arrays), "set long, hashes binary").join(places.select("set").distinct(), "set", "left_semi")
+    fetched = some.select(F.col(text).alias("text")).mapInArrow(tidy(arrays), "set binary, hashes binary").join(places.select("set").distinct(), "set", "left_semi")
     held = written(fetched.groupBy("set").agg(F.first("hashes").alias("hashes")), "arrays")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +270,7 @@ def _exactly(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, key: str, text
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], ["a", "b"])
 
     paired = pairs.select("a", "b").join(held.select(F.col("set").alias("a"), F.col("hashes").alias("x")), "a").join(held.select(F.col("set").alias("b"), F.col("hashes").alias("y")), "b")
-    return paired.mapInArrow(tidy(meet), "a long, b long")
+    return paired.mapInArrow(tidy(meet), "a binary, b binary")
 
 
 def _whole_tiles(batches: Iterator[pa.RecordBatch], tile: list[str]) -> Iterator[pa.Table]:
@@ -234,13 +292,22 @@ def _whole_tiles(batches: Iterator[pa.RecordBatch], tile: list[str]) -> Iterator
 
 
 def _across(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of sets of different groups in a tile whose bitmaps allow a link; rows: tile, one, two, block, set, n, guest, bits, group."""
+    """(a, b) of sets of different groups in a tile whose bitmaps allow a link, from the first of the tiles that they share.
+
+    rows: tile, one, two, block, set, n, guest, bits, group, and before, the BEFORE tiles of the set just before this
+    one in the order of tiles. If one of a's is one of b's, both were there and the pair is known from there or from
+    a tile still before; in the first tile that they share there is none."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_tiles(batches, ["tile", "one", "two"]):
-            col = {c: table.column(c).to_numpy() for c in ("tile", "one", "two", "block", "set", "n", "guest", "group")}
+            col = {c: table.column(c).to_numpy() for c in ("tile", "one", "two", "block", "n", "guest")}
+            group = np.unique(_numbers(table.column("group")), axis=0, return_inverse=True)[1].ravel()
             bits = table.column("bits").to_pylist()
             wide = np.array([len(x) for x in bits])
+            before = np.zeros((len(table), BEFORE), np.int64)
+            for i, x in enumerate(table.column("before").to_pylist()):
+                before[i, : len(x)] = x
+            known = before != 0
             found: list[tuple[np.ndarray, np.ndarray]] = []
             live = np.arange(len(table))
             o = 0
@@ -251,10 +318,14 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
                 live = live[(col["tile"][i] == col["tile"][j]) & (col["one"][i] == col["one"][j]) & (col["two"][i] == col["two"][j])]
                 i, j = live, live + o
                 n, m = col["n"][i], col["n"][j]
-                fit = (col["group"][i] != col["group"][j]) & ~(col["guest"][i] & col["guest"][j]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+                fit = (group[i] != group[j]) & ~(col["guest"][i] & col["guest"][j]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
                 fit &= (col["one"][i] == col["two"][i]) | (col["block"][i] != col["block"][j])
-                if fit.any():
-                    found.append((i[fit], j[fit]))
+                i, j = i[fit], j[fit]
+                for some in np.array_split(np.arange(len(i)), len(i) // _PAIRS + 1):
+                    p, q = i[some], j[some]
+                    again = ((before[p][:, :, None] == before[q][:, None, :]) & known[p][:, :, None]).any(axis=(1, 2))
+                    if not again.all():
+                        found.append((p[~again], q[~again]))
             if not found:
                 continue
             i, j = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -264,35 +335,52 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
                 for some in np.array_split(rows_of, max(1, len(rows_of) * max(a, b) >> 24)):
                     keep[some] = may_link(_stacked([bits[k] for k in i[some]]), _stacked([bits[k] for k in j[some]]), col["n"][i[some]], col["n"][j[some]], percent)
             if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(col["set"][i[keep]]), pa.array(col["set"][j[keep]])], ["a", "b"])
+                names = table.column("set").combine_chunks()
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(i[keep])), names.take(pa.array(j[keep]))], ["a", "b"])
+
+    return rows.mapInArrow(tidy(look), "a binary, b binary")
+
 
-    return rows.mapInArrow(tidy(look), "a long, b long")
+def _cells(left: DataFrame) -> DataFrame:
+    """Rows of tiles of two groups or more, with the pair of blocks (one, two) in which they meet others, and before.
+
+    A small tile is one block. The largest group of a large tile is dealt into blocks of its own, which meet the blocks
+    of the other sets only. left: tile, set, n, guest, group."""
+    by_group = left.groupBy("tile", "group").agg(F.count(F.lit(1)).alias("_n"))
+    of_tile = by_group.groupBy("tile").agg(F.max(F.struct("_n", "group")).alias("_main"), F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("_groups"))
+    left = left.join(_small(written(of_tile.filter("_groups > 1"), "mixed")), "tile")
+    # a guest's tiles are of another band than the set's own
+    left = left.withColumn("before", F.collect_list("tile").over(Window.partitionBy("set", "guest").orderBy("tile").rowsBetween(-BEFORE, -1)))
+    large, half = F.col("_all") > TILE, TILE // 2
+    count = lambda n: F.when(large, F.ceil(n / half)).otherwise(F.lit(0)).cast("long")
+    left = left.withColumns({"_m": count(F.col("_main._n")), "_r": count(F.col("_all") - F.col("_main._n")), "_in_main": F.col("group") == F.col("_main.group")})
+    deal = F.when(F.col("_in_main"), F.pmod(F.xxhash64("set"), F.col("_m"))).otherwise(F.col("_m") + F.pmod(F.xxhash64("set"), F.col("_r")))
+    first = F.when(large & F.col("_in_main"), F.col("_m")).otherwise(F.lit(0).cast("long"))
+    last = F.when(large, F.col("_m") + F.col("_r") - 1).otherwise(F.lit(0).cast("long"))
+    cut = left.withColumn("block", F.when(large, deal).otherwise(F.lit(0).cast("long"))).withColumn("_with", F.explode(F.sequence(first, last)))
+    return cut.withColumns({"one": F.least("block", "_with"), "two": F.greatest("block", "_with")}).select("tile", "one", "two", "block", "set", "n", "guest", "group", "before")
+
+
+def _small(table: DataFrame) -> DataFrame:
+    """With a hint to broadcast it where its rows, which are counted, allow that."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
 def similar_sets(docs: DataFrame, *, size: int, percent: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles and component_id (the least key of the component) of every row of ``docs``."""
     signed = written(signatures(docs, key, text, size), "signed")
     rows = signed.filter("n >= 0")
-    nodes = rows.filter("n > 0").groupBy("set").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("check").alias("_c"), F.max("check").alias("_d"))
+    nodes = rows.filter("n > 0").groupBy("set").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.count(F.lit(1)).alias("copies"))
     nodes = written(nodes, "nodes")
-    if nodes.filter("_c <> _d").limit(1).count():
-        raise ValueError("two different sets share a 64-bit digest")
-    nodes = nodes.select("set", "key", "n", "bits")
-
-    posted = postings(docs, text, size, percent, sketch_levels(signed))
-    tile = Window.partitionBy("tile")
-    shared = posted.withColumns({"_least": F.min("set").over(tile), "_most": F.max("set").over(tile)}).filter("_least < _most").drop("_least", "_most").distinct()
-    # in the order of sizes, a set without a neighbour of fitting size has no partner in its tile
-    by_size = tile.orderBy("n", "set")
-    fits = (F.lag("n").over(by_size) * 100 >= F.col("n") * percent) | (F.col("n") * 100 >= F.lead("n").over(by_size) * percent)
-    shared = shared.withColumn("_fits", fits).filter("_fits").drop("_fits")
-    shared = written(shared, "shared")
+
+    shared = written(shared_tiles(postings(docs, text, size, percent, sketch_levels(signed)), percent), "shared")
     known = shared.groupBy("set").agg(F.count(F.lit(1)).alias("known"))
-    shared = shared.join(known, "set").withColumns({"hub": F.max(F.struct("known", "set")).over(tile)["set"], "sets": F.count(F.lit(1)).over(tile)})
-    shared = written(shared.drop("known"), "tiles")
+    of_tile = shared.join(known, "set").groupBy("tile").agg(F.max(F.struct("known", "set"))["set"].alias("hub"), F.count(F.lit(1)).alias("sets"))
+    # written before it is joined, so that Spark can split a tile of very many sets
+    tiles = written(shared.join(written(of_tile, "hubs"), "tile"), "tiles")
 
     part = nodes.select("set", "n", "bits")
-    stars = shared.filter(F.col("hub") != F.col("set")).groupBy(F.col("hub").alias("a"), F.col("set").alias("b")).agg(F.min("sets").alias("sets"), F.count(F.lit(1)).alias("tiles"))
+    stars = tiles.filter(F.col("hub") != F.col("set")).groupBy(F.col("hub").alias("a"), F.col("set").alias("b")).agg(F.min("sets").alias("sets"), F.count(F.lit(1)).alias("tiles"))
     # of larger tiles a set tries the partners first that it meets in most of them
     tries = Window.partitionBy("b", F.col("sets") > 2).orderBy(F.desc("tiles"), "a")
     stars = stars.withColumn("_try", F.row_number().over(tries)).filter((F.col("sets") == 2) | (F.col("_try") <= FIRST_TRIES)).select("a", "b")
@@ -301,25 +389,23 @@ def similar_sets(docs: DataFrame, *, size: int, percent: int, key: str = "doc_id
     first = written(_exactly(written(_by_bits(fitting, percent), "pairs"), docs, nodes, key, text, size, percent), "first")
     groups = written(components(first, "a", "b"), "groups")
 
-    left = shared.filter("sets > 2").join(groups.withColumnRenamed("node", "set"), "set", "left").withColumn("group", F.coalesce("root", "set"))
-    of_tile = left.groupBy("tile").agg(F.min("group").alias("_a"), F.max("group").alias("_b")).filter("_a < _b").select("tile")
-    left = left.join(of_tile, "tile", "left_semi").withColumn("block", F.expr(f"(row_number() OVER (PARTITION BY tile ORDER BY n, set) - 1) div {TILE // 2}"))
-    last = F.when(F.col("sets") > TILE, F.expr(f"(sets - 1) div {TILE // 2}")).otherwise(F.lit(0).cast("long"))
-    block = F.when(F.col("sets") > TILE, F.col("block")).otherwise(F.lit(0).cast("long"))
-    cut = left.withColumn("block", block).withColumn("_with", F.explode(F.sequence(F.lit(0).cast("long"), last)))
-    cut = cut.withColumns({"one": F.least("block", "_with"), "two": F.greatest("block", "_with")})
-    cut = cut.join(part.select("set", "bits"), "set").select("tile", "one", "two", "block", "set", "n", "guest", "group", "bits")
-    dealt = cut.repartition("tile", "one", "two").sortWithinPartitions("tile", "one", "two")
+    left = tiles.filter("sets > 2").join(groups.withColumnRenamed("node", "set"), "set", "left")  # tiles of two sets are done
+    # 0 stands for no tile
+    left = left.select(F.when(F.col("tile") == 0, F.lit(1)).otherwise(F.col("tile")).alias("tile"), "set", "n", "guest", F.coalesce("root", "set").alias("group"))
+    cut = _cells(left).join(part.select("set", "bits"), "set").select("tile", "one", "two", "block", "set", "n", "guest", "group", "bits", "before")
+    dealt = cut.repartition(partitions(docs), "tile", "one", "two").sortWithinPartitions("tile", "one", "two")
     across = written(_across(dealt, percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     second = _exactly(across, docs, nodes, key, text, size, percent)
 
-    links = first.unionByName(second)
-    roots = components(links, "a", "b")
-    labelled = rows.select("key", "print", "n", "set").join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
-    least = labelled.filter("n > 0").groupBy("root").agg(F.min("key").alias("component_id"))
-    out = labelled.join(least, "root", "left")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key")).alias("component_id")
-    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component, F.when(F.col("n") > 0, F.col("root")).alias("group"), F.col("print"))
+    links = groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(second)
+    roots = written(components(links, "a", "b"), "roots")
+    held = nodes.select("set", "key", "copies").join(roots.withColumnRenamed("node", "set"), "set", "left").filter("copies > 1 OR root IS NOT NULL")
+    held = written(held.select("set", "key", F.coalesce("root", "set").alias("root")), "held")
+    least = written(held.groupBy("root").agg(F.min("key").alias("component_id")), "least")
+    named = written(held.join(_small(least), "root").select("set", "root", "component_id"), "named")
+    out = rows.select("key", "print", "n", "set").join(_small(named), "set", "left")
+    component = F.when(F.col("root").isNotNull(), F.col("component_id")).otherwise(F.col("key")).alias("component_id")
+    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component, F.when(F.col("n") > 0, F.coalesce("root", "set")).alias("group"), F.col("print"))
 
 
 def without_near_copies(docs: DataFrame, *, size: int, percent: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -331,9 +417,8 @@ def without_near_copies(docs: DataFrame, *, size: int, percent: int, key: str =
     twice = found.groupBy(F.col("key").alias("__key"), F.col("print").alias("__print")).count().filter("count > 1").select("__key", "__print")
     twice = written(twice, "repeated")
     same = F.col(key).eqNullSafe(F.col("__key")) & F.xxhash64(text).eqNullSafe(F.col("__print"))
-    small = lambda t: F.broadcast(t) if t.count() <= BROADCAST_ROWS else t
-    out = docs.join(small(goes), same, "left_anti")
+    out = docs.join(_small(goes), same, "left_anti")
     if twice.limit(1).count():  # rows that are the same in key and text are told apart by nothing: one of them stays
-        one = out.join(small(twice), same, "left_semi").dropDuplicates([key, text])
-        out = out.join(small(twice), same, "left_anti").unionByName(one)
+        one = out.join(_small(twice), same, "left_semi").dropDuplicates([key, text])
+        out = out.join(_small(twice), same, "left_anti").unionByName(one)
     return out
