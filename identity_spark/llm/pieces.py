@@ -5,9 +5,12 @@ last pieces are longer wins. A character that is no piece is spelled by its UTF-
 
 The encoder reads characters one after another and keeps the best sums of the last ``longest`` boundaries only, the
 length of the longest piece. Whenever the paths that lead back from these boundaries meet in one, everything before it
-is settled and its ids are committed. Where no piece of the vocabulary can span two characters, such as before a blank
-that follows a letter, paths always meet; what lies between two such places is encoded once and remembered, and many
-new stretches are encoded side by side in numpy by the same recurrence.
+is settled and its ids are committed. :class:`StreamingViterbi` does so for one stream; :func:`streams` does it for
+many streams at once, a character of each at a time, with a trie for the pieces that are still open.
+
+Where no piece of the vocabulary can span two characters, such as before a blank that follows a letter, paths always
+meet, and what follows doesn't depend on what was before. A text is cut there, and the ids of a short stretch that
+comes again are remembered (see :mod:`memory`).
 
 A vocabulary of merges (BPE) has ranks for scores, whose sums prefer many common pieces to one rare piece; for such a
 file the score is the logarithm of a Zipf law over the ranks. A unigram file's scores are taken as they are. Scores
@@ -15,31 +18,38 @@ are whole numbers (millionths), so that sums are exact.
 
 Defined results: a null or empty text has no ids; decoding gives the text back, but for the character U+2581, which
 stands for a blank as in the vocabulary; ids outside of the vocabulary and control ids decode to nothing; rows are
-encoded each by itself, equal ones equally; further columns are kept; an empty table gives no rows.
+encoded each by itself, equal ones equally; a text of any length is encoded whole, in memory of some 60 bytes for each
+of its own, and a long stretch by itself, with no memory beyond its window and its ids; a key
+isn't looked at, so it may be null or repeated; further columns are kept, but for one that has the name of the result,
+which is replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
-import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import tidy
-from .words import BASE, INVERSE, mix
+from .memory import StretchEncoder
 
 BLANK = "▁"
 #: Below the lowest score of any piece, for a character that is spelled by bytes.
 UNKNOWN = 10_000_000
-#: Stretches of more characters are encoded by themselves, shorter ones side by side.
-SHORT = 48
-#: Stretches that each half of a task's memory holds at most.
-REMEMBERED = 200_000
+#: Streams of more characters, and groups of fewer streams, are encoded each by itself, others together.
+TOGETHER = 1024
+ALONE = 24
+#: Characters of a group of streams, as if all were as long as the longest.
+GROUP = 1 << 21
+#: Stretches that a worker remembers before it begins anew.
+REMEMBERED = 1_000_000
 ROWS_AT_ONCE = 512
 _NONE = -(1 << 60)
 
@@ -67,45 +77,70 @@ class Vocabulary:
         self.known = {self.text[i]: (i, s) for i, s in self.score.items()}
         raw = {i: self.text[i].replace(BLANK, " ").encode() for i in normal} | {i: bytes([b]) for b, i in self.byte.items()}
         self.bytes = [raw.get(i, b"") for i in range(size)]
-        self._tabled()
-
-    def _tabled(self) -> None:
-        """Pieces by hash, with a few places to look at for each."""
-        ids = np.array(list(self.score), np.int64)
-        hashes = np.array([piece_hash(self.text[i]) for i in ids], np.uint64)
-        bits = 20
-        self.mask = np.uint64((1 << bits) - 1)
-        self.slots = np.zeros(1 << bits, np.uint64)
-        self.at = np.full(1 << bits, -1, np.int64)
-        self.probes = 1
-        for i, h in zip(ids.tolist(), hashes.tolist(), strict=True):
-            n, k = 1, h & int(self.mask)
-            while self.at[k] >= 0:
-                n, k = n + 1, (k + 1) & int(self.mask)
-            self.slots[k], self.at[k], self.probes = h, i, max(self.probes, n)
+        self.raw = np.frombuffer(b"".join(self.bytes), np.uint8)
+        self.raw_size = np.array([len(x) for x in self.bytes], np.int64)
+        self.raw_start = np.cumsum(self.raw_size) - self.raw_size
+        self._tree()
+
+    def _tree(self) -> None:
+        """The pieces as a trie in arrays: node x goes by character code c to x' = next[x] + c if came[x'] = x.
+
+        code[point] is a character's code, 0 for those in no piece; word[x] is the piece that ends in node x, or -1."""
+        letters = [c for c, _ in Counter(chain.from_iterable(self.id)).most_common()]  # usual ones have neighbouring codes
+        self.code = np.zeros(0x110000, np.int32)
+        self.code[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        code = {c: k + 1 for k, c in enumerate(letters)}
+        children: list[dict[int, int]] = [{}]
+        ends = [-1]
+        for x, i in self.id.items():
+            at = 0
+            for c in x:
+                if (k := code[c]) not in children[at]:
+                    children[at][k] = len(children)
+                    children.append({})
+                    ends.append(-1)
+                at = children[at][k]
+            ends[at] = i
+        place = np.zeros(len(children), np.int64)
+        size = len(letters) + 1
+        free = np.ones(3 * len(children) + 2 * size, bool)
+        free[:size] = False  # the root is 0; codes are subtracted from places beyond
+        base = np.zeros(len(children), np.int64)
+        several = sorted((x for x in range(len(children)) if len(children[x]) > 1), key=lambda x: -len(children[x]))
+        start, branches = size, 0
+        for x in several:
+            codes = np.array(list(children[x]), np.int64)
+            if len(codes) < branches:
+                start = size
+            branches = len(codes)
+            while True:
+                if start + 128 + size > len(free):
+                    free = np.concatenate([free, np.ones(len(free), bool)])
+                some = np.arange(start, start + 128)
+                fits = np.flatnonzero(free[some[:, None] + codes[None, :]].all(axis=1))
+                if len(fits):
+                    break
+                start += 128
+            start = int(some[fits[0]])  # what comes with as many branches doesn't fit before it
+            base[x] = some[fits[0]]
+            free[base[x] + codes] = False
+            place[list(children[x].values())] = base[x] + codes
+        lone = [x for x in range(len(children)) if len(children[x]) == 1]
+        codes, below = (np.array([k for x in lone for k in f(children[x])], np.int64) for f in (dict.keys, dict.values))
+        place[below] = np.flatnonzero(free)[: len(lone)]
+        base[lone] = place[below] - codes
+        self.next, self.came, self.word = (np.full(len(free), k, np.int32) for k in (0, -1, -1))
+        self.next[place], self.word[place] = base, ends
+        self.came[place[below]] = place[lone]
+        for x in several:
+            self.came[place[list(children[x].values())]] = place[x]
         self.points = np.full(len(self.text), self.unknown, np.int64)
-        self.points[ids] = [self.score[i] for i in ids.tolist()]
-
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Ids of pieces by their hashes, -1 for none."""
-        k = hashes & self.mask
-        out = np.where(self.slots[k] == hashes, self.at[k], -1)
-        for _ in range(self.probes - 1):
-            k = (k + np.uint64(1)) & self.mask
-            out = np.where((out < 0) & (self.slots[k] == hashes), self.at[k], out)
-        return out
+        self.points[list(self.score)] = list(self.score.values())
 
     def spelled(self, c: str) -> list[int]:
         return [self.byte[b] for b in c.encode()] if self.byte else [0]
 
 
-def piece_hash(piece: str) -> int:
-    h = 0
-    for i, c in enumerate(piece):
-        h += (ord(c) + 1) * pow(int(BASE), i, 1 << 64)
-    return int(mix(np.array([h % (1 << 64)], np.uint64))[0])
-
-
 class StreamingViterbi:
     """Ids of a stream of characters; :meth:`push` gives those that are settled, :meth:`finish` the rest."""
 
@@ -155,110 +190,173 @@ class StreamingViterbi:
         return list(chain.from_iterable(reversed(ids)))
 
 
-def side_by_side(v: Vocabulary, stretches: list[str]) -> list[bytes]:
-    """Ids of many short stretches by the same recurrence, those of a length together."""
-    out: list[bytes] = [b""] * len(stretches)
-    size = np.array([len(x) for x in stretches])
-    for n in np.unique(size).tolist():
-        rows = np.flatnonzero(size == n)
-        points = np.frombuffer("".join([stretches[i] for i in rows]).encode("utf-32-le"), np.uint32).reshape(len(rows), n).astype(np.uint64)
-        power = np.full(n, BASE, np.uint64)
-        power[0] = 1
-        power = np.multiply.accumulate(power)
-        back = np.full(n + 1, INVERSE, np.uint64)
-        back[0] = 1
-        back = np.multiply.accumulate(back)
-        sums = np.zeros((len(rows), n + 1), np.uint64)
-        np.cumsum((points + np.uint64(1)) * power, axis=1, out=sums[:, 1:])
-        best = np.zeros((n + 1, len(rows)), np.int64)
-        piece = np.full((n + 1, len(rows)), -1, np.int64)
-        begin = np.zeros((n + 1, len(rows)), np.int64)
-        for end in range(1, n + 1):
-            total = np.full(len(rows), _NONE, np.int64)
-            for start in range(max(0, end - v.longest), end):
-                ids = v.find(mix((sums[:, end] - sums[:, start]) * back[start]))
-                now = np.where(ids >= 0, best[start] + v.points[ids], _NONE)
-                better = now > total
-                total = np.where(better, now, total)
-                piece[end] = np.where(better, ids, piece[end])
-                begin[end] = np.where(better, start, begin[end])
-            none = piece[end] < 0
-            begin[end] = np.where(none, end - 1, begin[end])
-            best[end] = np.where(none, best[end - 1] + v.unknown, total)
-        at = np.full(len(rows), n)
-        steps = []
-        while (at > 0).any():
-            live = at > 0
-            start = np.where(live, begin[at, np.arange(len(rows))], 0)
-            steps.append((np.where(live, piece[at, np.arange(len(rows))], -2), start))
-            at = start
-        ids = np.stack([p for p, _ in reversed(steps)], axis=1)
-        starts = np.stack([s for _, s in reversed(steps)], axis=1)
-        odd = (ids == -1).any(axis=1)
-        kept = ids >= 0
-        flat, ends = ids[kept].astype("<u4").tobytes(), np.cumsum(kept.sum(axis=1)).tolist()
-        for k, (i, end) in enumerate(zip(rows.tolist(), ends, strict=True)):
-            if odd[k]:
-                own = [[p] if p >= 0 else v.spelled(stretches[i][s]) for p, s in zip(ids[k].tolist(), starts[k].tolist(), strict=True) if p > -2]
-                out[i] = np.array(list(chain.from_iterable(own)), "<u4").tobytes()
-            else:
-                out[i] = flat[4 * (ends[k - 1] if k else 0) : 4 * end]
+def streams(v: Vocabulary, texts: list[str]) -> list[bytes]:
+    """Ids of many short streams, a character of each at a time; longer streams come first, so that live ones are a prefix.
+
+    Of boundary t there are the best sum and the last boundary, at or before the last commit's end, on the best path to
+    it; both are held for the last ``longest`` boundaries. When the latter is one for all of them, the paths have met."""
+    if not texts:
+        return []
+    size = np.array([len(x) for x in texts])
+    order = np.argsort(-size, kind="stable")
+    size = size[order]
+    flat = v.code[np.frombuffer("".join([texts[i] for i in order]).encode("utf-32-le"), np.uint32)]
+    offset = np.cumsum(size) - size
+    live = np.searchsorted(-size, -np.arange(1, size[0] + 2), "right")  # streams with a character t
+    ring, n = v.longest + 1, len(texts)
+    every = np.arange(n)
+    best, met = np.zeros((ring, n), np.int64), np.zeros((ring, n), np.int32)
+    begin, piece = np.zeros((size[0], n), np.int16), np.zeros((size[0], n), np.int32)  # until they are committed
+    done = np.zeros(n, np.int64)
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def commit(rows: np.ndarray, end: np.ndarray) -> None:
+        at, which = end, rows
+        while len(which):
+            out.append((which, at, piece[at - 1, which]))
+            at = begin[at - 1, which].astype(np.int64)
+            on = at > done[which]
+            at, which = at[on], which[on]
+        done[rows] = end
+
+    opened: list[tuple[int, np.ndarray, np.ndarray]] = []  # (start, streams, nodes of the trie), the first start first
+    for t in range(int(size[0])):
+        m = int(live[t])
+        code = flat[offset[:m] + t]
+        total, last, since = np.full(m, _NONE, np.int64), np.full(m, -1, np.int32), np.full(m, t, np.int16)
+        still = []
+        for start, rows, nodes in [*opened, (t, every[:m], np.zeros(m, np.int64))]:
+            if len(rows) and rows[-1] >= m:
+                there = int(np.searchsorted(rows, m))
+                rows, nodes = rows[:there], nodes[:there]
+            at = v.next[nodes] + code[rows]
+            on = v.came[at] == nodes
+            rows, nodes = rows[on], at[on]
+            word = v.word[nodes]
+            ends = word >= 0
+            to, word = rows[ends], word[ends]
+            now = best[start % ring, to] + v.points[word]
+            better = now > total[to]  # of equal sums the longer piece, which came first
+            to = to[better]
+            total[to], last[to], since[to] = now[better], word[better], start
+            if len(rows) and t + 1 - start < v.longest:
+                still.append((start, rows, nodes))
+        opened = still
+        none = np.flatnonzero(last < 0)
+        total[none] = best[t % ring, none] + v.unknown
+        best[(t + 1) % ring, :m], met[(t + 1) % ring, :m] = total, met[since % ring, every[:m]]
+        begin[t, :m], piece[t, :m] = since, last
+        if live[t + 1] < m:
+            ended = every[live[t + 1] : m]
+            commit(ended, np.full(len(ended), t + 1))
+        if (t + 1) % v.longest == 0 and live[t + 1]:
+            window = np.arange(t + 2 - v.longest, t + 2)
+            now = met[window % ring, : live[t + 1]]
+            rows = np.flatnonzero((now == now[0]).all(axis=0))
+            end = now[0, rows].astype(np.int64)
+            commit(rows[end > done[rows]], end[end > done[rows]])
+            met[(window % ring)[:, None], rows[None, :]] = window[:, None]
+    row, at, ids = (np.concatenate(x) for x in zip(*out, strict=True))
+    by_place = np.lexsort((at, row))
+    row, at, ids = row[by_place], at[by_place], ids[by_place]
+    ends = np.cumsum(np.bincount(row, minlength=n))
+    found: list[bytes] = [b""] * n
+    whole = ids.astype("<u4").tobytes()
+    for k, i, a, b in zip(range(n), order.tolist(), [0, *(4 * ends[:-1]).tolist()], (4 * ends).tolist(), strict=True):
+        found[i] = whole[a:b]
+    for k in np.unique(row[ids < 0]).tolist():
+        own = slice(ends[k - 1] if k else 0, ends[k])
+        text = texts[order[k]]
+        spelt = [[i] if i >= 0 else v.spelled(text[e - 1]) for i, e in zip(ids[own].tolist(), at[own].tolist(), strict=True)]
+        found[order[k]] = np.array(list(chain.from_iterable(spelt)), "<u4").tobytes()
+    return found
+
+
+def all_streams(v: Vocabulary, texts: list[str]) -> list[bytes]:
+    """Ids of streams of any length: short ones together in groups of bounded size, long or lone ones by themselves."""
+    out: list[bytes] = [b""] * len(texts)
+    order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
+    at = 0
+    while at < len(order):
+        longest = len(texts[order[at]])
+        end = at + 1
+        while end < len(order) and (longest := len(texts[order[end]])) <= TOGETHER and (end - at) * longest < GROUP:
+            end += 1
+        some = [texts[i] for i in order[at:end]]
+        alone = len(some) < ALONE or len(some[-1]) > TOGETHER
+        found = [_stream(v, x) for x in some] if alone else streams(v, some)
+        for i, x in zip(order[at:end], found, strict=True):
+            out[i] = x
+        at = end
     return out
 
 
-class Encoder:
+def _stream(v: Vocabulary, text: str) -> bytes:
+    one = StreamingViterbi(v)
+    return np.array(one.push(text) + one.finish(), "<u4").tobytes()
+
+
+class Encoder(StretchEncoder):
     """Ids of whole texts."""
 
     def __init__(self, vocabulary: Vocabulary, remembered: int = REMEMBERED):
-        self.v, self.remembered = vocabulary, remembered
+        super().__init__(remembered)
+        self.v = vocabulary
         several = {c for x in vocabulary.id if len(x) > 1 for c in x}
-        inner = any(BLANK in x.lstrip(BLANK) for x in vocabulary.id)
-        lone = "".join(re.escape(c) for c in "\n\t\r" if c not in several)
-        # stretches end where no piece spans: around characters that stand alone, and before a blank after another
-        self.stretch = re.compile(f"[{lone}]|{BLANK}*[^{BLANK}{lone}]+|{BLANK}+") if lone and not inner else None
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _stream(self, text: str) -> bytes:
-        one = StreamingViterbi(self.v)
-        return np.array(one.push(text) + one.finish(), "<u4").tobytes()
-
-    def _learn(self, stretches: set[str]) -> None:
-        if len(self.young) > self.remembered:
-            self.old, self.young = self.young, {}
-        new = []
-        for x in stretches.difference(self.young):
-            if (known := self.old.get(x)) is not None:
-                self.young[x] = known
-            elif len(x) <= SHORT:
-                new.append(x)
-            else:
-                self.young[x] = self._stream(x)
-        self.young.update(zip(new, side_by_side(self.v, new), strict=True))
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        marked = [(BLANK + x.replace(" ", BLANK)) if x else "" for x in texts]
-        if self.stretch is None:
-            return [self._stream(x) for x in marked]
-        cut = [self.stretch.findall(x) for x in marked]
-        self._learn(set(chain.from_iterable(cut)))
-        ids = self.young.__getitem__
-        return [b"".join(map(ids, x)) for x in cut]
+        self.lone = np.zeros(256, bool)
+        self.lone[[ord(c) for c in "\n\t\r" if c not in several]] = True
+        #: whether a piece spans a blank that follows another character; then a text is one stretch
+        self.inner = any(BLANK in x.lstrip(BLANK) for x in vocabulary.id)
+
+    def cut(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Stretches begin around characters that stand alone, and where blanks begin."""
+        edge = np.zeros(len(data), bool)
+        edge[offsets[:-1][offsets[:-1] < len(data)]] = True
+        if not self.inner:
+            lone, blank = self.lone[data], data == 32
+            edge |= lone
+            edge[1:] |= lone[:-1] | (blank[1:] & ~blank[:-1])
+        return np.flatnonzero(edge)
+
+    def learn(self, stretches: list[bytes]) -> list[bytes]:
+        return all_streams(self.v, [x.decode().replace(" ", BLANK) for x in stretches])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and where each text's ids end; a blank comes before each text that isn't empty."""
+        texts = pc.replace_substring(texts.cast(pa.large_string()).fill_null(""), BLANK, " ")
+        marked = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), texts, pa.scalar(" ", pa.large_string()))
+        return super().encode(pc.if_else(pc.equal(pc.binary_length(texts), 0), texts, marked))
+
+
+def decoded_all(v: Vocabulary, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+    """Texts of rows of ids, without the blank that encoding puts first; ends: ids up to each row's end."""
+    known = (ids >= 0) & (ids < len(v.bytes))
+    ids = np.where(known, ids, 0)
+    size = np.where(known, v.raw_size[ids], 0)
+    to = np.cumsum(size)
+    whole = v.raw[np.repeat(v.raw_start[ids] - to + size, size) + np.arange(int(to[-1]) if len(to) else 0)].tobytes()
+    stops = np.concatenate([[0], to])[ends].tolist()
+    texts = [whole[a:b].decode("utf-8", "replace") for a, b in zip([0, *stops[:-1]], stops, strict=True)]
+    return [x[1:] if x.startswith(" ") else x for x in texts]
 
 
 def decoded(v: Vocabulary, ids: list[int]) -> str:
     """The text of some ids, without the blank that encoding puts first."""
-    out = b"".join([v.bytes[i] if 0 <= i < len(v.bytes) else b"" for i in ids]).decode("utf-8", "replace")
-    return out[1:] if out.startswith(" ") else out
+    return decoded_all(v, np.array(ids, np.int64), np.array([len(ids)]))[0]
 
 
 @cache
 def vocabulary(path: str, scores: str) -> Vocabulary:
-    """One for each worker process and file; what an encoder remembers goes with its task."""
+    """One for each worker process and file."""
     return Vocabulary(path, scores)
 
 
+@cache
+def encoder(path: str, scores: str, remembered: int) -> Encoder:
+    """One for each worker process and file; it remembers from task to task."""
+    return Encoder(vocabulary(path, scores), remembered)
+
+
 def _with(df: DataFrame, field: str) -> str:
     return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + [field])
 
@@ -272,15 +370,14 @@ def encode(docs: DataFrame, path: str, *, scores: str = "zipf", text: str = "tex
     kept = [c for c in docs.columns if keep_text or c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(path, scores)
-        encode_all = Encoder(v, remembered)
+        encode_all = encoder(path, scores, remembered)
         for batch in batches:
             for start in range(0, batch.num_rows, rows_at_once):
                 some = batch.slice(start, rows_at_once)
-                ids = encode_all(some.column(text).fill_null("").to_pylist())
-                ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))
-                more = [] if back is None else [pa.array([decoded(v, np.frombuffer(x, "<u4").tolist()) for x in ids], pa.string())]
+                ids, ends = encode_all.encode(some.column(text))
+                values = ids.astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(values))
+                more = [] if back is None else [pa.array(decoded_all(encode_all.v, values, ends), pa.string())]
                 yield pa.RecordBatch.from_arrays([*(some.column(c) for c in kept), lists, *more], [*kept, out, *([] if back is None else [back])])
 
     return docs.mapInArrow(tidy(run), _with(docs.select(*kept), f"`{out}` array<int>" + ("" if back is None else f", `{back}` string")))

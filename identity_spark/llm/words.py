@@ -8,6 +8,7 @@ mixes the hashes of its words in order. Two different words or shingles share a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +37,25 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(n: int, base: np.uint64) -> np.ndarray:
-    p = np.full(n, base, np.uint64)
-    p[:1] = 1
-    return np.multiply.accumulate(p)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of BASE and of its inverse; those of a usual piece are kept."""
+    if n > PIECE_BYTES:
+        return _powers(n)
+    return tuple(x[:n] for x in _usual_powers())
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    out = []
+    for base in (BASE, INVERSE):
+        p = np.full(n, base, np.uint64)
+        p[:1] = 1
+        out.append(np.multiply.accumulate(p))
+    return out[0], out[1]
+
+
+@cache
+def _usual_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _powers(PIECE_BYTES)
 
 
 def pieces(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -72,10 +88,10 @@ def hashed_words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _I
     last[:-1] = ~inside[1:]
     last[rows[rows > 0] - 1] = True
     ends = np.flatnonzero(inside & last) + 1
-    powers = _powers(len(data), BASE)
+    power, inverse = powers(len(data))
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * powers, out=sums[1:])
-    hashes = (sums[ends] - sums[starts]) * _powers(len(data), INVERSE)[starts]
+    np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * power, out=sums[1:])
+    hashes = (sums[ends] - sums[starts]) * inverse[starts]
     return mix(hashes), np.searchsorted(starts, offsets)
 
 
