@@ -29,87 +29,86 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import new_path, partitions, tidy
+from .memory import SHORT, StretchEncoder
 
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 128 << 10
 PAGE_ROWS = 2_000
-#: Pieces between blanks are encoded once while they are remembered; twice this many at most in each worker.
-REMEMBERED = 350_000
+#: Stretches that a worker remembers before it begins anew.
+REMEMBERED = 1_000_000
 #: Texts that are encoded together.
 ROWS_AT_ONCE = 1024
-#: Pieces that are joined to be encoded.
+#: Stretches that are joined to be encoded.
 JOINED = 128
-_SIGNS = ".,!?;:"
-_BLANKS = frozenset("\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B))))
-#: White space as the tokenizer's pattern takes it; a blank before a word belongs to the word. Pieces of this pattern
-#: begin and end where the tokenizer's own pieces do, so their ids can be joined.
-_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-_PIECES = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+_SPACE = np.array([b in b"\t\n\x0b\x0c\r " for b in range(256)])
+_LETTER = np.array([b < 128 and chr(b).isalpha() for b in range(256)])
+#: Signs that end a token after a letter, whatever follows.
+_SIGN = np.array([b in b".,!?;:" for b in range(256)])
+#: White space of the tokenizer's pattern beyond ASCII, in UTF-8.
+_WIDE_SPACE = rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80"
+_BLANK_WORD = re.compile(rb" [^\s]+")
 
 
-class Encoder:
+class Encoder(StretchEncoder):
     """Ids of texts by a byte-level BPE tokenizer file.
 
-    Ids of pieces that come again are remembered, in a young and an old half: when the young half is full it becomes
-    the old one, and what is met there again moves back. A letter before a last sign of punctuation ends a token, so
-    that sign is looked up by itself."""
+    Stretches begin and end where the tokenizer's own pieces do: a blank before a word belongs to the word, other white
+    space stands by itself up to its last character, and a sign after a letter begins a piece. A text with white space
+    beyond ASCII, or with the string of a special token, which is found before any piece, is one stretch."""
 
     def __init__(self, path: str):
+        super().__init__(REMEMBERED)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        special = [re.escape(x.content.encode()) for x in self.tokenizer.get_added_tokens_decoder().values()]
+        #: what makes a text one stretch
+        self.whole = re.compile(b"|".join([_WIDE_SPACE, *special]))
         #: whether a token begins with a blank, as the vocabulary writes it
         self.first = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.first[[i for x, i in self.tokenizer.get_vocab().items() if x[0] == "\u0120"]] = True
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.signs = dict(zip(_SIGNS, self._encode(list(_SIGNS)), strict=True))
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        ids = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def cut(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        begins = offsets[:-1][offsets[:-1] < len(data)]
+        edge = np.zeros(len(data), bool)
+        if not len(data):
+            return np.zeros(0, np.int64)
+        space = _SPACE[data]
+        new = np.zeros(len(data) + 1, bool)  # where a row begins, or the data ends
+        new[begins], new[-1] = True, True
+        before, after = np.concatenate([[False], space[:-1]]), np.concatenate([space[1:], [False]])
+        blank_before = np.concatenate([[False], data[:-1] == 32])
+        edge = ~space & before & ~blank_before  # a word after other white space
+        edge |= space & (~before | ~after & ~new[1:])  # white space, and its last character before a word
+        edge[1:] |= _SIGN[data[1:]] & _LETTER[data[:-1]]
+        edge |= new[:-1]
+        for row in np.unique(np.searchsorted(offsets, [m.start() for m in self.whole.finditer(data.tobytes())], "right") - 1).tolist():
+            edge[offsets[row] + 1 : offsets[row + 1]] = False
+        return np.flatnonzero(edge)
+
+    def _encode(self, texts: list[bytes]) -> list[bytes]:
+        ids = [x.ids for x in self.tokenizer.encode_batch_fast([x.decode() for x in texts], add_special_tokens=False)]
         flat, at, out = np.fromiter(chain.from_iterable(ids), "<u4").tobytes(), 0, []
         for x in ids:
             out.append(flat[at : at + 4 * len(x)])
             at += 4 * len(x)
         return out
 
-    def _encode_pieces(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Pieces that begin with a blank are encoded joined: no token but a piece's first one has a blank in it."""
-        blank = [x for x in pieces if x[0] == " " and len(x) > 1 and x[1] not in _BLANKS]
-        rest = [x for x in pieces if not (x[0] == " " and len(x) > 1 and x[1] not in _BLANKS)]
-        yield from zip(rest, self._encode(rest), strict=True)
-        joined = ["".join(blank[i : i + JOINED]) for i in range(0, len(blank), JOINED)]
+    def learn(self, stretches: list[bytes]) -> list[bytes]:
+        """Words after a blank are encoded joined: no token but a word's first one has a blank in it."""
+        out: list[bytes] = [b""] * len(stretches)
+        words = [i for i, x in enumerate(stretches) if x[0] == 32 and len(x) <= SHORT and _BLANK_WORD.fullmatch(x) and not self.whole.search(x)]
+        joined = [b"".join([stretches[i] for i in words[k : k + JOINED]]) for k in range(0, len(words), JOINED)]
         flat = np.frombuffer(b"".join(self._encode(joined)), "<u4")
         cuts = [*(4 * np.flatnonzero(self.first[flat])).tolist(), 4 * len(flat)]
         whole = flat.tobytes()
-        yield from ((x, whole[a:b]) for x, a, b in zip(blank, cuts[:-1], cuts[1:], strict=True))
-
-    def _learn(self, pieces: set[str]) -> None:
-        if len(self.young) > REMEMBERED:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        signed, bare = [], []
-        for x in pieces.difference(young):
-            if (known := old.get(x)) is not None:
-                young[x] = known
-            elif len(x) > 1 and x[-1] in self.signs and x[-2].isascii() and x[-2].isalpha():
-                signed.append(x)
-                bare.append(x[:-1])
-            else:
-                bare.append(x)
-        new = list(set(bare).difference(young))
-        young.update(self._encode_pieces(new))
-        young.update([(x, young[x[:-1]] + self.signs[x[-1]]) for x in signed])
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        pieces = [None if any(s in x for s in self.special) else _PIECES.findall(x) for x in texts]
-        self._learn(set(chain.from_iterable(x for x in pieces if x)))
-        ids = self.young.__getitem__
-        # a special token's string is found before any other piece, so such a text is encoded as it is
-        return [self._encode([t])[0] if x is None else b"".join(map(ids, x)) for t, x in zip(texts, pieces, strict=True)]
+        for i, a, b in zip(words, cuts[:-1], cuts[1:], strict=True):
+            out[i] = whole[a:b]
+        rest = sorted(set(range(len(stretches))).difference(words))
+        for i, x in zip(rest, self._encode([stretches[i] for i in rest]), strict=True):
+            out[i] = x
+        return out
 
 
 @cache
@@ -125,15 +124,18 @@ def encoded(docs: DataFrame, tokenizer: str, *, key: str, text: str, end_id: int
     rows = rows.repartitionByRange(partitions(docs), "key", F.crc32(F.col("text").cast("binary"))).sortWithinPartitions("key", F.crc32(F.col("text").cast("binary")))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_all, end = encoder(tokenizer), np.asarray([end_id], "<u4").tobytes()
+        encode_all = encoder(tokenizer)
         place = 0
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS_AT_ONCE):
                 some = batch.slice(start, ROWS_AT_ONCE)
-                ids = [x + end for x in encode_all(some.column("text").to_pylist())]
-                n = np.array([len(x) // 4 for x in ids], np.int64)
-                ends = np.cumsum(n)
-                values = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
+                ids, stops = encode_all.encode(some.column("text"))
+                ends = stops + np.arange(1, some.num_rows + 1)
+                n = np.diff(ends, prepend=0)
+                values = np.full(int(ends[-1]), end_id, np.int32)
+                own = np.ones(len(values), bool)
+                own[ends - 1] = False
+                values[own] = ids
                 yield pa.RecordBatch.from_arrays(
                     [some.column("key"), some.column("part"), pa.array(place + ends - n), pa.array(n), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(values))],
                     ["key", "part", "place", "n_tokens", "ids"],
