@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import hashlib
+import struct
 import textwrap
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import brute_components, brute_spans, brute_viterbi
 from pyspark.sql import functions as F
 
 from identity_spark.llm import decontamination, jaccard, labelled_pages, licences, main_text, pieces, queries, secrets, sharding, token_files, topk, toxicity
 from identity_spark.llm.components import components
+from identity_spark.llm.memory import Memory
 from identity_spark.llm.words import hashed_words
 
 EDGE = [(1, None), (2, ""), (3, "   \n\t "), (4, "one"), (5, "One  two"), (None, "null key"), (6, "a b c d e f g h"), (6, "a b c d e f g h"), (7, "x " * 30_000), (8, "Ünï codé — ▁ 漢字 🎉")]
@@ -51,11 +54,12 @@ def test_streaming_viterbi(spark):
     path = queries.vocabulary("piece_bpe_32k.model")
     v = pieces.Vocabulary(path)
     texts = [t or "" for _, t in EDGE if t is None or len(t) < 1000] + ["thethe" * 40, "  two  blanks ", "\n\n\ta"]
-    for text, ids in zip(texts, pieces.Encoder(v)(texts), strict=True):
+    ids, ends = pieces.Encoder(v).encode(pa.array(texts))
+    for text, found in zip(texts, np.split(ids, ends[:-1]), strict=True):
         whole = pieces.BLANK + text.replace(" ", pieces.BLANK) if text else ""
         stream = pieces.StreamingViterbi(v)
         streamed = [i for k in range(0, len(whole), 5) for i in stream.push(whole[k : k + 5])] + stream.finish()
-        assert np.frombuffer(ids, "<u4").tolist() == streamed == brute_viterbi(v, text)
+        assert found.tolist() == streamed == brute_viterbi(v, text)
         assert pieces.decoded(v, streamed) == text.replace(pieces.BLANK, " ")
     rows = pieces.decode(pieces.encode(docs(spark, EDGE), path), path).collect()
     assert all(r["decoded"] == (r["text"] or "").replace(pieces.BLANK, " ") for r in rows)
@@ -63,6 +67,64 @@ def test_streaming_viterbi(spark):
     assert pieces.decoded(v, [-1, 10**9, 0, 1]) == ""
 
 
+def test_many_streams_are_as_one(monkeypatch):
+    v = pieces.Vocabulary(queries.vocabulary("piece_bpe_32k.model"))
+    rng = np.random.default_rng(4)
+    parts = ["hello", "thethethe", "internationalization", "aaaa", "▁▁▁", "漢字テスト", "🎉x", "zzz\n", "1234567"]
+    texts = ["".join(rng.choice(parts, rng.integers(1, 12))) for _ in range(200)]
+    want = [brute_viterbi(v, x) for x in texts]
+    found = pieces.streams(v, [pieces.BLANK + x.replace(" ", pieces.BLANK) for x in texts])
+    assert [np.frombuffer(x, "<u4").tolist() for x in found] == want
+    monkeypatch.setattr(pieces, "TOGETHER", 30)
+    monkeypatch.setattr(pieces, "GROUP", 300)
+    monkeypatch.setattr(pieces, "ALONE", 3)
+    encoder = pieces.Encoder(v, remembered=50)  # so that it forgets
+    for some in (texts, texts[::-1]):
+        ids, ends = encoder.encode(pa.array(some))
+        assert [x.tolist() for x in np.split(ids, ends[:-1])] == [want[texts.index(x)] for x in some]
+
+
+def unigram_file(path, scores):
+    """A model file of one unigram vocabulary, in the library's format."""
+    field = lambda n, kind, value: bytes([n << 3 | kind]) + (bytes([len(value)]) + value if kind == 2 else value)
+    piece = lambda x, score, kind: field(1, 2, field(1, 2, x.encode()) + field(2, 5, struct.pack("<f", score)) + field(3, 0, bytes([kind])))
+    pieces_of = piece("<unk>", 0.0, 2) + piece("<s>", 0.0, 3) + piece("</s>", 0.0, 3) + b"".join(piece(x, y, 1) for x, y in scores.items())
+    path.write_bytes(pieces_of + field(2, 2, field(3, 0, b"\x01")) + field(3, 2, field(1, 2, b"identity") + field(3, 0, b"\x01") + field(4, 0, b"\x00") + field(5, 0, b"\x01")))
+    return str(path)
+
+
+def test_unigram_scores_give_the_library_s_ids(tmp_path):
+    import sentencepiece
+
+    rng = np.random.default_rng(5)
+    names = ["▁", *"abc", "ab", "bc", "▁a", "abc", "▁ab", "cab", "cc", "b▁a", "bca", "aabb", "▁▁"]
+    for k in range(5):
+        scores = {x: -float(rng.integers(1, 4000)) / 256 for x in names}  # exact as floats and in millionths
+        path = unigram_file(tmp_path / f"{k}.model", scores)
+        model, v = sentencepiece.SentencePieceProcessor(model_file=path), pieces.Vocabulary(path, "file")
+        texts = ["".join(rng.choice(list("abc "), rng.integers(1, 40))) for _ in range(60)]
+        ids, ends = pieces.Encoder(v).encode(pa.array(texts))
+        for text, found in zip(texts, np.split(ids, ends[:-1]), strict=True):
+            score = lambda x: sum(v.score[i] for i in x)
+            want = model.encode(text)
+            assert score(found.tolist()) == score(want) and model.decode(found.tolist()) == model.decode(want)
+            assert found.tolist() == brute_viterbi(v, text)
+
+
+def test_memory():
+    m, rng = Memory(), np.random.default_rng(6)
+    held = {}
+    for _ in range(30):
+        new = np.setdiff1d(rng.integers(1, 1 << 62, 9000).astype(np.uint64), np.array([*held], np.uint64))
+        runs = [np.arange(k % 5, dtype="<u4") + np.uint32(k) for k in range(len(new))]
+        m.add(new, [x.tobytes() for x in runs])
+        held |= dict(zip(new.tolist(), runs, strict=True))
+    keys = np.array([*held], np.uint64)
+    at = m.find(keys)
+    assert all((m.ids[m.start[i] : m.start[i] + m.size[i]] == held[k]).all() and m.size[i] == len(held[k]) for i, k in zip(at.tolist(), keys.tolist(), strict=True))
+    assert (m.find(np.setdiff1d(rng.integers(1, 1 << 60, 1000).astype(np.uint64), keys)) == -1).all()
+
+
 def test_streaming_viterbi_forgets_what_is_settled():
     v = pieces.Vocabulary(queries.vocabulary("piece_bpe_32k.model"))
     stream = pieces.StreamingViterbi(v)
@@ -170,7 +232,7 @@ def test_token_files(spark):
     from tokenizers import Tokenizer
 
     path = queries.vocabulary("byte_bpe_50k.json")
-    rows = [(i or 0, t) for i, t in EDGE] + [(50, "a<|endoftext|>b"), (51, "two  blanks \n and\n\n lines. wide\xa0hard"), (52, " lead, trail "), (53, "it's they'll 'quoted'")]
+    rows = [(i or 0, t) for i, t in EDGE] + [(50, "a<|endoftext|>b"), (51, "two  blanks \n and\n\n lines. wide\xa0hard"), (52, " lead, trail "), (53, "it's they'll 'quoted'"), (54, "a.b,c!?!x, \r\n \n  y\n"), (55, "wide\u3000 \u2003x . , end  ")]
     out = sorted(token_files.with_checksums(token_files.token_table(docs(spark, rows), path).withColumnRenamed("doc_id", "key")).collect(), key=lambda r: r["start"])
     encode = Tokenizer.from_file(path).encode
     at = 0
