@@ -39,3 +39,8 @@ def sigmoid(x: Column) -> Column:
 def mean_vector(v: Column) -> Column:
     """Mean of vectors of one length, as an aggregate with partial sums; normalise it with :func:`l2_normalize`."""
     return vector_to_array(Summarizer.mean(array_to_vector(as_double(v))))
+
+
+def vector_sum(v: Column) -> Column:
+    """Sum of vectors of one length, as an aggregate with partial sums."""
+    return vector_to_array(Summarizer.sum(array_to_vector(as_double(v))))

@@ -17,6 +17,7 @@ from ..operators import assign, detect, faces, gallery, lookup, match, merge, po
 from ..operators.identify import identify
 from ..params import DEFAULTS, Params
 from ..sources import messages, sinks
+from . import batch, folds
 from .fixtures import Views, oracle, overlap_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -234,10 +235,10 @@ def p13_needs_embedding(v: Views) -> DataFrame:
 
 @registered("""
     SELECT c.obs_id, round(max(list_cosine_similarity(c.embedding, g.embedding)), 4) AS max_sim, c.pose_quality >= 1 AND (count(g.entry_seq) = 0 OR max(list_cosine_similarity(c.embedding, g.embedding)) < 0.85 OR c.pose_quality > max(g.pose_quality)) AS added
-    FROM (SELECT * FROM body_candidates WHERE camera_id = 0) c LEFT JOIN gallery g ON g.global_id = c.global_id GROUP BY c.obs_id, c.pose_quality
+    FROM body_candidates c LEFT JOIN gallery g ON g.global_id = c.global_id GROUP BY c.obs_id, c.pose_quality
 """)
 def p14_novel_view(v: Views) -> DataFrame:
-    return gallery.novel_view(v.body_candidates.filter("camera_id = 0"), v.gallery, "obs_id").select("obs_id", rounded("max_sim", digits=4), "added")
+    return gallery.novel_view(v.body_candidates.withColumn("camera_id", F.lit(0).cast("long")), v.gallery, "obs_id").select("obs_id", rounded("max_sim", digits=4), "added")
 
 
 @registered("SELECT obs_id, CAST(trunc(x1 - confidence) AS INT) AS x1, CAST(trunc(y1 + confidence) AS INT) AS y1 FROM tracks")
@@ -312,7 +313,7 @@ def j4_exclude_active(v: Views) -> DataFrame:
 
 
 @registered(f"""
-    WITH {SIMS_SQL}, q AS (SELECT query_id, query_id % 50 AS x1, 0 AS y1, query_id % 50 + 40 AS x2, 100 AS y2 FROM queries), l AS (SELECT range AS global_id, range * 8 AS x1, 0 AS y1, range * 8 + 40 AS x2, 100 AS y2 FROM range(6))
+    WITH {SIMS_SQL.replace('s AS', 's AS MATERIALIZED', 1)}, q AS (SELECT query_id, query_id % 50 AS x1, 0 AS y1, query_id % 50 + 40 AS x2, 100 AS y2 FROM queries), l AS (SELECT range AS global_id, range * 8 AS x1, 0 AS y1, range * 8 + 40 AS x2, 100 AS y2 FROM range(6))
     SELECT s.query_id, s.global_id, round(s.score, 5) AS score FROM s JOIN q USING (query_id) LEFT JOIN l USING (global_id) WHERE l.x1 IS NULL OR {overlap_sql("q.", "l.")} >= 0.4
 """)
 def j5_iou_gate(v: Views) -> DataFrame:
@@ -591,13 +592,13 @@ def o3_best_pose(v: Views) -> DataFrame:
     return pose.best_pose(pose.filter_poses(v.poses).withColumn("pose_quality", F.col("quality")), CAM)
 
 
-@registered()
+@registered(folds.NMS)
 def o4_nms_faces(v: Views) -> DataFrame:
     found = detect.decode_faces(v.raw_faces).select("frame_idx", "event_id", "score", *boxes.EDGES)
     return detect.nms_faces(found, ["frame_idx"], "event_id").select("frame_idx", "event_id", rounded("score"))
 
 
-@registered()
+@registered(folds.GREEDY)
 def o5_greedy_assign(v: Views) -> DataFrame:
     f = v.queries.select((F.col("query_id") % 40).alias("frame_idx"), "camera_id", F.col("query_id").alias("tracker_id"), F.col("query_id").alias("det_seq"), "query_id")
     scores = match.all_top1_sims(v.queries, v.gallery, vector="body", least=0.1).join(f.select("query_id", "frame_idx", "tracker_id"), "query_id")
@@ -630,7 +631,7 @@ def u2_drop_stale_pending(v: Views) -> DataFrame:
     return tracklets.drop_stale_pending(v.tracks, v.tracks.join(last, CAM, "left_semi")).select("obs_id")
 
 
-@registered()
+@registered(folds.MERGED)
 def u3_merge_entries(v: Views) -> DataFrame:
     return gallery.merge_entries(v.gallery, remap_of(v)).select("camera_id", "global_id", "entry_seq", "frame_idx")
 
@@ -674,13 +675,13 @@ def t1_identify(v: Views) -> DataFrame:
     return done.select("camera_id", "frame_idx", "tracker_id", "global_id", rounded("match_score"), "match_type", "stable_count")
 
 
-@registered()
+@registered(folds.BODY)
 def t2_update_body_gallery(v: Views) -> DataFrame:
     done = gallery.update_body_gallery(v.body_candidates.withColumn("has_face", F.col("obs_id") % 2 == 0))
     return done.select("camera_id", "global_id", "entry_seq", "frame_idx", "pose_quality")
 
 
-@registered()
+@registered(folds.FACE)
 def t3_update_face_gallery(v: Views) -> DataFrame:
     f = v.body_candidates.select("camera_id", "global_id", "frame_idx", F.col("obs_id").alias("face_seq"), F.slice("embedding", 1, 32).alias("embedding"))
     return gallery.update_face_gallery(f).select("camera_id", "global_id", "face_seq", "added", rounded("face_sim"))
@@ -698,7 +699,7 @@ def t8_link_tracks(v: Views) -> DataFrame:
     return tracklets.link_tracks(d, "obs_id").select("camera_id", "frame_idx", "obs_id", "tracker_id")
 
 
-@registered()
+@registered(folds.REFERENCE)
 def j11_find_reference(v: Views) -> DataFrame:
     asked = v.requests.join(v.queries.select("query_id", "body", "face"), "query_id").select(F.lit(0).cast("long").alias("camera_id"), F.concat("request_id", F.lit("@"), F.col("camera_id").cast("string")).alias("request_id"), F.when(F.col("query_id") % 9 != 0, F.col("body")).alias("body"), "face")
     active = asked.select("camera_id", "request_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(5).cast("long"))).alias("tracker_id")).withColumns({"global_id": F.col("tracker_id") % 4, "det_seq": F.col("tracker_id")})
@@ -706,6 +707,34 @@ def j11_find_reference(v: Views) -> DataFrame:
     return lookup.find_reference(asked, v.gallery, v.face_gallery, active, active, waiting).select("request_id", "global_id", "track_id", rounded("score"), "method")
 
 
+@registered(folds.RECORDING.format(runs=RUNS_SQL.strip()))
+def t4_identify_tracks(v: Views) -> DataFrame:
+    """Every track of the three cameras against one gallery, which each camera has."""
+    body = v.embeddings.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("body"))
+    seen = v.det.join(body, "vec_id").withColumns({"qualifies": F.col("det_seq") % 7 != 0, "has_face": F.col("det_seq") % 28 == 0})
+    seen = seen.withColumn("face", F.when(F.col("det_seq") % 4 == 0, F.slice("body", 1, 32)))
+    everywhere = lambda g: g.withColumn("camera_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))))
+    done = batch.identify_tracks(seen, everywhere(v.gallery), everywhere(v.face_gallery), params=Params(sim_threshold=0.3, face_match_strategy="face_body_all_gallery"))
+    return done.select("camera_id", "tracker_id", "frame_idx", "global_id", rounded("match_score"), "match_type")
+
+
+@registered(folds.DUPLICATES.format(centroids=CENTROID_SQL.format("split_gallery")))
+def t5_merge_identities(v: Views) -> DataFrame:
+    """The split gallery with near-duplicate identities in one."""
+    g = v.split_gallery
+    state = g.groupBy("camera_id", "global_id").agg(F.max("entry_seq").alias("last_seen")).withColumns({e: F.lit(0.0) for e in boxes.EDGES})
+    done = batch.merge_identities(g, v.face_gallery, track_map(v), state)
+    return done.bodies.select("global_id", "entry_seq")
+
+
+@registered(folds.POSE_REUSE.format(boxes=W1_SQL))
+def a12_pose_reuse(v: Views) -> DataFrame:
+    """Frames whose tracks are all known and still keep their qualities."""
+    seen = v.tracks.withColumn("pose_quality", F.when(F.col("obs_id") % 5 == 0, F.col("obs_id") % 3))
+    known = v.tracks.select("camera_id", "tracker_id").distinct().filter("tracker_id % 4 <> 0").withColumns({"global_id": F.col("tracker_id"), "since": F.lit(20).cast("long")})
+    return batch.frames_for_pose(seen, known, Params(stable_min_frames=1)).select("obs_id", "cached_quality", "needs_pose")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: perturbed queries are matched to the gallery, and counted by identity."""
     found = QUERIES["j6_match_top1"](spark, sf_dir)

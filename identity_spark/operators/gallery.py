@@ -7,9 +7,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import boxes
-from ..functions.vectors import cosine
+from ..functions.vectors import dot, l2_normalize, vector_sum
 from ..params import DEFAULTS, UPPER_BODY, Params
-from .identity import BodyGallery, Entry, FaceGallery, most_central
+from ..shared import checkpointed, small
+from .identity import BodyGallery, Entry, FaceGallery
 from .walk import walked
 
 GID = ["camera_id", "global_id"]
@@ -51,9 +52,10 @@ def novel_view(candidates: DataFrame, gallery: DataFrame, key: str, params: Para
     """Adds max_sim (or max_rate) and added: whether the candidate would enter its identity's gallery as it is.
 
     rates: match rates of (key, entry_seq), which then decide in place of the cosines."""
-    pairs = candidates.select(key, *GID, F.col("embedding").alias("_c")).join(gallery.select(*GID, "entry_seq", "pose_quality", F.col("embedding").alias("_e")), GID)
+    unit = lambda name, v: l2_normalize(F.col(v)).alias(name)
+    pairs = candidates.select(key, *GID, unit("_c", "embedding")).join(gallery.select(*GID, "entry_seq", "pose_quality", unit("_e", "embedding")), GID)
     if rates is None:
-        like, name, least = F.max(cosine(F.col("_c"), F.col("_e"))), "max_sim", params.emb_novelty_threshold
+        like, name, least = F.max(dot(F.col("_c"), F.col("_e"))), "max_sim", params.emb_novelty_threshold
     else:
         pairs = pairs.join(rates.select(key, "entry_seq", "match_rate"), [key, "entry_seq"], "left")
         like, name, least = F.max("match_rate"), "max_rate", params.match_rate_threshold
@@ -71,21 +73,23 @@ def match_rate(matches: DataFrame, crops: DataFrame, params: Params = DEFAULTS)
     return crops.join(counts, ["crop_a", "crop_b"], "left").select("crop_a", "crop_b", rate.alias("match_rate"))
 
 
-def centrality(gallery: DataFrame) -> DataFrame:
-    """Adds centrality: mean dot product of an entry with the others of its identity; for galleries within the cap."""
-    other = gallery.select(*GID, F.col("entry_seq").alias("_o"), F.col("embedding").alias("_v"))
-    from ..functions.vectors import dot
+def _alike(gallery: DataFrame) -> DataFrame:
+    """Adds centrality and _n, the entries of the identity: a mean of dot products is one with the identity's sum."""
+    sums = gallery.groupBy(*GID).agg(vector_sum(F.col("embedding")).alias("_sum"), F.count(F.lit(1)).alias("_n"))
+    alike = gallery.join(small(checkpointed(sums), 20_000), GID)
+    return alike.withColumn("centrality", (dot(F.col("embedding"), F.col("_sum")) - 1.0) / F.greatest(F.col("_n") - 1, F.lit(1))).drop("_sum")
+
 
-    pairs = gallery.select(*GID, "entry_seq", "embedding").join(other, GID)
-    sums = pairs.groupBy(*GID, "entry_seq").agg(F.sum(dot(F.col("embedding"), F.col("_v"))).alias("_s"), F.count(F.lit(1)).alias("_n"))
-    return gallery.join(sums, [*GID, "entry_seq"]).withColumn("centrality", (F.col("_s") - 1.0) / F.greatest(F.col("_n") - 1, F.lit(1))).drop("_s", "_n")
+def centrality(gallery: DataFrame) -> DataFrame:
+    """Adds centrality: mean dot product of an entry, of length 1, with the others of its identity."""
+    return _alike(gallery).drop("_n")
 
 
 def evict_most_central(gallery: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """One eviction: of identities above the cap the most central entry goes, the first of equal ones."""
-    sized = centrality(gallery).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*GID)))
-    place = F.row_number().over(Window.partitionBy(*GID).orderBy(F.desc(F.round("centrality", 12)), "entry_seq"))
-    return sized.withColumn("_place", place).filter((F.col("_n") <= params.max_gallery_per_gid) | (F.col("_place") > 1)).select(*gallery.columns)
+    full = _alike(gallery).filter(F.col("_n") > params.max_gallery_per_gid)
+    gone = full.groupBy(*GID).agg(F.max_by("entry_seq", F.struct(F.round("centrality", 12), -F.col("entry_seq"))).alias("entry_seq"))
+    return gallery.join(gone, [*GID, "entry_seq"], "left_anti")
 
 
 def update_body_gallery(candidates: DataFrame, params: Params = DEFAULTS) -> DataFrame:
@@ -115,11 +119,23 @@ def update_face_gallery(faces: DataFrame, params: Params = DEFAULTS) -> DataFram
     return walked(faces, GID, ["frame_idx", "face_seq"], ["frame_idx", "face_seq"], lambda: FaceGallery(params), step, "frame_idx long, face_seq long, added boolean, face_sim double")
 
 
+def capped(vectors: list[np.ndarray], most: int) -> list[int]:
+    """Places of the entries that stay when the most central one, the first of equal ones, goes again and again."""
+    m = np.stack(vectors)
+    alike, live = m @ m.sum(axis=0), np.ones(len(m), bool)
+    for _ in range(len(m) - most):
+        k = int(np.argmax(np.where(live, alike, -np.inf)))
+        live[k] = False
+        alike -= m @ m[k]
+    return np.flatnonzero(live).tolist()
+
+
 def merge_entries(gallery: DataFrame, remap: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """Gallery after identities went over into others: moved entries follow the target's own, then the cap holds.
 
     gallery: camera_id, global_id, entry_seq, embedding; remap: camera_id, source, target. An identity that isn't
-    in remap and isn't a target stays as it is."""
+    in remap and isn't a target stays as it is. Galleries are capped, so a target has the cap's entries from each of
+    its sources; these are held while it is capped again, which takes a product with each entry that goes."""
     moved = gallery.join(remap.select("camera_id", F.col("source").alias("global_id"), "target"), GID, "left")
     touched = remap.select("camera_id", F.col("target").alias("_t")).distinct()
     rows = moved.withColumns({"_from": F.col("target").isNotNull().cast("int"), "global_id": F.coalesce("target", "global_id")}).drop("target")
@@ -132,9 +148,7 @@ def merge_entries(gallery: DataFrame, remap: DataFrame, params: Params = DEFAULT
             state.append((np.asarray(r["embedding"], float), tuple(r[c] for c in kept)))
         if not rows[-1]["_last"]:
             return []
-        while len(state) > params.max_gallery_per_gid:
-            state.pop(most_central([v for v, _ in state]))
-        return [r for _, r in state]
+        return [state[i][1] for i in capped([v for v, _ in state], params.max_gallery_per_gid)]
 
     types = dict(gallery.dtypes)
     fold = walked(rows.filter("_touched").withColumn("_last", last), GID, ["_from", "entry_seq"], ["_from", "entry_seq"], list, step, ", ".join(f"{c} {types[c]}" for c in kept))

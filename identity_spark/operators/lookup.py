@@ -5,20 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine
+from ..functions.vectors import cosine, dot, l2_normalize
 from ..params import DEFAULTS, Params
+from ..shared import checkpointed
 from .match import match_with_face
 
 
-def active_as_of(requests: DataFrame, tracks: DataFrame) -> DataFrame:
+def active_as_of(requests: DataFrame, tracks: DataFrame, bucket: int = 10_000) -> DataFrame:
     """camera_id, request_id, active_frame: the latest frame with tracks at or before the request's frame.
 
-    Requests and frames share one window by camera; a row of it is a frame or a request, not a track."""
-    frames = tracks.select("camera_id", "frame_idx").distinct().select("camera_id", "frame_idx", F.lit(None).cast("string").alias("request_id"), F.col("frame_idx").alias("_f"))
-    asked = requests.select("camera_id", "frame_idx", "request_id", F.lit(None).cast("long").alias("_f"))
-    order = Window.partitionBy("camera_id").orderBy("frame_idx", F.col("request_id").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    out = frames.unionByName(asked).withColumn("active_frame", F.last("_f", ignorenulls=True).over(order))
-    return out.filter("request_id IS NOT NULL").select("camera_id", "request_id", "active_frame")
+    Requests and frames of a camera meet in buckets of so many frames; a bucket without a frame before the request takes
+    the last one of the buckets before it, found over a row for each bucket."""
+    place = F.floor(F.col("frame_idx") / bucket).alias("_bucket")
+    frames = tracks.select("camera_id", "frame_idx").distinct().select("camera_id", place, "frame_idx", F.lit(None).cast("string").alias("request_id"), F.col("frame_idx").alias("_f"))
+    asked = requests.select("camera_id", place, "frame_idx", "request_id", F.lit(None).cast("long").alias("_f"))
+    order = Window.partitionBy("camera_id", "_bucket").orderBy("frame_idx", F.col("request_id").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    both = frames.unionByName(asked)
+    last = both.groupBy("camera_id", "_bucket").agg(F.max("_f").alias("_last"))
+    before = Window.partitionBy("camera_id").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    last = last.select("camera_id", "_bucket", F.last("_last", ignorenulls=True).over(before).alias("_before"))
+    here = both.withColumn("_here", F.last("_f", ignorenulls=True).over(order)).filter("request_id IS NOT NULL")
+    return here.join(last, ["camera_id", "_bucket"]).select("camera_id", "request_id", F.coalesce("_here", "_before").alias("active_frame"))
 
 
 def find_reference(requests: DataFrame, gallery: DataFrame, faces: DataFrame, active: DataFrame, confirmed: DataFrame, pending: DataFrame, params: Params = DEFAULTS) -> DataFrame:
@@ -28,15 +35,16 @@ def find_reference(requests: DataFrame, gallery: DataFrame, faces: DataFrame, ac
     confirmed: camera_id, request_id, tracker_id, global_id of tracks with an identity. pending: camera_id, request_id,
     tracker_id, embedding (the mean of the buffer). A hit takes the last active track that holds it."""
     asked = requests.withColumnRenamed("request_id", "query_id").withColumn("face", F.when(F.col("body").isNotNull(), F.col("face")))
-    hits = match_with_face(asked.filter(F.col("body").isNotNull()), gallery, faces, params).withColumnRenamed("query_id", "request_id")
+    hits = checkpointed(match_with_face(asked.filter(F.col("body").isNotNull()), gallery, faces, params).withColumnRenamed("query_id", "request_id"))
     held = active.groupBy("camera_id", "request_id", "global_id").agg(F.max_by("tracker_id", "det_seq").alias("track_id"))
     hit = hits.join(held, ["camera_id", "request_id", "global_id"], "left")
     hit = hit.select("camera_id", "request_id", "global_id", F.coalesce("track_id", F.lit(-1).cast("long")).alias("track_id"), "score", F.when(F.col("track_id").isNull(), "gid_only").otherwise("track_gid").alias("method"))
 
-    missed = requests.join(hits.select("camera_id", "request_id"), ["camera_id", "request_id"], "left_anti")
     key = ["camera_id", "request_id"]
+    missed = checkpointed(requests.select(*key, "body", "face").join(hits.select(*key), key, "left_anti"))
     known = missed.join(confirmed.select(*key, "tracker_id", "global_id"), key)
-    best_of = lambda side, part, name: known.join(side.select("camera_id", "global_id", F.col("embedding").alias("_e")), ["camera_id", "global_id"]).groupBy(*key, "tracker_id").agg(F.max(cosine(F.col(part), F.col("_e"))).alias(name))
+    unit = lambda v: l2_normalize(F.col(v))
+    best_of = lambda side, part, name: known.withColumn("_q", unit(part)).join(side.select("camera_id", "global_id", unit("embedding").alias("_e")), ["camera_id", "global_id"]).groupBy(*key, "tracker_id").agg(F.max(dot(F.col("_q"), F.col("_e"))).alias(name))
     by_body = best_of(gallery, "body", "_body")
     by_face = best_of(faces, "face", "_face")
     own = by_body.join(by_face, [*key, "tracker_id"], "left").withColumn("score", F.when(F.col("_face").isNull(), F.col("_body")).otherwise((F.col("_body") + F.col("_face")) / 2))

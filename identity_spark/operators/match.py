@@ -14,19 +14,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import boxes
-from ..functions.vectors import l2_normalize, mean_vector
+from ..functions.vectors import dot, l2_normalize, mean_vector
 from ..params import DEFAULTS, Params
+from ..shared import checkpointed, small
 
 BLOCK = 1024
 
 
-def _packed(rows: DataFrame, ids: list[str], vector: str, salt: int) -> DataFrame:
-    """camera_id, dim, part and arrays of ids and components; the number of blocks follows the number of rows."""
-    blocks = max(1, -(-rows.count() // BLOCK))
-    part = F.pmod(F.xxhash64(*ids, F.lit(salt)), F.lit(blocks))
-    kept = rows.filter(F.col(vector).isNotNull()).select("camera_id", *ids, F.transform(vector, lambda x: x.cast("double")).alias("_v"), part.alias("part"))
-    packed = kept.withColumn("dim", F.size("_v")).groupBy("camera_id", "dim", "part").agg(F.collect_list(F.struct(*ids, "_v")).alias("_rows"))
-    return packed.select("camera_id", "dim", "part", *[F.col(f"_rows.{i}").alias(i) for i in ids], F.flatten("_rows._v").alias("flat"))
+def _packed(rows: DataFrame, ids: list[str], vector: str, salt: int) -> tuple[DataFrame, DataFrame]:
+    """(camera_id, dim, part and arrays of ids and components; camera_id, dim and their number of parts).
+
+    A camera has a part for every BLOCK of its own rows, so parts are as full with many cameras as with one."""
+    kept = rows.filter(F.col(vector).isNotNull()).select("camera_id", *ids, F.transform(vector, lambda x: x.cast("double")).alias("_v")).withColumn("dim", F.size("_v"))
+    sizes = checkpointed(kept.groupBy("camera_id", "dim").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("parts")))
+    part = F.pmod(F.xxhash64(*ids, F.lit(salt)), F.col("parts"))
+    packed = kept.join(small(sizes), ["camera_id", "dim"]).withColumn("part", part).groupBy("camera_id", "dim", "part").agg(F.collect_list(F.struct(*ids, "_v")).alias("_rows"))
+    return packed.select("camera_id", "dim", "part", *[F.col(f"_rows.{i}").alias(i) for i in ids], F.flatten("_rows._v").alias("flat")), sizes
 
 
 def _unit(flat: np.ndarray, dim: int) -> np.ndarray:
@@ -38,11 +41,12 @@ def all_top1_sims(queries: DataFrame, gallery: DataFrame, *, query: str = "query
     """camera_id, query, global_id, score (highest cosine of the identity's entries) and first_seq (its first entry).
 
     queries: camera_id, query, vector; gallery: camera_id, global_id, entry_seq, entry. Null vectors have no score."""
-    q = _packed(queries, [query], vector, 1).select("camera_id", "dim", F.col(query).alias("q_ids"), F.col("flat").alias("q_flat"))
-    g = _packed(gallery, ["global_id", "entry_seq"], entry, 2)
-    groups = int(gallery.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    q = q.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    tiles = g.withColumn("group", F.pmod("part", F.lit(groups)).cast("int")).join(q, ["camera_id", "dim", "group"])
+    q = _packed(queries, [query], vector, 1)[0].select("camera_id", "dim", F.col(query).alias("q_ids"), F.col("flat").alias("q_flat"))
+    g, sizes = _packed(gallery, ["global_id", "entry_seq"], entry, 2)
+    # a camera's blocks are dealt into as many groups as there are tasks, or as it has blocks
+    groups = sizes.select("camera_id", "dim", F.least("parts", F.lit(int(gallery.sparkSession.conf.get("spark.sql.shuffle.partitions")))).alias("groups"))
+    q = q.join(small(groups), ["camera_id", "dim"]).withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1))).drop("groups")
+    tiles = g.join(small(groups), ["camera_id", "dim"]).withColumn("group", F.pmod("part", F.col("groups"))).drop("groups").join(q, ["camera_id", "dim", "group"])
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -71,10 +75,9 @@ def centroids(gallery: DataFrame, vector: str = "embedding") -> DataFrame:
 
 def top1_sim(queries: DataFrame, gallery: DataFrame, query: str = "query_id", vector: str = "embedding") -> DataFrame:
     """Highest cosine of a query within its own identity (camera_id, query, global_id); 0.0 if that has no entry."""
-    from ..functions.vectors import cosine
-
-    pairs = queries.select("camera_id", query, "global_id", F.col(vector).alias("_q")).join(gallery.select("camera_id", "global_id", F.col("embedding").alias("_e")), ["camera_id", "global_id"], "left")
-    return pairs.groupBy("camera_id", query, "global_id").agg(F.coalesce(F.max(cosine(F.col("_q"), F.col("_e"))), F.lit(0.0)).alias("score"))
+    own = queries.select("camera_id", query, "global_id", l2_normalize(F.col(vector)).alias("_q"))
+    pairs = own.join(gallery.select("camera_id", "global_id", l2_normalize(F.col("embedding")).alias("_e")), ["camera_id", "global_id"], "left")
+    return pairs.groupBy("camera_id", query, "global_id").agg(F.coalesce(F.max(dot(F.col("_q"), F.col("_e"))), F.lit(0.0)).alias("score"))
 
 
 def exclude_active(scores: DataFrame, active: DataFrame, query: str = "query_id") -> DataFrame:

@@ -16,6 +16,11 @@ from ..params import DEFAULTS, Params
 TRACK = ("camera_id", "tracker_id")
 
 
+def by_frame():
+    """Window of a track's rows in the order of frames."""
+    return Window.partitionBy(*TRACK).orderBy("frame_idx")
+
+
 def prev_bbox_iou(tracks: DataFrame) -> DataFrame:
     """Adds prev_iou: overlap with the same track's box before, null for its first one."""
     before = F.lag(boxes.box()).over(Window.partitionBy(*TRACK).orderBy("frame_idx"))

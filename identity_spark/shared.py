@@ -1,10 +1,14 @@
-"""The folder for checkpoints."""
+"""The folder for checkpoints, and broadcasts behind a count."""
 
 from __future__ import annotations
 
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Narrow tables of more rows are joined by a shuffle and not broadcast.
+BROADCAST_ROWS = 200_000
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -17,3 +21,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(place or "file://" + tempfile.mkdtemp(prefix="identity-spark-"))
     return df.checkpoint()
+
+
+def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, with a hint to broadcast it where its rows, which are counted, allow that."""
+    return F.broadcast(df) if df.count() <= most else df

@@ -240,3 +240,68 @@ def test_linker_keeps_numbers():
     assert link.step(20, a[:1], np.array([0.9])).tolist() == [1]
     assert link.step(21, a, np.array([0.9, 0.3])).tolist() == [1, 0]  # track 2 wasn't in the frame before
     assert link.step(60, a, np.array([0.9, 0.9])).tolist() == [3, 4]
+
+
+def test_blocks_are_full_with_many_cameras(spark):
+    rows = spark.range(8000).select((F.col("id") % 200).alias("camera_id"), F.col("id").alias("query_id"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("embedding"))
+    packed, sizes = match._packed(rows, ["query_id"], "embedding", 1)
+    assert packed.count() == 200 and sizes.agg(F.max("parts")).first()[0] == 1
+    one = spark.range(5000).select(F.lit(7).cast("long").alias("camera_id"), F.col("id").alias("query_id"), F.array(F.lit(1.0)).alias("embedding"))
+    sizes = [r["n"] for r in match._packed(one, ["query_id"], "embedding", 1)[0].select(F.size("query_id").alias("n")).collect()]
+    assert len(sizes) == 5 and sum(sizes) == 5000 and max(sizes) < 1300
+
+
+def test_top1_sims_by_camera(spark):
+    rng = np.random.default_rng(3)
+    g = [(c, i % 4, 10 * c + i, rng.normal(size=5).tolist()) for c in range(30) for i in range(8)]
+    q = [(c, 100 * c + i, rng.normal(size=5).tolist()) for c in range(31) for i in range(3)]
+    found = match.all_top1_sims(spark.createDataFrame(q, "camera_id long, query_id long, embedding array<double>"), spark.createDataFrame(g, "camera_id long, global_id long, entry_seq long, embedding array<double>"))
+    out = {(r["query_id"], r["global_id"]): r["score"] for r in found.collect()}
+    cos = lambda a, b: float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b))
+    want = {(i, k): max(cos(v, w) for d, e, _, w in g if (d, e) == (c, k)) for c, i, v in q for k in range(4) if c < 30}
+    assert out == pytest.approx(want)
+
+
+def test_capped_is_as_one_by_one():
+    rng = np.random.default_rng(4)
+    for n in (1, 9, 10, 11, 60):
+        vectors = [unit(x) for x in rng.normal(size=(n, 6))]
+        left = list(range(n))
+        while len(left) > 10:
+            left.pop(most_central([vectors[i] for i in left]))
+        assert gallery.capped(vectors, 10) == left
+
+
+def test_active_as_of_over_buckets(spark):
+    tracks = spark.createDataFrame([(0, 3), (0, 12), (0, 55), (1, 40)], "camera_id long, frame_idx long")
+    asked = spark.createDataFrame([(0, 2, "a"), (0, 3, "b"), (0, 49, "c"), (0, 90, "d"), (1, 39, "e"), (2, 9, "f")], "camera_id long, frame_idx long, request_id string")
+    out = {r["request_id"]: r["active_frame"] for r in lookup.active_as_of(asked, tracks, bucket=10).collect()}
+    assert out == {"a": None, "b": 3, "c": 12, "d": 55, "e": None, "f": None}
+
+
+def test_identify_tracks(spark):
+    from identity_spark.jobs import batch
+
+    rows = []
+    for f in range(8):
+        for k, t in enumerate((1, 2, 3)):
+            v = [1.0, 0.0] if t < 3 else [0.0, 1.0]
+            rows.append((0, f, 3 * f + k, t, True, False, v, None, 0.0, 0.0, 9.0, 9.0))
+    seen = spark.createDataFrame(rows, "camera_id long, frame_idx long, det_seq long, tracker_id long, qualifies boolean, has_face boolean, body array<double>, face array<double>, x1 double, y1 double, x2 double, y2 double")
+    bodies = spark.createDataFrame([(0, 4, 1, [1.0, 0.1], True)], "camera_id long, global_id long, entry_seq long, embedding array<double>, has_face boolean")
+    faces_of = bodies.select("camera_id", "global_id", "entry_seq", "embedding").limit(0)
+    out = {r["tracker_id"]: (r["frame_idx"], r["global_id"], r["match_type"]) for r in batch.identify_tracks(seen, bodies, faces_of).collect()}
+    assert out == {1: (4, 4, "B"), 2: (4, 5, "NEW"), 3: (4, 6, "NEW")}  # one identity goes to one track
+    known = spark.createDataFrame([(0, 3, 4)], "camera_id long, tracker_id long, global_id long")
+    out = {r["tracker_id"]: (r["global_id"], r["match_type"]) for r in batch.identify_tracks(seen, bodies, faces_of, known).collect()}
+    assert out == {1: (5, "NEW"), 2: (6, "NEW")}  # a known track of the frame holds it
+
+
+def test_frames_for_pose(spark):
+    from identity_spark.jobs import batch
+
+    rows = [(0, f, f, 1, 0.0, 0.0, 10.0, 10.0, 2 if f == 0 else None) for f in range(5)]
+    seen = spark.createDataFrame(rows, "camera_id long, frame_idx long, obs_id long, tracker_id long, x1 double, y1 double, x2 double, y2 double, pose_quality int")
+    known = spark.createDataFrame([(0, 1, 7, 0)], "camera_id long, tracker_id long, global_id long, since long")
+    out = {r["frame_idx"]: (r["needs_pose"], r["cached_quality"]) for r in batch.frames_for_pose(seen, known, Params(stable_min_frames=3)).collect()}
+    assert out == {0: (True, None), 1: (True, 2), 2: (True, 2), 3: (False, 2), 4: (False, 2)}
