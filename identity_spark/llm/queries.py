@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard, labelled_pages, licences, main_text, pieces, secrets, sharding, token_files, topk
+from . import decontamination, jaccard, labelled_pages, licences, main_text, oracles, pieces, secrets, sharding, token_files, topk
 from . import toxicity as tox
 from .common import table
 
@@ -103,6 +103,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_sharding": oracles.sharding_sql(24),
+    "op4_decontamination": oracles.decontamination_sql(),
+    "op8_jaccard_join": oracles.JACCARD,
+    "op9_secret_scans": oracles.secrets_sql(),
     "op10_exact_top_k": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS e FROM embeddings
                    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
