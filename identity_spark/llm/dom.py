@@ -6,13 +6,22 @@ import html as entities
 import re
 from dataclasses import dataclass, field
 
-#: Comments, declarations, raw elements' contents are skipped; a tag may have quoted values with any character.
-_MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
+#: Comments, declarations, and tags. A value is quoted only after an equals sign, and a quote that nothing closes is a
+#: character as any other, so text is never taken for a value.
+_VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s>]*+)"""
+_MARKUP = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>=]++(?:\s*+=\s*+{_VALUE})?+|=)*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 #: Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object".split())
-INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
+#: Their contents are characters and no markup, and no page shows them as its text.
+RAW = frozenset("script style textarea title iframe".split())
+#: Their contents are elements that no page shows.
+UNSHOWN = frozenset("noscript template".split())
+#: What isn't here stands in a line of text.
+BLOCK = frozenset(
+    "address article aside blockquote body br caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frame frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li link main menu"
+    " menuitem meta nav noframes ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul video audio canvas select".split()
+) | RAW | UNSHOWN
 #: Opening one of these ends an open one of the named kinds, up to the next container.
 ENDS = {
     **{t: frozenset(["p"]) for t in "address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()},
@@ -47,6 +56,7 @@ def read(page: str) -> Page:
     out = Page()
     stack = [0]
     at, n = 0, len(page)
+    unclosed: set[str] = set()  # tags that nothing closes in the rest of the page
 
     def text(raw: str) -> None:
         if raw:
@@ -62,27 +72,31 @@ def read(page: str) -> Page:
         if m[2] is None:
             continue
         tag = m[2].lower()
-        if tag not in INLINE:
+        if tag in BLOCK:
             out.runs.append((stack[-1], "\n"))
         if m[1]:
             for k in range(len(stack) - 1, 0, -1):
                 if out.tag[stack[k]] == tag:
                     del stack[k:]
                     break
-                if tag in INLINE and out.tag[stack[k]] not in INLINE:
+                if tag not in BLOCK and out.tag[stack[k]] in BLOCK:
                     break
             continue
-        if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            if not m[3].endswith("/"):
-                at = close.end() if close else n
+        if tag in RAW or tag in UNSHOWN:
+            # a raw one that nothing closes takes the rest, as in browsers; of the others nothing but the tag is left out
+            close = re.compile(rf"</{re.escape(tag)}(?:\s[^>]*+)?>", re.I).search(page, at) if tag not in unclosed else None
+            if close is None:
+                unclosed.add(tag)
+                at = n if tag in RAW else at
+            elif tag in RAW or not m[3].endswith("/"):
+                at = close.end()
             continue
         if tag in ("html", "body") and any(out.tag[i] == tag for i in stack):
             continue
         for k in range(len(stack) - 1, 0, -1):
             if out.tag[stack[k]] in ENDS.get(tag, ()):
                 del stack[k:]
-            elif out.tag[stack[k]] in CONTAINERS and k < len(stack) - 1 or out.tag[stack[k]] in CONTAINERS:
+            elif out.tag[stack[k]] in CONTAINERS:
                 break
         out.tag.append(tag)
         out.attributes.append(_named(m[3]) if m[3] else "")
