@@ -12,8 +12,10 @@ whole text. Labels and texts are the model's only inputs.
 
 Defined results: a null or empty text, or one without words, gets the score of an empty window; labels other than 0
 and 1, null labels and labels without a document are ignored; repeated labels count as often as they come; with no
-label of a class every score is 0.0, or 1.0 if only toxic ones are there; an empty table gives no rows; further
-columns are ignored.
+label of a class every score is 0.0, or 1.0 if only toxic ones are there; a null key is scored as any other and takes
+part in no label; equal texts and repeated rows have equal scores; a text of any length is scored whole, in memory of
+some 60 bytes for each of its own; an empty table gives no rows; further columns are kept, but for one that has the
+score's name, which is replaced.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ from .words import BASE, INVERSE, mix
 
 #: Most labelled rows of each class that a model is fitted on: those of the least hashed keys.
 SAMPLE = {0: 3000, 1: 2000}
+#: Most bytes of text of each class in the sample: a row that would go beyond is left out.
+SAMPLE_BYTES = {0: 24_000_000, 1: 16_000_000}
 BUCKETS = 1 << 18
 DIM = 8
 GRAMS = (3, 4, 5)
@@ -258,12 +262,12 @@ def _jointly(w: Words, y: np.ndarray, used_texts: np.ndarray) -> Model:
 
 
 def held_out(key: str) -> Column:
-    """True for rows that no label is learnt from: crc32 of the key as text, modulo 5, is 0."""
-    return F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0
+    """True for rows that no label is learnt from: crc32 of the key as text, modulo 5, is 0. False for a null key."""
+    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def trained(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
-    """A model from the labels of rows that aren't held out; the sample's bound is SAMPLE, whatever the table's size."""
+    """A model from the labels of rows that aren't held out; SAMPLE and SAMPLE_BYTES bound the sample at any size of table."""
     usable = labels.filter(F.col(label).isin(0, 1) & ~held_out(key)).select(F.col(key).alias("_key"), F.col(label).alias("_label"))
     different = usable.distinct()
     counts = {r["_label"]: r["n"] for r in usable.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -272,7 +276,14 @@ def trained(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: st
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(chosen[0].unionByName(chosen[1])), "_key")
     # where a key repeats, the text of the least hash stands for it
     least = F.min(F.struct(F.xxhash64("_text").alias("hash"), F.coalesce("_text", F.lit("")).alias("text")))["text"]
-    sample = sorted(rows.groupBy("_key", "_label").agg(least.alias("_text")).collect(), key=lambda r: (r["_key"], r["_text"], r["_label"]))
+    room, sample = dict(SAMPLE_BYTES), []
+    for r in rows.groupBy("_key", "_label").agg(least.alias("_text")).orderBy(F.xxhash64("_key"), "_key", "_label").toLocalIterator():
+        room[r["_label"]] -= (size := len(r["_text"].encode()))
+        if room[r["_label"]] >= 0:
+            sample.append(r)
+        else:
+            room[r["_label"]] += size
+    sample.sort(key=lambda r: (r["_key"], r["_text"], r["_label"]))
     return fit([r["_text"] for r in sample], [r["_label"] for r in sample], (counts.get(0, 0), counts.get(1, 0)))
 
 
