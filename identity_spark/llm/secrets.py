@@ -9,7 +9,8 @@ A span is (kind, start, end) in code points, the end exclusive; matches of a kin
 a match whose value group is shorter than the rule's minimum is dropped afterwards.
 
 Defined results: a null text is empty and has no spans; rows with equal keys are kept apart, a null key is a key as
-any other; repeated rows have equal spans; further columns are ignored; an empty table gives no rows.
+any other; repeated rows have equal spans; a text of any length is scanned whole; further columns are kept, but for one
+that has the result's name, which is replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from .common import written
 
 #: Candidates or verified rows (some 40 bytes, and 40 for a span) beyond this many are joined by a shuffle, not broadcast.
 BROADCAST_ROWS = 100_000
+#: Matches of a text that are folded, and spans that are replaced, together.
+PART = 256
 #: Most literal strings that are followed side by side while a query is derived.
 MOST_LITERALS = 64
 
@@ -144,6 +147,12 @@ def candidates(index: DataFrame, keys: list[str], trigrams: list[str], queries:
     return flagged.filter(reduce(or_, [F.col(k) for k in meets]))
 
 
+def _parts(items: Column) -> Column:
+    """An array in runs of PART items, one empty run for an empty one."""
+    last = F.greatest(F.size(items) - 1, F.lit(0))
+    return F.transform(F.sequence(F.lit(0), F.floor(last / PART).cast("int")), lambda k: F.slice(items, k * PART + 1, PART))
+
+
 def spans_of(text: Column, rule: Rule, order: int) -> Column:
     """Array of (start, order, kind, end) of the matches of ``rule``; starts are sums of the lengths between matches."""
     pattern = F.lit(rule.pattern)
@@ -153,6 +162,7 @@ def spans_of(text: Column, rule: Rule, order: int) -> Column:
         F.regexp_extract_all(text, pattern, F.lit(rule.group)).alias("value"),
     )
     none = F.array().cast("array<struct<start:long,order:int,kind:string,end:long>>")
+    at_start = F.struct(F.lit(0).cast("long").alias("at"), none.alias("spans"))
 
     def step(done: Column, x: Column) -> Column:
         start = done["at"] + F.char_length(x["gap"])
@@ -161,7 +171,13 @@ def spans_of(text: Column, rule: Rule, order: int) -> Column:
         spans = F.when(F.char_length(x["value"]) >= rule.least, F.concat(done["spans"], F.array(span))).otherwise(done["spans"])
         return F.struct(end.alias("at"), spans.alias("spans"))
 
-    folded = F.aggregate(matches, F.struct(F.lit(0).cast("long").alias("at"), none.alias("spans")), step, lambda x: x["spans"])
+    def moved(done: Column, part: Column) -> Column:
+        move = lambda x: F.struct((x["start"] + done["at"]).alias("start"), x["order"], x["kind"], (x["end"] + done["at"]).alias("end"))
+        return F.struct((done["at"] + part["at"]).alias("at"), F.concat(done["spans"], F.array(F.transform(part["spans"], move))).alias("spans"))
+
+    # in parts, so that no array grows match by match over a whole text
+    parts = F.transform(_parts(matches), lambda part: F.aggregate(part, at_start, step))
+    folded = F.aggregate(parts, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<array<struct<start:long,order:int,kind:string,end:long>>>").alias("spans")), moved, lambda x: F.flatten(x["spans"]))
     # a cheap look first: the value's least length bounds the match's, so a text without such a run has none
     look = re_least(rule)
     return F.when(text.rlike(look), folded).otherwise(none) if look else folded
@@ -216,9 +232,18 @@ def redacted(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES,
     found = find_secrets(docs, rules, key=key, text=text, out="__spans")
 
     def step(done: Column, x: Column) -> Column:
-        new = F.concat(done["out"], F.substring(F.col(text), done["at"] + 1, x["start"] - done["at"]), F.lit("["), x["kind"], F.lit("]"))
-        return F.struct(F.greatest(done["at"], x["end"]).alias("at"), F.when(x["start"] >= done["at"], new).otherwise(done["out"]).alias("out"))
-
-    kept = F.aggregate("__spans", F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), step)
-    clean = F.concat(kept["out"], F.substring(F.col(text), kept["at"] + 1, F.char_length(text)))
+        cut = F.struct(done["at"].alias("after"), x["start"].alias("start"), x["kind"].alias("kind"))
+        return F.struct(F.greatest(done["at"], x["end"]).alias("at"), F.when(x["start"] >= done["at"], F.concat(done["cuts"], F.array(cut))).otherwise(done["cuts"]).alias("cuts"))
+
+    def piece(cuts: Column) -> Column:
+        first, last = F.element_at(cuts, 1)["after"], F.element_at(cuts, -1)["start"]
+        # the part's own stretch of text is cut out once
+        stretch = F.array(F.substring(F.col(text), first + 1, last - first))
+        fill = lambda t: F.array_join(F.transform(cuts, lambda x: F.concat(F.substring(t, x["after"] - first + 1, x["start"] - x["after"]), F.lit("["), x["kind"], F.lit("]"))), "")
+        return F.element_at(F.transform(stretch, fill), 1)
+
+    none = F.array().cast("array<struct<after:long,start:long,kind:string>>")
+    kept = F.aggregate("__spans", F.struct(F.lit(0).cast("long").alias("at"), none.alias("cuts")), step)
+    found = found.withColumn("__kept", F.when(F.size("__spans") > 0, kept))
+    clean = F.concat(F.array_join(F.transform(_parts(F.col("__kept.cuts")), piece), ""), F.substring(F.col(text), F.col("__kept.at") + 1, F.char_length(text)))
     return found.withColumn(text, F.when(F.size("__spans") > 0, clean).otherwise(F.col(text))).select(*docs.columns)
