@@ -2,14 +2,16 @@
 
 A text is put into canonical form: lower case, without copyright lines (those of a notice, not a text's own lines that
 begin with the word), comment marks and punctuation, with one spelling of equivalent words and single blanks. The digests of whole canonical texts are joined to those of known
-licence texts and notices. A document's texts are the document, its paragraphs and its lines, each as a whole.
+licence texts and notices. A document's texts are the document, its paragraphs, its lines, and where a paragraph is
+the first one of a known text, the block of as many paragraphs as that has; each is taken as a whole.
 
 The known digests are a small table with a row for each known text, whose size doesn't depend on the documents; it is
 broadcast behind a count, so no digest that many documents share meets in one task.
 
 Defined results: a null text is empty; an empty canonical text is no licence; a licence that a document holds several
 times, or in a line as well as in a paragraph, is listed once; rows with equal or null keys are judged each by its own
-text; further columns are ignored; an empty table gives no rows.
+text, repeated rows equally; a text of any length is compared whole; of known texts with one canonical form the first
+name wins; further columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -188,26 +190,54 @@ def known(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "licence string, text string")
 
 
+def _paragraphs(lines: Column) -> Column:
+    return F.split(lines, r" \n(?: \n)+")
+
+
+def _known_digests(licences: DataFrame) -> DataFrame:
+    """digest, licence (null if the digest is of no whole text) and blocks, the numbers of paragraphs of the texts that begin with it."""
+    lines = licences.select("licence", prepared(F.col("text")).alias("_lines"))
+    whole = lines.select("licence", joined_lines(F.col("_lines")).alias("_c")).filter(F.length("_c") > 0).select(F.sha2("_c", 256).alias("digest"), "licence", F.lit(None).cast("int").alias("_n"))
+    parts = lines.select(F.filter(F.transform(_paragraphs(F.col("_lines")), joined_lines), lambda x: F.length(x) > 0).alias("_p")).filter(F.size("_p") > 1)
+    first = parts.select(F.sha2(F.element_at("_p", 1), 256).alias("digest"), F.lit(None).cast("string").alias("licence"), F.size("_p").alias("_n"))
+    return whole.unionByName(first).groupBy("digest").agg(F.min("licence").alias("licence"), F.array_sort(F.collect_set("_n")).alias("blocks"))
+
+
+def _small(table: DataFrame) -> DataFrame:
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def scan(docs: DataFrame, licences: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, whole_licence (of the document as a whole), licences (sorted) and n_places of every row of ``docs``.
 
     licences: (licence, text) of known texts; where two have one canonical form the first name wins."""
-    digests = licences.select("licence", canonical(F.col("text")).alias("_c")).filter(F.length("_c") > 0).groupBy(F.sha2("_c", 256).alias("digest")).agg(F.min("licence").alias("licence"))
-    digests = written(digests, "digests")
-    side = F.broadcast(digests) if digests.count() <= BROADCAST_ROWS else digests
+    digests = written(_known_digests(licences), "digests")
     words = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key).alias("_key"), F.xxhash64(words).alias("_print"), words.alias("_text"))
     ready = rows.select("_key", "_print", prepared(F.col("_text")).alias("_lines"))
     unit = lambda kind, x: F.struct(F.lit(kind).alias("kind"), joined_lines(x).alias("text"))
-    lines, parts = F.split("_lines", "\n"), F.split("_lines", r" \n(?: \n)+")
+    lines, parts = F.split("_lines", "\n"), _paragraphs(F.col("_lines"))
     none = F.array().cast("array<struct<kind:string,text:string>>")
     units = F.concat(F.array(unit("whole", F.col("_lines"))), F.when(F.size(parts) > 1, F.transform(parts, lambda x: unit("paragraph", x))).otherwise(none), F.when(F.size(lines) > 1, F.transform(lines, lambda x: unit("line", x))).otherwise(none))
     cut = ready.select("_key", "_print", F.posexplode(units).alias("at", "unit")).select("_key", "_print", "at", "unit.kind", F.sha2("unit.text", 256).alias("digest"))
-    hits = cut.join(side, "digest").groupBy("_key", "_print").agg(
+    raw = written(cut.join(_small(digests), "digest").select("_key", "_print", "at", "kind", "licence", "blocks"), "hits")
+    places = ["_key", "_print", "at", "kind", "licence"]
+    hits = raw.filter("licence IS NOT NULL").select(*places)
+    starts = raw.filter("kind = 'paragraph' AND size(blocks) > 0").groupBy("_key", "_print").agg(F.collect_set(F.struct("at", "blocks")).alias("_starts"))
+    starts = written(starts.withColumnsRenamed({"_key": "_hit", "_print": "_hit_print"}), "starts")
+    same = F.col("_key").eqNullSafe(F.col("_hit")) & (F.col("_print") == F.col("_hit_print"))
+    if starts.limit(1).count():
+        # documents with the first paragraph of a known text: each block of as many paragraphs as that text has
+        some = rows.join(_small(starts), same).select("_key", "_print", "_starts", prepared(F.col("_text")).alias("_lines"))
+        some = some.select("_key", "_print", F.transform(_paragraphs(F.col("_lines")), joined_lines).alias("_p"), F.sha2(joined_lines(F.col("_lines")), 256).alias("_whole"), F.explode("_starts").alias("_s"))
+        some = some.select("_key", "_print", "_p", "_whole", F.col("_s.at").alias("at"), F.explode("_s.blocks").alias("_n"))
+        blocks = some.select("_key", "_print", "_whole", "at", F.sha2(F.array_join(F.slice("_p", F.col("at"), F.col("_n")), " "), 256).alias("digest")).filter("digest <> _whole")
+        found = blocks.join(_small(digests.filter("licence IS NOT NULL")), "digest").select("_key", "_print", (-F.col("at")).alias("at"), F.lit("block").alias("kind"), "licence")
+        hits = hits.unionByName(found)
+    of_doc = hits.groupBy("_key", "_print").agg(
         F.max(F.when(F.col("kind") == "whole", F.col("licence"))).alias("whole_licence"), F.collect_set("licence").alias("_licences"), F.size(F.collect_set("at")).cast("long").alias("_n")
     )
-    hits = written(hits.withColumnsRenamed({"_key": "_hit", "_print": "_hit_print"}), "licensed")
-    side = F.broadcast(hits) if hits.count() <= BROADCAST_ROWS else hits
-    out = rows.select("_key", "_print").join(side, F.col("_key").eqNullSafe(F.col("_hit")) & (F.col("_print") == F.col("_hit_print")), "left")
+    of_doc = written(of_doc.withColumnsRenamed({"_key": "_hit", "_print": "_hit_print"}), "licensed")
+    out = rows.select("_key", "_print").join(_small(of_doc), same, "left")
     none = F.array().cast("array<string>")
     return out.select(F.col("_key").alias(key), "whole_licence", F.array_sort(F.coalesce("_licences", none)).alias("licences"), F.coalesce("_n", F.lit(0).cast("long")).alias("n_places"))
