@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from brute import brute_components, brute_spans, brute_viterbi
 from pyspark.sql import functions as F
@@ -244,8 +245,6 @@ def test_token_files(spark):
 
 
 def test_token_files_layout(spark, tmp_path):
-    import pyarrow.parquet as pq
-
     path = f"file://{tmp_path}/tokens"
     token_files.token_table(docs(spark, [(i, f"text {i}") for i in range(50)]), queries.vocabulary("byte_bpe_50k.json"), path=path)
     file = max(tmp_path.glob("tokens/*.parquet"), key=lambda p: pq.read_metadata(p).num_rows)
@@ -271,6 +270,33 @@ def test_main_text_model():
     assert main_text.main_texts([page, "", "<<<>", "plain"], model)[:2] == ["A & B First part. Next boldword é. Open", ""]
 
 
+def test_html_in_odd_forms():
+    model = main_text.fit(labelled_pages.pages(160))
+    start, end = "<article><h1>A title of the page</h1><p>", "</p><p>Another paragraph of the article, with words enough. It ends here.</p></article>"
+    cases = {
+        "<b title='it's'>first</b> and more text of it.": "first and more text of it.",
+        'a formula <math><mi>E</mi><mo>=</mo><mi>m</mi></math> in it.': "a formula E=m in it.",
+        "long<wbr>word, pic<img src=a>ture, <custom-tag>own</custom-tag>tag.": "longword, picture, owntag.",
+        "<object data=x>text in place of it</object> stays.": "text in place of it stays.",
+        "<noscript>no text<p>is lost, as nothing ends it.": "no text is lost, as nothing ends it.",
+        'Words of a <a href="x>y" b = c d>link</a> stay here, <i title="no end>and on it goes.': "Words of a link stay here, and on it goes.",
+    }
+    for given, want in cases.items():
+        text = main_text.main_texts([start + given + end], model)[0]
+        assert text == f"A title of the page {want} Another paragraph of the article, with words enough. It ends here.", given
+
+
+def test_main_text_of_the_given_pages():
+    import html
+    import re
+
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist()
+    found = main_text.main_texts(pages, main_text.fit(labelled_pages.pages()))
+    for page, text in zip(pages, found, strict=True):
+        article = re.search("<article.*?</article>", page, re.DOTALL)
+        assert text == " ".join(html.unescape(re.sub("<[^>]+>", " ", article[0])).split())
+
+
 def test_main_text_messages_are_exact():
     rng = np.random.default_rng(0)
     f = main_text.forest([main_text.read("<div><p>a</p><ul><li>b<a href=x>c</a></li></ul></div>")])
@@ -313,6 +339,10 @@ def test_licences_in_full(spark):
         texts += [(licence, text.strip().split("\n", 1)[1])] if licence in ("MPL-2.0", "CC-BY-SA-4.0") else [(licence, text[: text.index(end)])] if end else []
     out = {r["doc_id"]: r["whole_licence"] for r in licences.scan(docs(spark, [(i, t) for i, (_, t) in enumerate(texts)]), licences.known(spark)).collect()}
     assert out == {i: x for i, (x, _) in enumerate(texts)}
+    # the same in a document of more text, once or twice
+    inside = [(x, f"A readme of some words.\n\n{t}\n\nMore words after it.") for x, t in texts] + [("MIT", "\n\nand\n\n".join(t for x, t in texts if x == "MIT"))]
+    out = {r["doc_id"]: r for r in licences.scan(docs(spark, [(i, t) for i, (_, t) in enumerate(inside)]), licences.known(spark)).collect()}
+    assert [i for i, (x, _) in enumerate(inside) if x not in out[i]["licences"] or out[i]["whole_licence"] is not None] == []
 
 
 def test_licences_in_any_wrapping(spark):
@@ -376,6 +406,19 @@ def test_secrets(spark):
     assert secrets.find_secrets(empty(spark)).count() == 0
 
 
+def test_many_secrets_in_a_text(spark):
+    rows = [(1, " ".join(f"é password=abcdef{i:03d};" for i in range(700))), (2, " ".join(f"token=ab{i % 10}" + "c" * (i % 7) for i in range(513)))]
+    out = {r["doc_id"]: [tuple(x) for x in r["spans"]] for r in secrets.find_secrets(docs(spark, rows)).collect()}
+    clean = {r["doc_id"]: r["text"] for r in secrets.redacted(docs(spark, rows)).collect()}
+    for i, text in rows:
+        spans = brute_spans(text)
+        assert out[i] == spans
+        at, want = 0, ""
+        for start, _, kind, end in spans:
+            at, want = end, want + text[at:start] + f"[{kind}]"
+        assert clean[i] == want + text[at:]
+
+
 def test_trigram_queries():
     assert secrets.trigram_query("[0-9a-f]+") == []
     assert secrets.trigram_query("ab") == []
