@@ -41,6 +41,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def own_prefix(df: DataFrame) -> str:
+    """Underscores that no column of ``df`` begins with, for columns that an operator adds while it works."""
+    most = max((len(c) - len(c.lstrip("_")) for c in df.columns), default=0)
+    return "_" * (max(1, most) + 1)
+
+
 def partitions(df: DataFrame) -> int:
     """Partitions of a shuffle, as the session has them."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

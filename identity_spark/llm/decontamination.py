@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidy, written
+from .common import own_prefix, tidy, written
 from .words import BASE, PUNCTUATED, hashed_words, mix, pieces
 
 WINDOW = 13
@@ -175,26 +175,28 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text
     return found
 
 
-def _contaminated(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str) -> tuple[DataFrame, Column]:
-    """(keys and prints of contaminated texts with their figures, condition that a row of ``docs`` is one of them)."""
+def _contaminated(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str) -> tuple[DataFrame, Column, str]:
+    """(keys and prints of contaminated texts with their figures, condition that a row of ``docs`` is one of them, the
+    figures' prefix)."""
+    p = own_prefix(docs)
     found = overlaps(docs, benchmark, key=key, text=text, item=item)
-    of_doc = found.groupBy("key", "print").agg(F.count(F.lit(1)).alias("__n"), F.min("item").alias("__item"), F.max("shared").alias("__shared"))
-    of_doc = written(of_doc.withColumnsRenamed({"key": "__key", "print": "__print"}), "contaminated")
-    same = F.col(key).eqNullSafe(F.col("__key")) & (F.xxhash64(text) == F.col("__print"))
-    return F.broadcast(of_doc) if of_doc.count() <= BROADCAST_KEYS else of_doc, same
+    of_doc = found.groupBy("key", "print").agg(F.count(F.lit(1)).alias(f"{p}n"), F.min("item").alias(f"{p}item"), F.max("shared").alias(f"{p}shared"))
+    of_doc = written(of_doc.withColumnsRenamed({"key": f"{p}key", "print": f"{p}print"}), "contaminated")
+    same = F.col(key).eqNullSafe(F.col(f"{p}key")) & (F.xxhash64(text) == F.col(f"{p}print"))
+    return F.broadcast(of_doc) if of_doc.count() <= BROADCAST_KEYS else of_doc, same, p
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
     """All columns of ``docs`` and n_items, first_item (the least id) and shared_words; these are 0, null and 0 for clean ones.
 
     Columns of ``docs`` with these names are replaced."""
-    of_doc, same = _contaminated(docs, benchmark, key, text, item)
+    of_doc, same, p = _contaminated(docs, benchmark, key, text, item)
     zero = F.lit(0).cast("long")
-    out = docs.join(of_doc, same, "left").withColumns({"n_items": F.coalesce("__n", zero), "first_item": F.col("__item"), "shared_words": F.coalesce("__shared", zero)})
-    return out.drop("__key", "__print", "__n", "__item", "__shared")
+    out = docs.drop("n_items", "first_item", "shared_words").join(of_doc, same, "left").withColumns({"n_items": F.coalesce(f"{p}n", zero), "first_item": F.col(f"{p}item"), "shared_words": F.coalesce(f"{p}shared", zero)})
+    return out.drop(f"{p}key", f"{p}print", f"{p}n", f"{p}item", f"{p}shared")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
     """The rows of ``docs`` that overlap with no item, with their own columns."""
-    of_doc, same = _contaminated(docs, benchmark, key, text, item)
+    of_doc, same, _ = _contaminated(docs, benchmark, key, text, item)
     return docs.join(of_doc, same, "left_anti")

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, tidy, written
+from .common import own_prefix, partitions, tidy, written
 from .components import components
 from .words import mix, pieces, shingle_sets
 
@@ -410,13 +410,14 @@ def similar_sets(docs: DataFrame, *, size: int, percent: int, key: str = "doc_id
 
 def without_near_copies(docs: DataFrame, *, size: int, percent: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each component of :func:`similar_sets`, that of the least key, and all rows without words."""
+    p = own_prefix(docs)
     found = written(similar_sets(docs, size=size, percent=percent, key=key, text=text), "groups").filter("group IS NOT NULL").withColumnRenamed(key, "key")
     row = F.struct(F.col("key").isNull().alias("none"), "key", "print")
     stays = found.groupBy("group").agg(F.min(row).alias("stays"))
-    goes = written(found.join(stays, "group").filter(~(row == F.col("stays"))).select(F.col("key").alias("__key"), F.col("print").alias("__print")).distinct(), "copies")
-    twice = found.groupBy(F.col("key").alias("__key"), F.col("print").alias("__print")).count().filter("count > 1").select("__key", "__print")
+    goes = written(found.join(stays, "group").filter(~(row == F.col("stays"))).select(F.col("key").alias(f"{p}key"), F.col("print").alias(f"{p}print")).distinct(), "copies")
+    twice = found.groupBy(F.col("key").alias(f"{p}key"), F.col("print").alias(f"{p}print")).count().filter("count > 1").select(f"{p}key", f"{p}print")
     twice = written(twice, "repeated")
-    same = F.col(key).eqNullSafe(F.col("__key")) & F.xxhash64(text).eqNullSafe(F.col("__print"))
+    same = F.col(key).eqNullSafe(F.col(f"{p}key")) & F.xxhash64(text).eqNullSafe(F.col(f"{p}print"))
     out = docs.join(_small(goes), same, "left_anti")
     if twice.limit(1).count():  # rows that are the same in key and text are told apart by nothing: one of them stays
         one = out.join(_small(twice), same, "left_semi").dropDuplicates([key, text])

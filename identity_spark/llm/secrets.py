@@ -25,7 +25,7 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import own_prefix, written
 
 #: Candidates or verified rows (some 40 bytes, and 40 for a span) beyond this many are joined by a shuffle, not broadcast.
 BROADCAST_ROWS = 100_000
@@ -202,24 +202,25 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RU
 
     A column of that name is replaced."""
     docs = docs.drop(out)
+    p = own_prefix(docs)
     words = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.withColumns({"__key": F.col(key), "__text": words, "__print": F.xxhash64(words)})
+    rows = docs.withColumns({f"{p}key": F.col(key), f"{p}text": words, f"{p}print": F.xxhash64(words)})
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     asked = {k: q for k, q in queries.items() if q}
     scanned = [(i, r) for i, r in enumerate(rules) if r.kind not in asked]
     none = F.array().cast("array<struct<start:long,order:int,kind:string,end:long>>")
-    keys = ["__key", "__print"]
-    found_in = rows.select(*docs.columns, *keys, F.concat(none, *[spans_of(F.col("__text"), r, i) for i, r in scanned]).alias("__scanned"))
+    keys = [f"{p}key", f"{p}print"]
+    found_in = rows.select(*docs.columns, *keys, F.concat(none, *[spans_of(F.col(f"{p}text"), r, i) for i, r in scanned]).alias(f"{p}scanned"))
     if asked:
         trigrams = sorted({t for q in asked.values() for c in q for s in c for t in s})
-        found = written(candidates(postings(rows, keys, "__text", trigrams), keys, trigrams, asked), "candidates")
-        found = found.withColumnsRenamed({"__key": "__found_key", "__print": "__found_print"})
-        same = F.col("__key").eqNullSafe(F.col("__found_key")) & (F.col("__print") == F.col("__found_print"))
-        spans = F.concat(none, *[F.when(F.col(r.kind), spans_of(F.col("__text"), r, i)).otherwise(none) for i, r in enumerate(rules) if r.kind in asked])
-        verified = rows.select(*keys, "__text").join(_small(found), same).select("__found_key", "__found_print", spans.alias("__verified"))
-        verified = written(verified.filter(F.size("__verified") > 0).dropDuplicates(["__found_key", "__found_print"]), "verified")
-        found_in = found_in.join(_small(verified), same, "left").withColumn("__scanned", F.concat("__scanned", F.coalesce("__verified", none)))
-    return found_in.select(*docs.columns, F.array_sort("__scanned").alias(out))
+        found = written(candidates(postings(rows, keys, f"{p}text", trigrams), keys, trigrams, asked), "candidates")
+        found = found.withColumnsRenamed({f"{p}key": f"{p}found_key", f"{p}print": f"{p}found_print"})
+        same = F.col(f"{p}key").eqNullSafe(F.col(f"{p}found_key")) & (F.col(f"{p}print") == F.col(f"{p}found_print"))
+        spans = F.concat(none, *[F.when(F.col(r.kind), spans_of(F.col(f"{p}text"), r, i)).otherwise(none) for i, r in enumerate(rules) if r.kind in asked])
+        verified = rows.select(*keys, f"{p}text").join(_small(found), same).select(f"{p}found_key", f"{p}found_print", spans.alias(f"{p}verified"))
+        verified = written(verified.filter(F.size(f"{p}verified") > 0).dropDuplicates([f"{p}found_key", f"{p}found_print"]), "verified")
+        found_in = found_in.join(_small(verified), same, "left").withColumn(f"{p}scanned", F.concat(f"{p}scanned", F.coalesce(f"{p}verified", none)))
+    return found_in.select(*docs.columns, F.array_sort(f"{p}scanned").alias(out))
 
 
 def _small(table: DataFrame) -> DataFrame:
@@ -229,7 +230,8 @@ def _small(table: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with each stretch of overlapping spans replaced by the kind of its first one, in brackets; null stays null."""
-    found = find_secrets(docs, rules, key=key, text=text, out="__spans")
+    p = own_prefix(docs)
+    found = find_secrets(docs, rules, key=key, text=text, out=f"{p}spans")
 
     def step(done: Column, x: Column) -> Column:
         cut = F.struct(done["at"].alias("after"), x["start"].alias("start"), x["kind"].alias("kind"))
@@ -243,7 +245,7 @@ def redacted(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES,
         return F.element_at(F.transform(stretch, fill), 1)
 
     none = F.array().cast("array<struct<after:long,start:long,kind:string>>")
-    kept = F.aggregate("__spans", F.struct(F.lit(0).cast("long").alias("at"), none.alias("cuts")), step)
-    found = found.withColumn("__kept", F.when(F.size("__spans") > 0, kept))
-    clean = F.concat(F.array_join(F.transform(_parts(F.col("__kept.cuts")), piece), ""), F.substring(F.col(text), F.col("__kept.at") + 1, F.char_length(text)))
-    return found.withColumn(text, F.when(F.size("__spans") > 0, clean).otherwise(F.col(text))).select(*docs.columns)
+    kept = F.aggregate(f"{p}spans", F.struct(F.lit(0).cast("long").alias("at"), none.alias("cuts")), step)
+    found = found.withColumn(f"{p}kept", F.when(F.size(f"{p}spans") > 0, kept))
+    clean = F.concat(F.array_join(F.transform(_parts(F.col(f"{p}kept.cuts")), piece), ""), F.substring(F.col(text), F.col(f"{p}kept.at") + 1, F.char_length(text)))
+    return found.withColumn(text, F.when(F.size(f"{p}spans") > 0, clean).otherwise(F.col(text))).select(*docs.columns)
