@@ -1,7 +1,11 @@
 """A training corpus from the documents: filters, near copies, benchmark passages, secrets, token ids.
 
 Each stage takes (spark, docs, sf_dir) and gives a table; :func:`run` writes it as Parquet and reads it again for the
-next stage. All stages but the last return the columns of ``docs``, and all handle what their operators define."""
+next stage. All stages but the last return the columns of ``docs``, whatever these are besides doc_id and text.
+
+In all stages a null text is one without words, a text of any length is taken whole, rows with equal or null doc_id are
+judged each by its own text, equal rows equally, and an empty table gives no rows. What else is defined stands with
+each stage, and in full with its operator."""
 
 from __future__ import annotations
 
@@ -14,32 +18,38 @@ from identity_spark.llm.common import table, written
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose whole text scores below one half; the model is fitted on the labels of the folder."""
+    """Rows whose whole text scores below one half; the model is fitted on the labels of the folder.
+
+    Null and empty texts stay unless a folder has toxic labels only; without labels all rows stay."""
     model = tox.trained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return tox.toxicity(docs, model, out="__toxicity").filter("__toxicity < 0.5").drop("__toxicity")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of texts that share four fifths of their shingles of five words."""
+    """One row of each group of texts that share four fifths of their shingles of five words.
+
+    That of the least doc_id stays, a null one only if there is no other; of rows that are equal in doc_id and text any
+    one. All rows without words stay."""
     return jaccard.without_near_copies(docs, size=5, percent=80)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without a passage of a benchmark item."""
+    """Rows without a passage of a benchmark item; an empty benchmark lets all stay."""
     return decontamination.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, each secret replaced by its kind; n_chars follows the text."""
+    """All rows, each secret replaced by its kind; n_chars, if there is such a column, follows the text, null stays null."""
     clean = secrets.redacted(docs)
+    if "n_chars" not in docs.columns:
+        return clean
     return clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids and their number for all rows."""
-    # what the workers of earlier stages hold counts too, so this one remembers less than by itself
+    """doc_id, ids and their number for all rows; a null or empty text has none."""
     path = queries.vocabulary("piece_bpe_32k.model")
-    encoded = pieces.encode(docs.select("doc_id", "text"), path, keep_text=False, remembered=60_000, rows_at_once=128)
+    encoded = pieces.encode(docs.select("doc_id", "text"), path, keep_text=False, remembered=300_000, rows_at_once=256)
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids")
 
 
