@@ -16,8 +16,9 @@
 A pair of sets inside one group needs no look, as its link changes nothing; every other linked pair is looked at in
 step 3 or 4. So the components are exact, and the work of a group of near copies grows with its size.
 
-A set is named by a 128-bit digest. Shingles are 64-bit hashes (see :mod:`words`), so the sets are exact but for two
-different shingles of one hash.
+A set is named by a 64-bit digest, and where two sets have one name, which a second digest tells, all but one of them
+by another. Shingles are 64-bit hashes (see :mod:`words`), so the sets are exact but for two different shingles of one
+hash.
 
 Defined results: a null text has no words; texts without words have no shingles and no links; a text with fewer words
 than a shingle is one shingle; equal texts and equal sets are linked; rows with equal or null keys are rows of their
@@ -51,7 +52,9 @@ TILE = 1024
 #: Partners by which a set of a larger tile is tried in step 3; step 4 sees to the rest.
 FIRST_TRIES = 3
 #: Beyond this many rows (40 bytes each) a list of keys or sets is joined by a shuffle and not broadcast.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 100_000
+#: Far above what 64-bit digests of any number of sets give.
+MOST_RENAMED = 1000
 #: Sets that a task remembers to have posted; an exact copy of one isn't posted again.
 POSTED = 100_000
 #: Tiles before a row's own by which a pair that came before is known.
@@ -99,50 +102,50 @@ def _stacked(column: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint8).reshape(len(column), -1)
 
 
-def digest(s: np.ndarray) -> bytes:
-    """A set's name: two independent 64-bit digests."""
+Names = dict[tuple[int, int], int]
+
+
+def digests(s: np.ndarray) -> tuple[int, int]:
+    """Two independent 64-bit digests of a set; the first one is its name unless :func:`renamed` has another."""
     with np.errstate(over="ignore"):
         one = mix(mix(s).sum(keepdims=True) + np.uint64(len(s)))
         two = mix((mix(s ^ np.uint64(0x5DEECE66D5DEECE6)) * np.uint64(0xD6E8FEB86659FD93)).sum(keepdims=True))
-    return one.tobytes() + two.tobytes()
-
+    return int(one.view(np.int64)[0]), int(two.view(np.int64)[0])
 
-def _names(digests: list[bytes], times: np.ndarray | None = None) -> pa.Array:
-    """Digests as a column, each so many times."""
-    both = np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2)
-    both = both if times is None else np.repeat(both, times, axis=0)
-    ends = np.arange(0, 16 * len(both) + 1, 16, dtype=np.int32)
-    return pa.BinaryArray.from_buffers(pa.binary(), len(both), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(both))])
 
-
-def _numbers(names: pa.ChunkedArray) -> np.ndarray:
-    """Digests of a column as rows of two numbers."""
-    return np.frombuffer(b"".join(names.to_pylist()), np.uint64).reshape(-1, 2)
+def renamed(rows: DataFrame) -> Names:
+    """Names for sets whose first digest is that of another one too: one in 2**64 pairs of sets, so few at any size."""
+    twice = rows.filter("n > 0").groupBy("set").agg(F.min("check").alias("_c"), F.max("check").alias("_d")).filter("_c <> _d").select("set", "_c")
+    found = rows.join(F.broadcast(twice.limit(MOST_RENAMED)), "set").filter(F.col("check") != F.col("_c")).select("set", "check").distinct().limit(MOST_RENAMED).collect() if twice.limit(1).count() else []
+    if len(found) >= MOST_RENAMED:
+        raise ValueError("digests of sets are not spread as they should be")
+    return {(one, two): two for one, two in found}
 
 
 def signatures(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """Rows of two kinds. Of a text: key, print, n, set and bits. Of a task's part of the sketch: n = -1 - chunk, bits = counts."""
+    """Rows of two kinds. Of a text: key, print, n, set, check and bits. Of a task's part of the sketch: n = -1 - chunk, bits = counts."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SKETCH, np.uint8)  # full at 255 in a task, which is far above the usual
-        names = ["key", "print", "n", "set", "bits"]
+        names = ["key", "print", "n", "set", "check", "bits"]
         for batch in batches:
             places: list[np.ndarray] = []
             for row, end, data, offsets in pieces(batch.column("text")):
                 sets = list(shingle_sets(data, offsets, size))
                 places += [(s >> _SHIFT).astype(np.int32) for s in sets]
                 n = np.array([len(s) for s in sets], np.int64)
+                both = np.array([digests(s) for s in sets], np.int64).reshape(-1, 2)
                 bits = [bitmap(s, width_of(b)) if len(s) else b"" for s, b in zip(sets, band_of(n), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("key").slice(row, end - row), batch.column("print").slice(row, end - row), pa.array(n), _names([digest(s) for s in sets]), pa.array(bits, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([batch.column("key").slice(row, end - row), batch.column("print").slice(row, end - row), pa.array(n), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(bits, pa.binary())], names)
             if places:
                 counts = np.minimum(counts + np.bincount(np.concatenate(places), minlength=SKETCH), 255).astype(np.uint8)
         chunks = [c for c in range(0, SKETCH, SKETCH_CHUNK) if counts[c : c + SKETCH_CHUNK].any()]
         if chunks:
             none = pa.nulls(len(chunks), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, pa.array([-1 - c // SKETCH_CHUNK for c in chunks], pa.int64()), pa.nulls(len(chunks), pa.binary()), pa.array([counts[c : c + SKETCH_CHUNK].tobytes() for c in chunks], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([none, none, pa.array([-1 - c // SKETCH_CHUNK for c in chunks], pa.int64()), none, none, pa.array([counts[c : c + SKETCH_CHUNK].tobytes() for c in chunks], pa.binary())], names)
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(text).alias("print"), F.col(text).alias("text"))
-    return rows.mapInArrow(tidy(sign), "key long, print long, n long, set binary, bits binary")
+    return rows.mapInArrow(tidy(sign), "key long, print long, n long, set long, check long, bits binary")
 
 
 def sketch_levels(signed: DataFrame) -> np.ndarray:
@@ -162,21 +165,24 @@ def sketch_levels(signed: DataFrame) -> np.ndarray:
     return np.ceil(np.log2(np.maximum(total, usual) / usual)).astype(np.uint8)
 
 
-def postings(docs: DataFrame, text: str, size: int, percent: int, levels: np.ndarray) -> DataFrame:
+def postings(docs: DataFrame, text: str, size: int, percent: int, levels: np.ndarray, names: Names) -> DataFrame:
     """(tile, set, n, guest): a row for each prefix shingle of each set and band; the tile mixes shingle and band."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = shared.value
-        done: set[bytes] = set()
+        done: set[int] = set()
         for batch in batches:
             for _, _, data, offsets in pieces(batch.column("text")):
                 tiles: list[np.ndarray] = []
-                names: list[bytes] = []
-                of: list[tuple[int, int, bool]] = []
+                of: list[tuple[int, int, int, bool]] = []
                 for s in shingle_sets(data, offsets, size):
                     n = len(s)
-                    if not n or (name := digest(s)) in done:
+                    if not n:
+                        continue
+                    both = digests(s)
+                    name = names.get(both, both[0])
+                    if name in done:
                         continue
                     if len(done) >= POSTED:
                         done.clear()
@@ -187,13 +193,12 @@ def postings(docs: DataFrame, text: str, size: int, percent: int, levels: np.nda
                     bands = [band] if n * 100 // percent < BAND ** (band + 1) else [band, band + 1]
                     for b in bands:
                         tiles.append(mix(found + np.uint64(b * 0x632BE5AB & 0xFFFFFFFF)))
-                        names.append(name)
-                        of.append((prefix, n, b != band))
+                        of.append((prefix, name, n, b != band))
                 if tiles:
-                    times, n, guest = (np.array(x) for x in zip(*of, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tiles).view(np.int64)), _names(names, times), pa.array(np.repeat(n, times)), pa.array(np.repeat(guest, times))], ["tile", "set", "n", "guest"])
+                    times, *rest = (np.array(x) for x in zip(*of, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tiles).view(np.int64)), *(pa.array(np.repeat(x, times)) for x in rest)], ["tile", "set", "n", "guest"])
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(tidy(post), "tile long, set binary, n long, guest boolean")
+    return docs.select(F.col(text).alias("text")).mapInArrow(tidy(post), "tile long, set long, n long, guest boolean")
 
 
 def shared_tiles(posted: DataFrame, percent: int) -> DataFrame:
@@ -209,8 +214,8 @@ def shared_tiles(posted: DataFrame, percent: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             rows = batch if last is None else pa.concat_batches([last, batch])
-            tile, n, names = rows.column("tile").to_numpy(), rows.column("n").to_numpy(), _numbers(rows.column("set"))
-            same = np.concatenate([[False], (tile[1:] == tile[:-1]) & (names[1:] == names[:-1]).all(axis=1)])
+            tile, n, name = (rows.column(c).to_numpy() for c in ("tile", "n", "set"))
+            same = np.concatenate([[False], (tile[1:] == tile[:-1]) & (name[1:] == name[:-1])])
             at = np.flatnonzero(~same)
             fits = np.concatenate([[last_fits], (tile[at[1:]] == tile[at[:-1]]) & (100 * n[at[:-1]] >= percent * n[at[1:]])])
             keep = at[:-1][fits[:-1] | fits[1:]]
@@ -221,7 +226,7 @@ def shared_tiles(posted: DataFrame, percent: int) -> DataFrame:
             yield last
 
     dealt = posted.repartition(partitions(posted), "tile").sortWithinPartitions("tile", "n", "set")
-    return dealt.mapInArrow(tidy(run), "tile long, set binary, n long, guest boolean")
+    return dealt.mapInArrow(tidy(run), "tile long, set long, n long, guest boolean")
 
 
 def _by_bits(pairs: DataFrame, percent: int) -> DataFrame:
@@ -243,7 +248,7 @@ def _by_bits(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInArrow(tidy(look), ", ".join(f"{c} {t}" for c, t in pairs.dtypes if c in rest))
 
 
-def _exactly(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
+def _exactly(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, names: Names, key: str, text: str, size: int, percent: int) -> DataFrame:
     """Of pairs (a, b) of sets those that are linked, by intersection of their sorted shingle arrays."""
     wanted = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct()
     places = written(wanted.join(nodes, "set").select("set", "key"), "fetch")
@@ -255,9 +260,10 @@ def _exactly(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, key: str, text
         for batch in batches:
             for _, _, data, offsets in pieces(batch.column("text")):
                 sets = list(shingle_sets(data, offsets, size))
-                yield pa.RecordBatch.from_arrays([_names([digest(s) for s in sets]), pa.array([s.tobytes() for s in sets], pa.binary())], ["set", "hashes"])
+                both = [digests(s) for s in sets]
+                yield pa.RecordBatch.from_arrays([pa.array([names.get(x, x[0]) for x in both], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["set", "hashes"])
 
-    fetched = some.select(F.col(text).alias("text")).mapInArrow(tidy(arrays), "set binary, hashes binary").join(places.select("set").distinct(), "set", "left_semi")
+    fetched = some.select(F.col(text).alias("text")).mapInArrow(tidy(arrays), "set long, hashes binary").join(places.select("set").distinct(), "set", "left_semi")
     held = written(fetched.groupBy("set").agg(F.first("hashes").alias("hashes")), "arrays")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,7 +276,7 @@ def _exactly(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, key: str, text
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], ["a", "b"])
 
     paired = pairs.select("a", "b").join(held.select(F.col("set").alias("a"), F.col("hashes").alias("x")), "a").join(held.select(F.col("set").alias("b"), F.col("hashes").alias("y")), "b")
-    return paired.mapInArrow(tidy(meet), "a binary, b binary")
+    return paired.mapInArrow(tidy(meet), "a long, b long")
 
 
 def _whole_tiles(batches: Iterator[pa.RecordBatch], tile: list[str]) -> Iterator[pa.Table]:
@@ -300,8 +306,7 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_tiles(batches, ["tile", "one", "two"]):
-            col = {c: table.column(c).to_numpy() for c in ("tile", "one", "two", "block", "n", "guest")}
-            group = np.unique(_numbers(table.column("group")), axis=0, return_inverse=True)[1].ravel()
+            col = {c: table.column(c).to_numpy() for c in ("tile", "one", "two", "block", "set", "n", "guest", "group")}
             bits = table.column("bits").to_pylist()
             wide = np.array([len(x) for x in bits])
             before = np.zeros((len(table), BEFORE), np.int64)
@@ -318,7 +323,7 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
                 live = live[(col["tile"][i] == col["tile"][j]) & (col["one"][i] == col["one"][j]) & (col["two"][i] == col["two"][j])]
                 i, j = live, live + o
                 n, m = col["n"][i], col["n"][j]
-                fit = (group[i] != group[j]) & ~(col["guest"][i] & col["guest"][j]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+                fit = (col["group"][i] != col["group"][j]) & ~(col["guest"][i] & col["guest"][j]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
                 fit &= (col["one"][i] == col["two"][i]) | (col["block"][i] != col["block"][j])
                 i, j = i[fit], j[fit]
                 for some in np.array_split(np.arange(len(i)), len(i) // _PAIRS + 1):
@@ -335,10 +340,9 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
                 for some in np.array_split(rows_of, max(1, len(rows_of) * max(a, b) >> 24)):
                     keep[some] = may_link(_stacked([bits[k] for k in i[some]]), _stacked([bits[k] for k in j[some]]), col["n"][i[some]], col["n"][j[some]], percent)
             if keep.any():
-                names = table.column("set").combine_chunks()
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(i[keep])), names.take(pa.array(j[keep]))], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(col["set"][i[keep]]), pa.array(col["set"][j[keep]])], ["a", "b"])
 
-    return rows.mapInArrow(tidy(look), "a binary, b binary")
+    return rows.mapInArrow(tidy(look), "a long, b long")
 
 
 def _cells(left: DataFrame) -> DataFrame:
@@ -370,10 +374,13 @@ def similar_sets(docs: DataFrame, *, size: int, percent: int, key: str = "doc_id
     """key, n_shingles and component_id (the least key of the component) of every row of ``docs``."""
     signed = written(signatures(docs, key, text, size), "signed")
     rows = signed.filter("n >= 0")
+    names = renamed(rows)
+    for (one, two), name in names.items():
+        rows = rows.withColumn("set", F.when((F.col("set") == one) & (F.col("check") == two), F.lit(name)).otherwise(F.col("set")))
     nodes = rows.filter("n > 0").groupBy("set").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.count(F.lit(1)).alias("copies"))
     nodes = written(nodes, "nodes")
 
-    shared = written(shared_tiles(postings(docs, text, size, percent, sketch_levels(signed)), percent), "shared")
+    shared = written(shared_tiles(postings(docs, text, size, percent, sketch_levels(signed), names), percent), "shared")
     known = shared.groupBy("set").agg(F.count(F.lit(1)).alias("known"))
     of_tile = shared.join(known, "set").groupBy("tile").agg(F.max(F.struct("known", "set"))["set"].alias("hub"), F.count(F.lit(1)).alias("sets"))
     # written before it is joined, so that Spark can split a tile of very many sets
@@ -386,7 +393,7 @@ def similar_sets(docs: DataFrame, *, size: int, percent: int, key: str = "doc_id
     stars = stars.withColumn("_try", F.row_number().over(tries)).filter((F.col("sets") == 2) | (F.col("_try") <= FIRST_TRIES)).select("a", "b")
     stars = stars.join(part.select(F.col("set").alias("a"), "n", F.col("bits").alias("x")), "a").join(part.select(F.col("set").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y")), "b")
     fitting = stars.filter(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
-    first = written(_exactly(written(_by_bits(fitting, percent), "pairs"), docs, nodes, key, text, size, percent), "first")
+    first = written(_exactly(written(_by_bits(fitting, percent), "pairs"), docs, nodes, names, key, text, size, percent), "first")
     groups = written(components(first, "a", "b"), "groups")
 
     left = tiles.filter("sets > 2").join(groups.withColumnRenamed("node", "set"), "set", "left")  # tiles of two sets are done
@@ -395,7 +402,7 @@ def similar_sets(docs: DataFrame, *, size: int, percent: int, key: str = "doc_id
     cut = _cells(left).join(part.select("set", "bits"), "set").select("tile", "one", "two", "block", "set", "n", "guest", "group", "bits", "before")
     dealt = cut.repartition(partitions(docs), "tile", "one", "two").sortWithinPartitions("tile", "one", "two")
     across = written(_across(dealt, percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    second = _exactly(across, docs, nodes, key, text, size, percent)
+    second = _exactly(across, docs, nodes, names, key, text, size, percent)
 
     links = groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(second)
     roots = written(components(links, "a", "b"), "roots")

@@ -375,6 +375,17 @@ def test_jaccard_join_is_exact(spark, monkeypatch, size, percent, seed):
     assert out == brute_components(rows, size, percent)
 
 
+def test_sets_of_one_digest_are_told_apart(spark, monkeypatch):
+    whole = jaccard.digests
+    monkeypatch.setattr(jaccard, "digests", lambda s: (whole(s)[0] % 3, whole(s)[1]))
+    rng = np.random.default_rng(9)
+    rows = [(i, " ".join(rng.choice([f"v{k}" for k in range(60)], 30))) for i in range(12)]
+    rows += [(20, rows[0][1] + " tail"), (21, rows[0][1]), (22, rows[5][1] + " end")]
+    assert len(jaccard.renamed(jaccard.signatures(docs(spark, rows), "doc_id", "text", 4))) >= 9
+    out = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.similar_sets(docs(spark, rows), size=4, percent=85).collect()}
+    assert out == brute_components(rows, 4, 85)
+
+
 def test_near_copies_leave_one(spark):
     rows = EDGE + [(20, "p q r s t u v w x y z"), (21, "p q r s t u v w x y z"), (22, "lone text of some words here")]
     out = jaccard.without_near_copies(docs(spark, rows), size=5, percent=80)
