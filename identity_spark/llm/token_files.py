@@ -10,8 +10,9 @@ writer makes the files, with settings that matter to a reader of some rows or co
   touches those pages alone.
 
 Defined results: a null text is empty; every document ends with ``end_id``, an empty one has that id alone; a null key
-sorts first; rows of one key are ordered by checksum of the text; repeated rows are written as often as they come;
-an empty table gives files without rows; further columns are ignored.
+sorts first; rows of one key are ordered by checksum of the text; repeated rows are written as often as they come; a
+text of any length is encoded whole, in memory of some 60 bytes for each of its own; an empty table gives files without
+rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -154,15 +155,18 @@ def write_tokens(rows: DataFrame, path: str) -> None:
     }).parquet(path)
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
+def read_tokens(spark: SparkSession, path: str, keys: tuple[int, int] | None = None) -> DataFrame:
     """key, start (ids of all documents before), n_tokens and ids of the files in ``path``.
 
-    The start needs the sums of the parts before; these come from two narrow columns, one row for each part."""
+    keys: the least and highest key to read, of which Parquet then reads those row groups and pages alone that can hold
+    them; a caller that selects no ids reads no page of them. The start needs the sums of the parts before; these come from two narrow columns, one row for each part."""
     rows = spark.read.schema("key long, part int, place long, n_tokens long, ids array<int>").parquet(path)
     sums = rows.groupBy("part").agg(F.sum("n_tokens").alias("sum"))
     # parts are as many as the session's shuffle partitions, whatever the table's size
     above = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = F.broadcast(sums.select(F.col("part").alias("later"), F.coalesce(F.sum("sum").over(above), F.lit(0)).alias("before")))
+    if keys is not None:
+        rows = rows.filter(F.col("key").between(*keys))
     return rows.join(before, F.col("part") == F.col("later")).select("key", (F.col("before") + F.col("place")).alias("start"), "n_tokens", "ids")
 
 

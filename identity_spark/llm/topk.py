@@ -8,8 +8,9 @@ the smaller id.
 Scores are integer inner products of ``floor(1024 * x)``. Defined results: vectors that are null, or hold a null or a
 non-finite component, take no part; a pair of vectors of different lengths has no score; empty vectors score 0 among
 themselves; of rows with the same id each takes part, and a query doesn't meet rows of its own id; fewer than k
-candidates give fewer rows; ties have the smaller id first. Components are limited to 2**26 after scaling, so that a
-sum of 2**10 products stays exact; beyond that the operator raises an error.
+candidates give fewer rows; ties have the smaller id first; rows with a null id take no part; further columns are
+ignored; an empty table gives no rows. A score is a 64-bit number: where the largest components of a block of rows and of
+one of queries are such that a product could pass 2**62, the operator raises an error rather than give a wrong one.
 """
 
 from __future__ import annotations
@@ -39,13 +40,13 @@ def usable(vector: str) -> Column:
 def packed(rows: DataFrame, block: int, salt: int) -> DataFrame:
     """Rows (id, v array<long>) packed by length into blocks of about ``block`` rows: dim, part, ids and components.
 
-    The block of a row comes from a hash of its id, so that no key grows with the table; the number of blocks does."""
+    The block of a row comes from a hash of its place in the table, so rows that are equal in all columns, which may be a
+    third of it, are dealt out as any others; the number of blocks follows the table."""
     n = max(1, rows.count())
     blocks = -(-n // block)
-    part = F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(blocks))
-    # rows of one id spread by their place in the table as well: equal ids may hold a third of all rows
+    part = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(salt)), F.lit(blocks))
     return (
-        rows.withColumns({"dim": F.size("v"), "part": F.pmod(part + F.pmod(F.xxhash64("v"), F.lit(blocks)), F.lit(blocks))})
+        rows.withColumns({"dim": F.size("v"), "part": part})
         .groupBy("dim", "part")
         .agg(F.collect_list(F.struct("id", "v")).alias("rows"))
         .select("dim", "part", F.col("rows.id").alias("ids"), F.flatten("rows.v").alias("flat"))
@@ -141,7 +142,7 @@ def tiled(x: DataFrame, q: DataFrame, ranges: DataFrame | None = None) -> DataFr
 
 def top_k(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     """query_id, rank, id and score of the k highest scores of each query; both inputs have (id long, v array)."""
-    whole = lambda df: df.filter(usable("v")).select("id", F.transform("v", lambda x: F.floor(x.cast("double") * SCALE).cast("long")).alias("v"))
+    whole = lambda df: df.filter(usable("v") & F.col("id").isNotNull()).select("id", F.transform("v", lambda x: F.floor(x.cast("double") * SCALE).cast("long")).alias("v"))
     q = written(packed(whole(queries), QUERY_BLOCK, 1).select("dim", F.col("part").alias("q_part"), F.col("ids").alias("q_ids"), F.col("flat").alias("q_flat")), "queries")
     x = written(packed(whole(rows), ROW_BLOCK, 2), "rows")
     found = _ranges(tiled(x, q)).select("query_id", "low", "high", F.lit(0).cast("long").alias("above"), F.col("n").alias("total"))

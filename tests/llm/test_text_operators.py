@@ -253,6 +253,32 @@ def test_token_files_layout(spark, tmp_path):
     assert all(c.has_column_index and c.has_offset_index for c in column.values())
 
 
+def test_token_files_are_read_in_part(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "ROW_GROUP_BYTES", 1 << 16)
+    path = f"file://{tmp_path}/tokens"
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "epsilon"], 200))) for i in range(3000)]
+    token_files.token_table(docs(spark, rows), queries.vocabulary("byte_bpe_50k.json"), path=path)
+    files = [pq.ParquetFile(p) for p in tmp_path.glob("tokens/*.parquet")]
+    groups = [f.metadata.row_group(k) for f in files for k in range(f.metadata.num_row_groups)]
+    assert len(groups) > 8 and max(g.num_rows for g in groups) < 1500
+    lists = [g.column(4) for g in groups]
+    assert all({"RLE_DICTIONARY", "DELTA_BINARY_PACKED"} & set(c.encodings) for c in lists)
+    part = token_files.read_tokens(spark, path, keys=(100, 140))
+    assert {r["key"]: r["n_tokens"] for r in part.collect()} == {r["key"]: r["n_tokens"] for r in token_files.read_tokens(spark, path).filter("key BETWEEN 100 AND 140").collect()}
+    plan = part.select("key", "n_tokens")._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(key,100), LessThanOrEqual(key,140)" in plan and "ids:array" not in plan.split("== Physical Plan ==")[1]
+
+
+def test_top_k_of_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(topk, "ROW_BLOCK", 16)
+    rows = spark.createDataFrame([(0, [1.0, 0.0])] + [(5, [1.0, 1.0])] * 400 + [(3, [1.0, 2.0])], "id long, v array<double>")
+    packed = topk.packed(rows, 16, 2)
+    assert max(r["n"] for r in packed.select(F.size("ids").alias("n")).collect()) < 60
+    out = [(r["rank"], r["id"]) for r in topk.top_k(rows.filter("id = 0"), rows, 4).collect()]
+    assert sorted(out) == [(1, 3), (2, 5), (3, 5), (4, 5)]
+
+
 def test_main_text_model():
     model = main_text.fit(labelled_pages.pages(160))
     tests = labelled_pages.pages(60, seed=99)
