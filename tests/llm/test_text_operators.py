@@ -229,6 +229,57 @@ def test_decontamination_finds_every_substitution_of_short_items(spark):
     assert hits.count() == 1  # an item of a common word meets a text once
 
 
+def test_decontamination_is_as_brute_force(spark):
+    rng = np.random.default_rng(8)
+    few = [f"w{i}" for i in range(6)]  # so that words repeat and alignments overlap
+    many = [f"u{i}" for i in range(300)]
+    items = [(i, list(rng.choice(few if i % 3 == 0 else many, int(rng.integers(1, 41))))) for i in range(45)]
+    rows = []
+    for k in range(150):
+        words = list(rng.choice(few if k % 4 == 0 else many, int(rng.integers(0, 30))))
+        copy = list(items[int(rng.integers(len(items)))][1])
+        a, b = sorted(rng.integers(0, len(copy) + 1, 2).tolist()) if k % 2 else (0, len(copy))
+        for _ in range(int(rng.integers(0, 4))):
+            copy[int(rng.integers(len(copy)))] = "sub"
+        at = int(rng.integers(0, len(words) + 1))
+        rows.append((k, words[:at] + copy[a:b] + words[at:]))
+
+    def shared(doc, item):
+        n, best = len(item), 0
+        size, least = (13, 11) if n >= 13 else (n, n - 1 if n >= 8 else n)
+        for shift in range(-n, len(doc) + 1):
+            same = [0 <= shift + i < len(doc) and doc[shift + i] == w for i, w in enumerate(item)]
+            best = max([best, *(c for i in range(n - size + 1) if (c := sum(same[i : i + size])) >= least)])
+        return best
+
+    want = {}
+    for k, doc in rows:
+        found = {i: c for i, item in items if (c := shared(doc, item))}
+        want[k] = (len(found), min(found, default=None), max(found.values(), default=0))
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in items], "item_id long, text string")
+    out = {r["doc_id"]: (r["n_items"], r["first_item"], r["shared_words"]) for r in decontamination.contamination(docs(spark, [(k, " ".join(x)) for k, x in rows]), bench).collect()}
+    assert out == want and 20 < sum(n > 0 for n, _, _ in want.values()) < 150
+
+
+def test_licences_are_as_brute_force(spark):
+    rng = np.random.default_rng(7)
+    texts = [t for x in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause") for t in (licences.TEXTS[x], f"{x.replace('-Clause', '')} text")]
+    texts += ["Licensed under the MIT License.", "Released under GNU GPL v3", "Copyright (c) 2021 Some One", "MIT License", "plain words", "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."]
+    rows = [(k, "\n\n".join(rng.choice(texts, int(rng.integers(1, 5))).tolist())) for k in range(60)]
+    rows = [(k, t.replace("\n\n", "\n") if k % 9 == 0 and "(c)" not in t else t) for k, t in rows]
+    known = licences.known(spark)
+    blocks = {}
+    for k, text in rows:
+        parts = text.split("\n\n")
+        blocks[k] = {text, *text.split("\n")} | {"\n\n".join(parts[i:j]) for i in range(len(parts)) for j in range(i + 1, len(parts) + 1)}
+    every = sorted(set().union(*blocks.values()))
+    form = {r["text"]: r["c"] for r in spark.createDataFrame([(x,) for x in every], "text string").withColumn("c", licences.canonical(F.col("text"))).collect()}
+    names = {r["c"]: r["x"] for r in known.groupBy(licences.canonical(F.col("text")).alias("c")).agg(F.min("licence").alias("x")).collect()}
+    out = {r["doc_id"]: (r["whole_licence"], r["licences"]) for r in licences.scan(docs(spark, rows), known).collect()}
+    for k, text in rows:
+        assert out[k] == (names.get(form[text]), sorted({names[form[x]] for x in blocks[k] if form[x] in names})), text
+
+
 def test_token_files(spark):
     from tokenizers import Tokenizer
 
