@@ -17,6 +17,7 @@ from ..operators import assign, detect, faces, gallery, lookup, match, merge, po
 from ..operators.identify import identify
 from ..params import DEFAULTS, Params
 from ..sources import messages, sinks
+from ..streaming.identify import active_tracks, metrics_stream
 from . import batch, folds
 from .fixtures import Views, oracle, overlap_sql
 
@@ -707,6 +708,48 @@ def j11_find_reference(v: Views) -> DataFrame:
     return lookup.find_reference(asked, v.gallery, v.face_gallery, active, active, waiting).select("request_id", "global_id", "track_id", rounded("score"), "method")
 
 
+@registered("WITH t AS (SELECT * FROM tracks WHERE frame_idx % 4 <> 1 AND (camera_id + tracker_id) % 4 <> 0), l AS (SELECT camera_id, max(frame_idx) AS frame_idx FROM t GROUP BY 1) SELECT camera_id, frame_idx, tracker_id, tracker_id * 3 % 7 AS global_id FROM t JOIN l USING (camera_id, frame_idx)")
+def t6_active_tracks(v: Views) -> DataFrame:
+    """Every fourth frame has no tracks and leaves the snapshot as it was."""
+    seen = assign.known_gid(v.tracks, track_map(v)).filter("global_id IS NOT NULL")
+    one = F.when(F.col("frame_idx") % 4 != 1, F.struct("tracker_id", "global_id"))
+    last = active_tracks(seen.groupBy(*CAM).agg(F.collect_list(one).alias("tracks")))
+    return last.select(*CAM, F.explode("tracks").alias("t")).select(*CAM, "t.*")
+
+
+@registered("SELECT camera_id, CAST(date_trunc('day', CAST(ts AS TIMESTAMP)) AS VARCHAR) AS day, count(*) AS n_detections, count(*) FILTER ((camera_id + tracker_id) % 4 <> 0) AS n_identified, round(avg(obs_id % 50 / 2.0), 5) AS mean_ms FROM tracks GROUP BY 1, 2")
+def t10_window_metrics(v: Views) -> DataFrame:
+    seen = assign.known_gid(v.tracks, track_map(v)).withColumns({"ts": F.col("ts").cast("timestamp"), "ms": F.col("obs_id") % 50 / 2.0})
+    out = metrics_stream(seen, "1 day", None, timings=["ms"])
+    return out.select("camera_id", F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("day"), "n_detections", "n_identified", rounded("mean_ms"))
+
+
+@registered("""
+    WITH r AS (SELECT k.crop_a, g.global_id, g.entry_seq, CASE WHEN k.crop_a % 13 = 5 THEN 1.0 ELSE count(*) / 1024.0 END AS rate FROM kp_matches k JOIN gallery g ON g.entry_seq % 17 = k.crop_b GROUP BY 1, 2, 3)
+    SELECT crop_a, global_id, max(rate) AS max_rate FROM r GROUP BY 1, 2
+""")
+def a5_max_match_rate(v: Views) -> DataFrame:
+    """The highest rate of a crop with the entries of each identity, of which each stands for one of 17 crops."""
+    pairs = v.kp_matches.select("crop_a", "crop_b").distinct().withColumn("empty", F.col("crop_a") % 13 == 5)
+    entries = v.gallery.select("camera_id", "global_id", "entry_seq", (F.col("entry_seq") % 17).alias("crop_b"))
+    rates = gallery.match_rate(v.kp_matches, pairs).join(entries.select("crop_b", "entry_seq"), "crop_b")
+    return gallery.max_match_rate(rates, entries, "crop_a").select("crop_a", "global_id", "max_rate")
+
+
+@registered("""
+    WITH c AS (SELECT obs_id, tracker_id AS global_id, CAST(obs_id % 3 AS INT) AS q, obs_id % 97 AS c FROM tracks),
+    x AS (SELECT c.obs_id, c.q, max(CASE WHEN (c.c + g.entry_seq) % 5 <> 0 THEN (c.c * 7 + g.entry_seq) % 60 / 100.0 END) AS max_rate, max(g.pose_quality) AS best, count(g.entry_seq) AS n FROM c LEFT JOIN gallery g ON g.global_id = c.global_id GROUP BY 1, 2)
+    SELECT obs_id, max_rate, q >= 1 AND (n = 0 OR coalesce(max_rate < 0.4, false) OR q > best) AS added FROM x
+""")
+def p14_novel_view_by_rate(v: Views) -> DataFrame:
+    """Novelty by the match rates of key points in place of cosines."""
+    e = F.array(F.lit(1.0))
+    c = v.tracks.select("obs_id", F.lit(0).cast("long").alias("camera_id"), F.col("tracker_id").alias("global_id"), (F.col("obs_id") % 3).cast("int").alias("pose_quality"), e.alias("embedding"))
+    rates = c.select("obs_id", "camera_id", "global_id", (F.col("obs_id") % 97).alias("c")).join(v.gallery.select("camera_id", "global_id", "entry_seq"), ["camera_id", "global_id"])
+    rates = rates.filter((F.col("c") + F.col("entry_seq")) % 5 != 0).withColumn("match_rate", (F.col("c") * 7 + F.col("entry_seq")) % 60 / 100.0)
+    return gallery.novel_view(c, v.gallery.withColumn("embedding", e), "obs_id", rates=rates).select("obs_id", "max_rate", "added")
+
+
 @registered(folds.RECORDING.format(runs=RUNS_SQL.strip()))
 def t4_identify_tracks(v: Views) -> DataFrame:
     """Every track of the three cameras against one gallery, which each camera has."""

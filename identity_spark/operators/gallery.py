@@ -73,6 +73,13 @@ def match_rate(matches: DataFrame, crops: DataFrame, params: Params = DEFAULTS)
     return crops.join(counts, ["crop_a", "crop_b"], "left").select("crop_a", "crop_b", rate.alias("match_rate"))
 
 
+def max_match_rate(rates: DataFrame, entries: DataFrame, key: str) -> DataFrame:
+    """key, camera_id, global_id and max_rate: the highest rate of a candidate with the entries of an identity.
+
+    rates: key, entry_seq, match_rate (see :func:`match_rate`); entries: camera_id, global_id, entry_seq."""
+    return rates.join(entries.select(*GID, "entry_seq"), "entry_seq").groupBy(key, *GID).agg(F.max("match_rate").alias("max_rate"))
+
+
 def _alike(gallery: DataFrame) -> DataFrame:
     """Adds centrality and _n, the entries of the identity: a mean of dot products is one with the identity's sum."""
     sums = gallery.groupBy(*GID).agg(vector_sum(F.col("embedding")).alias("_sum"), F.count(F.lit(1)).alias("_n"))

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
 
 
+def message_files(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+    """value (a message's text) of every line of the text files in ``path``, as a table or as a stream of new files.
+
+    A topic is read by Spark's own source for it, whose rows have a value too."""
+    return spark.readStream.schema("value STRING").text(path) if stream else spark.read.text(path)
+
+
 def parsed(raw: DataFrame, schema: str, value: str = "value") -> DataFrame:
     """Adds the message's fields as ``m`` and is_bad: text that is no JSON of this schema. For batch and stream alike."""
     m = F.from_json(F.col(value).cast("string"), schema + ", _corrupt STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})

@@ -24,6 +24,11 @@ def find_result_messages(results: DataFrame) -> DataFrame:
     return results.select("request_id", F.to_json(F.struct("request_id", "global_id", "track_id", "score", "method")).alias("value"))
 
 
+def write_messages(messages: DataFrame, path: str) -> None:
+    """The values of messages as lines of text files, which :func:`identity_spark.sources.messages.message_files` reads."""
+    messages.select("value").write.mode("append").text(path)
+
+
 def crop_path(root: str, gid: Column, frame: Column, face: bool = False, there: Column | None = None) -> Column:
     """Path of a crop below ``root``; "" where dumping is off (no root) or the crop is empty."""
     if not root:

@@ -37,13 +37,20 @@ def dedupe_late(rows: DataFrame, delay: str = "10 seconds", ts: str = "ts") -> D
     return rows.withWatermark(ts, delay).dropDuplicatesWithinWatermark(["camera_id", "frame_idx", "tracker_id"])
 
 
-def metrics_stream(rows: DataFrame, width: str = "10 seconds", delay: str | None = "10 seconds", ts: str = "ts") -> DataFrame:
-    """Detections and identified tracks of each camera in tumbling windows; no delay where rows have a watermark already."""
+def metrics_stream(rows: DataFrame, width: str = "10 seconds", delay: str | None = "10 seconds", ts: str = "ts", timings: list[str] | None = None) -> DataFrame:
+    """Detections and identified tracks of each camera in tumbling windows; no delay where rows have a watermark already.
+
+    timings: columns of milliseconds by stage, of which mean_<column> is given."""
     late = rows if delay is None else rows.withWatermark(ts, delay)
     windows = late.groupBy(F.window(ts, width), "camera_id")
-    return windows.agg(F.count(F.lit(1)).alias("n_detections"), F.count("global_id").alias("n_identified"))
+    return windows.agg(F.count(F.lit(1)).alias("n_detections"), F.count("global_id").alias("n_identified"), *[F.avg(c).alias(f"mean_{c}") for c in timings or []])
 
 
 def active_tracks(identified: DataFrame) -> DataFrame:
-    """Snapshot of each frame that has identities: track to identity, for lookups as of a frame."""
-    return identified.select("camera_id", "frame_idx", "tracker_id", "global_id")
+    """camera_id, frame_idx and tracks of each camera's latest frame that has any: what lookups take as active.
+
+    identified: camera_id, frame_idx and tracks, an array of a frame's tracks; one row a frame, an empty array or null
+    for a frame without tracks, which leaves the snapshot as it was. In a stream (output mode "update" or "complete")
+    a camera's state is one frame."""
+    some = identified.filter(F.size(F.coalesce("tracks", F.array())) > 0)
+    return some.groupBy("camera_id").agg(F.max_by(F.struct("frame_idx", "tracks"), "frame_idx").alias("_last")).select("camera_id", "_last.*")

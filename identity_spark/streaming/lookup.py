@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..operators.lookup import find_reference
 from ..params import DEFAULTS, Params
+from ..sources import messages, sinks
 
 Tables = Callable[[], dict[str, DataFrame]]
 
@@ -24,3 +26,19 @@ def lookup_stream(requests: DataFrame, tables: Tables, path: str, params: Params
         found.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return requests.writeStream.foreachBatch(answer)
+
+
+def lookup_messages(raw: DataFrame, embed: Callable[[DataFrame], DataFrame], tables: Tables, path: str, params: Params = DEFAULTS, camera: int = 0) -> DataStreamWriter:
+    """Request messages to result messages, as lines of text files in ``path``: read, embed, look up, write.
+
+    raw: a stream with value; embed: gives body and face (either may be null) to rows of (request_id, image), as
+    :mod:`identity_spark.operators.infer` does with a user's models; requests are asked of one camera's galleries."""
+    asked = messages.read_find_requests(raw)
+
+    def answer(batch: DataFrame, number: int) -> None:
+        t = tables()
+        requests = embed(batch).select(F.lit(camera).cast("long").alias("camera_id"), "request_id", "body", "face")
+        found = find_reference(requests, t["gallery"], t["faces"], t["active"], t["confirmed"], t["pending"], params)
+        sinks.find_result_messages(found).select("value").write.mode("overwrite").text(f"{path}/batch={number}")
+
+    return asked.writeStream.foreachBatch(answer)

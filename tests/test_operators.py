@@ -305,3 +305,52 @@ def test_frames_for_pose(spark):
     known = spark.createDataFrame([(0, 1, 7, 0)], "camera_id long, tracker_id long, global_id long, since long")
     out = {r["frame_idx"]: (r["needs_pose"], r["cached_quality"]) for r in batch.frames_for_pose(seen, known, Params(stable_min_frames=3)).collect()}
     assert out == {0: (True, None), 1: (True, 2), 2: (True, 2), 3: (False, 2), 4: (False, 2)}
+
+
+def test_crops_and_messages_to_files(spark, tmp_path):
+    crops = spark.createDataFrame([(0, 3, 7, bytearray(b"a")), (1, 4, 8, None)], "camera_id long, global_id long, frame_idx long, crop binary")
+    sinks.write_crops(crops, "/crops", str(tmp_path / "crops"), face=True)
+    back = {r["global_id"]: (r["camera_id"], r["crop_path"], r["crop"] and bytes(r["crop"])) for r in spark.read.parquet(str(tmp_path / "crops")).collect()}
+    assert back == {3: (0, "/crops/face/gid0003_f0000007.jpg", b"a"), 4: (1, "", None)}
+    found = spark.createDataFrame([("r1", 2, -1, 0.5, "gid_only")], "request_id string, global_id long, track_id long, score double, method string")
+    sinks.write_messages(sinks.find_result_messages(found), str(tmp_path / "out"))
+    text = messages.message_files(spark, str(tmp_path / "out"))
+    assert [r["value"] for r in text.collect()] == ['{"request_id":"r1","global_id":2,"track_id":-1,"score":0.5,"method":"gid_only"}']
+
+
+def test_active_tracks_of_a_stream(spark, tmp_path):
+    from identity_spark.streaming.identify import active_tracks
+
+    schema = "camera_id long, frame_idx long, tracks array<struct<tracker_id:long,global_id:long>>"
+    for k, rows in enumerate([[(0, 1, [(1, 5)]), (0, 2, [(1, 5), (2, 6)])], [(0, 3, []), (1, 3, [(9, 0)]), (0, 4, None)]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = active_tracks(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+        q = stream.writeStream.format("memory").queryName(f"active{k}").outputMode("complete").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        out = {r["camera_id"]: (r["frame_idx"], [tuple(t) for t in r["tracks"]]) for r in spark.table(f"active{k}").collect()}
+    assert out == {0: (2, [(1, 5), (2, 6)]), 1: (3, [(9, 0)])}
+
+
+def test_lookup_messages(spark, tmp_path):
+    from identity_spark.streaming.lookup import lookup_messages
+
+    asked = ['{"request_id": "a", "image_jpeg_b64": "AQA="}', '{"request_id": "b", "image_jpeg_b64": "AAE="}', '{"request_id": "c"}', "{broken"]
+    spark.createDataFrame([(x,) for x in asked], "value string").coalesce(1).write.text(str(tmp_path / "in"))
+    raw = messages.message_files(spark, str(tmp_path / "in"), stream=True)
+    body = F.array(*[F.conv(F.substring(F.hex("image"), 2 * k + 1, 2), 16, 10).cast("double") for k in range(2)])
+    embed = lambda rows: rows.select("request_id", body.alias("body"), F.lit(None).cast("array<double>").alias("face"))
+    g = spark.createDataFrame([(0, 4, 1, [1.0, 0.0], True)], "camera_id long, global_id long, entry_seq long, embedding array<double>, has_face boolean")
+    held = spark.createDataFrame([(0, "a", 8, 4, 1)], "camera_id long, request_id string, tracker_id long, global_id long, det_seq long")
+    none = held.limit(0)
+    tables = lambda: {"gallery": g, "faces": g.limit(0), "active": held, "confirmed": none, "pending": none.withColumn("embedding", F.array(F.lit(0.0)))}
+    lookup_messages(raw, embed, tables, str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.option("recursiveFileLookup", "true").json(str(tmp_path / "out"))
+    assert {r["request_id"]: (r["global_id"], r["track_id"], r["method"]) for r in out.collect()} == {"a": (4, 8, "track_gid"), "b": (-1, -1, "none")}
+
+
+def test_stage_metrics_with_timings(spark):
+    from identity_spark.operators import report
+
+    rows = spark.createDataFrame([(0, 1, 4, 2, 10.0), (0, 2, 6, 0, 30.0), (0, 31, 1, 1, 5.0)], "camera_id long, frame_idx long, n_detections long, n_embedded long, pose_ms double")
+    out = {r["window"]: (r["n_frames"], r["mean_pose_ms"], r["max_pose_ms"]) for r in report.stage_metrics(rows, 30, ["pose_ms"]).collect()}
+    assert out == {0: (2, 20.0, 30.0), 1: (1, 5.0, 5.0)}
