@@ -13,8 +13,9 @@ A document emits a seed only where a bitmap of fixed size, filled with the bench
 yes costs a row of the join and nothing else. The words around a seed travel with it, so no text is shuffled.
 
 Defined results: a null text has no words; items without words take no part; repeated items count once each;
-rows with equal or null keys are judged each by its own text; further columns are ignored; an empty benchmark leaves
-all documents clean, and an empty table gives no rows.
+rows with equal or null keys are judged each by its own text, repeated ones equally; a text of any length is gone over
+whole, in memory of some 30 bytes for each of its own; further columns are kept, but for those that have a result's
+name, which are replaced; an empty benchmark leaves all documents clean, and an empty table gives no rows.
 """
 
 from __future__ import annotations

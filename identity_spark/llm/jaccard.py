@@ -22,8 +22,8 @@ hash.
 
 Defined results: a null text has no words; texts without words have no shingles and no links; a text with fewer words
 than a shingle is one shingle; equal texts and equal sets are linked; rows with equal or null keys are rows of their
-own, the component's name is its least key that isn't null; a text of any length is taken whole, with memory for some
-40 bytes for each of its own; which of two equal rows is which doesn't matter; further columns are ignored; an empty
+own, the component's name is its least key that isn't null; a text of any length is taken whole, in memory of some 30
+bytes for each of its own; which of two equal rows is which doesn't matter; further columns are ignored; an empty
 table gives no rows.
 """
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from .words import mix, pieces, powers
+from .words import pieces, range_hashes
 
 #: Stretches of more bytes are encoded anew whenever they come, so what is remembered is bounded in bytes.
 SHORT = 64
@@ -102,10 +102,7 @@ class StretchEncoder:
             memory.clear()
         starts = self.cut(data, offsets)
         ends = np.append(starts[1:], len(data)) if len(starts) else starts
-        power, inverse = powers(len(data))
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power, out=sums[1:])
-        keys = mix((sums[ends] - sums[starts]) * inverse[starts])
+        keys = range_hashes(data, starts, ends)
         keys[keys == 0] = 1
         at = memory.find(keys)
         new = np.flatnonzero(at < 0)
@@ -114,8 +111,7 @@ class StretchEncoder:
         if len(new):
             first, again = np.unique(keys[new], return_index=True, return_inverse=True)[1:]
             at_first = new[first]
-            whole = data.tobytes()
-            found = self.learn([whole[a:b] for a, b in zip(starts[at_first].tolist(), ends[at_first].tolist(), strict=True)])
+            found = self.learn([data[a:b].tobytes() for a, b in zip(starts[at_first].tolist(), ends[at_first].tolist(), strict=True)])
             sizes = np.array([len(x) // 4 for x in found], np.int64)
             short = np.flatnonzero(ends[at_first] - starts[at_first] <= SHORT)
             run[new], size[new] = (memory.used + np.cumsum(sizes) - sizes)[again], sizes[again]

@@ -11,7 +11,7 @@ writer makes the files, with settings that matter to a reader of some rows or co
 
 Defined results: a null text is empty; every document ends with ``end_id``, an empty one has that id alone; a null key
 sorts first; rows of one key are ordered by checksum of the text; repeated rows are written as often as they come; a
-text of any length is encoded whole, in memory of some 60 bytes for each of its own; an empty table gives files without
+text of any length is encoded whole, in memory of some 30 bytes for each of its own; an empty table gives files without
 rows; further columns are ignored.
 """
 

@@ -72,6 +72,24 @@ def pieces(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
         row = end
 
 
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, of_byte: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of ascending ranges of bytes; of_byte: what stands for each byte value. Ranges are taken in runs of about
+    PIECE_BYTES, which bounds the memory at any length of text."""
+    out = np.zeros(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        end = max(at + 1, int(np.searchsorted(ends, starts[at] + PIECE_BYTES, "right")))
+        part = data[starts[at] : ends[end - 1]]
+        part = part if of_byte is None else of_byte[part]
+        power, inverse = powers(len(part))
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * power, out=sums[1:])
+        a, b = starts[at:end] - starts[at], ends[at:end] - starts[at]
+        out[at:end] = (sums[b] - sums[a]) * inverse[a]
+        at = end
+    return mix(out)
+
+
 def hashed_words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of the rows, and for each row the number of words before it (one more for the end).
 
@@ -88,11 +106,7 @@ def hashed_words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _I
     last[:-1] = ~inside[1:]
     last[rows[rows > 0] - 1] = True
     ends = np.flatnonzero(inside & last) + 1
-    power, inverse = powers(len(data))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * power, out=sums[1:])
-    hashes = (sums[ends] - sums[starts]) * inverse[starts]
-    return mix(hashes), np.searchsorted(starts, offsets)
+    return range_hashes(data, starts, ends, _LOWER), np.searchsorted(starts, offsets)
 
 
 def shingles(words: np.ndarray, size: int) -> np.ndarray:

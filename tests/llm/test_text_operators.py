@@ -14,7 +14,7 @@ import pytest
 from brute import brute_components, brute_spans, brute_viterbi
 from pyspark.sql import functions as F
 
-from identity_spark.llm import decontamination, jaccard, labelled_pages, licences, main_text, pieces, queries, secrets, sharding, token_files, topk, toxicity
+from identity_spark.llm import decontamination, jaccard, labelled_pages, licences, main_text, pieces, queries, secrets, sharding, token_files, topk, toxicity, words
 from identity_spark.llm.components import components
 from identity_spark.llm.memory import Memory
 from identity_spark.llm.words import hashed_words
@@ -541,3 +541,15 @@ def test_words_end_where_rows_end():
     hashes, before = hashed_words(np.frombuffer(data, np.uint8), np.array([0, 4, 4, 10]))
     assert before.tolist() == [0, 2, 2, 4] and len(set(hashes.tolist())) == 4  # "ab", "c" | | "dEF", "g"
     assert hashed_words(np.frombuffer(b"EF ef", np.uint8), np.array([0, 5]))[0].tolist() == [hashed_words(np.frombuffer(b"ef", np.uint8), np.array([0, 2]))[0][0]] * 2
+
+
+def test_long_texts_are_hashed_in_parts(monkeypatch):
+    rng = np.random.default_rng(1)
+    data = np.frombuffer(" ".join("".join(rng.choice(list("abCD"), rng.integers(1, 30))) for _ in range(500)).encode(), np.uint8)
+    whole = hashed_words(data, np.array([0, len(data)]))[0]
+    monkeypatch.setattr(words, "PIECE_BYTES", 40)
+    words._usual_powers.cache_clear()
+    try:
+        assert (hashed_words(data, np.array([0, len(data)]))[0] == whole).all()
+    finally:
+        words._usual_powers.cache_clear()
