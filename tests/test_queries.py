@@ -89,3 +89,43 @@ def test_lookup_stream(spark, tmp_path):
     lookup_stream(stream, tables, str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
     out = {r["request_id"]: r["method"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert len(out) == asked.count() and set(out.values()) <= {"gid_only", "none"} and "gid_only" in out.values()
+
+
+def test_link_tracks_is_as_a_plain_loop(spark):
+    """Detections of a frame beside live tracks: all pairs of enough overlap, the best one first, each side once."""
+    v = Views(spark, SF)
+    found = {(r["camera_id"], r["obs_id"]): r["tracker_id"] for r in queries.QUERIES["t8_link_tracks"](spark, SF).collect()}
+    rows = sorted((r.asDict() for r in v.tracks.collect()), key=lambda r: (r["camera_id"], r["frame_idx"], r["obs_id"]))
+
+    def iou(a, b):
+        w, h = min(a["x2"], b["x2"]) - max(a["x1"], b["x1"]), min(a["y2"], b["y2"]) - max(a["y1"], b["y1"])
+        size = lambda x: (x["x2"] - x["x1"]) * (x["y2"] - x["y1"])
+        return w * h / (size(a) + size(b) - w * h) if w > 0 and h > 0 else 0.0
+
+    want = {}
+    for camera in sorted({r["camera_id"] for r in rows}):
+        tracks, number, before = [], 0, None  # a track: its number, last box, last frame
+        frames = {}
+        for r in rows:
+            if r["camera_id"] == camera:
+                frames.setdefault(r["frame_idx"], []).append(r)
+        for frame, seen in frames.items():
+            tracks = [t for t in tracks if frame - t[2] <= 30]
+            linked = {}
+            for high, least in ((True, 0.2), (False, 0.5)):
+                some = [r for r in seen if (r["confidence"] >= 0.5) == high]
+                open_tracks = [t for t in tracks if t[0] not in linked.values() and (high or t[2] == before)]
+                pairs = sorted(((-iou(r, t[1]), r["obs_id"], t[0]) for r in some for t in open_tracks), key=lambda p: p)
+                for minus, obs, track in pairs:
+                    if -minus >= least and obs not in linked and track not in linked.values():
+                        linked[obs] = track
+            for r in seen:
+                if r["obs_id"] in linked:
+                    next(t for t in tracks if t[0] == linked[r["obs_id"]])[1:] = [r, frame]
+                elif r["confidence"] >= 0.5:
+                    number += 1
+                    linked[r["obs_id"]] = number
+                    tracks.append([number, r, frame])
+                want[camera, r["obs_id"]] = linked.get(r["obs_id"])
+            before = frame
+    assert found == want
