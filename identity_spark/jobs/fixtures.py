@@ -43,7 +43,7 @@ SPARK = {
     "requests": "SELECT camera_id, CAST(frame_idx AS STRING) AS request_id, frame_idx, min(vec_id) AS query_id FROM tracks WHERE frame_idx % 10 = 0 GROUP BY 1, 2, 3",
     "body_candidates": """
         SELECT t.camera_id, t.tracker_id AS global_id, t.frame_idx, t.obs_id, CAST(t.obs_id % 3 AS INT) AS pose_quality, zip_with(a.embedding, b.embedding, (x, y) -> 0.9D * x + 0.3D * y) AS embedding
-        FROM tracks t JOIN embeddings a ON a.vec_id = (t.tracker_id * 25 + (t.obs_id div 97) % 25 + (t.obs_id div 997) * 250) % (SELECT count(*) FROM embeddings) JOIN embeddings b ON b.vec_id = (t.obs_id * 7 + 3) % (SELECT count(*) FROM embeddings)""",
+        FROM tracks t JOIN embeddings a ON a.vec_id = t.vec_id - t.vec_id % 25 JOIN embeddings b ON b.vec_id = t.vec_id""",
     "split_gallery": """
         SELECT camera_id, global_id, entry_seq, embedding FROM gallery
         UNION ALL SELECT CAST(0 AS BIGINT), CAST(a.label + 100 AS BIGINT), a.vec_id, zip_with(a.embedding, b.embedding, (x, y) -> 0.95D * x + 0.1D * y)
@@ -81,7 +81,7 @@ ORACLE = {
     "body_candidates": """
         SELECT t.camera_id, t.tracker_id AS global_id, t.frame_idx, t.obs_id, CAST(t.obs_id % 3 AS INT) AS pose_quality,
           list_transform(list_zip(a.embedding, b.embedding), lambda z: CAST(0.9 AS DOUBLE) * CAST(z[1] AS DOUBLE) + CAST(0.3 AS DOUBLE) * CAST(z[2] AS DOUBLE)) AS embedding
-        FROM tracks t JOIN embeddings a ON a.vec_id = (t.tracker_id * 25 + (t.obs_id // 97) % 25 + (t.obs_id // 997) * 250) % (SELECT count(*) FROM embeddings) JOIN embeddings b ON b.vec_id = (t.obs_id * 7 + 3) % (SELECT count(*) FROM embeddings)""",
+        FROM tracks t JOIN embeddings a ON a.vec_id = t.vec_id - t.vec_id % 25 JOIN embeddings b ON b.vec_id = t.vec_id""",
     "split_gallery": """
         SELECT camera_id, global_id, entry_seq, embedding FROM gallery
         UNION ALL SELECT CAST(0 AS BIGINT), CAST(a.label + 100 AS BIGINT), a.vec_id, list_transform(list_zip(a.embedding, b.embedding), lambda z: CAST(0.95 AS DOUBLE) * CAST(z[1] AS DOUBLE) + CAST(0.1 AS DOUBLE) * CAST(z[2] AS DOUBLE))
