@@ -64,25 +64,35 @@ class Words:
 
 
 def all_words(texts: list[str]) -> Words:
-    """As :func:`words_of`, in pieces of about PIECE_CHARS, which bounds the memory by the distinct words."""
-    parts, at = [], 0
-    while at < len(texts) or not parts:
+    """As :func:`words_of`, in pieces of about PIECE_CHARS of which only new words are kept: memory follows the distinct
+    words and the tokens, which are numbered as the words come."""
+    known, number = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # sorted hashes and the numbers of their words
+    hashes, grams, sizes, tokens, counts = [], [], [], [], []
+    at = 0
+    while at < len(texts) or not counts:
         end, size = at, 0
         while end < len(texts) and (end == at or size + len(texts[end]) <= PIECE_CHARS):
             size += len(texts[end])
             end += 1
-        parts.append(words_of(texts[at:end]))
+        p = words_of(texts[at:end])
+        place = np.minimum(np.searchsorted(known, p.hashes), max(0, len(known) - 1))
+        old = known[place] == p.hashes if len(known) else np.zeros(len(p.hashes), bool)
+        own = np.empty(len(p.hashes), np.int32)
+        own[old] = number[place[old]]
+        new = np.flatnonzero(~old)
+        own[new] = len(known) + np.arange(len(new))
+        size_of = np.diff(p.starts)
+        grams.append(p.grams[np.repeat(~old, size_of)])
+        sizes.append(size_of[new])
+        hashes.append(p.hashes[new])
+        tokens.append(own[p.tokens])
+        counts.append(np.diff(p.before))
+        known, number = np.concatenate([known, p.hashes[new]]), np.concatenate([number, own[new]])
+        order = np.argsort(known, kind="stable")
+        known, number = known[order], number[order]
         at = max(end, at + 1)
-    hashes, first, number = np.unique(np.concatenate([p.hashes for p in parts]), return_index=True, return_inverse=True)
-    base = np.concatenate([[0], np.cumsum([len(p.hashes) for p in parts])])
-    size = np.concatenate([np.diff(p.starts) for p in parts])[first]
-    grams = np.concatenate([p.grams for p in parts])
-    start = np.concatenate([p.starts[:-1] + n for p, n in zip(parts, np.cumsum([0] + [len(p.grams) for p in parts[:-1]]), strict=True)])[first]
-    ends = np.cumsum(size)
-    tokens = np.concatenate([number[b + p.tokens] for p, b in zip(parts, base[:-1], strict=True)])
-    counts = np.concatenate([np.diff(p.before) for p in parts])
-    grams = grams[np.repeat(start - ends + size, size) + np.arange(size.sum())]
-    return Words(grams, np.concatenate([[0], ends]), tokens, np.concatenate([[0], np.cumsum(counts)]), hashes)
+    starts = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+    return Words(np.concatenate(grams), starts, np.concatenate(tokens), np.concatenate([[0], np.cumsum(np.concatenate(counts))]), np.concatenate(hashes))
 
 
 def words_of(texts: list[str]) -> Words:
