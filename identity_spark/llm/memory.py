@@ -107,16 +107,22 @@ class StretchEncoder:
         at = memory.find(keys)
         new = np.flatnonzero(at < 0)
         run, size = memory.start[at], memory.size[at].astype(np.int64)
-        pool = memory.ids
+        learnt, of_new = np.zeros(0, np.uint32), np.zeros(len(keys), bool)
         if len(new):
             first, again = np.unique(keys[new], return_index=True, return_inverse=True)[1:]
             at_first = new[first]
             found = self.learn([data[a:b].tobytes() for a, b in zip(starts[at_first].tolist(), ends[at_first].tolist(), strict=True)])
             sizes = np.array([len(x) // 4 for x in found], np.int64)
             short = np.flatnonzero(ends[at_first] - starts[at_first] <= SHORT)
-            run[new], size[new] = (memory.used + np.cumsum(sizes) - sizes)[again], sizes[again]
-            pool = np.concatenate([pool[: memory.used], np.frombuffer(b"".join(found), np.uint32)])
-            memory.add(keys[at_first[short]], [found[k] for k in short.tolist()])
+            run[new], size[new], of_new[new] = (np.cumsum(sizes) - sizes)[again], sizes[again], True
+            learnt = np.frombuffer(b"".join(found), np.uint32)
         to = np.cumsum(size)
-        ids = pool[np.repeat(run - to + size, size) + np.arange(int(to[-1]) if len(to) else 0)]
+        place = np.repeat(run - to + size, size) + np.arange(int(to[-1]) if len(to) else 0)
+        if len(new):
+            fresh = np.repeat(of_new, size)
+            ids = np.empty(len(place), np.uint32)
+            ids[fresh], ids[~fresh] = learnt[place[fresh]], memory.ids[place[~fresh]]
+            memory.add(keys[at_first[short]], [found[k] for k in short.tolist()])
+        else:
+            ids = memory.ids[place]
         return ids, np.concatenate([[0], to])[np.searchsorted(starts, offsets[1:])]

@@ -47,7 +47,7 @@ UNKNOWN = 10_000_000
 TOGETHER = 1024
 ALONE = 24
 #: Characters of a group of streams, as if all were as long as the longest.
-GROUP = 1 << 21
+GROUP = 1 << 19
 #: Stretches that a worker remembers before it begins anew.
 REMEMBERED = 1_000_000
 ROWS_AT_ONCE = 512
