@@ -48,8 +48,9 @@ def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids and their number for all rows; a null or empty text has none."""
+    # what executors hold from earlier stages counts too, so this one remembers less than by itself
     path = queries.vocabulary("piece_bpe_32k.model")
-    encoded = pieces.encode(docs.select("doc_id", "text"), path, keep_text=False, remembered=300_000, rows_at_once=256)
+    encoded = pieces.encode(docs.select("doc_id", "text"), path, keep_text=False, remembered=100_000, rows_at_once=128)
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids")
 
 
