@@ -1,8 +1,8 @@
 """Token ids of stretches of text that come again, for whole Arrow columns at once.
 
 A text is cut where no token can span, so a stretch has the same ids wherever it stands. Stretches are found by a 64-bit
-hash of their bytes in a table that holds the ids of short ones, and only new ones are given to the tokenizer. Two
-different stretches of one hash would get the same ids: the chance is 2**-64 for a pair."""
+hash of their bytes (see :mod:`words`: a polynomial up to 64 bytes, a BLAKE2b digest beyond) in a table that holds the
+ids of short ones, and only new ones are given to the tokenizer. Longer ones are encoded once for each batch."""
 
 from __future__ import annotations
 

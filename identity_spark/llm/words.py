@@ -1,14 +1,17 @@
 """Words and their hashes for whole Arrow columns at once.
 
-A word is a maximal run of bytes outside ``\\x20\\x09-\\x0D``; A-Z count as a-z. A word's hash is a polynomial over its
-bytes modulo 2**64, mixed; it is a difference of two running sums, so no word is looked at by itself. A shingle's hash
-mixes the hashes of its words in order. Two different words or shingles share a 64-bit hash with a chance of 2**-64.
+A word is a maximal run of bytes outside ``\\x20\\x09-\\x0D``; A-Z count as a-z. The hash of a word of up to POLYNOMIAL
+bytes is a polynomial over its bytes modulo 2**64, mixed; it is a difference of two running sums, so no word is looked at
+by itself. Such polynomials have whole families of equal values among long strings (those of Thue and Morse, from 1,024
+letters on), so a longer word has a BLAKE2b digest of 64 bits. A shingle's hash mixes the hashes of its words in order.
+Two different words or shingles that nobody chose for it share a hash with a chance of about 2**-64.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +20,8 @@ BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 #: Text is taken in pieces of about this many bytes; a longer text is a piece of its own.
 PIECE_BYTES = 1 << 19
+#: Longer ranges of bytes are hashed one by one.
+POLYNOMIAL = 64
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -87,7 +92,11 @@ def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, of_byte
         a, b = starts[at:end] - starts[at], ends[at:end] - starts[at]
         out[at:end] = (sums[b] - sums[a]) * inverse[a]
         at = end
-    return mix(out)
+    out = mix(out)
+    for k in np.flatnonzero(ends - starts > POLYNOMIAL).tolist():
+        whole = data[starts[k] : ends[k]]
+        out[k] = int.from_bytes(blake2b(whole if of_byte is None else of_byte[whole], digest_size=8).digest(), "little")
+    return out
 
 
 def hashed_words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
