@@ -80,3 +80,23 @@ def decontamination_sql() -> str:
     o AS (SELECT doc_id, count(*) AS n_items, min(item_id) AS first_item, max(shared) AS shared_words FROM f GROUP BY 1)
     SELECT t.doc_id, o.doc_id IS NOT NULL AS contaminated, coalesce(n_items, 0) AS n_items, first_item, coalesce(shared_words, 0) AS shared_words FROM documents t LEFT JOIN o USING (doc_id)
     """
+
+
+def clustering_sql(k: int, rounds: int, dim: int) -> str:
+    """Rounds of plain k-means, each a step of its own: nearest centroids, then means rounded down."""
+    at = """d{r} AS MATERIALIZED (SELECT vec_id, n, e, cluster, d FROM (
+            SELECT *, row_number() OVER (PARTITION BY n ORDER BY d, cluster) AS place FROM (
+                SELECT vec_id, n, e, cluster, CAST(list_sum(list_transform(list_zip(e, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM v, c{r})) WHERE place = 1)"""
+    mean = """c{s} AS MATERIALIZED (SELECT cluster, coalesce(m, c) AS c FROM c{r} LEFT JOIN (
+            SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY i) AS m FROM (
+                SELECT cluster, i, CAST(sum(e[i]) AS BIGINT) AS s, count(*) AS n FROM d{r}, range(1, {end}) AS t(i) GROUP BY cluster, i) GROUP BY cluster) USING (cluster))"""
+    steps = [x.format(r=r, s=r + 1, end=dim + 1) for r in range(rounds) for x in (at, mean)] + [at.format(r=rounds)]
+    return f"""
+        WITH v AS MATERIALIZED (SELECT vec_id, row_number() OVER () AS n, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+              WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        c0 AS MATERIALIZED (SELECT CAST(place - 1 AS INTEGER) AS cluster, e AS c FROM (SELECT e, row_number() OVER (ORDER BY sha256('1:' || CAST(vec_id AS VARCHAR)), e) AS place FROM v) WHERE place <= {k}),
+        {", ".join(steps)}
+        SELECT vec_id, cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+               sha256(array_to_string(c, ',')) AS centroid_sha256
+        FROM d{rounds} JOIN c{rounds} USING (cluster)
+    """

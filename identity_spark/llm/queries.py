@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard, labelled_pages, licences, main_text, oracles, pieces, secrets, sharding, token_files, topk
+from . import clustering, decontamination, jaccard, labelled_pages, licences, main_text, oracles, pieces, resampling, secrets, sharding, token_files, topk
 from . import toxicity as tox
 from .common import table
 
@@ -89,6 +89,16 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
+def op11_yinyang_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """16 clusters of the embeddings after three rounds."""
+    return clustering.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A twentieth of the documents, drawn by how much they look like the benchmark."""
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_sentencepiece": op2_sentencepiece,
@@ -100,6 +110,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_secret_scans": op9_secret_scans,
     "op10_exact_top_k": op10_exact_top_k,
+    "op11_yinyang_clustering": op11_yinyang_clustering,
+    "op12_importance_resampling": op12_importance_resampling,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -115,4 +127,5 @@ ORACLE_SQL: dict[str, str] = {
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
     """,
+    "op11_yinyang_clustering": oracles.clustering_sql(16, 3, 64),
 }
