@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import clustering, decontamination, jaccard, labelled_pages, licences, main_text, oracles, pieces, resampling, secrets, sharding, token_files, topk
+from . import clustering, decontamination, jaccard, labelled_pages, language_model, licences, main_text, oracles, pieces, resampling, secrets, sharding, token_files, topk
 from . import toxicity as tox
 from .common import table
 
@@ -99,6 +99,11 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logarithms of the documents' probabilities by deleted interpolation of one to three words."""
+    return language_model.score_texts(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_sentencepiece": op2_sentencepiece,
@@ -112,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_exact_top_k": op10_exact_top_k,
     "op11_yinyang_clustering": op11_yinyang_clustering,
     "op12_importance_resampling": op12_importance_resampling,
+    "op13_lm_scoring": op13_lm_scoring,
 }
 
 ORACLE_SQL: dict[str, str] = {
