@@ -41,8 +41,8 @@ from .words import BASE, PIECE_BYTES, hashed_words, mix, pieces
 
 ORDER = 3
 #: Tokens of a block, and keys of a part, about.
-BLOCK_TOKENS = 1 << 21
-PART_KEYS = 1 << 21
+BLOCK_TOKENS = 1 << 20
+PART_KEYS = 1 << 20
 HELD_OUT, LEARNT, DELETED = 0, 1, 2
 #: Of seven parts by crc32 of the key, the one that weights are learnt on.
 DELETED_PART = 5
@@ -184,42 +184,53 @@ def blocks_of(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 @dataclass
 class Tokens:
-    """A block's tokens: keys of the n-gram that ends at each, by order, distinct and sorted, and each token's place in them."""
+    """A block's tokens, as hashes of their words."""
 
-    keys: list[np.ndarray]
-    at: list[np.ndarray]
+    h: np.ndarray
+    begins: np.ndarray  # where texts begin
     text: np.ndarray  # of each token, among the block's texts
-    first: np.ndarray  # whether it is its text's first
     own: np.ndarray  # whether it is no context of a text that goes on
     role: np.ndarray  # of each text
 
     @classmethod
-    def of(cls, r: dict, bits: int) -> Tokens:
+    def of(cls, r: dict) -> Tokens:
         words, rank = unpacked(r["words"])
         by_rank = np.empty(len(words), np.uint64)
         by_rank[rank.astype(np.int64)] = np.cumsum(words)
         h = by_rank[unpacked(r["tokens"])[0].astype(np.int64)]
         size = unpacked(r["sizes"])[0].astype(np.int64)
-        first = np.zeros(len(h), bool)
         begins = (np.cumsum(size) - size)[1 if r["overlap"] else 0 :]
-        first[begins] = True
-        run, keys, at = [h], [], []
-        for n in range(ORDER):
-            key = h
-            if n:
-                # one more token before; before the first one there is START
-                before = np.concatenate([[START], run[0][:-1]])
-                before[begins] = START
-                run.insert(0, before)
-                key = np.zeros(len(h), np.uint64)
-                for x in run:
-                    key = mix(key * BASE + x)
-                key >>= np.uint64(64 - bits)
-            u, i = np.unique(key, return_inverse=True)
-            keys.append(u)
-            at.append(i)
-        own = np.arange(len(h)) >= r["overlap"]
-        return cls(keys, at, np.repeat(np.arange(len(size)), size), first, own, unpacked(r["roles"])[0])
+        return cls(h, begins, np.repeat(np.arange(len(size), dtype=np.int32), size), np.arange(len(h)) >= r["overlap"], unpacked(r["roles"])[0])
+
+    def grams(self, n: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct sorted keys of the runs of n + 1 words that end at the tokens, and each token's place in them.
+
+        They are made when they are asked for, so a block has those of one order at a time."""
+        if not n:
+            return self._numbered(self.h)
+        key = np.zeros(len(self.h), np.uint64)
+        for k in range(n, -1, -1):
+            word = self.h
+            if k:  # before a text's first word there is START
+                word = np.full(len(self.h), START)
+                word[k:] = self.h[:-k]
+                for j in range(k):
+                    word[self.begins[self.begins + j < len(word)] + j] = START
+            key *= BASE
+            key += word
+            key = mix(key)
+        key >>= np.uint64(64 - bits)
+        return self._numbered(key)
+
+    @staticmethod
+    def _numbered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(key)
+        key = key[order]
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        at = np.empty(len(key), np.int32)
+        at[order] = np.cumsum(new, dtype=np.int32) - 1
+        return key[new], at
 
 
 def _asked(blocks: DataFrame, parts: int, bits: int) -> DataFrame:
@@ -229,9 +240,10 @@ def _asked(blocks: DataFrame, parts: int, bits: int) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 r = {c: batch.column(c)[i].as_py() for c in ("block", "roles", "sizes", "overlap", "words", "tokens")}
-                t = Tokens.of(r, bits)
-                role = t.role[t.text]
-                for n, (u, at) in enumerate(zip(t.keys, t.at, strict=True)):
+                t = Tokens.of(r)
+                role = t.role[t.text].astype(np.int8)
+                for n in range(ORDER):
+                    u, at = t.grams(n, bits)
                     learnt, deleted = (np.bincount(at[t.own & (role == x)], minlength=len(u)) for x in (LEARNT, DELETED))
                     edges = np.append(np.searchsorted(u, _starts(parts, bits if n else 64)), len(u))
                     for p in np.flatnonzero(np.diff(edges)).tolist():
@@ -294,21 +306,22 @@ class Totals:
     texts: int
 
 
-def estimates(t: Tokens, counts: list[np.ndarray], total: Totals) -> tuple[np.ndarray, np.ndarray]:
-    """For each own token its class, and maximum-likelihood estimates of all orders (0 where a context never came)."""
+def estimates(t: Tokens, counts: list[np.ndarray], total: Totals, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each own token its class, maximum-likelihood estimates of all orders (0 where a context never came), and its count."""
     f, context = np.zeros((ORDER, len(t.text))), np.full(len(t.text), float(total.tokens))
     kind = np.zeros(len(t.text), np.int64)
     for n in range(ORDER):
-        c = counts[n][t.at[n]].astype(float)
+        c = counts[n][t.grams(n, bits)[1]].astype(float)
+        alone = c[t.own] if not n else alone
         np.divide(c, context, out=f[n], where=context > 0)
         if n:
             kind = kind * (len(CLASSES) + 1) + np.searchsorted(CLASSES, context, "right")
         context = np.concatenate([[0.0], c[:-1]])
-        context[t.first] = total.texts
-    return kind[t.own], f[:, t.own]
+        context[t.begins] = total.texts
+    return kind[t.own], f[:, t.own], alone
 
 
-def _with_answers(blocks: DataFrame, answers: DataFrame, parts: int, bits: int, use, schema: str) -> DataFrame:
+def _with_answers(blocks: DataFrame, answers: DataFrame, parts: int, use, schema: str) -> DataFrame:
     """use(block's row, its tokens, counts by order in all training texts, and in the deleted ones) for every block."""
     names = ["block", "rows", "keys", "roles", "sizes", "cut", "overlap", "words", "tokens"]
     none = F.lit(None)
@@ -336,7 +349,7 @@ def _with_answers(blocks: DataFrame, answers: DataFrame, parts: int, bits: int,
 
         for r, both, gone in each():
             join = lambda x: [np.concatenate(y).astype(np.int64) for y in x]
-            yield from use(r, Tokens.of(r, bits), join(both), join(gone))
+            yield from use(r, Tokens.of(r), join(both), join(gone))
 
     dealt = own.unionByName(theirs).repartition(parts, "block").sortWithinPartitions("block", "order", "part")
     return dealt.mapInArrow(tidy(run), schema)
@@ -347,7 +360,7 @@ def _histogram(blocks: DataFrame, answers: DataFrame, parts: int, bits: int, tot
     fixed number, (len(CLASSES) + 1)**(ORDER - 1) * LEVELS**ORDER at most, and as many numbers as that come to the driver."""
 
     def count(r, t, both, gone):
-        kind, f = estimates(t, [x - y for x, y in zip(both, gone, strict=True)], total)
+        kind, f, _ = estimates(t, [x - y for x, y in zip(both, gone, strict=True)], total, bits)
         log = np.full(f.shape, LOWEST + STEP)
         np.log10(f, out=log, where=f > 0)
         log = np.where(f > 0, np.minimum(-log, LOWEST), LOWEST + STEP)
@@ -359,7 +372,7 @@ def _histogram(blocks: DataFrame, answers: DataFrame, parts: int, bits: int, tot
         yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(np.bincount(at, minlength=len(u)).astype(np.int64)), *map(pa.array, sums)], ["cell", "n", *(f"l{k}" for k in range(ORDER))])
 
     logs = [f"l{k}" for k in range(ORDER)]
-    found = _with_answers(blocks.filter("block % 2 = 1"), answers.filter("block % 2 = 1"), parts, bits, count, f"cell long, n long, {', '.join(f'{c} long' for c in logs)}")
+    found = _with_answers(blocks.filter("block % 2 = 1"), answers.filter("block % 2 = 1"), parts, count, f"cell long, n long, {', '.join(f'{c} long' for c in logs)}")
     rows = found.groupBy("cell").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in logs]).toPandas().sort_values("cell")
     cell, n = rows["cell"].to_numpy(), rows["n"].to_numpy(float)
     log = rows[logs].to_numpy(float) / MICRO / np.maximum(n, 1)[:, None]
@@ -402,12 +415,12 @@ def score_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     weights = mixture(*_histogram(blocks, answers, parts, bits, left), left.words)
 
     def score(r, t, both, gone):
-        kind, f = estimates(t, both, total)
+        kind, f, c = estimates(t, both, total, bits)
         w = weights[kind]
         p = w[:, 0] / (total.words + 1)
         for n in range(ORDER):
             p += w[:, n + 1] * f[n]
-        text, c = t.text[t.own], both[0][t.at[0]][t.own]
+        text = t.text[t.own]
         base = np.log10((c + 1) / (total.tokens + total.words + 1))
         size = len(t.role)
         sums = [np.bincount(text, x, size) for x in (np.log10(p), base)]
@@ -416,7 +429,7 @@ def score_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
         yield pa.RecordBatch.from_arrays([pa.array(r["rows"], pa.int64()), pa.array(r["keys"], pa.int64()), pa.array(t.role == HELD_OUT), pa.array(cut), *map(pa.array, whole), *map(pa.array, sums)], ["row", "key", "held_out", "cut", "n_tokens", "n_known", "score", "base_score"])
 
     schema = "row long, key long, held_out boolean, cut boolean, n_tokens long, n_known long, score double, base_score double"
-    found = written(_with_answers(blocks, answers, parts, bits, score, schema), "scores")
+    found = written(_with_answers(blocks, answers, parts, score, schema), "scores")
     names = ["n_tokens", "n_known", "base_score", "score"]
     parts_of = found.filter("cut").groupBy("row").agg(F.first("key").alias("key"), F.first("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in names])
     whole = found.filter("NOT cut").select("key", "held_out", *names).unionByName(parts_of.select("key", "held_out", *names))
