@@ -553,3 +553,31 @@ def test_long_texts_are_hashed_in_parts(monkeypatch):
         assert (hashed_words(data, np.array([0, len(data)]))[0] == whole).all()
     finally:
         words._usual_powers.cache_clear()
+
+
+def thue_morse(n):
+    """Two words of n letters whose polynomials are equal modulo 2**64, whatever odd base they have."""
+    a = "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+    return a, a.translate({97: 98, 98: 97})
+
+
+@pytest.mark.parametrize("n", [512, 1024, 2048, 4096])
+def test_long_words_of_equal_polynomials_are_told_apart(spark, n):
+    a, b = thue_morse(n)
+    h, _ = hashed_words(np.frombuffer(f"{a} {b} {a}".encode(), np.uint8), np.array([0, 3 * n + 2]))
+    assert h[0] == h[2] != h[1]
+    rows = docs(spark, [(1, f"{a} x y z"), (2, f"{b} x y z"), (3, a), (4, b)])
+    linked = {r["doc_id"]: r["component_id"] for r in jaccard.similar_sets(rows.select("doc_id", "text"), size=4, percent=85).collect()}
+    assert linked == {i: i for i in (1, 2, 3, 4)}
+    items = spark.createDataFrame([(1, a)], "item_id int, text string")
+    found = {r["doc_id"] for r in decontamination.contamination(rows, items).filter("n_items > 0").collect()}
+    assert found == {1, 3}
+    together = rows.coalesce(1)
+    decoded = pieces.encode(together.select("doc_id", "text"), queries.vocabulary("piece_bpe_32k.model"), back="decoded")
+    assert decoded.filter("text <> decoded").count() == 0
+    path = queries.vocabulary("byte_bpe_50k.json")
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    for text, ids in zip((a, b), np.split(*(lambda x: (x[0], x[1][:-1]))(token_files.encoder(path).encode(pa.array([a, b])))), strict=True):
+        assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
