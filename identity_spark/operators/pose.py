@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import boxes
 from ..params import DEFAULTS, FULL_BODY, NONE, UPPER_BODY, Params
+from .crowd import CROWD, pairs_in_frames
 
 #: Places of key points in a pose of 17 points.
 HEAD, SHOULDERS, HIPS = (0, 1, 2), (5, 6), (11, 12)
@@ -35,12 +36,12 @@ def qualifies(quality_column: Column, params: Params = DEFAULTS, pose_off: bool
     return F.coalesce(quality_column, F.lit(NONE)) >= params.least_quality
 
 
-def assign_poses(detections: DataFrame, poses: DataFrame, key: str, params: Params = DEFAULTS) -> DataFrame:
+def assign_poses(detections: DataFrame, poses: DataFrame, key: str, params: Params = DEFAULTS, crowd: int = CROWD) -> DataFrame:
     """Adds pose_iou, pose_seq and pose_quality of the pose that overlaps a detection most (the first of equal ones).
 
-    The pair is found by the frame's equality and the overlap; the best one is a partial aggregate by detection."""
+    Pairs come from :func:`identity_spark.operators.crowd.pairs_in_frames`; the best one is a partial aggregate by detection."""
     p = poses.select("camera_id", "frame_idx", "pose_seq", "quality", boxes.box().alias("_pose"))
-    pairs = detections.select("camera_id", "frame_idx", key, boxes.box().alias("_box")).join(p, ["camera_id", "frame_idx"])
+    pairs = pairs_in_frames(detections.select("camera_id", "frame_idx", key, boxes.box().alias("_box")), p, "_box", "_pose", crowd)
     pairs = pairs.withColumn("pose_iou", boxes.iou(F.col("_box"), F.col("_pose"))).filter((F.col("pose_iou") > 0) & (F.col("pose_iou") >= params.pose_iou_match_min))
     best = pairs.groupBy("camera_id", "frame_idx", key).agg(F.max_by(F.struct("pose_iou", "pose_seq", F.col("quality").alias("pose_quality")), F.struct("pose_iou", -F.col("pose_seq"))).alias("_best"))
     out = detections.join(best, ["camera_id", "frame_idx", key], "left")
