@@ -314,8 +314,10 @@ def j4_exclude_active(v: Views) -> DataFrame:
 
 
 @registered(f"""
-    WITH {SIMS_SQL.replace('s AS', 's AS MATERIALIZED', 1)}, q AS (SELECT query_id, query_id % 50 AS x1, 0 AS y1, query_id % 50 + 40 AS x2, 100 AS y2 FROM queries), l AS (SELECT range AS global_id, range * 8 AS x1, 0 AS y1, range * 8 + 40 AS x2, 100 AS y2 FROM range(6))
-    SELECT s.query_id, s.global_id, round(s.score, 5) AS score FROM s JOIN q USING (query_id) LEFT JOIN l USING (global_id) WHERE l.x1 IS NULL OR {overlap_sql("q.", "l.")} >= 0.4
+    WITH {SIMS_SQL}, known(global_id, x1, y1, x2, y2) AS (VALUES {", ".join(f"({k}, {8 * k}, 0, {8 * k + 40}, 100)" for k in range(6))}),
+    gate AS (SELECT q.query_id, l.global_id, {overlap_sql("q.", "l.")} AS iou FROM (SELECT query_id, query_id % 50 AS x1, 0 AS y1, query_id % 50 + 40 AS x2, 100 AS y2 FROM queries) q CROSS JOIN known l)
+    SELECT query_id, global_id, round(score, 5) AS score FROM s WHERE global_id >= 6
+    UNION ALL SELECT s.query_id, s.global_id, round(s.score, 5) FROM s JOIN gate USING (query_id, global_id) WHERE gate.iou >= 0.4
 """)
 def j5_iou_gate(v: Views) -> DataFrame:
     q = v.queries.select("camera_id", "query_id", (F.col("query_id") % 50).cast("double").alias("x1"), F.lit(0.0).alias("y1"), (F.col("query_id") % 50 + 40).cast("double").alias("x2"), F.lit(100.0).alias("y2"))
