@@ -41,7 +41,7 @@ from .words import BASE, PIECE_BYTES, hashed_words, mix, pieces
 
 ORDER = 3
 #: Tokens of a block, and keys of a part, about.
-BLOCK_TOKENS = 1 << 21
+BLOCK_TOKENS = 3 << 19
 PART_KEYS = 1 << 20
 HELD_OUT, LEARNT, DELETED = 0, 1, 2
 #: Of seven parts by crc32 of the key, the one that weights are learnt on.
