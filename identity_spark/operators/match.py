@@ -1,8 +1,13 @@
 """Similarity of query embeddings to galleries of identities.
 
-Scores come from products of packed blocks: both sides are packed by camera and hashed block, blocks of the gallery are
-dealt into groups and blocks of queries are sent to each group of their camera. A block product gives, for each query,
-the best score of each identity; what is below ``least`` can be left out there, before the shuffle."""
+Scores come from products of packed blocks: both sides are packed by camera, blocks of the gallery are dealt into groups
+and blocks of queries are sent to each group of their camera. A block product gives, for each query, the best score of
+each identity; what is below ``least`` can be left out there, before the shuffle.
+
+With ``least`` most products needn't be made. An identity's entries stand in one block (a large identity's in several),
+and in a large gallery blocks are clustered: identities go to the pivot nearest to their centroid. A query whose angle to
+a block's centre is larger than the block's radius and the angle of ``least`` together has no score there, and likewise
+for an identity's centroid and radius. Both are exact, as angles keep the triangle inequality; only the rest is multiplied."""
 
 from __future__ import annotations
 
@@ -10,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import boxes
@@ -19,17 +24,23 @@ from ..params import DEFAULTS, Params
 from ..shared import checkpointed, small
 
 BLOCK = 1024
+#: Galleries of so many entries and more are clustered by pivots.
+PIVOT_FROM = 64 * BLOCK
+#: Most pivots: the centroids of the identities of the least hashes.
+PIVOTS = 256
+#: Of angles, against rounding.
+SLACK = 1e-6
 
 
-def _packed(rows: DataFrame, ids: list[str], vector: str, salt: int) -> tuple[DataFrame, DataFrame]:
-    """(camera_id, dim, part and arrays of ids and components; camera_id, dim and their number of parts).
+def _packed(rows: DataFrame, ids: list[str], vector: str, deal: Column, by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(camera_id, dim, by, part and arrays of ids and components; camera_id, dim, by and their number of parts).
 
     A camera has a part for every BLOCK of its own rows, so parts are as full with many cameras as with one."""
-    kept = rows.filter(F.col(vector).isNotNull()).select("camera_id", *ids, F.transform(vector, lambda x: x.cast("double")).alias("_v")).withColumn("dim", F.size("_v"))
-    sizes = checkpointed(kept.groupBy("camera_id", "dim").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("parts")))
-    part = F.pmod(F.xxhash64(*ids, F.lit(salt)), F.col("parts"))
-    packed = kept.join(small(sizes), ["camera_id", "dim"]).withColumn("part", part).groupBy("camera_id", "dim", "part").agg(F.collect_list(F.struct(*ids, "_v")).alias("_rows"))
-    return packed.select("camera_id", "dim", "part", *[F.col(f"_rows.{i}").alias(i) for i in ids], F.flatten("_rows._v").alias("flat")), sizes
+    key = ["camera_id", "dim", *by]
+    kept = rows.filter(F.col(vector).isNotNull()).select("camera_id", *by, *ids, deal.alias("_deal"), F.transform(vector, lambda x: x.cast("double")).alias("_v")).withColumn("dim", F.size("_v"))
+    sizes = checkpointed(kept.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("parts")))
+    packed = kept.join(small(sizes), key).withColumn("part", F.pmod("_deal", F.col("parts"))).groupBy(*key, "part").agg(F.collect_list(F.struct(*ids, "_v")).alias("_rows"))
+    return packed.select(*key, "part", *[F.col(f"_rows.{i}").alias(i) for i in ids], F.flatten("_rows._v").alias("flat")), sizes
 
 
 def _unit(flat: np.ndarray, dim: int) -> np.ndarray:
@@ -37,36 +48,136 @@ def _unit(flat: np.ndarray, dim: int) -> np.ndarray:
     return m / np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-12)
 
 
-def all_top1_sims(queries: DataFrame, gallery: DataFrame, *, query: str = "query_id", vector: str = "embedding", entry: str = "embedding", least: float | None = None) -> DataFrame:
-    """camera_id, query, global_id, score (highest cosine of the identity's entries) and first_seq (its first entry).
+def with_pivots(identities: DataFrame, vector: str, pivots: np.ndarray) -> DataFrame:
+    """camera_id, global_id and pivot: the number of the nearest of some directions, -1 for vectors of another length."""
+    unit = _unit(pivots.ravel(), pivots.shape[1])
 
-    queries: camera_id, query, vector; gallery: camera_id, global_id, entry_seq, entry. Null vectors have no score."""
-    q = _packed(queries, [query], vector, 1)[0].select("camera_id", "dim", F.col(query).alias("q_ids"), F.col("flat").alias("q_flat"))
-    g, sizes = _packed(gallery, ["global_id", "entry_seq"], entry, 2)
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = batch.column("v")
+            flat, size = v.flatten().to_numpy(zero_copy_only=False), np.diff(v.offsets.to_numpy())
+            fits = size == unit.shape[1]
+            out = np.full(len(size), -1, np.int32)
+            if fits.any():
+                out[fits] = (_unit(flat[np.repeat(fits, size)], unit.shape[1]) @ unit.T).argmax(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column("camera_id"), batch.column("global_id"), pa.array(out)], ["camera_id", "global_id", "pivot"])
+
+    return identities.select("camera_id", "global_id", F.col(vector).alias("v")).mapInArrow(nearest, "camera_id long, global_id long, pivot int")
+
+
+def _gallery_blocks(gallery: DataFrame, entry: str, least: float | None, pivot_from: int, older: bool) -> tuple[DataFrame, DataFrame]:
+    """As :func:`_packed` gives them. An identity's entries are dealt as one, or in runs of BLOCK where it has more; if only
+    older identities count, in the order of their numbers."""
+    every = ["camera_id", "global_id", "entry_seq", entry]
+    if older:
+        return _packed(gallery.select(*every), ["global_id", "entry_seq"], entry, F.floor(F.col("global_id") / BLOCK))
+    if least is None:
+        return _packed(gallery.select(*every), ["global_id", "entry_seq"], entry, F.xxhash64("global_id", "entry_seq", F.lit(2)))
+    have = gallery.filter(F.col(entry).isNotNull())
+    sizes = checkpointed(have.groupBy("camera_id", "global_id").agg(F.count(F.lit(1)).alias("_n"))).withColumn("_runs", F.ceil(F.col("_n") / BLOCK).cast("long"))
+    run = F.when(F.col("_runs") > 1, F.pmod(F.xxhash64("entry_seq", F.lit(3)), F.col("_runs"))).otherwise(0)
+    deal = F.xxhash64("global_id", run, F.lit(2))
+    held = have.select(*every).join(small(sizes), ["camera_id", "global_id"])
+    if (sizes.agg(F.sum("_n")).first()[0] or 0) < pivot_from:
+        return _packed(held, ["global_id", "entry_seq"], entry, deal)
+    means = checkpointed(centroids(have.select("camera_id", "global_id", "entry_seq", F.col(entry).alias("embedding"))))
+    first = means.orderBy(F.xxhash64("camera_id", "global_id"), "camera_id", "global_id").limit(PIVOTS).select("embedding").collect()
+    dim = len(first[0][0])
+    pivots = np.array([r[0] for r in first if len(r[0]) == dim])
+    placed = held.join(with_pivots(means, "embedding", pivots), ["camera_id", "global_id"])
+    return _packed(placed, ["global_id", "entry_seq"], entry, deal, ("pivot",))
+
+
+def _best_scores(q: np.ndarray, e: np.ndarray, starts: np.ndarray, least: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Rows of q, identities and best scores that reach ``least``, and how many products were made; e: unit entries sorted by
+    identity, starts: where each one's begin."""
+    if least is None:
+        top = np.maximum.reduceat(q @ e.T, starts, axis=1)
+        a, b = np.nonzero(top >= -2.0)
+        return a, b, top[a, b], len(q) * len(e)
+    size = np.diff(starts, append=len(e))
+    reach = np.arccos(np.clip(least, -1, 1)) + SLACK
+    angle = lambda x, y: np.arccos(np.clip((x * y).sum(axis=-1), -1, 1))
+    no_entry = (e * e).sum(axis=1) < 0.5  # of length 0, so of no direction
+    if least <= 0 or no_entry.any():
+        top = np.maximum.reduceat(q @ e.T, starts, axis=1)
+        a, b = np.nonzero(top >= least - 1e-9)
+        return a, b, top[a, b], len(q) * len(e)
+    centre = _unit(e.sum(axis=0), e.shape[1])[0]
+    rows = np.flatnonzero(np.arccos(np.clip(q @ centre, -1, 1)) <= reach + angle(e, centre).max())
+    made, alive = len(q), None
+    if len(rows) and len(starts) < len(e):
+        means = _unit(np.add.reduceat(e, starts, axis=0).ravel(), e.shape[1])
+        radius = np.maximum.reduceat(angle(e, np.repeat(means, size, axis=0)), starts)
+        alive = np.arccos(np.clip(q[rows] @ means.T, -1, 1)) <= reach + radius
+        made += alive.size
+        rows, alive = rows[alive.any(axis=1)], alive[alive.any(axis=1)]
+    own = np.arange(len(starts)) if alive is None else np.flatnonzero(alive.any(axis=0))
+    if not len(rows) or not len(own):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), made
+    n = size[own]
+    at = np.repeat(starts[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    s = q[rows] @ e[at].T
+    top = np.maximum.reduceat(s, np.cumsum(n) - n, axis=1)
+    a, b = np.nonzero(top >= least - 1e-9)
+    return rows[a], own[b], top[a, b], made + s.size
+
+
+def _products(queries: DataFrame, gallery: DataFrame, query: str, vector: str, entry: str, least: float | None, pivot_from: int, older: bool = False) -> DataFrame:
+    """camera_id, query, global_id and score of block products; a row of null query and identity for each, with the number
+    of products of a query and an entry, and of those made, as pairs and made."""
+    q = _packed(queries, [query], vector, F.floor(F.col(query) / BLOCK) if older else F.xxhash64(query, F.lit(1)))[0].select("camera_id", "dim", F.col(query).alias("q_ids"), F.col("flat").alias("q_flat"))
+    g, sizes = _gallery_blocks(gallery, entry, least, pivot_from, older)
     # a camera's blocks are dealt into as many groups as there are tasks, or as it has blocks
-    groups = sizes.select("camera_id", "dim", F.least("parts", F.lit(int(gallery.sparkSession.conf.get("spark.sql.shuffle.partitions")))).alias("groups"))
+    blocks = sizes.groupBy("camera_id", "dim").agg(F.sum("parts").alias("parts"))
+    groups = blocks.select("camera_id", "dim", F.least("parts", F.lit(int(gallery.sparkSession.conf.get("spark.sql.shuffle.partitions")))).alias("groups"))
     q = q.join(small(groups), ["camera_id", "dim"]).withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1))).drop("groups")
-    tiles = g.join(small(groups), ["camera_id", "dim"]).withColumn("group", F.pmod("part", F.col("groups"))).drop("groups").join(q, ["camera_id", "dim", "group"])
+    place = F.xxhash64("part", "pivot") if "pivot" in g.columns else F.col("part")
+    tiles = g.join(small(groups), ["camera_id", "dim"]).withColumn("group", F.pmod(place, F.col("groups"))).drop("groups").join(q, ["camera_id", "dim", "group"])
+    schema = f"camera_id long, {query} {dict(queries.dtypes)[query]}, global_id long, score double, pairs long, made long"
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["camera_id", query, "global_id", "score", "pairs", "made"]
         for batch in batches:
             for i in range(batch.num_rows):
-                at = {n: batch.column(n)[i] for n in batch.schema.names}
+                at = {n: batch.column(n)[i] for n in ("camera_id", "dim", "global_id", "flat", "q_ids", "q_flat")}
                 array = lambda n: at[n].values.to_numpy(zero_copy_only=False)  # noqa: E731, B023
-                dim, gids, ids = at["dim"].as_py(), array("global_id"), array("q_ids")
+                dim, gids, ids = at["dim"].as_py(), array("global_id"), at["q_ids"].values
                 order = np.argsort(gids, kind="stable")
                 starts = np.flatnonzero(np.r_[True, np.diff(gids[order]) != 0])
-                s = _unit(array("q_flat"), dim) @ _unit(array("flat"), dim)[order].T
-                top = np.maximum.reduceat(s, starts, axis=1)
-                a, b = np.nonzero(top >= (-2.0 if least is None else least - 1e-9))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), at["camera_id"].as_py())), pa.array(ids[a]), pa.array(gids[order][starts][b]), pa.array(top[a, b])], ["camera_id", query, "global_id", "score"])
+                if older and gids.min() >= max(ids.to_pylist()):
+                    a, b, top, made = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), 0
+                else:
+                    a, b, top, made = _best_scores(_unit(array("q_flat"), dim), _unit(array("flat"), dim)[order], starts, least)
+                if older:
+                    keep = gids[order][starts][b] < ids.to_numpy()[a]
+                    a, b, top = a[keep], b[keep], top[keep]
+                none = pa.nulls(len(a), pa.int64())
+                camera = lambda n: pa.array(np.full(n, at["camera_id"].as_py()))  # noqa: E731, B023
+                yield pa.RecordBatch.from_arrays([camera(len(a)), ids.take(pa.array(a)), pa.array(gids[order][starts][b]), pa.array(top), none, none], names)
+                yield pa.RecordBatch.from_arrays([camera(1), pa.nulls(1, ids.type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.float64()), pa.array([len(ids) * len(gids)]), pa.array([made])], names)
+
+    return tiles.mapInArrow(best, schema)
+
+
+def all_top1_sims(queries: DataFrame, gallery: DataFrame, *, query: str = "query_id", vector: str = "embedding", entry: str = "embedding", least: float | None = None, pivot_from: int = PIVOT_FROM, older: bool = False) -> DataFrame:
+    """camera_id, query, global_id, score (highest cosine of the identity's entries) and first_seq (its first entry).
 
-    scores = tiles.mapInArrow(best, f"camera_id long, {query} {dict(queries.dtypes)[query]}, global_id long, score double")
+    queries: camera_id, query, vector; gallery: camera_id, global_id, entry_seq, entry. Null vectors have no score. older:
+    the queries are identities by number, and each meets those of lower numbers alone, in half of the products."""
+    scores = _products(queries, gallery, query, vector, entry, least, pivot_from, older).filter("global_id IS NOT NULL")
     scores = scores.groupBy("camera_id", query, "global_id").agg(F.max("score").alias("score"))
     first = gallery.groupBy("camera_id", "global_id").agg(F.min("entry_seq").alias("first_seq"))
     return scores.join(first, ["camera_id", "global_id"])
 
 
+def products_made(queries: DataFrame, gallery: DataFrame, least: float, *, query: str = "query_id", vector: str = "embedding", entry: str = "embedding", pivot_from: int = PIVOT_FROM, older: bool = False) -> DataFrame:
+    """camera_id, pairs (of a query and an entry) and made: how many products :func:`all_top1_sims` makes, with those to
+    centres and centroids; their difference is what the angles spare."""
+    found = _products(queries, gallery, query, vector, entry, least, pivot_from, older).filter("global_id IS NULL")
+    return found.groupBy("camera_id").agg(F.sum("pairs").alias("pairs"), F.sum("made").alias("made"))
+
+
 def centroids(gallery: DataFrame, vector: str = "embedding") -> DataFrame:
     """Unit mean of each identity's entries, with its first entry's number."""
     means = gallery.groupBy("camera_id", "global_id").agg(mean_vector(F.col(vector)).alias("_m"), F.min("entry_seq").alias("entry_seq"), F.count(F.lit(1)).alias("n_entries"))

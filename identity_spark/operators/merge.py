@@ -15,8 +15,8 @@ GID = ["camera_id", "global_id"]
 def merge_candidates(gallery: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """camera_id, source, target, score: each identity's nearest older one by centroid, if near enough; the first of equal ones."""
     c = centroids(gallery)
-    pairs = all_top1_sims(c.withColumnRenamed("global_id", "source"), c, query="source", least=params.gid_merge_threshold)
-    near = pairs.filter((F.col("global_id") < F.col("source")) & (F.col("score") >= params.gid_merge_threshold))
+    pairs = all_top1_sims(c.withColumnRenamed("global_id", "source"), c, query="source", least=params.gid_merge_threshold, older=True)
+    near = pairs.filter(F.col("score") >= params.gid_merge_threshold)
     return top1_per_group(near, ["camera_id", "source"], "score", "global_id").select("camera_id", "source", F.col("global_id").alias("target"), "score")
 
 
