@@ -14,14 +14,12 @@ _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"
 #: Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Their contents are characters and no markup, and no page shows them as its text.
-RAW = frozenset("script style textarea title iframe".split())
-#: Their contents are elements that no page shows.
-UNSHOWN = frozenset("noscript template".split())
+RAW = frozenset("script style textarea title".split())
 #: What isn't here stands in a line of text.
 BLOCK = frozenset(
-    "address article aside blockquote body br caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frame frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li link main menu"
+    "address article aside blockquote body br caption center col colgroup dd details dialog dir div dl dt iframe noscript template fieldset figcaption figure footer form frame frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li link main menu"
     " menuitem meta nav noframes ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul video audio canvas select".split()
-) | RAW | UNSHOWN
+) | RAW
 #: Opening one of these ends an open one of the named kinds, up to the next container.
 ENDS = {
     **{t: frozenset(["p"]) for t in "address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()},
@@ -82,13 +80,13 @@ def read(page: str) -> Page:
                 if tag not in BLOCK and out.tag[stack[k]] in BLOCK:
                     break
             continue
-        if tag in RAW or tag in UNSHOWN:
-            # a raw one that nothing closes takes the rest, as in browsers; of the others nothing but the tag is left out
+        if tag in RAW:
+            # one that nothing closes takes the rest, as in browsers
             close = re.compile(rf"</{re.escape(tag)}(?:\s[^>]*+)?>", re.I).search(page, at) if tag not in unclosed else None
             if close is None:
                 unclosed.add(tag)
-                at = n if tag in RAW else at
-            elif tag in RAW or not m[3].endswith("/"):
+                at = n
+            else:
                 at = close.end()
             continue
         if tag in ("html", "body") and any(out.tag[i] == tag for i in stack):

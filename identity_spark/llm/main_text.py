@@ -1,14 +1,16 @@
 """Main text of web pages by a tree-structured graphical model.
 
 Each element of a page is a variable: main text or not. Its own potential is a linear function of its tag, the words in
-its id, class and role, and the amount of text and links in and below it; an element and its parent share a potential
-for each pair of states, by the kind of the child. Messages pass from the leaves to the root and back (sum-product), so
+its id, class and role (which speak otherwise below an article than elsewhere), and the amount of text and links in and
+below it; an element that stands in a line of text, as a link does, has none, so it goes by what is around it. An element
+and its parent share a potential for each pair of states, by the kind of the child. Messages pass from the leaves to the root and back (sum-product), so
 every element gets its exact marginal; all pages of a batch pass theirs together, level by level. The weights maximise
 the likelihood of labelled pages, with the same messages for the expectations. Text whose element's marginal is one
-half or more is kept.
+half or more is kept. Where no text reaches that, what has at least half of the highest marginal of a text is kept, if
+that one is LIKELY or more; of a page without tags all is.
 
-Defined results: a null, empty or textless page has an empty text; broken markup gives some tree; scripts, styles,
-titles, templates and form fields never count as text; a quote that nothing closes drops no text, and what follows a script or style without an
+Defined results: a null, empty or textless page has an empty text; broken markup gives some tree; an attribute that is
+repeated counts each time; scripts, styles, titles and form fields never count as text; a quote that nothing closes drops no text, and what follows a script or style without an
 end is its content; rows with equal or null ids and repeated rows are extracted each by itself, equal ones equally; a page of
 any length is read whole, in memory of some 30 bytes for each of its own and 300 for an element; further columns are kept,
 but for one named ``text``, which is replaced; an empty table gives no rows.
@@ -42,13 +44,16 @@ NAMES = {
     "main": ["article", "content", "main", "post", "entry", "story", "body", "text", "page", "articlebody", "prose"],
 }
 _OF_NAME = {w: k for k, words in enumerate(NAMES.values()) for w in words}
+_MAIN = list(NAMES).index("main")
 _OF_TAG = {t: k for k, t in enumerate(TAGS)}
 LENGTHS = (1, 25, 80, 200, 600)
 LINKS = (0.01, 0.3, 0.7)
-N_FEATURES = len(TAGS) + 1 + len(NAMES) + 2 * (len(LENGTHS) + 1) + len(LINKS) + 1 + 2
+N_FEATURES = len(TAGS) + 1 + 2 * len(NAMES) + 2 * (len(LENGTHS) + 1) + len(LINKS) + 1 + 2
 #: Kinds of a child for the potentials it shares with its parent.
 KINDS = 3
 STEPS = 120
+#: A page without a text of one half has one from this marginal on.
+LIKELY = 0.1
 
 
 @dataclass
@@ -94,12 +99,14 @@ def forest(pages: list[Page]) -> Forest:
     rows = np.arange(n)
     x[rows, [_OF_TAG.get(t, len(TAGS)) for t in tags]] = 1
     at = len(TAGS) + 1
-    for i, name in enumerate(names):
-        if name:
-            for w in name.replace("-", " ").replace("_", " ").split():
-                if (k := _OF_NAME.get(w)) is not None:
-                    x[i, at + k] = 1
-    at += len(NAMES)
+    inside: list[bool] = []  # below an article, by tag or name
+    for i, (name, tag, above) in enumerate(zip(names, tags, parent, strict=True)):
+        kinds = {_OF_NAME[w] for w in name.replace("-", " ").replace("_", " ").split() if w in _OF_NAME} if name else set()
+        within = above >= 0 and inside[above]
+        for k in kinds:
+            x[i, at + k + (len(NAMES) if within else 0)] = 1
+        inside.append(within or tag in ("article", "main") or _MAIN in kinds)
+    at += 2 * len(NAMES)
     for count in (own_of, below):
         x[rows, at + np.searchsorted(LENGTHS, count, "right")] = 1
         at += len(LENGTHS) + 1
@@ -108,7 +115,10 @@ def forest(pages: list[Page]) -> Forest:
     x[rows, at] = np.minimum(np.array(dots), 5) / 5
     x[rows, at + 1] = 1
     inline = np.array([t not in BLOCK for t in tags], np.int64)
-    named = x[:, len(TAGS) + 1 : len(TAGS) + 1 + len(NAMES)].any(axis=1) | np.isin(np.array(tags), ["article", "main", "nav", "header", "footer", "aside", "form", "section"])
+    # a line's elements have their own potential only where no line is around them
+    in_line = (inline == 1) & (parent_of >= 0) & (np.array(tags)[np.maximum(parent_of, 0)] != "body") & (parent_of > 0)
+    x[in_line, : N_FEATURES - 1] = 0
+    named = x[:, len(TAGS) + 1 : len(TAGS) + 1 + 2 * len(NAMES)].any(axis=1) | np.isin(np.array(tags), ["article", "main", "nav", "header", "footer", "aside", "form", "section"])
     return Forest(x, parent_of, np.where(inline == 1, 0, np.where(named, 2, 1)), depth_of)
 
 
@@ -179,7 +189,10 @@ def main_texts(pages: list[str], m: Model) -> list[str]:
     p, _ = marginals(f, m)
     out, base = [], 0
     for t in trees:
-        out.append(" ".join("".join([" " if x == "\n" else x for e, x in t.runs if p[base + e] >= 0.5 or x == "\n"]).split()))
+        of = p[base : base + len(t.tag)]
+        most = max((of[e] for e, x in t.runs if x.strip()), default=0.0)
+        least = 0.5 if most >= 0.5 else 0.0 if len(t.tag) == 1 else max(most / 2, LIKELY)
+        out.append(" ".join("".join([" " if x == "\n" else x for e, x in t.runs if of[e] >= least or x == "\n"]).split()))
         base += len(t.tag)
     return out
 
