@@ -2,28 +2,57 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.resource import ResourceProfile
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
 
 Model = Callable[[list], list]
+log = logging.getLogger(__name__)
 
 
-def run_model(rows: DataFrame, factories: dict[str, Callable[[], Model]], strategy: str, column: str, out: str, kind: str, *, unit_length: bool = False, batch: int = 64) -> DataFrame:
+def attempted(model: Model, given: list) -> list[tuple[object, str | None]]:
+    """(output, None) of each input, or (None, error): where a batch fails its halves are tried, down to one input.
+
+    So what one input costs is its own output, and some 2 * log2(n) calls of the model more."""
+    if not given:
+        return []
+    try:
+        return [(x, None) for _, x in zip(given, model(given), strict=True)]
+    except Exception as e:  # noqa: BLE001  a model may raise anything
+        if len(given) == 1:
+            log.warning("a model failed on one input: %r", e)
+            return [(None, f"{type(e).__name__}: {e}")]
+    half = len(given) // 2
+    return attempted(model, given[:half]) + attempted(model, given[half:])
+
+
+def _size(x: object) -> int:
+    """Bytes of an input, about."""
+    return len(x) * (1 if isinstance(x, (bytes, bytearray, str)) else 8) if hasattr(x, "__len__") else 8
+
+
+def run_model(
+    rows: DataFrame, factories: dict[str, Callable[[], Model]], strategy: str, column: str, out: str, kind: str, *,
+    unit_length: bool = False, batch: int = 64, batch_bytes: int = 64 << 20, errors: str | None = None, profile: ResourceProfile | None = None,
+) -> DataFrame:
     """Adds ``out`` (of the type ``kind``): what the named strategy's model makes of ``column``.
 
     factories: strategy -> function that builds the model; an unknown strategy is an error at once. The model takes a
-    list of inputs that aren't null and gives a list of as many outputs. Where a batch fails its outputs are null.
-    unit_length: outputs are vectors, to be brought to length 1."""
+    list of inputs that aren't null, up to ``batch`` of them and (but for a single one) ``batch_bytes``, and gives a list
+    of as many outputs. An input on which it fails by itself has a null output and is logged; errors: a column for what it
+    said. unit_length: outputs are vectors, to be brought to length 1. profile: resources of the model's stage, such as
+    a GPU a task, where the cluster deals them out by stage."""
     if strategy not in factories:
         raise ValueError(f"unknown strategy {strategy!r}; known ones are {', '.join(sorted(factories))}")
     make = factories[strategy]
     arrow = to_arrow_type(DataType.fromDDL(kind))
-    fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + [f"`{out}` {kind}"])
+    fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + [f"`{out}` {kind}"] + ([f"`{errors}` string"] if errors else []))
 
     def unit(v: list | None) -> list | None:
         if v is None:
@@ -31,39 +60,49 @@ def run_model(rows: DataFrame, factories: dict[str, Callable[[], Model]], strate
         x = np.asarray(v, float)
         return (x / max(float(np.sqrt(x @ x)), 1e-12)).tolist()
 
+    def portions(given: list) -> Iterator[tuple[int, int]]:
+        start = size = 0
+        for i, x in enumerate(given):
+            own = 0 if x is None else _size(x)
+            if i > start and (i - start >= batch or size + own > batch_bytes):
+                yield start, i
+                start, size = i, 0
+            size += own
+        if len(given) > start:
+            yield start, len(given)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = make()
         for whole in batches:
-            for start in range(0, whole.num_rows, batch):
-                some = whole.slice(start, batch)
-                given = some.column(column).to_pylist()
+            values = whole.column(column).to_pylist()
+            for start, end in portions(values):
+                some, given = whole.slice(start, end - start), values[start:end]
                 at = [i for i, x in enumerate(given) if x is not None]
                 made: list = [None] * len(given)
-                try:
-                    for i, x in zip(at, model([given[i] for i in at]) if at else [], strict=True):
-                        made[i] = unit(x) if unit_length else x
-                except Exception:  # noqa: BLE001  a model's failure costs its batch and not the run
-                    made = [None] * len(given)
-                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(made, arrow)], [*some.schema.names, out])
+                said: list = [None] * len(given)
+                for i, (x, error) in zip(at, attempted(model, [given[i] for i in at]), strict=True):
+                    made[i], said[i] = unit(x) if unit_length else x, error
+                more = [pa.array(said, pa.string())] if errors else []
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(made, arrow), *more], [*some.schema.names, out, *([errors] if errors else [])])
 
-    return rows.mapInArrow(run, fields)
+    return rows.mapInArrow(run, fields, profile=profile)
 
 
-def embed_table(rows: DataFrame, factories: dict[str, Callable[[], Model]], strategy: str, column: str = "crop", out: str = "embedding") -> DataFrame:
-    """Adds unit embeddings of crops; null for a null crop or a failed batch."""
-    return run_model(rows, factories, strategy, column, out, "array<double>", unit_length=True)
+def embed_table(rows: DataFrame, factories: dict[str, Callable[[], Model]], strategy: str, column: str = "crop", out: str = "embedding", **how) -> DataFrame:
+    """Adds unit embeddings of crops; null for a null crop or one that the model fails on. how: as :func:`run_model` takes it."""
+    return run_model(rows, factories, strategy, column, out, "array<double>", unit_length=True, **how)
 
 
-def pose_table(frames: DataFrame, factories: dict[str, Callable[[], Model]], strategy: str, column: str = "frame") -> DataFrame:
+def pose_table(frames: DataFrame, factories: dict[str, Callable[[], Model]], strategy: str, column: str = "frame", **how) -> DataFrame:
     """Poses of each frame, a row each: pose_seq, x1..y2, score, kps."""
     pose = "array<struct<x1:double,y1:double,x2:double,y2:double,score:double,kps:array<struct<x:double,y:double,c:double>>>>"
-    return _exploded(run_model(frames, factories, strategy, column, "_found", pose), column, "pose_seq")
+    return _exploded(run_model(frames, factories, strategy, column, "_found", pose, **how), column, "pose_seq")
 
 
-def face_table(frames: DataFrame, factories: dict[str, Callable[[], Model]], strategy: str, column: str = "frame") -> DataFrame:
+def face_table(frames: DataFrame, factories: dict[str, Callable[[], Model]], strategy: str, column: str = "frame", **how) -> DataFrame:
     """Faces of each frame, a row each: face_seq, x1..y2, score, embedding (unit length is the model's part)."""
     face = "array<struct<x1:double,y1:double,x2:double,y2:double,score:double,embedding:array<double>>>"
-    return _exploded(run_model(frames, factories, strategy, column, "_found", face), column, "face_seq")
+    return _exploded(run_model(frames, factories, strategy, column, "_found", face, **how), column, "face_seq")
 
 
 def _exploded(rows: DataFrame, column: str, seq: str) -> DataFrame:

@@ -354,3 +354,25 @@ def test_stage_metrics_with_timings(spark):
     rows = spark.createDataFrame([(0, 1, 4, 2, 10.0), (0, 2, 6, 0, 30.0), (0, 31, 1, 1, 5.0)], "camera_id long, frame_idx long, n_detections long, n_embedded long, pose_ms double")
     out = {r["window"]: (r["n_frames"], r["mean_pose_ms"], r["max_pose_ms"]) for r in report.stage_metrics(rows, 30, ["pose_ms"]).collect()}
     assert out == {0: (2, 20.0, 30.0), 1: (1, 5.0, 5.0)}
+
+
+def test_a_failing_input_costs_its_own_output():
+    calls = []
+
+    def model(xs):
+        calls.append(len(xs))
+        if 13 in xs:
+            raise RuntimeError("13")
+        return [x * 2 for x in xs]
+
+    out = infer.attempted(model, list(range(64)))
+    assert [x for x, _ in out] == [None if k == 13 else 2 * k for k in range(64)] and out[13][1] == "RuntimeError: 13"
+    assert len(calls) == 13 and infer.attempted(lambda xs: [1], [5, 6]) == [(1, None), (1, None)]
+
+
+def test_batches_of_a_model_are_bounded_in_bytes(spark):
+    rows = spark.createDataFrame([(k, b"x" * (100 if k % 5 else 1000)) for k in range(40)], "i int, crop binary").coalesce(1)
+    sizes = lambda: lambda xs: [[float(sum(map(len, xs))), float(len(xs))] for _ in xs]
+    out = infer.run_model(rows, {"s": sizes}, "s", "crop", "seen", "array<double>", batch=7, batch_bytes=900).collect()
+    assert max(r["seen"][1] for r in out) <= 7
+    assert all(r["seen"][0] <= 900 or r["seen"][1] == 1 for r in out)
