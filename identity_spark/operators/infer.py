@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -39,7 +40,7 @@ def _size(x: object) -> int:
 
 def run_model(
     rows: DataFrame, factories: dict[str, Callable[[], Model]], strategy: str, column: str, out: str, kind: str, *,
-    unit_length: bool = False, batch: int = 64, batch_bytes: int = 64 << 20, errors: str | None = None, profile: ResourceProfile | None = None,
+    unit_length: bool = False, batch: int = 64, batch_bytes: int = 64 << 20, errors: str | None = None, took: str | None = None, profile: ResourceProfile | None = None,
 ) -> DataFrame:
     """Adds ``out`` (of the type ``kind``): what the named strategy's model makes of ``column``.
 
@@ -47,12 +48,13 @@ def run_model(
     list of inputs that aren't null, up to ``batch`` of them and (but for a single one) ``batch_bytes``, and gives a list
     of as many outputs. An input on which it fails by itself has a null output and is logged; errors: a column for what it
     said. unit_length: outputs are vectors, to be brought to length 1. profile: resources of the model's stage, such as
-    a GPU a task, where the cluster deals them out by stage."""
+    a GPU a task, where the cluster deals them out by stage. took: a column for the milliseconds that the model took, each
+    row's share of its batch; they are those of the run that made the row."""
     if strategy not in factories:
         raise ValueError(f"unknown strategy {strategy!r}; known ones are {', '.join(sorted(factories))}")
     make = factories[strategy]
     arrow = to_arrow_type(DataType.fromDDL(kind))
-    fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + [f"`{out}` {kind}"] + ([f"`{errors}` string"] if errors else []))
+    fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + [f"`{out}` {kind}"] + ([f"`{errors}` string"] if errors else []) + ([f"`{took}` double"] if took else []))
 
     def unit(v: list | None) -> list | None:
         if v is None:
@@ -80,10 +82,13 @@ def run_model(
                 at = [i for i, x in enumerate(given) if x is not None]
                 made: list = [None] * len(given)
                 said: list = [None] * len(given)
-                for i, (x, error) in zip(at, attempted(model, [given[i] for i in at]), strict=True):
+                began = time.perf_counter()
+                results = attempted(model, [given[i] for i in at])
+                share = 1000 * (time.perf_counter() - began) / max(1, len(given))
+                for i, (x, error) in zip(at, results, strict=True):
                     made[i], said[i] = unit(x) if unit_length else x, error
-                more = [pa.array(said, pa.string())] if errors else []
-                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(made, arrow), *more], [*some.schema.names, out, *([errors] if errors else [])])
+                more = ([pa.array(said, pa.string())] if errors else []) + ([pa.array(np.full(len(given), share))] if took else [])
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(made, arrow), *more], [*some.schema.names, out, *[c for c in (errors, took) if c]])
 
     return rows.mapInArrow(run, fields, profile=profile)
 
