@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import boxes
@@ -30,35 +30,48 @@ def frames_for_pose(observations: DataFrame, known: DataFrame, params: Params =
     return rows.join(pose.frame_needs_pose(rows, params), FRAME).drop("known", "known_before")
 
 
-def identify_tracks(observations: DataFrame, bodies: DataFrame, faces: DataFrame, known: DataFrame | None = None, params: Params = DEFAULTS) -> DataFrame:
+def identify_tracks(observations: DataFrame, bodies: DataFrame, faces: DataFrame, known: DataFrame | None = None, params: Params = DEFAULTS, by_face: bool = False) -> DataFrame:
     """A row for each track that is decided: camera_id, tracker_id, frame_idx, global_id, match_score, match_type, is_new.
 
     observations: camera_id, frame_idx, det_seq, tracker_id, qualifies, has_face, body, face and x1..y2. A track is
     decided on the frame that completes its first run of qualifying rows, by the mean of their bodies and its latest
     face; on that frame identities of known tracks are out, and of the others each goes to one track. What is left
-    gets new numbers after the highest of the gallery. known: camera_id, tracker_id, global_id of tracks that have one."""
+    gets new numbers after the highest of the gallery. known: camera_id, tracker_id, global_id of tracks that have one.
+    by_face: a row that doesn't qualify but has a face decides its track at once, by the face alone (type "F"), and before
+    the frame's other tracks."""
     rows = observations if known is None else observations.join(known.select(*TRACK), TRACK, "left_anti")
     runs = tracklets.latest_face(tracklets.confirm_points(tracklets.pending_runs(rows), params), "face")
     means = tracklets.mean_embeddings(runs, "body", params)
-    first = means.groupBy(*TRACK).agg(F.min_by(F.struct("run", "confirm_frame", "mean_embedding"), "confirm_frame").alias("_f")).select(*TRACK, "_f.*")
+    means = means.select(*TRACK, "run", "confirm_frame", "mean_embedding", F.lit(False).alias("by_face"))
+    if by_face:
+        ends = runs.filter("face_ends_wait").select(*TRACK, "run", F.col("frame_idx").alias("confirm_frame"), F.lit(None).cast("array<double>").alias("mean_embedding"), F.lit(True).alias("by_face"))
+        means = means.unionByName(ends)
+    first = means.groupBy(*TRACK).agg(F.min_by(F.struct("run", "confirm_frame", "mean_embedding", "by_face"), "confirm_frame").alias("_f")).select(*TRACK, "_f.*")
+    if by_face:  # there the row's own face counts, which isn't on a qualifying row
+        runs = runs.withColumn("latest_face", F.when(F.col("face_ends_wait"), F.coalesce("face", "latest_face")).otherwise(F.col("latest_face")))
     at = runs.select(*TRACK, F.col("frame_idx").alias("confirm_frame"), "det_seq", "latest_face", boxes.box().alias("_box"))
     done = checkpointed(first.join(at, [*TRACK, "confirm_frame"]).withColumnRenamed("confirm_frame", "frame_idx"))
 
     least = params.sim_threshold
-    alone = match.all_top1_sims(done.filter("latest_face IS NULL"), bodies, query="tracker_id", vector="mean_embedding", least=least)
-    with_face = match.fused_scores(done.filter("latest_face IS NOT NULL"), bodies, faces, params.face_match_strategy, least, query="tracker_id", body="mean_embedding", face="latest_face")
+    alone = match.all_top1_sims(done.filter("latest_face IS NULL AND NOT by_face"), bodies, query="tracker_id", vector="mean_embedding", least=least)
+    with_face = match.fused_scores(done.filter("latest_face IS NOT NULL AND NOT by_face"), bodies, faces, params.face_match_strategy, least, query="tracker_id", body="mean_embedding", face="latest_face")
     columns = [*TRACK, "global_id", "score", "first_seq"]
     scores = alone.select(*columns).unionByName(with_face.withColumn("first_seq", F.col("global_id")).select(*columns)).filter(F.col("score") >= least)
+    if by_face:
+        only = match.fused_scores(done.filter("by_face"), bodies, faces, "face_only_top1", params.face_sim_threshold, query="tracker_id", body="mean_embedding", face="latest_face")
+        only = only.filter(F.col("score") >= params.face_sim_threshold)
+        scores = scores.unionByName(only.withColumn("first_seq", F.col("global_id")).select(*columns))
     if known is not None:
         held = observations.join(known.select(*TRACK, "global_id"), TRACK).select(*FRAME, "global_id").distinct()
         scores = match.exclude_active(scores, done.select(*TRACK, "frame_idx").join(held, FRAME), "tracker_id")
     scores = checkpointed(scores.join(done.select(*TRACK, "frame_idx"), TRACK))
     best = scores.groupBy(*TRACK).agg(F.max("score").alias("prescore"))
-    completions = done.select(*FRAME, "tracker_id", "det_seq").join(best, TRACK, "left")
-    assigned = assign.greedy_assign(scores, completions, params).join(assign.rank_completions(completions).select(*FRAME, "tracker_id", "place"), [*FRAME, "tracker_id"])
+    completions = done.select(*FRAME, "tracker_id", "det_seq", "by_face").join(best, TRACK, "left")
+    # scores are held against their own thresholds above
+    assigned = assign.greedy_assign(scores, completions, replace(params, sim_threshold=-2.0)).join(assign.rank_completions(completions).select(*FRAME, "tracker_id", "place"), [*FRAME, "tracker_id"])
     highest = bodies.select("camera_id", "global_id").unionByName(faces.select("camera_id", "global_id")).groupBy("camera_id").agg(F.max("global_id").alias("highest"))
-    named = assign.new_gid_numbers(assigned, highest).join(done.select(*TRACK, "latest_face"), TRACK)
-    kind = F.when(F.col("is_new"), "NEW").when(F.col("latest_face").isNotNull(), "F+B").otherwise("B")
+    named = assign.new_gid_numbers(assigned, highest).join(done.select(*TRACK, "latest_face", "by_face"), TRACK)
+    kind = F.when(F.col("is_new"), "NEW").when(F.col("by_face"), "F").when(F.col("latest_face").isNotNull(), "F+B").otherwise("B")
     return named.select(*TRACK, "frame_idx", "global_id", F.coalesce("match_score", F.lit(0.0)).alias("match_score"), kind.alias("match_type"), "is_new")
 
 
@@ -73,11 +86,65 @@ class Merged:
     state: DataFrame
 
 
-def merge_identities(bodies: DataFrame, faces: DataFrame, track_map: DataFrame, state: DataFrame, params: Params = DEFAULTS) -> Merged:
+def merge_identities(bodies: DataFrame, faces: DataFrame, track_map: DataFrame, state: DataFrame, params: Params = DEFAULTS, only: DataFrame | None = None) -> Merged:
     """Near-duplicate identities go over into their oldest one: entries under the cap, tracks and states with them.
 
     bodies and faces: camera_id, global_id, entry_seq, embedding and more; track_map: camera_id, tracker_id, global_id;
-    state: camera_id, global_id, last_seen, x1..y2."""
-    remap = checkpointed(merge.roots(merge.merge_candidates(bodies, params)))
+    state: camera_id, global_id, last_seen, x1..y2. only: camera_id, global_id of those that may go, all if None. With a
+    threshold of 1 none does."""
+    edges = merge.merge_candidates(bodies, params)
+    if only is not None:
+        edges = edges.join(only.withColumnRenamed("global_id", "source"), ["camera_id", "source"], "left_semi")
+    remap = checkpointed(merge.roots(edges.filter(F.lit(params.gid_merge_threshold < 1.0))))
     own_cap = Params(max_gallery_per_gid=params.max_face_gallery_per_gid)
     return Merged(remap, gallery.merge_entries(bodies, remap, params), gallery.merge_entries(faces, remap, own_cap), merge.remap_gids(track_map, remap), merge.merge_state(state, remap))
+
+
+@dataclass
+class Recording:
+    """What a recording leaves: its tracks' identities, the galleries with what they gained, and the state of identities."""
+
+    tracks: DataFrame
+    bodies: DataFrame
+    faces: DataFrame
+    state: DataFrame
+    remap: DataFrame
+
+
+def identify_recording(observations: DataFrame, bodies: DataFrame, faces: DataFrame, state: DataFrame | None = None, params: Params = DEFAULTS) -> Recording:
+    """A recording from its tracks to the galleries for the next one.
+
+    Tracks are decided against the galleries as they stand (:func:`identify_tracks`, by face alone too); then each
+    identity's gallery takes the mean of its tracks' waits, key frames of their later rows, and faces; then new identities
+    that are near-duplicates go over into older ones, which so come to be one where two tracks of a new person were
+    decided apart, and their tracks have the type MERGE with the threshold as score.
+
+    observations: as for identify_tracks, with pose_quality; bodies and faces: entries with entry_seq, frame_idx and (bodies)
+    pose_quality, has_face; state: camera_id, global_id, last_seen, x1..y2. Numbers of new entries follow the camera's
+    highest one, in the order of frames."""
+    found = checkpointed(identify_tracks(observations, bodies, faces, None, params, by_face=True))
+    runs = tracklets.latest_face(tracklets.confirm_points(tracklets.pending_runs(observations), params), "face")
+    means = tracklets.mean_embeddings(runs, "body", params).select(*TRACK, F.col("confirm_frame").alias("frame_idx"), "mean_embedding")
+    decided = found.select(*TRACK, "global_id", F.col("frame_idx").alias("since"))
+    rows = runs.join(decided, TRACK).filter(F.col("frame_idx") >= F.col("since")).withColumn("is_first", F.col("frame_idx") == F.col("since")).join(means, [*TRACK, "frame_idx"], "left")
+    base = lambda g: g.groupBy("camera_id").agg((F.max("entry_seq") + 1).alias("_base"))
+    dealt = rows.withColumn("_k", F.row_number().over(Window.partitionBy(*FRAME).orderBy("det_seq")))
+    counts = dealt.groupBy(*FRAME).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("camera_id").orderBy("frame_idx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    dealt = checkpointed(dealt.join(counts.withColumn("_before", before).drop("_n"), FRAME))
+    number = lambda g: dealt.join(base(g), "camera_id", "left").withColumn("entry_seq", F.coalesce("_base", F.lit(0)) + F.col("_before") + F.col("_k") - 1)
+    body = F.when(F.col("is_first"), F.col("mean_embedding")).when(F.col("qualifies"), F.col("body"))
+    face = F.when(F.col("is_first"), F.when(F.col("face_ends_wait"), F.coalesce("face", "latest_face")).otherwise(F.col("latest_face"))).otherwise(F.col("face"))
+    new_bodies = gallery.extended_bodies(bodies, number(bodies).withColumn("embedding", body).withColumn("pose_quality", F.col("pose_quality").cast("int")), params)
+    new_faces = gallery.extended_faces(faces, number(faces).withColumn("embedding", face), params)
+
+    seen = rows.groupBy("camera_id", "global_id").agg(F.max("frame_idx").alias("last_seen"), F.max_by(boxes.box(), F.struct("frame_idx", "det_seq")).alias("_b")).select("camera_id", "global_id", "last_seen", "_b.*")
+    if state is not None:
+        seen = state.join(seen.select("camera_id", "global_id"), ["camera_id", "global_id"], "left_anti").select(seen.columns).unionByName(seen)
+    tracks = found.select(*TRACK, "global_id")
+    merged = merge_identities(checkpointed(new_bodies), checkpointed(new_faces), tracks, seen, params, only=found.filter("is_new").select("camera_id", "global_id").distinct())
+    gone = merged.remap.select("camera_id", F.col("source").alias("global_id"), "target")
+    named = found.join(gone, ["camera_id", "global_id"], "left")
+    near = F.col("target").isNotNull()
+    named = named.select(*TRACK, "frame_idx", F.coalesce("target", "global_id").alias("global_id"), F.when(near, F.lit(params.gid_merge_threshold)).otherwise(F.col("match_score")).alias("match_score"), F.when(near, "MERGE").otherwise(F.col("match_type")).alias("match_type"), (F.col("is_new") & ~near).alias("is_new"))
+    return Recording(named, merged.bodies, merged.faces, merged.state, merged.remap)

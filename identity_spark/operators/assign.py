@@ -12,8 +12,12 @@ FRAME = ["camera_id", "frame_idx"]
 
 
 def rank_completions(completions: DataFrame) -> DataFrame:
-    """Adds place: order of a frame's completions by prescore (null counts 0.0), then by det_seq."""
-    order = Window.partitionBy(*FRAME).orderBy(F.desc(F.coalesce("prescore", F.lit(0.0))), "det_seq")
+    """Adds place: order of a frame's completions by prescore (null counts 0.0), then by det_seq.
+
+    Those by face alone (by_face, where there is such a column) go before all others, by det_seq."""
+    rank = F.coalesce("prescore", F.lit(0.0))
+    first = [F.desc("by_face"), F.when(~F.col("by_face"), -rank)] if "by_face" in completions.columns else [F.desc(rank)]
+    order = Window.partitionBy(*FRAME).orderBy(*first, "det_seq")
     return completions.withColumn("place", F.row_number().over(order))
 
 

@@ -117,6 +117,68 @@ def update_body_gallery(candidates: DataFrame, params: Params = DEFAULTS) -> Dat
     return walked(marked, GID, ["frame_idx", "obs_id"], ["frame_idx", "obs_id"], lambda: BodyGallery(params), step, "entry_seq long, frame_idx long, pose_quality int, has_face boolean, embedding array<double>")
 
 
+def extended_bodies(gallery: DataFrame, rows: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+    """The body gallery after the rows of a recording, in the order of frames, on top of what it held.
+
+    gallery: camera_id, global_id, entry_seq, frame_idx, pose_quality, has_face, embedding. rows: the same columns, for every
+    row in which an identity was seen, with det_seq and is_first, which marks a track's decision; a null embedding only
+    moves last_seen. Other rows than first ones are offered where a key frame is due (P12), and then have to be new to the
+    identity's view (P14). An identity that isn't in rows keeps its entries; others stream through, by identity."""
+    columns = ["entry_seq", "frame_idx", "pose_quality", "has_face", "embedding"]
+    held = gallery.select(*GID, *columns, F.lit(0).cast("long").alias("det_seq"), F.lit(False).alias("is_first"), F.lit(0).alias("_part"))
+    seen = rows.select(*GID, *columns, F.col("det_seq").cast("long").alias("det_seq"), "is_first", F.lit(1).alias("_part"))
+    touched = rows.select(*GID).distinct()
+    every = held.join(touched, GID, "left_semi").unionByName(seen)
+    place = F.when(F.col("_part") == 0, F.col("entry_seq")).otherwise(F.col("frame_idx"))
+    every = every.withColumn("_at", place)
+    marked = every.withColumn("_last", F.lead("_part").over(Window.partitionBy(*GID).orderBy("_part", "_at", "det_seq", "entry_seq")).isNull())
+
+    def step(g: BodyGallery, rows: list[dict]) -> list[tuple]:
+        for r in rows:
+            entry = None if r["embedding"] is None else Entry(np.asarray(r["embedding"], float), int(r["frame_idx"]), int(r["pose_quality"]), bool(r["has_face"]), int(r["entry_seq"]))
+            if not r["_part"]:
+                g.entries.setdefault(0, []).append(entry)
+            elif entry is not None and (r["is_first"] or g.needs_keyframe(0, entry.quality)):
+                g.offer(0, entry, None)
+            else:
+                g.touch(0, int(r["frame_idx"]), None)
+        if not rows[-1]["_last"]:
+            return []
+        return [(e.seq, e.frame, e.quality, e.has_face, e.vector.tolist()) for e in g.entries.get(0, [])]
+
+    new = walked(marked, GID, ["_part", "_at", "det_seq", "entry_seq"], ["_part", "_at", "det_seq", "entry_seq"], lambda: BodyGallery(params), step, "entry_seq long, frame_idx long, pose_quality int, has_face boolean, embedding array<double>")
+    return gallery.select(*GID, *columns).join(touched, GID, "left_anti").unionByName(new.select(*GID, *columns))
+
+
+def extended_faces(gallery: DataFrame, rows: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+    """As :func:`extended_bodies` for faces: camera_id, global_id, entry_seq, frame_idx, embedding, and det_seq in rows."""
+    columns = ["entry_seq", "frame_idx", "embedding"]
+    faces = rows.filter("embedding IS NOT NULL")
+    touched = faces.select(*GID).distinct()
+    held = gallery.select(*GID, *columns, F.lit(0).cast("long").alias("det_seq"), F.lit(0).alias("_part"), F.col("entry_seq").alias("_at"))
+    every = held.join(touched, GID, "left_semi").unionByName(faces.select(*GID, *columns, F.col("det_seq").cast("long").alias("det_seq"), F.lit(1).alias("_part"), F.col("frame_idx").alias("_at")))
+    order = ["_part", "_at", "det_seq", "entry_seq"]
+    marked = every.withColumn("_last", F.lead("_part").over(Window.partitionBy(*GID).orderBy(*order)).isNull())
+
+    def step(state: list, rows: list[dict]) -> list[tuple]:
+        if not state:
+            state += [FaceGallery(params), {}]
+        g, about = state
+        for r in rows:
+            v = np.asarray(r["embedding"], float)
+            about[id(v)] = (v, int(r["entry_seq"]), int(r["frame_idx"]))
+            if r["_part"]:
+                g.offer(0, v)
+            else:
+                g.entries.setdefault(0, []).append(v)
+        own = g.entries.get(0, [])
+        state[1] = {id(v): about[id(v)] for v in own}
+        return [(about[id(v)][1], about[id(v)][2], v.tolist()) for v in own] if rows[-1]["_last"] else []
+
+    new = walked(marked, GID, order, order, list, step, "entry_seq long, frame_idx long, embedding array<double>")
+    return gallery.select(*GID, *columns).join(touched, GID, "left_anti").unionByName(new.select(*GID, *columns))
+
+
 def update_face_gallery(faces: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """added and face_sim of each face (camera_id, global_id, frame_idx, face_seq, embedding), in the order of frames."""
 
