@@ -12,6 +12,9 @@ from functools import wraps
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of a batch of rows that goes to Python, where :func:`small_batches` is called for.
+BATCH_BYTES = 8 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of the folder ``sf_dir``."""
@@ -52,6 +55,11 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on rows go to Python in batches of BATCH_BYTES and not of 10,000 rows, whose texts may have any length."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """``run`` over a task's batches; a worker lives on after its task, so what the task freed goes back to the system."""
 
