@@ -5,7 +5,8 @@ next stage. All stages but the last return the columns of ``docs``, whatever the
 
 In all stages a null text is one without words, a text of any length is taken whole, rows with equal or null doc_id are
 judged each by its own text, equal rows equally, and an empty table gives no rows. What else is defined stands with
-each stage, and in full with its operator."""
+each stage, and in full with its operator. Stages hand texts to Python in batches that are bounded in bytes, a setting of
+the session that they leave behind: executors hold these beside what earlier stages left."""
 
 from __future__ import annotations
 
@@ -14,13 +15,14 @@ from pyspark.sql import functions as F
 
 from identity_spark.llm import decontamination, jaccard, pieces, queries, secrets
 from identity_spark.llm import toxicity as tox
-from identity_spark.llm.common import table, written
+from identity_spark.llm.common import small_batches, table, written
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose whole text scores below one half; the model is fitted on the labels of the folder.
 
     Null and empty texts stay unless a folder has toxic labels only; without labels all rows stay."""
+    small_batches(spark)
     model = tox.trained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return tox.toxicity(docs, model, out="__toxicity").filter("__toxicity < 0.5").drop("__toxicity")
 
@@ -30,11 +32,13 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     That of the least doc_id stays, a null one only if there is no other; of rows that are equal in doc_id and text any
     one. All rows without words stay."""
+    small_batches(spark)
     return jaccard.without_near_copies(docs, size=5, percent=80)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows without a passage of a benchmark item; an empty benchmark lets all stay."""
+    small_batches(spark)
     return decontamination.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -48,6 +52,7 @@ def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids and their number for all rows; a null or empty text has none."""
+    small_batches(spark)
     # what executors hold from earlier stages counts too, so this one remembers less than by itself
     path = queries.vocabulary("piece_bpe_32k.model")
     encoded = pieces.encode(docs.select("doc_id", "text"), path, keep_text=False, remembered=100_000, rows_at_once=128)
