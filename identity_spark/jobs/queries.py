@@ -702,11 +702,17 @@ def t8_link_tracks(v: Views) -> DataFrame:
     return tracklets.link_tracks(d, "obs_id").select("camera_id", "frame_idx", "obs_id", "tracker_id")
 
 
-@registered(folds.REFERENCE)
-def j11_find_reference(v: Views) -> DataFrame:
+def asked_in_frames(v: Views) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Requests with their vectors, the tracks that are active in each, and one that waits in some."""
     asked = v.requests.join(v.queries.select("query_id", "body", "face"), "query_id").select(F.lit(0).cast("long").alias("camera_id"), F.concat("request_id", F.lit("@"), F.col("camera_id").cast("string")).alias("request_id"), F.when(F.col("query_id") % 9 != 0, F.col("body")).alias("body"), "face")
     active = asked.select("camera_id", "request_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(5).cast("long"))).alias("tracker_id")).withColumns({"global_id": F.col("tracker_id") % 4, "det_seq": F.col("tracker_id")})
     waiting = asked.select("camera_id", "request_id", F.lit(77).cast("long").alias("tracker_id"), F.col("body").alias("embedding")).filter(F.col("embedding").isNotNull() & (F.length("request_id") % 2 == 0))
+    return asked, active, waiting
+
+
+@registered(folds.REFERENCE)
+def j11_find_reference(v: Views) -> DataFrame:
+    asked, active, waiting = asked_in_frames(v)
     return lookup.find_reference(asked, v.gallery, v.face_gallery, active, active, waiting).select("request_id", "global_id", "track_id", rounded("score"), "method")
 
 

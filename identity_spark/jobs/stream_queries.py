@@ -6,14 +6,19 @@ epoch, as a stream's first watermark is the epoch itself."""
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import checkpoint_folder
 from ..streaming import keyed
 from ..streaming.correlate import correlate_stream
+from ..streaming.identify import dedupe_late
+from ..streaming.lookup import lookup_stream, track_messages
+from . import folds
 from .fixtures import Views
-from .queries import RUNS_SQL, registered, rounded, runs
+from .queries import RUNS_SQL, asked_in_frames, registered, rounded, runs, track_json
 from .replay import replayed
 
 END = dt.datetime(2100, 1, 1)
@@ -91,3 +96,41 @@ def t6_track_ends(v: Views) -> DataFrame:
     kept = keyed.kept_state(v.spark, state, "track").select("key.*", "value.*")
     names = ["camera_id", "tracker_id", "first_frame", "last_frame", "n_rows"]
     return ended.select(*names, F.lit(False).alias("is_kept")).unionByName(kept.select(*names, F.lit(True).alias("is_kept")))
+
+
+@registered("SELECT camera_id, frame_idx, tracker_id FROM tracks")
+def t9_dedupe_late(v: Views) -> DataFrame:
+    """Rows that come twice, a third of them in a later part, count once."""
+    seen = timed(v.tracks.select("camera_id", "frame_idx", "tracker_id")).withColumn("sent", F.col("ts"))
+    again = seen.filter("frame_idx % 2 = 0").withColumn("sent", F.when(F.col("frame_idx") % 3 == 0, F.col("ts") + F.expr("INTERVAL 5 SECONDS")).otherwise(F.col("ts")))
+    both = seen.unionByName(again)
+    out, _ = replayed({"both": both}, lambda s: dedupe_late(s["both"].drop("sent"), "20 seconds"), {"both": "sent"})
+    return out.select("camera_id", "frame_idx", "tracker_id")
+
+
+@registered(folds.REFERENCE)
+def t7_lookup_stream(v: Views) -> DataFrame:
+    """The lookups of J11 as a stream of requests, against tables that each batch asks for."""
+    asked, active, waiting = asked_in_frames(v)
+    root = f"{checkpoint_folder(v.spark)}/lookups-{uuid.uuid4().hex}"
+    tables = lambda: {"gallery": v.gallery, "faces": v.face_gallery, "active": active, "confirmed": active, "pending": waiting}
+    for part in (F.length("request_id") <= 4, F.length("request_id") > 4):
+        asked.filter(part).write.mode("append").parquet(f"{root}/in")
+        stream = v.spark.readStream.schema(asked.schema).parquet(f"{root}/in")
+        lookup_stream(stream, tables, f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    found = v.spark.read.parquet(f"{root}/out")
+    return found.select("request_id", "global_id", "track_id", rounded("score"), "method")
+
+
+@registered("SELECT camera_id, frame_idx % 50 = 3 AS is_bad, count(DISTINCT frame_idx) AS n FROM tracks GROUP BY 1, 2")
+def s2_dead_letters(v: Views) -> DataFrame:
+    """Track messages in a stream: good ones as rows, broken ones as text in a folder of their own."""
+    root = f"{checkpoint_folder(v.spark)}/messages-{uuid.uuid4().hex}"
+    text = track_json(v).select("camera_id", "value")
+    text.write.parquet(f"{root}/in")
+    stream = v.spark.readStream.schema(text.schema).parquet(f"{root}/in")
+    track_messages(stream, f"{root}/rows", f"{root}/bad", keep=["camera_id"]).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    good = v.spark.read.parquet(f"{root}/rows").groupBy("camera_id").agg(F.count_distinct("frame_idx").alias("n"))
+    # a broken message is half of one, and the fixture's have their camera in no field
+    broken = v.spark.read.text(f"{root}/bad").join(text, "value").groupBy("camera_id").agg(F.count(F.lit(1)).alias("n"))
+    return good.select("camera_id", F.lit(False).alias("is_bad"), "n").unionByName(broken.select("camera_id", F.lit(True).alias("is_bad"), "n"))

@@ -46,11 +46,11 @@ def frame_payloads(raw: DataFrame, value: str = "value", keep: list[str] | None
     return good.select(*(keep or []), "m.frame_idx", decoded(F.col("m.frame_jpeg_b64")).alias("frame"), F.coalesce("m.frame_h", F.lit(1)).alias("frame_h"), F.coalesce("m.frame_w", F.lit(1)).alias("frame_w")).withColumn("has_frame", F.col("frame").isNotNull())
 
 
-def read_find_requests(raw: DataFrame, value: str = "value") -> DataFrame:
-    """request_id ("" where it is missing) and image bytes of the requests that have an image."""
+def read_find_requests(raw: DataFrame, value: str = "value", keep: list[str] | None = None) -> DataFrame:
+    """request_id ("" where it is missing) and image bytes of the requests that have an image; ``keep`` names further columns."""
     good, _ = split_bad_json(raw, schemas.FIND_REQUEST, value)
     asked = good.filter(F.length(F.coalesce("m.image_jpeg_b64", F.lit(""))) > 0)
-    return asked.select(F.coalesce("m.request_id", F.lit("")).alias("request_id"), decoded(F.col("m.image_jpeg_b64")).alias("image"))
+    return asked.select(*(keep or []), F.coalesce("m.request_id", F.lit("")).alias("request_id"), decoded(F.col("m.image_jpeg_b64")).alias("image"))
 
 
 def decoded(text: Column) -> Column:

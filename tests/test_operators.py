@@ -348,6 +348,22 @@ def test_lookup_messages(spark, tmp_path):
     assert {r["request_id"]: (r["global_id"], r["track_id"], r["method"]) for r in out.collect()} == {"a": (4, 8, "track_gid"), "b": (-1, -1, "none")}
 
 
+def test_lookup_messages_of_many_cameras(spark, tmp_path):
+    from identity_spark.streaming.lookup import lookup_messages
+
+    asked = [(0, '{"request_id": "a", "image_jpeg_b64": "AQA="}'), (1, '{"request_id": "b", "image_jpeg_b64": "AQA="}'), (2, '{"request_id": "c", "image_jpeg_b64": "AQA="}'), (1, "{broken")]
+    spark.createDataFrame(asked, "camera_id long, value string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    raw = spark.readStream.schema("camera_id long, value string").parquet(str(tmp_path / "in"))
+    embed = lambda rows: rows.select("camera_id", "request_id", F.array(F.lit(1.0), F.lit(0.0)).alias("body"), F.lit(None).cast("array<double>").alias("face"))
+    g = spark.createDataFrame([(0, 4, 1, [1.0, 0.0], True), (1, 9, 1, [1.0, 0.1], True)], "camera_id long, global_id long, entry_seq long, embedding array<double>, has_face boolean")
+    none = spark.createDataFrame([], "camera_id long, request_id string, tracker_id long, global_id long, det_seq long")
+    tables = lambda: {"gallery": g, "faces": g.limit(0), "active": none, "confirmed": none, "pending": none.withColumn("embedding", F.array(F.lit(0.0)))}
+    lookup_messages(raw, embed, tables, str(tmp_path / "out"), camera=None, bad=str(tmp_path / "bad")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.option("recursiveFileLookup", "true").json(str(tmp_path / "out"))
+    assert {r["request_id"]: (r["global_id"], r["method"]) for r in out.collect()} == {"a": (4, "gid_only"), "b": (9, "gid_only"), "c": (-1, "none")}
+    assert [r["value"] for r in spark.read.option("recursiveFileLookup", "true").text(str(tmp_path / "bad")).collect()] == ["{broken"]
+
+
 def test_stage_metrics_with_timings(spark):
     from identity_spark.operators import report
 
