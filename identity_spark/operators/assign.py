@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..params import DEFAULTS, Params
-from .walk import walked
+from .walk import Rows, folded
 
 FRAME = ["camera_id", "frame_idx"]
 
@@ -30,18 +30,16 @@ def greedy_assign(scores: DataFrame, completions: DataFrame, params: Params = DE
     best = scores.filter(F.col("score") >= params.sim_threshold)
     rows = ranked.join(best, [*FRAME, "tracker_id"], "left")
 
-    def step(_: None, rows: list[dict]) -> list[tuple]:
-        taken: set[int] = set()
-        out: dict[int, tuple] = {}
-        for r in rows:
-            out.setdefault(r["tracker_id"], (None, None))
-            if r["score"] == r["score"] and r["score"] is not None and out[r["tracker_id"]][0] is None and int(r["global_id"]) not in taken:
-                taken.add(int(r["global_id"]))
-                out[r["tracker_id"]] = (int(r["global_id"]), float(r["score"]))
-        return [(t, *x) for t, x in out.items()]
-
-    found = walked(rows.withColumn("_down", -F.col("score")), FRAME, ["place", "_down", "first_seq"], [], lambda: None, step, "tracker_id long, global_id double, match_score double")
-    return found.withColumn("global_id", F.col("global_id").cast("long"))
+    def step(state: tuple[dict, set], rows: Rows, ends: bool) -> list[tuple]:
+        own, taken = state
+        for t, g, score in zip(rows.values("tracker_id"), rows.values("global_id"), rows.values("score"), strict=True):
+            own.setdefault(t, (None, None))
+            if g is not None and own[t][0] is None and g not in taken:
+                taken.add(g)
+                own[t] = (g, score)
+        return [(t, *x) for t, x in own.items()] if ends else []
+
+    return folded(rows.withColumn("_down", -F.col("score")), FRAME, ["place", "_down", "first_seq"], lambda: ({}, set()), step, "tracker_id long, global_id long, match_score double")
 
 
 def new_gid_numbers(assigned: DataFrame, highest: DataFrame | None = None) -> DataFrame:

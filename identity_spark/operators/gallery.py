@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import boxes
@@ -11,7 +11,7 @@ from ..functions.vectors import dot, l2_normalize, vector_sum
 from ..params import DEFAULTS, UPPER_BODY, Params
 from ..shared import checkpointed, small
 from .identity import BodyGallery, Entry, FaceGallery
-from .walk import walked
+from .walk import Rows, folded
 
 GID = ["camera_id", "global_id"]
 
@@ -104,17 +104,22 @@ def update_body_gallery(candidates: DataFrame, params: Params = DEFAULTS) -> Dat
 
     candidates: camera_id, global_id, frame_idx, obs_id, pose_quality, has_face, embedding. The fold needs its order, so
     identities are the unit of parallel work; one streams through with a gallery of bounded size as its state."""
-    marked = candidates.withColumn("_last", F.lead("obs_id").over(Window.partitionBy(*GID).orderBy("frame_idx", "obs_id")).isNull())
 
-    def step(g: BodyGallery, rows: list[dict]) -> list[tuple]:
-        for r in rows:
-            if r["embedding"] is not None:
-                g.offer(0, Entry(np.asarray(r["embedding"], float), r["frame_idx"], r["pose_quality"], bool(r["has_face"]), r["obs_id"]), None)
-        if not rows[-1]["_last"]:
-            return []
-        return [(e.seq, e.frame, e.quality, e.has_face, e.vector.tolist()) for e in g.entries.get(0, [])]
+    def step(g: BodyGallery, rows: Rows, ends: bool) -> list[tuple]:
+        for v, *x in zip(rows.vectors("embedding"), *map(rows.values, ("frame_idx", "pose_quality", "has_face", "obs_id")), strict=True):
+            if v is not None:
+                g.offer(0, Entry(v.copy(), x[0], x[1], bool(x[2]), x[3]), None)
+        return entries_of(g) if ends else []
 
-    return walked(marked, GID, ["frame_idx", "obs_id"], ["frame_idx", "obs_id"], lambda: BodyGallery(params), step, "entry_seq long, frame_idx long, pose_quality int, has_face boolean, embedding array<double>")
+    return folded(candidates, GID, ["frame_idx", "obs_id"], lambda: BodyGallery(params), step, BODY)
+
+
+#: Columns of the entries that a fold gives.
+BODY = "entry_seq long, frame_idx long, pose_quality int, has_face boolean, embedding array<double>"
+
+
+def entries_of(g: BodyGallery) -> list[tuple]:
+    return [(e.seq, e.frame, e.quality, e.has_face, e.vector.tolist()) for e in g.entries.get(0, [])]
 
 
 def extended_bodies(gallery: DataFrame, rows: DataFrame, params: Params = DEFAULTS) -> DataFrame:
@@ -129,24 +134,20 @@ def extended_bodies(gallery: DataFrame, rows: DataFrame, params: Params = DEFAUL
     seen = rows.select(*GID, *columns, F.col("det_seq").cast("long").alias("det_seq"), "is_first", F.lit(1).alias("_part"))
     touched = rows.select(*GID).distinct()
     every = held.join(touched, GID, "left_semi").unionByName(seen)
-    place = F.when(F.col("_part") == 0, F.col("entry_seq")).otherwise(F.col("frame_idx"))
-    every = every.withColumn("_at", place)
-    marked = every.withColumn("_last", F.lead("_part").over(Window.partitionBy(*GID).orderBy("_part", "_at", "det_seq", "entry_seq")).isNull())
-
-    def step(g: BodyGallery, rows: list[dict]) -> list[tuple]:
-        for r in rows:
-            entry = None if r["embedding"] is None else Entry(np.asarray(r["embedding"], float), int(r["frame_idx"]), int(r["pose_quality"]), bool(r["has_face"]), int(r["entry_seq"]))
-            if not r["_part"]:
+    every = every.withColumn("_at", F.when(F.col("_part") == 0, F.col("entry_seq")).otherwise(F.col("frame_idx")))
+
+    def step(g: BodyGallery, rows: Rows, ends: bool) -> list[tuple]:
+        for v, is_new, is_first, *x in zip(rows.vectors("embedding"), *map(rows.values, ("_part", "is_first", "frame_idx", "pose_quality", "has_face", "entry_seq")), strict=True):
+            entry = None if v is None else Entry(v.copy(), x[0], x[1], bool(x[2]), x[3])
+            if not is_new:
                 g.entries.setdefault(0, []).append(entry)
-            elif entry is not None and (r["is_first"] or g.needs_keyframe(0, entry.quality)):
+            elif entry is not None and (is_first or g.needs_keyframe(0, entry.quality)):
                 g.offer(0, entry, None)
             else:
-                g.touch(0, int(r["frame_idx"]), None)
-        if not rows[-1]["_last"]:
-            return []
-        return [(e.seq, e.frame, e.quality, e.has_face, e.vector.tolist()) for e in g.entries.get(0, [])]
+                g.touch(0, x[0], None)
+        return entries_of(g) if ends else []
 
-    new = walked(marked, GID, ["_part", "_at", "det_seq", "entry_seq"], ["_part", "_at", "det_seq", "entry_seq"], lambda: BodyGallery(params), step, "entry_seq long, frame_idx long, pose_quality int, has_face boolean, embedding array<double>")
+    new = folded(every, GID, ["_part", "_at", "det_seq", "entry_seq"], lambda: BodyGallery(params), step, BODY)
     return gallery.select(*GID, *columns).join(touched, GID, "left_anti").unionByName(new.select(*GID, *columns))
 
 
@@ -157,35 +158,33 @@ def extended_faces(gallery: DataFrame, rows: DataFrame, params: Params = DEFAULT
     touched = faces.select(*GID).distinct()
     held = gallery.select(*GID, *columns, F.lit(0).cast("long").alias("det_seq"), F.lit(0).alias("_part"), F.col("entry_seq").alias("_at"))
     every = held.join(touched, GID, "left_semi").unionByName(faces.select(*GID, *columns, F.col("det_seq").cast("long").alias("det_seq"), F.lit(1).alias("_part"), F.col("frame_idx").alias("_at")))
-    order = ["_part", "_at", "det_seq", "entry_seq"]
-    marked = every.withColumn("_last", F.lead("_part").over(Window.partitionBy(*GID).orderBy(*order)).isNull())
 
-    def step(state: list, rows: list[dict]) -> list[tuple]:
-        if not state:
-            state += [FaceGallery(params), {}]
+    def step(state: list, rows: Rows, ends: bool) -> list[tuple]:
         g, about = state
-        for r in rows:
-            v = np.asarray(r["embedding"], float)
-            about[id(v)] = (v, int(r["entry_seq"]), int(r["frame_idx"]))
-            if r["_part"]:
+        for v, is_new, seq, frame in zip(rows.vectors("embedding"), *map(rows.values, ("_part", "entry_seq", "frame_idx")), strict=True):
+            v = v.copy()
+            about[id(v)] = (v, seq, frame)  # the vector is held, so nothing else has its id
+            if is_new:
                 g.offer(0, v)
             else:
                 g.entries.setdefault(0, []).append(v)
-        own = g.entries.get(0, [])
-        state[1] = {id(v): about[id(v)] for v in own}
-        return [(about[id(v)][1], about[id(v)][2], v.tolist()) for v in own] if rows[-1]["_last"] else []
+            if len(about) > 4 * params.max_face_gallery_per_gid + 64:
+                own = {id(x) for x in g.entries.get(0, [])}
+                for k in [k for k in about if k not in own]:
+                    del about[k]
+        return [(about[id(v)][1], about[id(v)][2], v.tolist()) for v in g.entries.get(0, [])] if ends else []
 
-    new = walked(marked, GID, order, order, list, step, "entry_seq long, frame_idx long, embedding array<double>")
+    new = folded(every, GID, ["_part", "_at", "det_seq", "entry_seq"], lambda: [FaceGallery(params), {}], step, "entry_seq long, frame_idx long, embedding array<double>")
     return gallery.select(*GID, *columns).join(touched, GID, "left_anti").unionByName(new.select(*GID, *columns))
 
 
 def update_face_gallery(faces: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """added and face_sim of each face (camera_id, global_id, frame_idx, face_seq, embedding), in the order of frames."""
 
-    def step(g: FaceGallery, rows: list[dict]) -> list[tuple]:
-        return [(r["frame_idx"], r["face_seq"], *g.offer(0, np.asarray(r["embedding"], float))) for r in rows]
+    def step(g: FaceGallery, rows: Rows, ends: bool) -> list[tuple]:
+        return [(f, n, *((False, None) if v is None else g.offer(0, v.copy()))) for v, f, n in zip(rows.vectors("embedding"), rows.values("frame_idx"), rows.values("face_seq"), strict=True)]
 
-    return walked(faces, GID, ["frame_idx", "face_seq"], ["frame_idx", "face_seq"], lambda: FaceGallery(params), step, "frame_idx long, face_seq long, added boolean, face_sim double")
+    return folded(faces, GID, ["frame_idx", "face_seq"], lambda: FaceGallery(params), step, "frame_idx long, face_seq long, added boolean, face_sim double")
 
 
 def capped(vectors: list[np.ndarray], most: int) -> list[int]:
@@ -210,16 +209,12 @@ def merge_entries(gallery: DataFrame, remap: DataFrame, params: Params = DEFAULT
     rows = moved.withColumns({"_from": F.col("target").isNotNull().cast("int"), "global_id": F.coalesce("target", "global_id")}).drop("target")
     rows = rows.join(touched.withColumnRenamed("_t", "global_id").withColumn("_touched", F.lit(True)), GID, "left")
     kept = [c for c in gallery.columns if c not in GID]
-    last = F.lead("entry_seq").over(Window.partitionBy(*GID).orderBy("_from", "entry_seq")).isNull()
 
-    def step(state: list, rows: list[dict]) -> list[tuple]:
-        for r in rows:
-            state.append((np.asarray(r["embedding"], float), tuple(r[c] for c in kept)))
-        if not rows[-1]["_last"]:
-            return []
-        return [state[i][1] for i in capped([v for v, _ in state], params.max_gallery_per_gid)]
+    def step(state: list, rows: Rows, ends: bool) -> list[tuple]:
+        state += zip((v.copy() for v in rows.vectors("embedding")), zip(*map(rows.values, kept), strict=True), strict=True)
+        return [state[i][1] for i in capped([v for v, _ in state], params.max_gallery_per_gid)] if ends else []
 
     types = dict(gallery.dtypes)
-    fold = walked(rows.filter("_touched").withColumn("_last", last), GID, ["_from", "entry_seq"], ["_from", "entry_seq"], list, step, ", ".join(f"{c} {types[c]}" for c in kept))
+    fold = folded(rows.filter("_touched"), GID, ["_from", "entry_seq"], list, step, ", ".join(f"{c} {types[c]}" for c in kept))
     return rows.filter("_touched IS NULL").select(*gallery.columns).unionByName(fold.select(*gallery.columns))
 
