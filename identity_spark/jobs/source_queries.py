@@ -1,5 +1,5 @@
-"""Registered queries of the stores: recordings by frame, logs by line, and crops by version. Each is written from the
-given tables and read back."""
+"""Registered queries of the stores: recordings by frame, logs by line, crops by version, and tracks in buckets. Each is
+written from the given tables and read back."""
 
 from __future__ import annotations
 
@@ -8,10 +8,12 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import assign, tracklets
 from ..shared import checkpoint_folder
 from ..sources import crops, messages, recorded, sinks
+from . import layout
 from .fixtures import Views
-from .queries import CAM, registered, track_json
+from .queries import CAM, RUNS_SQL, W1_SQL, registered, track_json, track_map
 
 
 def folder(v: Views, name: str) -> str:
@@ -59,3 +61,22 @@ def s10_crop_store(v: Views) -> DataFrame:
     since = first.groupBy(F.col("camera_id").alias("camera")).agg(F.max("version").alias("version"))
     kept = store.read().groupBy(F.col("camera_id").alias("camera"), "global_id").agg(F.count(F.lit(1)).alias("n_crops"), F.sum("frame_idx").alias("frames"))
     return kept.join(since, "camera")
+
+
+@registered(f"""
+    WITH {W1_SQL}, {RUNS_SQL.strip()},
+    s AS (SELECT *, coalesce(frame_idx > 20 AND prev_iou >= 0.7, false) AS still FROM i),
+    g AS (SELECT *, sum(CASE WHEN still THEN 0 ELSE 1 END) OVER (PARTITION BY camera_id, tracker_id ORDER BY frame_idx) AS island FROM s),
+    w AS (SELECT obs_id, CAST(sum(still::INT) OVER (PARTITION BY camera_id, tracker_id, island ORDER BY frame_idx) AS BIGINT) AS stable_count FROM g)
+    SELECT k.obs_id, k.run, CAST(k.seen AS BIGINT) AS seen, k.seen >= 5 AND k.face = 0 AND k.done = 0 AS confirms, w.stable_count,
+      CASE WHEN (k.camera_id + k.tracker_id) % 4 <> 0 THEN k.tracker_id * 3 % 7 ELSE -1 END AS global_id FROM k JOIN w USING (obs_id)
+""")
+def w_tracks_in_layout(v: Views) -> DataFrame:
+    """W1 to W4 and J13 over tracks that are stored by track: with the last join, all in their buckets."""
+    marked = layout.numbered(v.tracks).withColumns({"qualifies": F.col("obs_id") % 7 != 0, "has_face": F.col("obs_id") % 28 == 0})
+    name = f"tracks_{uuid.uuid4().hex}"
+    stored = layout.write_by_track(marked, name, folder(v, "tracks"), 8)
+    who = layout.write_by_track(track_map(v), f"{name}_map", folder(v, "map"), 8)
+    runs = tracklets.confirm_points(tracklets.pending_runs(stored))
+    still = tracklets.stable_count(tracklets.prev_bbox_iou(runs).withColumn("known_before", F.col("frame_idx") > 20))
+    return assign.enrich_tracks(still, who).select("obs_id", F.col("run").cast("long").alias("run"), "seen", "confirms", "stable_count", "global_id")

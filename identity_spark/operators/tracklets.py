@@ -42,7 +42,10 @@ def stable_count(tracks: DataFrame, params: Params = DEFAULTS) -> DataFrame:
 def pending_runs(tracks: DataFrame) -> DataFrame:
     """Adds frame_seq (of the camera's frames that have rows) and run: frames in a row that the track is in.
 
-    Frames are numbered over the distinct frames, so the window by camera has a row for a frame, not for a track."""
+    Frames are numbered over the distinct frames, so the window by camera has a row for a frame, not for a track. Rows
+    that have a frame_seq already, as a stored layout does, keep it, and meet nothing but their own track's."""
+    if "frame_seq" in tracks.columns:
+        return tracks.withColumn("run", F.col("frame_seq") - F.row_number().over(by_frame()))
     frames = tracks.select("camera_id", "frame_idx").distinct().withColumn("frame_seq", F.row_number().over(Window.partitionBy("camera_id").orderBy("frame_idx")))
     seen = tracks.join(frames, ["camera_id", "frame_idx"])
     return seen.withColumn("run", F.col("frame_seq") - F.row_number().over(Window.partitionBy(*TRACK).orderBy("frame_idx")))
