@@ -145,3 +145,20 @@ POSE_REUSE = """
     n AS (SELECT *, sum(still::INT) OVER (PARTITION BY camera_id, tracker_id, island ORDER BY frame_idx) AS stable_count FROM g)
     SELECT obs_id, cached_quality, bool_or(NOT (tracker_id % 4 <> 0 AND frame_idx > 20) OR stable_count < 1 OR cached_quality IS NULL) OVER (PARTITION BY camera_id, frame_idx) AS needs_pose FROM n
 """
+
+#: As RECORDING, with decisions by face alone: rows that don't qualify but have a face end a wait, and go first in a frame.
+_CHANGES = {
+    "e AS (SELECT camera_id, tracker_id, arg_min(run, frame_idx) AS run, min(frame_idx) AS frame_idx FROM k WHERE seen >= 5 AND face = 0 AND done = 0 GROUP BY 1, 2),": """ends AS (SELECT camera_id, tracker_id, run, frame_idx, face = 1 AS by_face FROM k WHERE done = 0 AND (face = 1) <> (seen >= 5)),
+    e AS (SELECT camera_id, tracker_id, arg_min(run, frame_idx) AS run, min(frame_idx) AS frame_idx, arg_min(by_face, frame_idx) AS by_face FROM ends GROUP BY 1, 2),""",
+    "WHERE k.qualifies AND k.frame_idx <= e.frame_idx)": "WHERE k.qualifies AND k.frame_idx <= e.frame_idx AND NOT e.by_face)",
+    "q AS (SELECT v.*, lf.face, t.obs_id AS det_seq FROM v LEFT JOIN lf USING (camera_id, tracker_id) JOIN tracks t USING (camera_id, tracker_id, frame_idx)),": """q AS (SELECT v.*, lf.face, t.obs_id AS det_seq, false AS by_face FROM v LEFT JOIN lf USING (camera_id, tracker_id) JOIN tracks t USING (camera_id, tracker_id, frame_idx)
+      UNION ALL SELECT e.camera_id, e.tracker_id, e.frame_idx, NULL, CAST(b.embedding[1:32] AS DOUBLE[]), t.obs_id, true FROM e JOIN tracks t USING (camera_id, tracker_id, frame_idx) JOIN embeddings b USING (vec_id) WHERE e.by_face),""",
+    "FROM q, gallery g GROUP BY ALL)": "FROM q, gallery g WHERE q.body IS NOT NULL GROUP BY ALL)",
+    "q.face IS NOT NULL AS has_face, row_number() OVER (PARTITION BY q.camera_id, q.frame_idx ORDER BY coalesce(p.best, 0.0) DESC, q.det_seq)": "CASE WHEN q.by_face THEN 'F' WHEN q.face IS NOT NULL THEN 'F+B' ELSE 'B' END AS has_face, row_number() OVER (PARTITION BY q.camera_id, q.frame_idx ORDER BY q.by_face DESC, CASE WHEN q.by_face THEN 0.0 ELSE coalesce(p.best, 0.0) END DESC, q.det_seq)",
+    "WHERE score >= 0.3 GROUP BY 1, 2": "WHERE score >= CASE WHEN q.by_face THEN 0.35 ELSE 0.3 END GROUP BY 1, 2",
+    "CAST(NULL AS BIGINT), false, CAST(NULL AS STRUCT": "CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS STRUCT",
+    "WHEN has_face THEN 'F+B' ELSE 'B' END AS match_type": "ELSE has_face END AS match_type",
+}
+RECORDING_BY_FACE = RECORDING
+for _old, _new in _CHANGES.items():
+    RECORDING_BY_FACE = RECORDING_BY_FACE.replace(_old, _new)

@@ -758,17 +758,38 @@ def p14_novel_view_by_rate(v: Views) -> DataFrame:
     return gallery.novel_view(c, v.gallery.withColumn("embedding", e), "obs_id", rates=rates).select("obs_id", "max_rate", "added")
 
 
-@registered(folds.RECORDING.format(runs=RUNS_SQL.strip()))
-def t4_identify_tracks(v: Views) -> DataFrame:
-    """Every track of the three cameras against one gallery, which each camera has."""
+def recording(v: Views) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Observations of the three cameras with bodies and faces, and galleries that each camera has."""
     body = v.embeddings.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("body"))
-    seen = v.det.join(body, "vec_id").withColumns({"qualifies": F.col("det_seq") % 7 != 0, "has_face": F.col("det_seq") % 28 == 0})
+    seen = v.det.join(body, "vec_id").withColumns({"qualifies": F.col("det_seq") % 7 != 0, "has_face": F.col("det_seq") % 28 == 0, "pose_quality": (F.col("det_seq") % 2 + 1).cast("int")})
     seen = seen.withColumn("face", F.when(F.col("det_seq") % 4 == 0, F.slice("body", 1, 32)))
     everywhere = lambda g: g.withColumn("camera_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))))
-    done = batch.identify_tracks(seen, everywhere(v.gallery), everywhere(v.face_gallery), params=Params(sim_threshold=0.3, face_match_strategy="face_body_all_gallery"))
+    return seen, everywhere(v.gallery), everywhere(v.face_gallery)
+
+
+@registered(folds.RECORDING.format(runs=RUNS_SQL.strip()))
+def t4_identify_tracks(v: Views) -> DataFrame:
+    """Every track of the three cameras against one gallery, which each camera has."""
+    done = batch.identify_tracks(*recording(v), params=Params(sim_threshold=0.3, face_match_strategy="face_body_all_gallery"))
+    return done.select("camera_id", "tracker_id", "frame_idx", "global_id", rounded("match_score"), "match_type")
+
+
+@registered(folds.RECORDING_BY_FACE.format(runs=RUNS_SQL.strip()))
+def t4_identify_by_face(v: Views) -> DataFrame:
+    """As t4_identify_tracks; a row with a face that doesn't qualify decides its track by the face alone."""
+    done = batch.identify_tracks(*recording(v), params=Params(sim_threshold=0.3, face_match_strategy="face_body_all_gallery"), by_face=True)
     return done.select("camera_id", "tracker_id", "frame_idx", "global_id", rounded("match_score"), "match_type")
 
 
+@registered()
+def t4_identify_recording(v: Views) -> DataFrame:
+    """Tracks of a recording after the merge of new identities, with how many entries their identities' galleries have."""
+    done = batch.identify_recording(*recording(v), params=Params(sim_threshold=0.3, face_match_strategy="face_body_all_gallery"))
+    count = lambda g, name: g.groupBy("camera_id", "global_id").agg(F.count(F.lit(1)).alias(name))
+    both = done.tracks.join(count(done.bodies, "n_bodies"), ["camera_id", "global_id"], "left").join(count(done.faces, "n_faces"), ["camera_id", "global_id"], "left")
+    return both.select("camera_id", "tracker_id", "frame_idx", "global_id", rounded("match_score"), "match_type", "is_new", "n_bodies", "n_faces")
+
+
 @registered(folds.DUPLICATES.format(centroids=CENTROID_SQL.format("split_gallery")))
 def t5_merge_identities(v: Views) -> DataFrame:
     """The split gallery with near-duplicate identities in one."""
