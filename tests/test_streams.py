@@ -16,6 +16,14 @@ T0 = dt.datetime(2024, 1, 1)
 END = dt.datetime(2030, 1, 1)
 
 
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    """State stores are opened for each partition and batch."""
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def at(s):
     return T0 + dt.timedelta(seconds=s)
 
