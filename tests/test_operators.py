@@ -244,10 +244,10 @@ def test_linker_keeps_numbers():
 
 def test_blocks_are_full_with_many_cameras(spark):
     rows = spark.range(8000).select((F.col("id") % 200).alias("camera_id"), F.col("id").alias("query_id"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("embedding"))
-    packed, sizes = match._packed(rows, ["query_id"], "embedding", 1)
+    packed, sizes = match._packed(rows, ["query_id"], "embedding", F.xxhash64("query_id", F.lit(1)))
     assert packed.count() == 200 and sizes.agg(F.max("parts")).first()[0] == 1
     one = spark.range(5000).select(F.lit(7).cast("long").alias("camera_id"), F.col("id").alias("query_id"), F.array(F.lit(1.0)).alias("embedding"))
-    sizes = [r["n"] for r in match._packed(one, ["query_id"], "embedding", 1)[0].select(F.size("query_id").alias("n")).collect()]
+    sizes = [r["n"] for r in match._packed(one, ["query_id"], "embedding", F.xxhash64("query_id", F.lit(1)))[0].select(F.size("query_id").alias("n")).collect()]
     assert len(sizes) == 5 and sum(sizes) == 5000 and max(sizes) < 1300
 
 
