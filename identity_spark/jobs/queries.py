@@ -274,16 +274,31 @@ def j1_assign_poses(v: Views) -> DataFrame:
     return pose.assign_poses(v.tracks, pose.filter_poses(v.poses), "obs_id").select("obs_id", "pose_seq", rounded("pose_iou"), "pose_quality")
 
 
-@registered("""
+@registered(J1_SQL)
+def j1_assign_poses_in_cells(v: Views) -> DataFrame:
+    """As j1_assign_poses, with every frame of more than two boxes taken for a full one."""
+    return pose.assign_poses(v.tracks, pose.filter_poses(v.poses), "obs_id", crowd=2).select("obs_id", "pose_seq", rounded("pose_iou"), "pose_quality")
+
+
+J2_SQL = """
     WITH m AS (SELECT t.obs_id, f.face_seq, f.w * f.h AS a FROM tracks t JOIN faces f USING (camera_id, frame_idx)
       WHERE f.x + f.w // 2 BETWEEN trunc(t.x1) AND trunc(t.x2) AND f.y + f.h // 2 BETWEEN trunc(t.y1) AND trunc(t.y2)),
     r AS (SELECT *, row_number() OVER (PARTITION BY obs_id ORDER BY a DESC, face_seq) AS k FROM m)
     SELECT t.obs_id, r.face_seq, r.a AS face_area FROM tracks t LEFT JOIN r ON r.obs_id = t.obs_id AND r.k = 1
-""")
+"""
+
+
+@registered(J2_SQL)
 def j2_assign_faces(v: Views) -> DataFrame:
     return faces.assign_faces(v.tracks, v.faces, "obs_id").select("obs_id", "face_seq", "face_area")
 
 
+@registered(J2_SQL)
+def j2_assign_faces_in_cells(v: Views) -> DataFrame:
+    """As j2_assign_faces, with every frame of more than two boxes taken for a full one."""
+    return faces.assign_faces(v.tracks, v.faces, "obs_id", crowd=2).select("obs_id", "face_seq", "face_area")
+
+
 def track_map(v: Views) -> DataFrame:
     """Identities of some tracks by rule."""
     t = v.tracks.select("camera_id", "tracker_id").distinct().filter("(camera_id + tracker_id) % 4 <> 0")
@@ -333,6 +348,14 @@ def j6_match_top1(v: Views) -> DataFrame:
     return match.match(v.queries, v.gallery, vector="body").select("query_id", "global_id", rounded("score"))
 
 
+@registered(f"WITH {SIMS_SQL} {TOP1_SQL}")
+def j6_match_by_pivots(v: Views) -> DataFrame:
+    """As j6_match_top1, with a gallery that is clustered by pivots whatever its size."""
+    scores = match.all_top1_sims(v.queries, v.gallery, vector="body", least=DEFAULTS.sim_threshold, pivot_from=1)
+    best = match.top1_per_group(scores.filter(F.col("score") >= DEFAULTS.sim_threshold), ["camera_id", "query_id"], "score", "first_seq")
+    return best.select("query_id", "global_id", rounded("score"))
+
+
 CENTROID_SQL = """u AS (SELECT global_id, unnest(range(1, len(embedding) + 1)) AS d, unnest(embedding) AS x FROM {0}), m AS (SELECT global_id, d, avg(x) AS x FROM u GROUP BY 1, 2), c AS (SELECT global_id, list(x ORDER BY d) AS e FROM m GROUP BY 1)"""
 
 
