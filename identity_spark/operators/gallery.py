@@ -48,22 +48,26 @@ def needs_embedding(observations: DataFrame) -> DataFrame:
     return observations.filter(F.col("qualifies") & (F.col("global_id").isNull() | F.col("needs_keyframe")))
 
 
-def novel_view(candidates: DataFrame, gallery: DataFrame, key: str, params: Params = DEFAULTS, rates: DataFrame | None = None) -> DataFrame:
+def novel_view(candidates: DataFrame, gallery: DataFrame, key: str, params: Params = DEFAULTS, rates: DataFrame | None = None, crop: str | None = None) -> DataFrame:
     """Adds max_sim (or max_rate) and added: whether the candidate would enter its identity's gallery as it is.
 
-    rates: match rates of (key, entry_seq), which then decide in place of the cosines."""
-    unit = lambda name, v: l2_normalize(F.col(v)).alias(name)
-    pairs = candidates.select(key, *GID, unit("_c", "embedding")).join(gallery.select(*GID, "entry_seq", "pose_quality", unit("_e", "embedding")), GID)
+    rates: match rates of (crop, entry_seq), which then decide in place of the cosines. crop: the candidates' column that
+    they go by, the key if None; candidates of one crop and identity have one rate, so no candidate is paired with entries."""
+    best = gallery.groupBy(*GID).agg(F.max("pose_quality").alias("_best"))
     if rates is None:
-        like, name, least = F.max(dot(F.col("_c"), F.col("_e"))), "max_sim", params.emb_novelty_threshold
+        by, name, least = [key, *GID], "max_sim", params.emb_novelty_threshold
+        unit = lambda name, v: l2_normalize(F.col(v)).alias(name)
+        pairs = candidates.select(*by, unit("_c", "embedding")).join(gallery.select(*GID, unit("_e", "embedding")), GID)
+        known = pairs.groupBy(*by).agg(F.max(dot(F.col("_c"), F.col("_e"))).alias(name))
     else:
-        pairs = pairs.join(rates.select(key, "entry_seq", "match_rate"), [key, "entry_seq"], "left")
-        like, name, least = F.max("match_rate"), "max_rate", params.match_rate_threshold
-    known = pairs.groupBy(key, *GID).agg(like.alias(name), F.max("pose_quality").alias("_best"))
-    out = candidates.join(known, [key, *GID], "left")
+        by, name, least = [crop or key, *GID], "max_rate", params.match_rate_threshold
+        asked = rates.select(by[0], "entry_seq", "match_rate").join(candidates.select(*by).distinct(), by[0])
+        known = asked.join(gallery.select(*GID, "entry_seq"), [*GID, "entry_seq"]).groupBy(*by).agg(F.max("match_rate").alias(name))
     able = (F.coalesce("pose_quality", F.lit(0)) >= UPPER_BODY) & F.col("embedding").isNotNull()
+    # what is asked of a vector is asked before the joins, so that it needn't go through them
+    out = candidates.withColumn("_able", able).join(known, by, "left").join(best, GID, "left")
     fresh = F.col("_best").isNull() | (F.col(name) < least) | (F.col("pose_quality") > F.col("_best"))
-    return out.withColumn("added", F.coalesce(able & fresh, F.lit(False))).select(*candidates.columns, name, "added")
+    return out.withColumn("added", F.coalesce(F.col("_able") & fresh, F.lit(False))).select(*candidates.columns, name, "added")
 
 
 def match_rate(matches: DataFrame, crops: DataFrame, params: Params = DEFAULTS) -> DataFrame:
