@@ -134,7 +134,9 @@ def confirm_tracks(tracks: DataFrame, params: Params = DEFAULTS, delay: str = "0
 
 
 class _AsOf(StatefulProcessor):
-    """By camera: the last settled frame that has tracks, the frames that aren't settled, and requests that wait."""
+    """By camera: the last settled frame that has tracks, the frames that aren't settled, and requests that wait.
+
+    There is one timer, of the earliest request that waits: whatever the watermark has passed is answered at once."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -144,32 +146,44 @@ class _AsOf(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         new = pd.concat(list(rows), ignore_index=True)
         ms = [_ms(t) for t in new["ts"]]
-        asked = new["request_id"].notna()
-        for t, f, r, is_request in zip(ms, new["frame_idx"].tolist(), new["request_id"].tolist(), asked.tolist(), strict=True):
-            if is_request:
-                self.waiting.appendValue((t, int(f), r))
-                self.handle.registerTimer(t)
+        every = list(zip(ms, new["frame_idx"].tolist(), new["request_id"].tolist(), new["request_id"].notna().tolist(), strict=True))
+        asked = [(t, int(f), r) for t, f, r, is_request in every if is_request]
+        if asked:
+            self.waiting.appendList(asked)
+            self._wake(min(t for t, _, _ in asked))
         # frames behind the watermark can't be asked for but for the last of them: requests that old are dropped
-        frames = {(t, int(f)) for t, f, r in zip(ms, new["frame_idx"].tolist(), asked.tolist(), strict=True) if not r}
+        frames = {(t, int(f)) for t, f, _, is_request in every if not is_request}
         if frames:
             self._keep(frames | set(self.frames.get()), timerValues.getCurrentWatermarkInMs())
         return iter([])
 
+    def _wake(self, at: int) -> None:
+        held = list(self.handle.listTimers())
+        if not held or at < min(held):
+            for t in held:
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(at)
+
     def _keep(self, frames: set, settled: int) -> None:
-        old = [x for x in frames if x[0] <= settled]
-        self.frames.put(sorted(x for x in frames if x[0] > settled or x == max(old, key=lambda x: x[1])))
+        last = max((x for x in frames if x[0] <= settled), key=lambda x: x[1], default=None)
+        self.frames.put(sorted(x for x in frames if x[0] > settled or x == last))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
         frames, waiting = set(self.frames.get()), list(self.waiting.get())
-        done = [w for w in waiting if w[0] <= now]
-        out = [(key[0], request, max((f for _, f in frames if f <= frame), default=None)) for _, frame, request in done]
-        rest = [w for w in waiting if w[0] > now]
-        self.waiting.put(rest) if rest else self.waiting.clear()
+        done, rest = [w for w in waiting if w[0] <= now], [w for w in waiting if w[0] > now]
+        if rest:
+            self.waiting.put(rest)
+            self.handle.registerTimer(min(w[0] for w in rest))  # the one that fires is still listed
+        else:
+            self.waiting.clear()
         if frames:
             self._keep(frames, now)
-        if out:
-            yield pd.DataFrame(out, columns=["camera_id", "request_id", "active_frame"]).astype({"active_frame": "Int64"})
+        if done:
+            taken = np.sort(np.array([f for _, f in frames], np.int64))
+            at = np.searchsorted(taken, [f for _, f, _ in done], side="right")
+            active = [int(taken[k - 1]) if k else None for k in at.tolist()]
+            yield pd.DataFrame({"camera_id": key[0], "request_id": [w[2] for w in done], "active_frame": pd.array(active, "Int64")})
 
     def close(self) -> None:
         pass

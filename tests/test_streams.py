@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,6 +47,50 @@ def test_requests_meet_the_last_response_in_time(spark, cuts):
     assert want.filter("global_id IS NULL").count() == 8
 
 
+def test_requests_that_wait_have_one_timer():
+    """However many wait, the frames and requests of a camera are read once for all that the watermark has passed."""
+
+    class State(list):
+        reads = 0
+
+        def get(self):
+            self.reads += 1
+            return iter(tuple(self))
+
+        def put(self, rows):
+            self[:] = rows
+
+        appendValue, appendList = list.append, list.extend
+
+    class Handle:
+        timers: set = set()
+        getListState = staticmethod(lambda name, schema: State())
+        listTimers = staticmethod(lambda: iter(tuple(Handle.timers)))
+        registerTimer, deleteTimer = staticmethod(timers.add), staticmethod(timers.discard)
+
+    class Now:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: ms
+
+    asked = [(at(k), k, f"r{k}") for k in range(200)]
+    taken = [(at(k), k, None) for k in range(50, 300, 2)]
+    camera = keyed._AsOf()
+    camera.init(Handle)
+    list(camera.handleInputRows((7,), iter([pd.DataFrame(asked + taken, columns=["ts", "frame_idx", "request_id"])]), Now(0)))
+    first, ms = Handle.timers.copy(), lambda k: keyed._ms(pd.Timestamp(at(k)))
+    assert first == {ms(0)}
+    camera.frames.reads = 0
+    out = []
+    for passed in (120, 199):
+        (timer,) = Handle.timers
+        expired = Now(timer)
+        out += list(camera.handleExpiredTimer((7,), Now(ms(passed)), expired))
+        Handle.timers.discard(timer)
+    assert camera.frames.reads == 2 and not Handle.timers and not camera.waiting
+    got = {r.request_id: None if pd.isna(r.active_frame) else r.active_frame for r in pd.concat(out).itertuples()}
+    assert got == {f"r{k}": k - k % 2 if k >= 50 else None for k in range(200)}
+
+
 @pytest.mark.parametrize("cuts", [1, 2, 7])
 def test_requests_are_answered_as_of_their_time(spark, cuts):
     keyed.use_keyed_state(spark)
