@@ -66,3 +66,32 @@ def test_older_identities_take_half_of_the_products(spark, monkeypatch):
     assert {k: v for k, v in half.items() if v >= 0.5} == every and every
     rows = match.products_made(asked, c, -1.0, query="source", older=True).collect()
     assert all(r["made"] <= 0.56 * r["pairs"] for r in rows)
+
+
+def test_own_entries_and_no_others(spark, monkeypatch):
+    monkeypatch.setattr(match, "BLOCK", 32)
+    queries, gallery = made(spark, 12, 5, 16, 0.2, 11)
+    odd = spark.createDataFrame([(0, 950, 1, []), (0, 951, 2, [None] * 16)], gallery.schema)
+    gallery = gallery.unionByName(odd)
+    asked = queries.crossJoin(gallery.select("global_id").distinct().filter("global_id in (0, 1, 7, 900, 901, 902, 950, 951)"))
+    asked = asked.unionByName(spark.createDataFrame([(0, "empty", [], 950)], asked.schema))
+    every = {k: v for k, (v, _) in found(match.all_top1_sims(queries, gallery.filter("global_id < 950"))).items()}
+    own = {(r["camera_id"], r["query_id"], r["global_id"]): round(r["score"], 9) for r in match.own_sims(asked, gallery).collect()}
+    assert own == {k: v for k, v in every.items() if k[2] in (0, 1, 7, 900, 902)} | {(0, "empty", 950): 0.0}
+    filled = {(r["camera_id"], r["query_id"], r["global_id"]): round(r["score"], 9) for r in match.top1_sim(asked, gallery).collect()}
+    assert len(filled) == asked.count() and all(v == own.get(k, 0.0) for k, v in filled.items())
+
+
+def test_a_block_is_sent_to_few_tiles(spark, monkeypatch):
+    """However many blocks there are, a block is sent to the root of the number of tiles, and a tile holds a bounded part."""
+    monkeypatch.setattr(match, "TILES", 4)
+    cores = spark.sparkContext.defaultParallelism
+    one = lambda n: spark.range(n).select(F.lit(0).cast("long").alias("camera_id"), F.lit(8).alias("dim"), F.col("id").alias("part"))
+    sizes = lambda n: spark.createDataFrame([(0, 8, n)], "camera_id long, dim int, parts long")
+    for held, most in ((match.HELD, 4), (7 * 8 * 8 * match.BLOCK, 58)):  # of 400 blocks, 7 fit
+        monkeypatch.setattr(match, "HELD", held)
+        tiles = match._tiles(one(300), sizes(300), one(400), sizes(400), ["camera_id", "dim"], F.col("part")).groupBy("_a", "_b").agg(F.sum(1 - F.col("_side")).alias("g"), F.sum("_side").alias("q"))
+        rows = tiles.collect()
+        assert sum(r["g"] * r["q"] for r in rows) == 300 * 400
+        assert len({r["_b"] for r in rows}) <= max(most, round((4 * cores * 4 / 3) ** 0.5) + 1)
+        assert all(r["g"] * 8 * 8 * match.BLOCK <= held for r in rows)
