@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import boxes
-from ..functions.vectors import dot, l2_normalize, vector_sum
+from ..functions.vectors import dot, vector_sum
 from ..params import DEFAULTS, UPPER_BODY, Params
 from ..shared import checkpointed, small
 from .identity import BodyGallery, Entry, FaceGallery
+from .match import own_sims
 from .walk import Rows, folded
 
 GID = ["camera_id", "global_id"]
@@ -56,9 +57,7 @@ def novel_view(candidates: DataFrame, gallery: DataFrame, key: str, params: Para
     best = gallery.groupBy(*GID).agg(F.max("pose_quality").alias("_best"))
     if rates is None:
         by, name, least = [key, *GID], "max_sim", params.emb_novelty_threshold
-        unit = lambda name, v: l2_normalize(F.col(v)).alias(name)
-        pairs = candidates.select(*by, unit("_c", "embedding")).join(gallery.select(*GID, unit("_e", "embedding")), GID)
-        known = pairs.groupBy(*by).agg(F.max(dot(F.col("_c"), F.col("_e"))).alias(name))
+        known = own_sims(candidates.select(*by, "embedding"), gallery, key).withColumnRenamed("score", name)
     else:
         by, name, least = [crop or key, *GID], "max_rate", params.match_rate_threshold
         asked = rates.select(by[0], "entry_seq", "match_rate").join(candidates.select(*by).distinct(), by[0])

@@ -24,3 +24,21 @@ def test_candidates_of_one_crop_go_by_its_rates(spark):
     for out in (by_crop, by_key):
         assert {r["obs_id"]: (r["max_rate"], r["added"]) for r in out.collect()} == want
     assert {x[1] for x in want.values()} == {True, False} and None in {x[0] for x in want.values()}
+
+
+def test_candidates_meet_their_identity_in_blocks(spark):
+    """No join has a row for each candidate and entry: cosines come from products of packed blocks."""
+    vector = lambda k: [float((k * 7 + d * 3) % 11 - 5) for d in range(6)]
+    rows = [(k, 0, k % 4, k % 3, None if k % 13 == 0 else vector(k)) for k in range(80)]
+    entries = [(0, g, 10 * g + n, 1, vector(50 * g + n)) for g in (0, 1, 2) for n in range(9)]
+    candidates = spark.createDataFrame(rows, "obs_id long, camera_id long, global_id long, pose_quality int, embedding array<double>")
+    held = spark.createDataFrame(entries, "camera_id long, global_id long, entry_seq long, pose_quality int, embedding array<double>")
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+    want = {}
+    for obs, _, gid, quality, v in rows:
+        own = [e[4] for e in entries if e[1] == gid]
+        best = max((cos(v, e) for e in own), default=None) if v else None
+        want[obs] = (None if best is None else round(best, 9), bool(v) and quality >= 1 and (not own or best < 0.85 or quality > 1))
+    out = gallery.novel_view(candidates, held, "obs_id")
+    assert {r["obs_id"]: (None if r["max_sim"] is None else round(r["max_sim"], 9), r["added"]) for r in out.collect()} == want
+    assert "MapInArrow" in out._jdf.queryExecution().optimizedPlan().toString()
