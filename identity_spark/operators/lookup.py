@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine, dot, l2_normalize
+from ..functions.vectors import cosine
 from ..params import DEFAULTS, Params
 from ..shared import checkpointed
-from .match import match_with_face
+from .match import match_with_face, own_sims
 
 
 def active_as_of(requests: DataFrame, tracks: DataFrame, bucket: int = 10_000) -> DataFrame:
@@ -43,8 +43,9 @@ def find_reference(requests: DataFrame, gallery: DataFrame, faces: DataFrame, ac
     key = ["camera_id", "request_id"]
     missed = checkpointed(requests.select(*key, "body", "face").join(hits.select(*key), key, "left_anti"))
     known = missed.join(confirmed.select(*key, "tracker_id", "global_id"), key)
-    unit = lambda v: l2_normalize(F.col(v))
-    best_of = lambda side, part, name: known.withColumn("_q", unit(part)).join(side.select("camera_id", "global_id", unit("embedding").alias("_e")), ["camera_id", "global_id"]).groupBy(*key, "tracker_id").agg(F.max(dot(F.col("_q"), F.col("_e"))).alias(name))
+    # tracks of one identity have one score
+    asked_of = checkpointed(known.select(*key, "global_id", "body", "face").dropDuplicates([*key, "global_id"]))
+    best_of = lambda side, part, name: known.select(*key, "tracker_id", "global_id").join(own_sims(asked_of, side, "request_id", part), [*key, "global_id"]).groupBy(*key, "tracker_id").agg(F.max("score").alias(name))
     by_body = best_of(gallery, "body", "_body")
     by_face = best_of(faces, "face", "_face")
     own = by_body.join(by_face, [*key, "tracker_id"], "left").withColumn("score", F.when(F.col("_face").isNull(), F.col("_body")).otherwise((F.col("_body") + F.col("_face")) / 2))
