@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import boxes
+from ..functions.vectors import l2_normalize, mean_vector
 from ..operators import assign, gallery, match, merge, pose, tracklets
 from ..params import DEFAULTS, Params
-from ..shared import checkpointed
+from ..shared import checkpointed, small
 
 TRACK = ["camera_id", "tracker_id"]
 FRAME = ["camera_id", "frame_idx"]
@@ -40,18 +41,31 @@ def identify_tracks(observations: DataFrame, bodies: DataFrame, faces: DataFrame
     by_face: a row that doesn't qualify but has a face decides its track at once, by the face alone (type "F"), and before
     the frame's other tracks."""
     rows = observations if known is None else observations.join(known.select(*TRACK), TRACK, "left_anti")
-    runs = tracklets.latest_face(tracklets.confirm_points(tracklets.pending_runs(rows), params), "face")
-    means = tracklets.mean_embeddings(runs, "body", params)
-    means = means.select(*TRACK, "run", "confirm_frame", "mean_embedding", F.lit(False).alias("by_face"))
-    if by_face:
-        ends = runs.filter("face_ends_wait").select(*TRACK, "run", F.col("frame_idx").alias("confirm_frame"), F.lit(None).cast("array<double>").alias("mean_embedding"), F.lit(True).alias("by_face"))
-        means = means.unionByName(ends)
-    first = means.groupBy(*TRACK).agg(F.min_by(F.struct("run", "confirm_frame", "mean_embedding", "by_face"), "confirm_frame").alias("_f")).select(*TRACK, "_f.*")
-    if by_face:  # there the row's own face counts, which isn't on a qualifying row
-        runs = runs.withColumn("latest_face", F.when(F.col("face_ends_wait"), F.coalesce("face", "latest_face")).otherwise(F.col("latest_face")))
-    at = runs.select(*TRACK, F.col("frame_idx").alias("confirm_frame"), "det_seq", "latest_face", boxes.box().alias("_box"))
-    done = checkpointed(first.join(at, [*TRACK, "confirm_frame"]).withColumnRenamed("confirm_frame", "frame_idx"))
-
+    return _identified(observations, decisions(rows, params, by_face), bodies, faces, known, params, by_face)
+
+
+def decisions(rows: DataFrame, params: Params = DEFAULTS, by_face: bool = False) -> DataFrame:
+    """A row for each track that is decided: camera_id, tracker_id, run, frame_idx, det_seq, by_face, mean_embedding and
+    latest_face, as :func:`identify_tracks` says.
+
+    The windows by track have no vectors in them: they tell which rows a decision goes by, and only theirs are fetched."""
+    names = [*TRACK, "frame_idx", "det_seq", "qualifies", "has_face", *(["frame_seq"] if "frame_seq" in rows.columns else [])]
+    narrow = rows.select(*names, F.when(F.col("face").isNotNull(), F.col("frame_idx")).alias("_face_at"))
+    runs = tracklets.latest_face(tracklets.confirm_points(tracklets.pending_runs(narrow), params), "_face_at").withColumnRenamed("latest_face", "_last_face")
+    ends = runs.filter(F.col("confirms") | F.col("face_ends_wait")) if by_face else runs.filter("confirms")
+    own = F.struct("run", "frame_idx", "det_seq", F.col("face_ends_wait").alias("by_face"), F.when(F.col("face_ends_wait"), F.coalesce("_face_at", "_last_face")).otherwise(F.col("_last_face")).alias("_last_face"))
+    first = checkpointed(ends.groupBy(*TRACK).agg(F.min_by(own, "frame_idx").alias("_f")).select(*TRACK, "_f.*"))
+    last = first.filter("NOT by_face").select(*TRACK, "run", F.col("frame_idx").alias("_end"))
+    waits = checkpointed(runs.filter("qualifies").join(small(last), [*TRACK, "run"]).filter("frame_idx <= _end").select(*TRACK, "frame_idx"))
+    means = rows.select(*TRACK, "frame_idx", "body").join(small(waits), [*TRACK, "frame_idx"]).groupBy(*TRACK).agg(mean_vector(F.col("body")).alias("_mean"))
+    shown = first.filter("_last_face IS NOT NULL").select(*TRACK, F.col("_last_face").alias("frame_idx"))
+    shown = rows.filter("face IS NOT NULL").select(*TRACK, "frame_idx", F.col("face").alias("latest_face")).join(small(shown), [*TRACK, "frame_idx"]).drop("frame_idx")
+    done = first.drop("_last_face").join(means.select(*TRACK, l2_normalize(F.col("_mean")).alias("mean_embedding")), TRACK, "left").join(shown, TRACK, "left")
+    return checkpointed(done)
+
+
+def _identified(observations: DataFrame, done: DataFrame, bodies: DataFrame, faces: DataFrame, known: DataFrame | None, params: Params, by_face: bool) -> DataFrame:
+    """Identities of the tracks of :func:`decisions`."""
     least = params.sim_threshold
     alone = match.all_top1_sims(done.filter("latest_face IS NULL AND NOT by_face"), bodies, query="tracker_id", vector="mean_embedding", least=least)
     with_face = match.fused_scores(done.filter("latest_face IS NOT NULL AND NOT by_face"), bodies, faces, params.face_match_strategy, least, query="tracker_id", body="mean_embedding", face="latest_face")
@@ -122,23 +136,33 @@ def identify_recording(observations: DataFrame, bodies: DataFrame, faces: DataFr
     observations: as for identify_tracks, with pose_quality; bodies and faces: entries with entry_seq, frame_idx and (bodies)
     pose_quality, has_face; state: camera_id, global_id, last_seen, x1..y2. Numbers of new entries follow the camera's
     highest one, in the order of frames."""
-    found = checkpointed(identify_tracks(observations, bodies, faces, None, params, by_face=True))
-    runs = tracklets.latest_face(tracklets.confirm_points(tracklets.pending_runs(observations), params), "face")
-    means = tracklets.mean_embeddings(runs, "body", params).select(*TRACK, F.col("confirm_frame").alias("frame_idx"), "mean_embedding")
-    decided = found.select(*TRACK, "global_id", F.col("frame_idx").alias("since"))
-    rows = runs.join(decided, TRACK).filter(F.col("frame_idx") >= F.col("since")).withColumn("is_first", F.col("frame_idx") == F.col("since")).join(means, [*TRACK, "frame_idx"], "left")
-    base = lambda g: g.groupBy("camera_id").agg((F.max("entry_seq") + 1).alias("_base"))
-    dealt = rows.withColumn("_k", F.row_number().over(Window.partitionBy(*FRAME).orderBy("det_seq")))
-    counts = dealt.groupBy(*FRAME).agg(F.count(F.lit(1)).alias("_n"))
+    done = decisions(observations, params, by_face=True)
+    found = checkpointed(_identified(observations, done, bodies, faces, None, params, by_face=True))
+    decided = checkpointed(found.select(*TRACK, "global_id", F.col("frame_idx").alias("since")).join(done.select(*TRACK, "mean_embedding", "latest_face"), TRACK))
+    plain = decided.select(*TRACK, "global_id", "since")
+    seen_from = lambda rows: rows.join(small(plain), TRACK).filter("frame_idx >= since")
+    # numbers and states go by rows without vectors
+    rows = seen_from(observations.select(*TRACK, "frame_idx", "det_seq", boxes.box().alias("_box")))
+    counts = rows.groupBy(*FRAME).agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy("camera_id").orderBy("frame_idx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    dealt = checkpointed(dealt.join(counts.withColumn("_before", before).drop("_n"), FRAME))
-    number = lambda g: dealt.join(base(g), "camera_id", "left").withColumn("entry_seq", F.coalesce("_base", F.lit(0)) + F.col("_before") + F.col("_k") - 1)
+    dealt = rows.select(*FRAME, "tracker_id", "det_seq").withColumn("_k", F.row_number().over(Window.partitionBy(*FRAME).orderBy("det_seq")))
+    dealt = checkpointed(dealt.join(counts.withColumn("_before", before).drop("_n"), FRAME).select(*FRAME, "tracker_id", "det_seq", (F.col("_before") + F.col("_k") - 1).alias("_place")))
+    base = lambda g: g.groupBy("camera_id").agg((F.max("entry_seq") + 1).alias("_base"))
+    first = decided.select(*TRACK, F.col("since").alias("frame_idx"), "mean_embedding", "latest_face")
+
+    def numbered(rows: DataFrame, g: DataFrame) -> DataFrame:
+        out = rows.join(dealt, [*FRAME, "tracker_id", "det_seq"]).join(F.broadcast(base(g)), "camera_id", "left")
+        out = out.withColumn("entry_seq", F.coalesce("_base", F.lit(0)) + F.col("_place")).join(small(plain), TRACK)
+        return out.withColumn("is_first", F.col("frame_idx") == F.col("since")).join(small(first), [*TRACK, "frame_idx"], "left")
+
     body = F.when(F.col("is_first"), F.col("mean_embedding")).when(F.col("qualifies"), F.col("body"))
-    face = F.when(F.col("is_first"), F.when(F.col("face_ends_wait"), F.coalesce("face", "latest_face")).otherwise(F.col("latest_face"))).otherwise(F.col("face"))
-    new_bodies = gallery.extended_bodies(bodies, number(bodies).withColumn("embedding", body).withColumn("pose_quality", F.col("pose_quality").cast("int")), params)
-    new_faces = gallery.extended_faces(faces, number(faces).withColumn("embedding", face), params)
+    face = F.when(F.col("is_first"), F.col("latest_face")).otherwise(F.col("face"))
+    offered = observations.select(*FRAME, "tracker_id", "det_seq", "qualifies", "has_face", F.col("pose_quality").cast("int").alias("pose_quality"), F.when(F.col("qualifies"), F.col("body")).alias("body"))
+    new_bodies = gallery.extended_bodies(bodies, numbered(offered, bodies).withColumn("embedding", body), params)
+    shown = seen_from(observations.select(*FRAME, "tracker_id", "det_seq", "face")).filter("face IS NOT NULL OR frame_idx = since").drop("global_id", "since")
+    new_faces = gallery.extended_faces(faces, numbered(shown, faces).withColumn("embedding", face), params)
 
-    seen = rows.groupBy("camera_id", "global_id").agg(F.max("frame_idx").alias("last_seen"), F.max_by(boxes.box(), F.struct("frame_idx", "det_seq")).alias("_b")).select("camera_id", "global_id", "last_seen", "_b.*")
+    seen = rows.groupBy("camera_id", "global_id").agg(F.max("frame_idx").alias("last_seen"), F.max_by("_box", F.struct("frame_idx", "det_seq")).alias("_b")).select("camera_id", "global_id", "last_seen", "_b.*")
     if state is not None:
         seen = state.join(seen.select("camera_id", "global_id"), ["camera_id", "global_id"], "left_anti").select(seen.columns).unionByName(seen)
     tracks = found.select(*TRACK, "global_id")

@@ -10,7 +10,7 @@ from ..functions import boxes
 from ..functions.vectors import dot, vector_sum
 from ..params import DEFAULTS, UPPER_BODY, Params
 from ..shared import checkpointed, small
-from .identity import BodyGallery, Entry, FaceGallery
+from .identity import BodyGallery, Entry, FaceGallery, capped
 from .match import own_sims
 from .walk import Rows, folded
 
@@ -171,7 +171,7 @@ def extended_faces(gallery: DataFrame, rows: DataFrame, params: Params = DEFAULT
                 g.offer(0, v)
             else:
                 g.entries.setdefault(0, []).append(v)
-            if len(about) > 4 * params.max_face_gallery_per_gid + 64:
+            if len(about) > 2 * len(g.entries.get(0, [])) + 64:
                 own = {id(x) for x in g.entries.get(0, [])}
                 for k in [k for k in about if k not in own]:
                     del about[k]
@@ -190,17 +190,6 @@ def update_face_gallery(faces: DataFrame, params: Params = DEFAULTS) -> DataFram
     return folded(faces, GID, ["frame_idx", "face_seq"], lambda: FaceGallery(params), step, "frame_idx long, face_seq long, added boolean, face_sim double")
 
 
-def capped(vectors: list[np.ndarray], most: int) -> list[int]:
-    """Places of the entries that stay when the most central one, the first of equal ones, goes again and again."""
-    m = np.stack(vectors)
-    alike, live = m @ m.sum(axis=0), np.ones(len(m), bool)
-    for _ in range(len(m) - most):
-        k = int(np.argmax(np.where(live, alike, -np.inf)))
-        live[k] = False
-        alike -= m @ m[k]
-    return np.flatnonzero(live).tolist()
-
-
 def merge_entries(gallery: DataFrame, remap: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """Gallery after identities went over into others: moved entries follow the target's own, then the cap holds.
 

@@ -29,6 +29,69 @@ def cosines(v: np.ndarray, vectors: Iterable[np.ndarray]) -> np.ndarray:
     return m @ v / np.maximum(np.sqrt((m * m).sum(axis=1)) * np.sqrt(v @ v), 1e-12)
 
 
+#: Galleries of more entries, which only those can be that came in above the cap, are searched by a pool.
+POOL_FROM = 64
+
+def capped(vectors: list[np.ndarray], most: int) -> list[int]:
+    """Places of the entries that stay when the most central one, the first of equal ones, goes again and again.
+
+    A mean of dot products is one product with the sum, so an entry that goes takes one product with each that stays."""
+    m = np.stack(vectors)
+    places, alike, live = np.arange(len(m)), m @ m.sum(axis=0), np.ones(len(m), bool)
+    for _ in range(len(m) - most):
+        k = int(np.argmax(alike))
+        live[places[k]], v = False, m[k].copy()
+        alike[k] = -np.inf
+        alike -= m @ v
+        if len(m) > 64 and 2 * np.count_nonzero(alike > -np.inf) < len(m):
+            stay = alike > -np.inf
+            m, places, alike = m[stay], places[stay], alike[stay]
+    return np.flatnonzero(live).tolist()
+
+
+class Pool:
+    """Vectors in the order of arrival. Asking for the nearest or the most central one takes one product of each."""
+
+    def __init__(self, vectors: list[np.ndarray]):
+        self._take(np.stack(vectors))
+
+    def __len__(self) -> int:
+        return self.n
+
+    def _take(self, m: np.ndarray) -> None:
+        self.n = self.used = len(m)
+        self.rows = np.concatenate([m, np.zeros((max(256, len(m) // 4), m.shape[1]))])
+        self.norms = np.sqrt((self.rows * self.rows).sum(axis=1))
+        self.out = np.zeros(len(self.rows))  # -inf where an entry has gone
+        self.sum = m.sum(axis=0)
+
+    def nearest(self, v: np.ndarray) -> float:
+        u = self.used
+        return float((self.rows[:u] @ v / np.maximum(self.norms[:u] * np.sqrt(v @ v), 1e-12) + self.out[:u]).max())
+
+    def pop_most_central(self) -> int:
+        """The place, among those that are there, of the entry that goes."""
+        k = int(np.argmax(self.rows[: self.used] @ self.sum + self.out[: self.used]))
+        place = int(np.count_nonzero(self.out[:k] == 0))
+        self.sum = self.sum - self.rows[k]
+        self.out[k], self.n = -np.inf, self.n - 1
+        return place
+
+    def add(self, v: np.ndarray) -> None:
+        if self.used == len(self.rows):
+            self._take(self.rows[self.out == 0])
+        k = self.used
+        self.rows[k], self.norms[k], self.sum = v, np.sqrt(v @ v), self.sum + v
+        self.used, self.n = k + 1, self.n + 1
+
+
+def pool_of(pools: dict[int, Pool], gid: int, own: list, vectors: Iterable[np.ndarray]) -> Pool:
+    """The pool of an identity's entries, made anew where their number has changed beside it."""
+    if gid not in pools or len(pools[gid]) != len(own):
+        pools[gid] = Pool(list(vectors))
+    return pools[gid]
+
+
 @dataclass
 class Entry:
     """An embedding in the body gallery."""
@@ -48,6 +111,19 @@ class BodyGallery:
     entries: dict[int, list[Entry]] = field(default_factory=dict)
     last_seen: dict[int, int] = field(default_factory=dict)
     last_box: dict[int, np.ndarray] = field(default_factory=dict)
+    pools: dict[int, Pool] = field(default_factory=dict)
+    tops: dict[int, tuple[int, int, int]] = field(default_factory=dict)
+
+    def top(self, gid: int) -> tuple[int, int]:
+        """The last frame and the best quality of an identity's entries; kept while there are more of them than the cap, as
+        then they are only added to or capped."""
+        own = self.entries[gid]
+        if len(own) <= max(POOL_FROM, self.params.max_gallery_per_gid):
+            self.tops.pop(gid, None)
+            return max(e.frame for e in own), max(e.quality for e in own)
+        if gid not in self.tops or self.tops[gid][0] != len(own):
+            self.tops[gid] = (len(own), max(e.frame for e in own), max(e.quality for e in own))
+        return self.tops[gid][1:]
 
     def touch(self, gid: int, frame: int, box: np.ndarray | None) -> None:
         self.last_seen[gid] = frame
@@ -60,8 +136,8 @@ class BodyGallery:
         own = self.entries.get(gid)
         if not own:
             return True
-        last = max(e.frame for e in own)
-        return self.last_seen.get(gid, last) - last >= self.params.keyframe_min_interval or quality > max(e.quality for e in own)
+        last, best = self.top(gid)
+        return self.last_seen.get(gid, last) - last >= self.params.keyframe_min_interval or quality > best
 
     def offer(self, gid: int, entry: Entry, box: np.ndarray | None) -> bool:
         """Adds the entry if it is new to the identity's view or shows more of the body."""
@@ -70,8 +146,9 @@ class BodyGallery:
             return False
         own = self.entries.setdefault(gid, [])
         if own:
-            novel = cosines(entry.vector, (e.vector for e in own)).max() < self.params.emb_novelty_threshold
-            if not novel and entry.quality <= max(e.quality for e in own):
+            large = len(own) > max(POOL_FROM, self.params.max_gallery_per_gid)
+            nearest = pool_of(self.pools, gid, own, (e.vector for e in own)).nearest(entry.vector) if large else cosines(entry.vector, (e.vector for e in own)).max()
+            if nearest >= self.params.emb_novelty_threshold and entry.quality <= self.top(gid)[1]:
                 return False
         own.append(entry)
         self.cap(gid)
@@ -79,8 +156,12 @@ class BodyGallery:
 
     def cap(self, gid: int) -> None:
         own = self.entries[gid]
-        while len(own) > self.params.max_gallery_per_gid:
+        if len(own) > self.params.max_gallery_per_gid + 1:
+            own[:] = [own[i] for i in capped([e.vector for e in own], self.params.max_gallery_per_gid)]
+        elif len(own) > self.params.max_gallery_per_gid:
             own.pop(most_central([e.vector for e in own]))
+        self.pools.pop(gid, None)
+        self.tops.pop(gid, None)
 
     def scores(self, v: np.ndarray, only_with_face: bool = False) -> dict[int, float]:
         out = {}
@@ -110,6 +191,7 @@ class FaceGallery:
 
     params: Params = DEFAULTS
     entries: dict[int, list[np.ndarray]] = field(default_factory=dict)
+    pools: dict[int, Pool] = field(default_factory=dict)
 
     def offer(self, gid: int, v: np.ndarray) -> tuple[bool, float]:
         """Whether the face was added, and its highest cosine to the faces before (-1 for the first)."""
@@ -117,6 +199,14 @@ class FaceGallery:
         if not own:
             own.append(v)
             return True, -1.0
+        if len(own) > max(POOL_FROM, self.params.max_face_gallery_per_gid):
+            pool = pool_of(self.pools, gid, own, own)
+            if (alike := pool.nearest(v)) >= self.params.face_keyframe_threshold:
+                return False, alike
+            own.pop(pool.pop_most_central())
+            own.append(v)
+            pool.add(v)
+            return True, alike
         alike = float(cosines(v, own).max())
         if alike >= self.params.face_keyframe_threshold:
             return False, alike
@@ -130,8 +220,10 @@ class FaceGallery:
         if moved:
             own = self.entries.setdefault(target, [])
             own.extend(moved)
-            while len(own) > self.params.max_face_gallery_per_gid:
-                own.pop(most_central(own))
+            if len(own) > self.params.max_face_gallery_per_gid:
+                own[:] = [own[i] for i in capped(own, self.params.max_face_gallery_per_gid)]
+        self.pools.pop(source, None)
+        self.pools.pop(target, None)
 
 
 @dataclass

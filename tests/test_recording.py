@@ -103,3 +103,33 @@ def test_an_empty_recording(spark, tables):
     observations, bodies, faces = tables
     done = batch.identify_recording(observations.limit(0), bodies, faces, None, PARAMS)
     assert done.tracks.count() == 0 and done.bodies.count() == 3 and done.faces.count() == 1 and done.state.count() == 0
+
+
+def test_galleries_far_above_the_cap_take_a_product_an_entry(monkeypatch):
+    """Entries that came in above the cap: the same ones go as by pairs of all, and no square of them is made."""
+    from identity_spark.operators import identity
+    from identity_spark.operators.identity import BodyGallery, Entry, FaceGallery, most_central
+
+    rng = np.random.default_rng(8)
+    held, new = [unit(x) for x in rng.normal(size=(300, 12))], [unit(x) for x in rng.normal(size=(400, 12))]
+    left = list(held)
+    for v in new:
+        left.pop(most_central(left))
+        left.append(v)
+    bodies = [*held, new[0]]
+    while len(bodies) > 10:
+        bodies.pop(most_central(bodies))
+
+    def squared(vectors):
+        assert len(vectors) <= 64
+        return most_central(vectors)
+
+    monkeypatch.setattr(identity, "most_central", squared)
+    faces = FaceGallery(Params(face_keyframe_threshold=1.1), {0: list(held)})
+    alike = [faces.offer(0, v)[1] for v in new]
+    assert [id(v) for v in faces.entries[0]] == [id(v) for v in left]
+    assert alike[0] == pytest.approx(max(float(new[0] @ v) for v in held))
+    g = BodyGallery(Params(emb_novelty_threshold=1.1), {0: [Entry(v, i, 2, False, i) for i, v in enumerate(held)]})
+    assert not BodyGallery(Params(), {0: list(g.entries[0])}).offer(0, Entry(held[3], 500, 2, False), None)
+    assert g.offer(0, Entry(new[0], 400, 2, False, 400), None)
+    assert [id(e.vector) for e in g.entries[0]] == [id(v) for v in bodies]
