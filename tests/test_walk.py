@@ -26,3 +26,18 @@ def test_keys_come_in_any_pieces(spark, size):
     assert {(r["a"], r["b"]): (r["ns"], r["length"]) for r in out} == {k: ([n for n, _ in x], sum(len(v or []) for _, v in x)) for k, x in want.items()}
     assert len(out) == len(want) and all(r["none"] == 0 for r in out)
     assert folded(df.filter(F.lit(False)), ["a", "b"], ["n"], list, step, "ns array<long>, length long, none double").count() == 0
+
+
+def test_a_long_camera_goes_in_segments(spark, monkeypatch):
+    """Rows of a camera above SEGMENT: no task has many more of them, and the results are those of one walk."""
+    from identity_spark.jobs import queries
+    from identity_spark.jobs.fixtures import Views
+    from identity_spark.operators import identify
+
+    seen = queries.observations(Views(spark, "/root/testdata/sf0.001")).cache()
+    want = sorted(map(repr, identify.identify(seen).collect()))
+    most, walked = [], identify.walked
+    monkeypatch.setattr(identify, "walked", lambda df, *a: (most.append(df.groupBy("camera_id").count().agg(F.max("count")).first()[0]), walked(df, *a))[1])
+    monkeypatch.setattr(identify, "SEGMENT", 100, raising=False)
+    assert sorted(map(repr, identify.identify(seen).collect())) == want and len(want) > 300
+    assert len(most) > 2 and max(most) <= 130
