@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import textwrap
 import zlib
@@ -330,6 +331,42 @@ def test_top_k_of_equal_rows(spark, monkeypatch):
     assert sorted(out) == [(1, 3), (2, 5), (3, 5), (4, 5)]
 
 
+def test_top_k_sends_queries_to_as_many_places_as_cores_ask_for(spark, monkeypatch):
+    monkeypatch.setattr(topk, "ROW_BLOCK", 16)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 8)
+    rng = np.random.default_rng(5)
+    vectors = np.floor(rng.normal(size=(600, 5)) * 64) / 64
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(vectors.tolist())], "id long, v array<double>").cache()
+    s = (vectors * 1024 @ (vectors * 1024).T).astype(int)
+    want = {(q, n + 1): (i, s[q, i]) for q in range(0, 600, 10) for n, i in enumerate(sorted((i for i in range(600) if i != q), key=lambda i: (-s[q, i], i))[:3])}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 60)
+    try:
+        found = topk.top_k(rows.filter("id % 10 = 0"), rows, 3)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastExchange" in plan and not re.search(r"BroadcastExchange[^\n]*\n[^\n]*flat", plan)  # repeated blocks have no known size
+        assert {(r["query_id"], r["rank"]): (r["id"], r["score"]) for r in found.collect()} == want
+        q, x = (topk.packed(df.select("id", F.transform("v", lambda c: c.cast("long")).alias("v")), b, i) for i, (df, b) in enumerate([(rows.filter("id % 10 = 0"), 8), (rows, 16)]))
+        n_q, n_x = q.count(), x.count()
+        for held in (1 << 20, 1):  # one byte: each block of queries is a group
+            monkeypatch.setattr(topk, "HELD", held)
+            groups = topk.dealt(q, x, 3)
+            tiles = topk.tiled(x, q, groups).select("q_group", "x_group", "side", "part").cache()
+            assert groups[0] * groups[1] <= max(n_q, topk.TILES * spark.sparkContext.defaultParallelism) and (held > 1 or groups[0] == n_q)
+            assert tiles.filter("side = 0").count() == n_q * groups[1] and tiles.filter("side = 1").count() == n_x * groups[0]
+            pairs = tiles.filter("side = 0").alias("q").join(tiles.filter("side = 1").alias("x"), ["q_group", "x_group"]).select(F.col("q.part").alias("a"), F.col("x.part").alias("b"))
+            assert pairs.count() == pairs.distinct().count() == n_q * n_x
+        again = topk.top_k(rows.filter("id % 10 = 0"), rows, 3)
+        assert {(r["query_id"], r["rank"]): (r["id"], r["score"]) for r in again.collect()} == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_top_k_of_scores_beyond_doubles(spark):
+    rows = spark.createDataFrame([(0, [1024.0]), (1, [0.0]), (2, [2.0**24])], "id long, v array<double>")
+    assert [tuple(r) for r in topk.top_k(rows.filter("id = 0"), rows, 1).collect()] == [(0, 1, 2, 2**54)]
+
+
 def test_main_text_model():
     model = main_text.fit(labelled_pages.pages(160))
     tests = labelled_pages.pages(60, seed=99)
